@@ -5,9 +5,11 @@ distance d, the number of min-hashes that differ. Cut into `chunks` chunks, two
 d <= 2 * chunks - 1 have, by pigeonhole, a chunk with at most one error; every chunk is therefore
 entered once for each min-hash left out of it, and all pairs within that distance meet under a common
 key. Pairs that meet at a larger distance are verified as well, never cut. Texts with the same shingle
-set are one class from the start. Under a key, members are compared with a leader; where that leaves a
-key's members in more than one component, further leaders follow until none is left (their number
-grows fourfold a round), so no link between different sets is lost and no group's pairs are emitted.
+set are one class from the start. Items that a set shares with no other member of the larger keys bound
+its similarity to any of them. Under a key, members are compared with a leader, the one with the fewest
+such items; members that can still link to another component are compared block by block in one matrix
+product each, which gives a forest of the links found. So no link between different sets is lost, and a
+group's pairs are not emitted.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.llm import words as W
@@ -24,6 +26,8 @@ from strophe.llm.graph import connected_components
 from strophe.llm.store import Workspace
 
 CHUNKS, WIDTH = 9, 5
+#: Sets and items of a block of the exact comparison.
+BLOCK_SETS, BLOCK_ITEMS = 256, 200_000
 SET_SALTS = (0x51ED270B35D4F1A7, 0x2545F4914F6CDD1D)
 
 
@@ -111,44 +115,103 @@ def _gather(n: int):
     return run
 
 
-class _Links:
-    """Verifies candidate pairs on full sets, each pair once over all rounds."""
-
-    def __init__(self, work: Workspace, texts: DataFrame, reps: DataFrame, n: int, percent: int):
-        self.work, self.texts, self.reps, self.n, self.percent = work, texts, reps, n, percent
-        self.done: DataFrame | None = None
-
-    def verify(self, pairs: DataFrame) -> int:
-        """pairs: a < b ids; returns the number of new pairs looked at."""
-        sized = pairs.distinct().join(self.reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("na")), "a").join(self.reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb")), "b")
-        sized = sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
-        if self.done is not None:
-            sized = sized.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
-        new = self.work.save(sized)
-        ids = new.select(F.col("a").alias("id")).unionByName(new.select(F.col("b").alias("id"))).distinct()
-        need = self.work.save(self.reps.join(ids, "id").select("id", "h1", "h2", F.col("rep_doc").alias("doc_id")))
-        found = need.count()
-        if not found:
-            self.work.drop(need)
-            self.done = new.withColumn("ok", F.lit(False)) if self.done is None else self.done
-            return 0
-        rows = self.texts.alias("t").join(need.alias("w").hint("shuffle_hash"), F.expr("t.doc_id <=> w.doc_id")).select("t.text", "w.id", "w.h1", "w.h2")
-        sets = self.work.save(rows.mapInArrow(_gather(self.n), "id long, items array<long>"))
-        common = F.size(F.array_intersect("x", "y"))
-        looked = (
-            new.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-            .withColumn("both", common.cast("long"))
-            .select("a", "b", (F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * self.percent).alias("ok"))
-            .distinct()
-        )
-        looked = self.work.save(looked)
-        self.work.drop(need, sets, new)
-        self.done = looked if self.done is None else self.work.save(self.done.unionByName(looked))
-        return found
-
-    def components(self) -> DataFrame:
-        return connected_components(self.work, self.done.where("ok").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+def _ceiling(percent: int) -> str:
+    """Whether two sets can reach the similarity: na, nb their sizes, ua, ub their items that no other candidate has."""
+    return f"100 * least(na - ua, nb - ub) >= {percent} * (least(na - ua, nb - ub) + ua + ub) and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
+
+
+def _verify(work: Workspace, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) of the linked ones among pairs of ids a, b with na, nb, ua, ub."""
+    new = work.save(pairs.where(_ceiling(percent)).select("a", "b").distinct())
+    x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    looked = new.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("n"))
+    return work.save(looked.where(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def can_link(members: DataFrame, percent: int) -> DataFrame:
+    """Members (key, id, n, u) that their own items alone don't keep from every other member of the key."""
+    least = members.groupBy("key").agg(F.min("n").alias("n0"))
+    return members.join(least, "key").where((F.col("n") - F.col("u")) * 100 >= F.greatest("n", F.col("n0") + F.col("u")) * percent).drop("n0")
+
+
+def _block_pairs(percent: int):
+    """Links between the sets of two blocks that join different components, as a forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                sides = []
+                for c in (0, 1):
+                    rows = b.column(c).slice(r, 1).flatten()
+                    items = rows.field("items")
+                    sides.append((rows.field("id").to_numpy(), rows.field("g").to_numpy(), np.diff(items.offsets.to_numpy()), items.flatten().to_numpy()))
+                edges = list(_forest(*sides, percent))
+                if edges:
+                    src, dst = zip(*edges, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return run
+
+
+def _forest(x: tuple, y: tuple, percent: int) -> Iterator[tuple[int, int]]:
+    (ia, ga, na, va), (ib, gb, nb, vb) = x, y
+    _, at = np.unique(np.r_[va, vb], return_inverse=True)
+    ca, cb = at[: len(va)], at[len(va) :]
+    shared = np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64)
+    shared[np.intersect1d(ca, cb)] = 1
+    column = np.cumsum(shared) - 1
+    ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    ka, kb = shared[ca] > 0, shared[cb] > 0
+    ra, ca, rb, cb = ra[ka], column[ca[ka]], rb[kb], column[cb[kb]]
+    both = np.zeros((len(na), len(nb)), np.float32)
+    for c in range(0, int(shared.sum()), 4096):
+        one, two = np.zeros((len(na), 4096), np.float32), np.zeros((len(nb), 4096), np.float32)
+        for m, rows, cols in ((one, ra, ca), (two, rb, cb)):
+            k = (cols >= c) & (cols < c + 4096)
+            m[rows[k], cols[k] - c] = 1
+        both += one @ two.T
+    linked = (both * 100 >= (na[:, None] + nb[None] - both) * percent) & (ga[:, None] != gb[None])
+    root: dict[int, int] = {}
+
+    def find(g: int) -> int:
+        while root.get(g, g) != g:
+            root[g] = g = root.get(root[g], root[g])
+        return g
+
+    for i, j in zip(*(k.tolist() for k in np.nonzero(linked)), strict=True):
+        g, h = find(int(ga[i])), find(int(gb[j]))
+        if g != h:
+            root[max(g, h)] = min(g, h)
+            yield int(ia[i]), int(ib[j])
+
+
+def _block_edges(work: Workspace, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components among rest (key, id, g, first: the key's least id): sets that keys connect are compared block by block."""
+    clusters = connected_components(work, rest.select(F.col("id").alias("src"), F.col("first").alias("dst")))
+    one = rest.groupBy("id").agg(F.min("g").alias("g")).join(clusters, F.col("id") == F.col("node")).select("id", "g", F.col("component").alias("cluster")).join(sets, "id")
+    one = work.save(one)
+    sizes = one.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.size("items")) / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    dealt = one.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = work.save(dealt.groupBy("cluster", "blocks", "block").agg(F.collect_list(F.struct("id", "g", "items")).alias("rows")))
+    a = blocks.select("cluster", "block", F.col("rows").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
+    b = blocks.select("cluster", F.col("block").alias("other"), F.col("rows").alias("y"))
+    return work.save(a.join(b, ["cluster", "other"]).select("x", "y").mapInArrow(_block_pairs(percent), "src long, dst long"))
+
+
+def _ordered(left: str, right: str) -> list:
+    """Columns a, b, na, nb, ua, ub of two sides, the smaller id first."""
+    first = F.col(f"{left}.id") < F.col(f"{right}.id")
+    pick = lambda c, one, two: F.when(first, F.col(f"{one}.{c}")).otherwise(F.col(f"{two}.{c}"))
+    return [pick(c, *side).alias(as_) for c, as_, side in (("id", "a", (left, right)), ("id", "b", (right, left)), ("n", "na", (left, right)), ("n", "nb", (right, left)), ("u", "ua", (left, right)), ("u", "ub", (right, left)))]
+
+
+def _fetch(work: Workspace, texts: DataFrame, reps: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, items) of the wanted classes, from the texts of their representatives."""
+    need = work.save(reps.join(ids, "id").select("id", "h1", "h2", F.col("rep_doc").alias("doc_id")))
+    rows = texts.alias("t").join(need.alias("w").hint("shuffle_hash"), F.expr("t.doc_id <=> w.doc_id")).select("t.text", "w.id", "w.h1", "w.h2")
+    return work.save(rows.mapInArrow(_gather(n), "id long, items array<long>").dropDuplicates(["id"]))
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, percent: int = 80, chunks: int = CHUNKS, width: int = WIDTH) -> DataFrame:
@@ -170,24 +233,29 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, perce
     reps = work.save(signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep_doc")).withColumn("id", F.monotonically_increasing_id()))
     entries = reps.select("id", "sig").mapInArrow(_enter(chunks, width), "key long, id long")
     shared = work.save(entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("c > 1"))
-    hot = shared.where("c > 2").select("key", "lo")
-    members = work.save(entries.join(hot, "key"))
-    links = _Links(work, texts, reps, n, percent)
-    links.verify(shared.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(members.where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))))
-    groups = links.components()
-    first, last = 1, 5
-    while True:
-        named = members.join(groups, members.id == groups.node, "left").select("key", "id", F.coalesce("component", "id").alias("g"))
-        split = named.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("key")
-        open_ = named.join(split, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1)
-        open_ = work.save(open_)
-        leaders = open_.where((F.col("rank") >= first) & (F.col("rank") < last)).select("key", F.col("id").alias("a"), F.col("g").alias("ga"))
-        if not leaders.take(1):
-            break
-        pairs = leaders.join(open_, "key").where("g <> ga").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        if links.verify(pairs):
-            groups = links.components()
-        first, last = last, last * 4
+    members = work.save(entries.join(shared.where("c > 2").select("key"), "key"))
+    wanted = shared.select(F.col("lo").alias("id")).unionByName(shared.select(F.col("hi").alias("id"))).unionByName(members.select("id")).distinct()
+    sets = _fetch(work, texts, reps, wanted, n)
+    # items that no other member of a larger key has bound what its pairs can reach
+    crowd = sets.join(members.select("id").distinct(), "id")
+    lone = crowd.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    sized = reps.select("id", F.col("n_shingles").alias("n"))
+    known = work.save(crowd.select("id", F.size("items").cast("long").alias("n")).join(lone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u")))
+    open_ = work.save(members.join(known, "id").withColumn("g", F.col("id")))
+    twos = shared.where("c = 2").select("lo", "hi").distinct().join(sized.select(F.col("id").alias("lo"), F.col("n").alias("na")), "lo").join(sized.select(F.col("id").alias("hi"), F.col("n").alias("nb")), "hi")
+    pairs = twos.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "na", "nb", F.lit(0).cast("long").alias("ua"), F.lit(0).cast("long").alias("ub"))
+    # first every key's leader, the member with the fewest such items, and the keys of two
+    leaders = can_link(open_, percent).groupBy("key").agg(F.min(F.struct("u", "id", "n")).alias("l")).select("key", "l.*")
+    star = leaders.alias("l").join(open_.alias("m"), "key").where("l.id <> m.id").select(*_ordered("l", "m"))
+    edges = _verify(work, sets, star.unionByName(pairs), percent)
+    groups = connected_components(work, edges)
+    # then all that can still link, in blocks of the sets that share keys
+    named = open_.drop("g").join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "n", "u", F.coalesce("component", "id").alias("g"))
+    rest = can_link(named, percent)
+    split = rest.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("id").alias("first")).where("g0 < g1").select("key", "first")
+    rest = work.save(rest.join(split, "key"))
+    more = _block_edges(work, rest, sets, percent)
+    groups = connected_components(work, edges.unionByName(more))
     least = reps.join(groups, reps.id == groups.node).groupBy("component").agg(F.min("rep_doc").alias("least"))
     named = reps.join(groups, reps.id == groups.node, "left").join(least, "component", "left")
     named = named.select("h1", "h2", F.coalesce("component", "id").alias("group_id"), F.coalesce("least", "rep_doc").alias("least"))
