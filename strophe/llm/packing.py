@@ -10,7 +10,9 @@ groups, until one group holds it.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -22,17 +24,20 @@ from pyspark.sql import functions as F
 from strophe.llm.store import Workspace
 
 CAPACITY = 4096
-#: Pieces of a group, search steps of a group, fillings tried around one piece, steps to find them.
-GROUP, NODES, FILLINGS, STEPS = 4000, 5_000, 8, 400
+#: Pieces of a group, search nodes of a group, fillings tried around one piece, steps to find them.
+GROUP, NODES, FILLINGS, STEPS = 4000, 1_000, 8, 400
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
+#: A . or , that is part of a run of marks: such texts are not cut at their marks.
+_JOINED_MARK = re.compile(r"(?<![^\W_])[.,](?=[ \n])")
 
 
 class WordIds:
     """Ids of a text as bytes of little-endian uint32, by way of remembered white-space-separated parts.
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are those of its
-    parts in a row; a single . or , behind a letter is a token of its own as well.
+    The tokenizer lower-cases, drops white space and never merges across it, so the ids of a text are
+    those of its parts in a row, and a . or , behind a letter or digit and before white space is a part
+    of its own. Texts of Latin-1 characters are lower-cased here, so that fewer parts differ.
     """
 
     def __init__(self, path: str):
@@ -40,33 +45,58 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _single(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _several(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of Latin-1 letters, many to a call: each ends with its only word-end token."""
+        chunks = [words[i : i + 100] for i in range(0, len(words), 100)]
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = array("I", e.ids)
+            at = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 4).tolist()
+            if len(at) != len(chunk):
+                yield from self._single(chunk)
+                continue
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in zip([0, *at], at, strict=False))
+
+    def parts(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        if not _JOINED_MARK.search(text):
+            for mark in (". ", ", ", ".\n", ",\n"):
+                text = text.replace(mark, f" {mark}")
+        return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = self.known
-        new = set().union(*split).difference(known)
-        extra: dict[str, bytes] = {}
-        if new:
-            bases = {p: (p[:-1], p[-1]) if len(p) > 1 and p[-1] in ".," and p[-2].isalpha() else (p, "") for p in new}
-            want = {(b.lower() if b.isascii() else b): b"" for b, _ in bases.values()} | {".": b"", ",": b""}
-            missing = [b for b in want if b not in known]
-            found = dict(zip(missing, self._encode(missing), strict=True))
-            get = lambda b: known[b] if b in known else found[b]
-            extra = found | {p: get(b.lower() if b.isascii() else b) + (get(end) if end else b"") for p, (b, end) in bases.items()}
-            if len(known) + len(extra) <= REMEMBERED:
-                known.update(extra)
-                extra = {}
-        if not extra:
-            return [b"".join([known[p] for p in parts]) for parts in split]
-        return [b"".join([known[p] if p in known else extra[p] for p in parts]) for parts in split]
+        split = [self.parts(t) for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list(set().union(*split))
+        words = [p for p in new if p.isalpha() and (p.isascii() or max(p) < "\u0100")]
+        other = list(set(new).difference(words))
+        self.known.update(zip(words, self._several(words), strict=True))
+        self.known.update(zip(other, self._single(other), strict=True))
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) for p in split]
+
+
+#: Of this process; Python workers serve many tasks.
+_WORDS: dict[str, WordIds] = {}
 
 
 def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(path), np.asarray([end_id], "<u4").tobytes()
+        if path not in _WORDS:
+            _WORDS[path] = WordIds(path)
+        words, end = _WORDS[path], np.asarray([end_id], "<u4").tobytes()
         step = 4 * capacity
         for b in batches:
             for at in range(0, b.num_rows, 128):
