@@ -10,7 +10,6 @@ groups, until one group holds it.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
@@ -27,17 +26,15 @@ CAPACITY = 4096
 #: Pieces of a group, search nodes of a group, fillings tried around one piece, steps to find them.
 GROUP, NODES, FILLINGS, STEPS = 4000, 1_000, 8, 400
 #: Words whose ids a task remembers.
-REMEMBERED = 1_200_000
-#: A . or , that is part of a run of marks: such texts are not cut at their marks.
-_JOINED_MARK = re.compile(r"(?<![^\W_])[.,](?=[ \n])")
+REMEMBERED = 1_500_000
 
 
 class WordIds:
     """Ids of a text as bytes of little-endian uint32, by way of remembered white-space-separated parts.
 
     The tokenizer lower-cases, drops white space and never merges across it, so the ids of a text are
-    those of its parts in a row, and a . or , behind a letter or digit and before white space is a part
-    of its own. Texts of Latin-1 characters are lower-cased here, so that fewer parts differ.
+    those of its parts in a row, and a . or , behind a letter or digit that ends a part is a token of its
+    own. Texts of Latin-1 characters are lower-cased here, so that fewer parts differ.
     """
 
     def __init__(self, path: str):
@@ -63,31 +60,37 @@ class WordIds:
             raw = ids.tobytes()
             yield from (raw[a:b] for a, b in zip([0, *at], at, strict=False))
 
-    def parts(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-        if not _JOINED_MARK.search(text):
-            for mark in (". ", ", ", ".\n", ",\n"):
-                text = text.replace(mark, f" {mark}")
-        return text.split()
+    def _learn(self, new: set[str]) -> None:
+        marked = [p for p in new if p[-1] in ".," and len(p) > 1 and p[-2].isalnum()]
+        plain = new.difference(marked).union([p[:-1] for p in marked], ".,").difference(self.known)
+        words = [p for p in plain if p.isalpha() and (p.isascii() or max(p) < "\u0100")]
+        other = list(plain.difference(words))
+        known = self.known
+        known.update(zip(words, self._several(words), strict=True))
+        known.update(zip(other, self._single(other), strict=True))
+        ends = {m: known[m] for m in ".,"}
+        known.update({p: known[p[:-1]] + ends[p[-1]] for p in marked})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(t) for t in texts]
-        new = list(set().union(*split).difference(self.known))
+        split = [lower_latin(t).split() for t in texts]
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = list(set().union(*split))
-        words = [p for p in new if p.isalpha() and (p.isascii() or max(p) < "\u0100")]
-        other = list(set(new).difference(words))
-        self.known.update(zip(words, self._several(words), strict=True))
-        self.known.update(zip(other, self._single(other), strict=True))
+            new = set().union(*split)
+        self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in split]
 
 
+def lower_latin(text: str) -> str:
+    """text in lower case if it is all Latin-1, where Python's rule is the tokenizer's."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 #: Of this process; Python workers serve many tasks.
 _WORDS: dict[str, WordIds] = {}
 
@@ -99,8 +102,8 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
         words, end = _WORDS[path], np.asarray([end_id], "<u4").tobytes()
         step = 4 * capacity
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                ids, texts = b.column(0).slice(at, 128), b.column(1).slice(at, 128).fill_null("").to_pylist()
+            for at in range(0, b.num_rows, 64):
+                ids, texts = b.column(0).slice(at, 64), b.column(1).slice(at, 64).fill_null("").to_pylist()
                 out: list[tuple] = []
                 for r, got in enumerate(words.encode(texts)):
                     got += end
