@@ -5,15 +5,615 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strophe.functions import vocab as V
+from strophe.operators import clips, codec, corpus, sampling, sequence, stats, training
+from strophe.plans import bind
+from strophe.plans.bind import FEED, FILES, NOTES
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+COLS = "track, pos, kind, time, dur, instr, pitch"
+GENRES = ("building", "machinery")
+SCORE = 40
+U = "(('0x' || substr(md5(concat_ws(':', {})), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    """Notes of instruments 0 and 8 as controls."""
+    return sequence.to_controls(df, F.col("instr").isin(0, 8))
+
+
+def _segments(df: DataFrame, every: int = 97) -> DataFrame:
+    """Every 97th row as a separator."""
+    sep = F.col("pos") % every == every - 1
+    blank = {c: F.when(~sep, F.col(c)) for c in ("time", "dur", "instr", "pitch")}
+    return df.withColumns(blank | {"kind": F.when(sep, "sep").otherwise(F.col("kind"))})
+
+
+MARKED = f"{NOTES}, marked AS (SELECT track, pos, CASE WHEN instr IN (0, 8) THEN 'control' ELSE kind END AS kind, time, dur, instr, pitch FROM notes)"
+SEGMENTS = f"{NOTES}, segs AS (SELECT track, pos, CASE WHEN s THEN 'sep' ELSE kind END AS kind, CASE WHEN NOT s THEN time END AS time, CASE WHEN NOT s THEN dur END AS dur, CASE WHEN NOT s THEN instr END AS instr, CASE WHEN NOT s THEN pitch END AS pitch, sum(CASE WHEN s THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY pos) AS seg FROM (SELECT *, pos % 97 = 96 AS s FROM notes))"
+
+
+@query(f"WITH {NOTES} SELECT track, pos, kind, time, CASE WHEN time + dur > 4000 THEN 4000 - time ELSE dur END AS dur, instr, pitch FROM notes WHERE time BETWEEN 1000 AND 4000")
+def clip(spark, d):
+    return sequence.clip(bind.notes(spark, d), 10.0, 40.0)
+
+
+@query(f"WITH {NOTES} SELECT {COLS} FROM notes WHERE time BETWEEN 1000 AND 4000")
+def clip_no_trim(spark, d):
+    return sequence.clip(bind.notes(spark, d), 1000, 4000, clip_duration=False, seconds=False)
+
+
+@query(f"WITH {NOTES} SELECT {COLS} FROM notes WHERE NOT (time / 100.0 > 10.0 AND time / 100.0 < 90.0)")
+def mask(spark, d):
+    return sequence.mask(bind.notes(spark, d), 10.0, 90.0)
+
+
+@query(f"WITH {NOTES} SELECT {COLS} FROM notes WHERE NOT instr = 128")
+def delete_instr(spark, d):
+    return sequence.delete(bind.notes(spark, d), F.col("instr") == V.DRUMS)
+
+
+@query(f"WITH {MARKED} SELECT {COLS} FROM marked WHERE kind = 'event' AND instr IN (16, 24, 128)")
+def keep_instr(spark, d):
+    return sequence.keep_instruments(_marked(bind.notes(spark, d)), [16, 24, 128])
+
+
+@query(f"WITH {NOTES}, t AS (SELECT track, pos, kind, time % 50 AS time, dur, instr, pitch FROM notes) SELECT track, row_number() OVER (PARTITION BY track ORDER BY time, pos) - 1 AS pos, kind, time, dur, instr, pitch FROM t")
+def sort_stable(spark, d):
+    return sequence.sort(bind.notes(spark, d).withColumn("time", F.col("time") % 50))
+
+
+@query(f"WITH {MARKED} SELECT track, pos, kind, time, dur, instr, pitch FROM marked WHERE kind IN ('control', 'sep')")
+def split_controls(spark, d):
+    return sequence.split(_marked(bind.notes(spark, d)))[1]
+
+
+_PAD = """{src}, g AS (SELECT track, pos, time, coalesce(lag(time) OVER (PARTITION BY track ORDER BY pos), 0) AS prev FROM {of}),
+t AS (SELECT track, pos, time, prev FROM g UNION ALL SELECT track, max(pos) + 1, {end}, max_by(time, pos) FROM {of} GROUP BY track),
+r AS (SELECT track, pos, prev, unnest(range(1, CAST(greatest(0, floor((time - prev - 1) / {density}.0)) AS BIGINT) + 1)) AS j FROM t),
+a AS (SELECT track, pos, j, 'rest' AS kind, prev + j * {density} AS time, CAST(0 AS BIGINT) AS dur, CAST(NULL AS BIGINT) AS instr, CAST(NULL AS BIGINT) AS pitch FROM r
+  UNION ALL SELECT track, pos, 1073741824, kind, time, dur, instr, pitch FROM {of})
+SELECT track, row_number() OVER (PARTITION BY track ORDER BY pos, j) - 1 AS pos, kind, time, dur, instr, pitch FROM a"""
+
+
+@query("WITH " + _PAD.format(src=NOTES, of="notes", end=10000, density=20))
+def pad(spark, d):
+    return sequence.pad(bind.notes(spark, d), 10000, 20)
+
+
+@query("WITH " + _PAD.format(src=FEED, of="feed", end=9000, density=100))
+def pad_feed(spark, d):
+    return sequence.pad(bind.feed(spark, d), 9000, 100)
+
+
+@query(f"WITH {NOTES} SELECT {COLS} FROM notes")
+def unpad(spark, d):
+    return sequence.sort(sequence.unpad(sequence.pad(bind.notes(spark, d), 10000, 20)))
+
+
+_KEYED = f"""WITH {MARKED}, k AS (SELECT *, CASE WHEN kind = 'control' THEN time - 500 ELSE coalesce(lag(time) OVER (PARTITION BY track, kind = 'control' ORDER BY pos), 0) END AS key FROM marked),
+o AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY key, CASE WHEN kind = 'control' THEN 0 ELSE 1 END, pos) AS ord FROM k),
+e AS (SELECT *, coalesce(max(CASE WHEN kind <> 'control' THEN ord END) OVER (PARTITION BY track), 0) AS fin FROM o)"""
+
+
+@query(f"{_KEYED} SELECT track, row_number() OVER (PARTITION BY track ORDER BY ord) - 1 AS pos, kind, time, dur, instr, pitch FROM e WHERE kind <> 'control' OR ord <= fin")
+def anticipate(spark, d):
+    return sequence.anticipate(_marked(bind.notes(spark, d)))[0]
+
+
+@query(f"{_KEYED} SELECT {COLS} FROM e WHERE kind = 'control' AND ord > fin")
+def anticipate_leftover(spark, d):
+    return sequence.anticipate(_marked(bind.notes(spark, d)))[1]
+
+
+@query(f"WITH {SEGMENTS} SELECT track, pos, kind, CASE WHEN seg = 0 AND kind <> 'sep' THEN time + 700 ELSE time END AS time, dur, instr, pitch FROM segs")
+def translate(spark, d):
+    return sequence.translate(_segments(bind.notes(spark, d)), 700)
+
+
+@query(f"WITH {MARKED} SELECT track, row_number() OVER (PARTITION BY track ORDER BY time, CASE WHEN kind = 'control' THEN 1 ELSE 0 END, pos) - 1 AS pos, 'event' AS kind, time, dur, instr, pitch FROM marked")
+def combine(spark, d):
+    return sequence.combine(*sequence.split(_marked(bind.notes(spark, d))))
+
+
+@query(f"WITH {SEGMENTS} SELECT track, greatest(max(gap), 0) AS sparsity FROM (SELECT track, time - coalesce(lag(time) OVER (PARTITION BY track ORDER BY pos), 0) AS gap FROM segs WHERE kind <> 'sep') GROUP BY track")
+def sparsity(spark, d):
+    return sequence.sparsity(_segments(bind.notes(spark, d)))
+
+
+@query(f"WITH {SEGMENTS} SELECT track, coalesce(min(CASE WHEN seg = 0 THEN time END), 0) AS min_time FROM segs GROUP BY track")
+def min_time(spark, d):
+    return sequence.min_time(_segments(bind.notes(spark, d)))
+
+
+@query(f"WITH {SEGMENTS} SELECT track, greatest(coalesce(max(time), 0), 0) AS max_time FROM segs GROUP BY track")
+def max_time(spark, d):
+    return sequence.max_time(_segments(bind.notes(spark, d)))
+
+
+@query(f"WITH {NOTES} SELECT track, instr, count(*) AS n, min(pos) AS first FROM notes GROUP BY track, instr")
+def instrument_counts(spark, d):
+    return sequence.instruments(bind.notes(spark, d))
+
+
+@query(f"WITH {NOTES} SELECT track, min(time) / 100.0 AS first_onset, max(time + dur) / 100.0 AS last_end FROM notes GROUP BY track")
+def note_ends(spark, d):
+    return sequence.note_end(bind.notes(spark, d))
+
+
+_CLAMP = "CASE WHEN dur = -1 THEN 25 ELSE least(dur, 999) END"
+
+
+@query(f"WITH {MARKED} SELECT track, pos, CAST([time + s, {_CLAMP} + 10000 + s, 11000 + 128 * instr + pitch + s] AS INT[]) AS tokens FROM (SELECT *, CASE WHEN kind = 'control' THEN 27513 ELSE 0 END AS s FROM marked)")
+def encode_events(spark, d):
+    return sequence.encode_events(_marked(bind.notes(spark, d)))
+
+
+@query(f"WITH {MARKED} SELECT track, pos, kind, time, {_CLAMP} AS dur, instr, pitch FROM marked")
+def decode_events(spark, d):
+    return sequence.decode_events(sequence.encode_events(_marked(bind.notes(spark, d))))
+
+
+@query(f"WITH {NOTES} SELECT track, count(*) FILTER (WHERE dur >= 1000) AS truncated FROM notes GROUP BY track")
+def dur_truncations(spark, d):
+    return sequence.truncations(bind.notes(spark, d))
+
+
+@query(f"""WITH {SEGMENTS}, e AS (SELECT track, seg, max(time + dur) AS fin FROM segs WHERE kind <> 'sep' GROUP BY track, seg),
+h AS (SELECT track, seg, CAST(coalesce(sum(fin) OVER (PARTITION BY track ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift FROM e)
+SELECT s.track, pos, kind, time + shift AS time, dur, instr, pitch FROM segs s JOIN h ON h.track = s.track AND h.seg = s.seg WHERE kind <> 'sep'""")
+def segment_stack(spark, d):
+    return sequence.stack_segments(_segments(bind.notes(spark, d)))
+
+
+@query(f"WITH {NOTES} SELECT track, pos, kind, CAST(round_even(time * CAST(1.37 AS DOUBLE), 0) AS BIGINT) AS time, CAST(round_even(dur * CAST(1.37 AS DOUBLE), 0) AS BIGINT) AS dur, instr, pitch FROM notes")
+def rescale(spark, d):
+    return sequence.rescale(bind.notes(spark, d), 1.37)
+
+
+@query(f"""WITH {NOTES}, q AS (SELECT track, pos, kind, CAST(round_even(time / 12.0, 0) * 12 AS BIGINT) AS time, greatest(CAST(round_even(dur / 12.0, 0) * 12 AS BIGINT), 12) AS dur, instr, pitch FROM notes)
+SELECT track, row_number() OVER (PARTITION BY track ORDER BY time, pos) - 1 AS pos, kind, time, dur, instr, pitch FROM q""")
+def quantize_grid(spark, d):
+    return sequence.quantize(bind.notes(spark, d), 120, 16)
+
+
+@query(f"WITH {NOTES} SELECT track, pos, CAST(floor(time / 100.0 * 2.0 / 4) + 1 AS BIGINT) AS bar, CAST(floor((time / 100.0 * 2.0) % 4) + 1 AS BIGINT) AS beat FROM notes")
+def bar_beat(spark, d):
+    bar, beat = V.seconds_to_bar_beat(F.col("time") / 100.0, 120, 4)
+    return bind.notes(spark, d).select("track", "pos", bar.cast("long").alias("bar"), beat.cast("long").alias("beat"))
+
+
+@query(f"""WITH {MARKED}, b AS (SELECT track, CASE WHEN kind = 'control' THEN 'control_order' ELSE 'event_order' END AS violation, time % 1000 AS time, max(time % 1000) OVER (PARTITION BY track, kind ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM marked),
+n AS (SELECT track, kind, time % 1000 AS time, first(CASE WHEN kind <> 'control' THEN time % 1000 END IGNORE NULLS) OVER (PARTITION BY track ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM marked)
+SELECT track, violation, count(*) AS n FROM b WHERE time < high GROUP BY track, violation
+UNION ALL SELECT track, 'late_control', count(*) FROM n WHERE kind = 'control' AND time > nx + 500 GROUP BY track
+UNION ALL SELECT track, 'instruments', count(DISTINCT instr) FROM marked GROUP BY track HAVING count(DISTINCT instr) > 16""")
+def integrity_violations(spark, d):
+    return sequence.integrity(_marked(bind.notes(spark, d)).withColumn("time", F.col("time") % 1000))
+
+
+def _messages(df: DataFrame) -> DataFrame:
+    """Notes as messages: every third of a key is an off."""
+    return df.select("track", "pos", "time", (F.col("dur") % 3 != 0).alias("on"), (F.col("instr") % 3).alias("instr"), (F.col("pitch") % 8).alias("pitch"), F.lit(0).alias("channel"))
+
+
+MESSAGES = f"{NOTES}, msg AS (SELECT track, pos, time, dur % 3 <> 0 AS is_on, instr % 3 AS instr, pitch % 8 AS pitch FROM notes)"
+
+
+@query(f"""WITH {MESSAGES}, s AS (SELECT *, sum(CASE WHEN is_on THEN 1 ELSE -1 END) OVER (PARTITION BY track, instr, pitch ORDER BY pos) AS s FROM msg),
+l AS (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY track, instr, pitch ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY track, instr, pitch, is_on ORDER BY pos) AS k FROM l WHERE is_on OR s >= low)
+SELECT a.track, row_number() OVER (PARTITION BY a.track ORDER BY a.pos) - 1 AS pos, 'event' AS kind, a.time, coalesce(b.time - a.time, -1) AS dur, a.instr, a.pitch
+FROM r a LEFT JOIN r b ON NOT b.is_on AND a.track = b.track AND a.instr = b.instr AND a.pitch = b.pitch AND a.k = b.k WHERE a.is_on""")
+def note_pairing(spark, d):
+    return codec.pair_notes(_messages(bind.notes(spark, d)))
+
+
+@query(f"""WITH {MESSAGES}, t AS (SELECT track, pos, least(time - coalesce(lag(time) OVER (PARTITION BY track ORDER BY pos), 0), 999) AS delta, CASE WHEN is_on THEN 1000 ELSE 17512 END + 128 * instr + pitch AS note FROM msg),
+u AS (SELECT track, pos, 0 AS j, delta AS token FROM t WHERE delta > 0 UNION ALL SELECT track, pos, 1, note FROM t)
+SELECT track, row_number() OVER (PARTITION BY track ORDER BY pos, j) - 1 AS pos, token FROM u""")
+def interarrival(spark, d):
+    return codec.interarrival(_messages(bind.notes(spark, d)))
+
+
+@query(f"""WITH {NOTES}, m AS (SELECT track, pos AS src, instr, pitch, time AS tm, 0 AS t FROM notes UNION ALL SELECT track, pos, instr, pitch, time + dur, 1 FROM notes),
+o AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY tm, t, src) - 1 AS pos FROM m),
+f AS (SELECT track, instr, min(pos) AS first FROM o GROUP BY track, instr),
+c AS (SELECT track, instr, CASE WHEN r >= 9 THEN r + 1 ELSE r END AS channel FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY first) - 1 AS r FROM f WHERE instr <> 128) UNION ALL SELECT track, instr, 9 FROM f WHERE instr = 128)
+SELECT o.track, o.pos, o.tm AS time, o.t = 0 AS "on", o.instr, o.pitch, c.channel, o.tm - coalesce(lag(o.tm) OVER (PARTITION BY o.track, o.instr ORDER BY o.pos), 0) AS delta FROM o JOIN c ON c.track = o.track AND c.instr = o.instr""")
+def midi_schedule(spark, d):
+    return codec.midi_schedule(bind.notes(spark, d))
+
+
+_GATE = "CASE WHEN n < 100 OR fin < 1000 THEN 1 WHEN fin > 360000 THEN 2 WHEN k > 16 THEN 3 ELSE 0 END"
+_GATES = f"{NOTES}, {FEED}, both_ AS (SELECT track, time, instr FROM notes UNION ALL SELECT track + 1000000, time, instr FROM feed), g AS (SELECT track, count(*) AS n, max(time) AS fin, count(DISTINCT instr) AS k FROM both_ GROUP BY track)"
+
+
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    return bind.notes(spark, d).unionByName(bind.feed(spark, d).withColumn("track", F.col("track") + 1000000))
+
+
+@query(f'WITH {_GATES} SELECT track, n, fin AS "end", {_GATE} AS status FROM g')
+def gate_status(spark, d):
+    return training.gate(_both(spark, d))
+
+
+@query(f"WITH {_GATES}, s AS (SELECT {_GATE} AS status, n FROM g) SELECT status, count(*) AS n, CAST(sum(n) AS BIGINT) AS events, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM s GROUP BY status")
+def gate_report(spark, d):
+    return stats.gate_report(training.gate(_both(spark, d)))
+
+
+@query(f"WITH {NOTES} SELECT track, pos, CASE WHEN {U.format(chr(39) + '0' + chr(39) + ', ' + chr(39) + 'random' + chr(39) + ', track, pos')} < 0.4 THEN 'control' ELSE kind END AS kind, time, dur, instr, pitch FROM notes")
+def extract_random(spark, d):
+    return training.extract_random(bind.notes(spark, d), 4)
+
+
+@query(f"WITH {MARKED} SELECT {COLS} FROM marked")
+def extract_instruments(spark, d):
+    return _marked(bind.notes(spark, d))
+
+
+@query()
+def extract_spans(spark, d):
+    return training.extract_spans(bind.notes(spark, d), 2000)
+
+
+@query("SELECT l_suppkey AS track, k, CASE WHEN k % 10 = 0 THEN 'none' WHEN k % 10 = 1 THEN 'span' WHEN k % 10 < 6 THEN 'random' ELSE 'instrument' END AS mode FROM (SELECT DISTINCT l_suppkey FROM lineitem), (SELECT unnest(range(0, 10)) AS k)")
+def augment_fanout(spark, d):
+    return training.augment(bind.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("track")).distinct(), 10).select("track", "k", "mode")
+
+
+def _packable(spark: SparkSession, d: str, scale: int = 1) -> tuple[DataFrame, DataFrame]:
+    rows = training.with_separator(sequence.anticipate(_marked(bind.notes(spark, d)))[0]).withColumn("shard", F.col("track") % 4)
+    rows = rows.withColumn("dur", V.clamp_dur(F.col("dur"))).withColumn("time", F.col("time") * scale)
+    flags = rows.select("shard", "track").distinct().withColumn("flag", F.when(F.col("track") % 3 == 0, V.AUTOREGRESS).otherwise(V.ANTICIPATE))
+    return rows, flags
+
+
+def _pack_sql(scale: int) -> str:
+    return f"""{_KEYED}, seq AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY ord) AS pos, kind, time * {scale} AS time, {_CLAMP} AS dur, instr, pitch FROM e WHERE kind <> 'control' OR ord <= fin
+  UNION ALL SELECT DISTINCT track, 0, 'sep', NULL, NULL, NULL, NULL FROM marked),
+p AS (SELECT *, track % 4 AS shard, CASE WHEN track % 3 = 0 THEN 55026 ELSE 55027 END AS flag, row_number() OVER (PARTITION BY track % 4 ORDER BY track, pos) - 1 AS p FROM seq),
+q AS (SELECT *, p // 341 AS chunk, p % 341 AS q, count(*) OVER (PARTITION BY shard, p // 341) AS n, sum(CASE WHEN kind = 'sep' THEN 1 ELSE 0 END) OVER (PARTITION BY shard, p // 341 ORDER BY p) AS seg FROM p),
+m AS (SELECT *, coalesce(min(CASE WHEN seg = 0 THEN time END) OVER (PARTITION BY shard, chunk), 0) AS start FROM q WHERE n = 341),
+r AS (SELECT shard, chunk, q, kind, flag, start, CASE WHEN seg = 0 THEN time - start ELSE time END AS time, dur, instr, pitch, CASE WHEN kind = 'control' THEN 27513 ELSE 0 END AS s FROM m),
+c AS (SELECT shard, chunk, max(start) AS start, coalesce(max(time), 0) >= 10000 AS discarded, max(CASE WHEN q = 0 THEN flag END) AS own, bool_or(q = 0 AND kind = 'sep') AS heads,
+  flatten(list(CASE WHEN kind = 'sep' THEN [55025, 55025, 55025] ELSE [time + s, dur + 10000 + s, 11000 + 128 * instr + pitch + s] END ORDER BY q)) AS toks FROM r GROUP BY shard, chunk),
+f AS (SELECT *, CASE WHEN heads OR NOT coalesce(lag(discarded) OVER (PARTITION BY shard ORDER BY chunk), FALSE) THEN own END AS z FROM c),
+packed AS (SELECT shard, chunk, last_value(z IGNORE NULLS) OVER (PARTITION BY shard ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS flag, start, discarded, toks FROM f)"""
+
+
+@query(_pack_sql(1) + " SELECT shard, chunk, flag, list_prepend(flag, toks)::INT[] AS tokens FROM packed WHERE NOT discarded")
+def pack_rows(spark, d):
+    return training.pack(*_packable(spark, d)).where("not discarded").select("shard", "chunk", "flag", "tokens")
+
+
+@query(_pack_sql(8) + " SELECT shard, chunk, flag, start, discarded FROM packed")
+def pack_flags(spark, d):
+    return training.pack(*_packable(spark, d, 8)).select("shard", "chunk", "flag", "start", "discarded")
+
+
+@query(f"WITH {MESSAGES}, t AS (SELECT track, pos, least(time - coalesce(lag(time) OVER (PARTITION BY track ORDER BY pos), 0), 999) AS delta, CASE WHEN is_on THEN 1000 ELSE 17512 END + 128 * instr + pitch AS note FROM msg), u AS (SELECT track, pos, 0 AS j, delta AS token FROM t WHERE delta > 0 UNION ALL SELECT track, pos, 1, note FROM t), p AS (SELECT track % 4 AS shard, token, row_number() OVER (PARTITION BY track % 4 ORDER BY track, pos, j) - 1 AS p FROM u) SELECT shard, p // 1024 AS chunk, list(token ORDER BY p) AS tokens FROM p GROUP BY shard, p // 1024 HAVING count(*) = 1024")
+def pack_interarrival(spark, d):
+    return training.pack_tokens(codec.interarrival(_messages(bind.notes(spark, d))).withColumn("shard", F.col("track") % 4))
+
+
+_ANY = f"len(list_filter(nomml, lambda n: n >= {SCORE})) > 0"
+_GENRE = "len(list_filter(styles, lambda s: lower(s) IN ('building', 'machinery'))) > 0"
+
+
+@query(f"WITH {FILES} SELECT md5, {_ANY} AS expressive, num_tracks BETWEEN 1 AND 16 AS in_range FROM files")
+def expressive_filter(spark, d):
+    return bind.files(spark, d).select("md5", corpus.expressive(F.col("nomml"), SCORE).alias("expressive"), corpus.track_range(F.col("num_tracks")).alias("in_range"))
+
+
+@query(f"WITH {FILES} SELECT md5 FROM files WHERE {_GENRE}")
+def genre_filter(spark, d):
+    return bind.files(spark, d).where(corpus.genre(F.col("styles"), None, GENRES)).select("md5")
+
+
+def _subset(name: str, where: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return corpus.subset(bind.files(spark, d), name, SCORE, GENRES).select("md5", "num_tracks", "total_notes")
+
+    run.__name__ = f"subset_{name}"
+    pick = f"WITH {FILES}, r AS (SELECT * FROM files WHERE {where})"
+    f = corpus.SUBSET_FRACTION.get(name)
+    limit = f", h AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || md5), md5) AS k, count(*) OVER () AS n FROM r) SELECT md5, num_tracks, total_notes FROM h WHERE k <= CAST(floor(n * {f}) AS BIGINT)" if f else " SELECT md5, num_tracks, total_notes FROM r"
+    query(pick + limit)(run)
+
+
+for _name, _where in {"s1": "TRUE", "s2": f"num_tracks BETWEEN 1 AND 16 AND {_ANY}", "s3": "TRUE", "s4": f"num_tracks BETWEEN 1 AND 16 AND {_ANY}", "s8": _GENRE, "s11": f"{_GENRE} AND {_ANY}"}.items():
+    _subset(_name, _where)
+
+
+@query("SELECT md5(CAST(o_orderkey AS VARCHAR)) AS md5, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) AS hex, CASE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) WHEN 'e' THEN 'valid' WHEN 'f' THEN 'test' ELSE 'train' END AS split FROM orders")
+def hash_split(spark, d):
+    m = F.md5(F.col("o_orderkey").cast("string"))
+    return bind.read(spark, d, "orders").select(m.alias("md5"), corpus.hex_shard(m).alias("hex"), corpus.hash_split(m).alias("split"))
+
+
+@query(f"WITH {FILES}, r AS (SELECT md5, substr(md5, 1, 1) AS hex FROM files), k AS (SELECT *, row_number() OVER (PARTITION BY hex ORDER BY md5('42:' || md5), md5) AS k, count(*) OVER (PARTITION BY hex) AS n FROM r) SELECT md5, hex FROM k WHERE k <= greatest(1, floor(n * 0.05))")
+def stratified_sample(spark, d):
+    return corpus.stratified_sample(bind.files(spark, d).select("md5", corpus.hex_shard(F.col("md5")).alias("hex")), "hex", "md5", 0.05)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def global_shuffle(spark, d):
+    return corpus.global_shuffle(bind.read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def semi_targets(spark, d):
+    wanted = bind.read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return bind.read(spark, d, "orders").join(wanted, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_existing(spark, d):
+    return bind.read(spark, d, "customer").join(bind.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+def set_intersect(spark, d):
+    part = lambda f: bind.read(spark, d, "lineitem").where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k"))
+    return part("R").intersect(part("A"))
+
+
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+def set_except(spark, d):
+    return bind.read(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(bind.read(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey"))
+
+
+@query("""SELECT CASE WHEN x.k IS NOT NULL THEN 'skipped' WHEN l.k IS NOT NULL THEN 'found' ELSE 'missing' END AS status, count(*) AS n FROM part
+LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R') l ON l.k = p_partkey LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 7) x ON x.k = p_partkey GROUP BY 1""")
+def copy_status(spark, d):
+    li = bind.read(spark, d, "lineitem").withColumn("md5", F.col("l_partkey"))
+    wanted = bind.read(spark, d, "part").select(F.col("p_partkey").alias("md5"))
+    return corpus.with_status(wanted, li.where("l_returnflag = 'R'"), li.where("l_linenumber = 7")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+ZIPPED = f"{FILES}, z AS (SELECT md5, unnest(groups) AS grp, unnest(list_filter(nomml, lambda n: n <> -1)) AS s FROM files), counts AS (SELECT md5, grp, count(*) AS n FROM z WHERE s >= {SCORE} GROUP BY md5, grp), avail AS (SELECT grp, CAST(sum(n) AS BIGINT) AS tracks, count(DISTINCT md5) AS files FROM counts GROUP BY grp)"
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.zip_groups(bind.files(spark, d), SCORE)
+
+
+@query(f"WITH {ZIPPED} SELECT md5, grp, n FROM counts")
+def zip_groups(spark, d):
+    return _counts(spark, d)
+
+
+@query(f"WITH {ZIPPED} SELECT md5, total_notes FROM files WHERE total_notes >= 50 AND {_ANY} AND len(groups) > 0 AND md5 IN (SELECT md5 FROM counts)")
+def balanced_gate(spark, d):
+    return corpus.balanced_gate(bind.files(spark, d), 50, SCORE).select("md5", "total_notes")
+
+
+@query(f"WITH {ZIPPED} SELECT grp, tracks, files FROM avail")
+def group_available(spark, d):
+    return corpus.group_available(_counts(spark, d))
+
+
+@query(f"""WITH {ZIPPED}, a AS (SELECT md5, bool_or(grp NOT IN ('STANDARD', 'MEDIUM', 'PROMO')) AS o, bool_or(grp = 'STANDARD') AS a, bool_or(grp = 'MEDIUM') AS b FROM counts GROUP BY md5)
+SELECT md5, CASE WHEN o THEN 'other' WHEN a AND b THEN 'first+second' WHEN a THEN 'first-only' WHEN b THEN 'second-only' ELSE 'third-only' END AS category FROM a""")
+def file_category(spark, d):
+    return corpus.file_category(_counts(spark, d), bind.BIG)
+
+
+_TARGET = {
+    "b": "CASE WHEN grp IN ('STANDARD', 'MEDIUM', 'PROMO') THEN 100.0 ELSE tracks * 0.1 END",
+    "c1": "least(floor(min(tracks) OVER () * 0.1), tracks)",
+    "c2": "tracks * 0.1",
+    "c3": "sum(tracks) OVER () * 0.1 * sqrt(tracks) / sum(sqrt(tracks)) OVER ()",
+    "c4": "sum(tracks) OVER () * 0.1 * ln(1 + tracks) / sum(ln(1 + tracks)) OVER ()",
+    "c5": "sum(tracks) OVER () * 0.1 * (tracks / sum(tracks) OVER () * 0.75 + 0.25 / count(*) OVER ())",
+    "c6": "sum(tracks) OVER () * 0.1 * (tracks / sum(tracks) OVER () * 0.5 + 0.5 / count(*) OVER ())",
+}
+
+
+def _targets(spark: SparkSession, d: str, strategy: str) -> DataFrame:
+    return corpus.targets(corpus.group_available(_counts(spark, d)), strategy, 10, bind.BIG, 100)
+
+
+def _target_query(strategy: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _targets(spark, d, strategy)
+
+    run.__name__ = f"targets_{strategy}"
+    query(f"WITH {ZIPPED} SELECT grp, tracks, CAST(floor(({_TARGET[strategy]}) + 1e-9) AS BIGINT) AS target FROM avail")(run)
+
+
+for _name in _TARGET:
+    _target_query(_name)
+
+_ALL_TARGETS = " UNION ALL ".join(f"SELECT '{s}' AS strategy, grp, tracks, CAST(floor(({e}) + 1e-9) AS BIGINT) AS target FROM avail" for s, e in _TARGET.items())
+
+
+@query(f"""WITH {ZIPPED}, t AS ({_ALL_TARGETS}), h AS (SELECT *, 100.0 * target / sum(target) OVER (PARTITION BY strategy) AS share FROM t),
+a AS (SELECT strategy, bool_and(target <= tracks) AS feasible, round(max(share) - min(share), 6) AS spread FROM h GROUP BY strategy)
+SELECT strategy, feasible, spread, row_number() OVER (ORDER BY spread, strategy) AS place FROM a""")
+def feasible_rank(spark, d):
+    out = None
+    for s in _TARGET:
+        part = _targets(spark, d, s).withColumn("strategy", F.lit(s))
+        out = part if out is None else out.unionByName(part)
+    return corpus.feasible(out)
+
+
+@query()
+def greedy_select(spark, d):
+    caps = {r.grp: r.target for r in _targets(spark, d, "c2").collect()}
+    return corpus.select_balanced(spark, _counts(spark, d), bind.files(spark, d), caps, bind.BIG)
+
+
+@query()
+def calibrate(spark, d):
+    goals = {r.grp: r.target for r in _targets(spark, d, "c2").collect()}
+    goal = bind.read(spark, d, "lineitem").agg(F.sum(F.col("l_quantity").cast("long"))).first()[0] // 20
+    return corpus.calibrate(spark, _counts(spark, d), bind.files(spark, d), goals, bind.BIG, goal)
+
+
+@query("""WITH l AS (SELECT p_type AS grp, CAST(l_quantity AS BIGINT) AS v FROM lineitem JOIN part ON p_partkey = l_partkey), s AS (SELECT grp, list_sort(list(v)) AS x, count(*) AS n FROM l GROUP BY grp)
+SELECT grp, n, round(list_avg(x), 6) AS mean, x[1] AS low, x[n // 4 + 1] AS p25, x[n // 2 + 1] AS median, x[3 * n // 4 + 1] AS p75, x[n] AS high FROM s""")
+def group_quantiles(spark, d):
+    part = bind.read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("grp"))
+    return stats.group_quantiles(bind.read(spark, d, "lineitem").join(part, "l_partkey").select("grp", F.col("l_quantity").cast("long").alias("v")), "grp", "v")
+
+
+@query("SELECT bin, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT CASE WHEN l_quantity >= 40 THEN 3 WHEN l_quantity >= 20 THEN 2 WHEN l_quantity >= 5 THEN 1 WHEN l_quantity >= 1 THEN 0 END AS bin FROM lineitem) WHERE bin IS NOT NULL GROUP BY bin")
+def histogram_bins(spark, d):
+    return stats.histogram(bind.read(spark, d, "lineitem"), "l_quantity", [1, 5, 20, 40])
+
+
+@query(f"WITH {ZIPPED}, t AS (SELECT sum(tracks) AS t, sum(CASE WHEN grp IN ('STANDARD', 'MEDIUM', 'PROMO') THEN tracks ELSE 0 END) AS b FROM avail) SELECT round(100.0 * b / t, 6) AS big_share, round(100.0 - 100.0 * b / t, 6) AS other_share FROM t")
+def big3_share(spark, d):
+    return stats.share_of(corpus.group_available(_counts(spark, d)), "grp", "tracks", bind.BIG)
+
+
+@query("""WITH f AS (SELECT p_type AS grp, count(*) AS v FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1), s AS (SELECT p_type AS grp, count(*) AS v FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 40 GROUP BY 1),
+p AS (SELECT coalesce(f.grp, s.grp) AS grp, coalesce(100.0 * s.v / (SELECT sum(v) FROM s), 0) AS a, coalesce(100.0 * f.v / (SELECT sum(v) FROM f), 0) AS b FROM f FULL JOIN s ON f.grp = s.grp)
+SELECT grp, round(a, 6) AS subset_share, round(b, 6) AS full_share, round(a - b, 6) AS delta FROM p""")
+def compare_shares(spark, d):
+    part = bind.read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("grp"))
+    rows = bind.read(spark, d, "lineitem").join(part, "l_partkey").withColumn("v", F.lit(1))
+    return stats.compare_shares(rows.where("l_quantity >= 40"), rows, "grp", "v")
+
+
+@query(_pack_sql(1) + """, t AS (SELECT len(list_filter(list_prepend(flag, toks), lambda x: x <> 55025)) AS n FROM packed WHERE NOT discarded)
+SELECT count(*) AS lines, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n // 3) AS BIGINT) AS events, round(sum(n // 3) / (663555310 / 8943), 9) AS hours FROM t""")
+def token_stats(spark, d):
+    return stats.token_stats(training.pack(*_packable(spark, d)).where("not discarded"))
+
+
+@query(f"""WITH {_GATES}, u AS (SELECT track, pos, time, dur FROM notes UNION ALL SELECT track + 1000000, pos, time, dur FROM feed),
+l AS (SELECT track, 3 * count(*) AS tokens, max_by(time + dur, pos) AS last, max(time + dur) AS most FROM u GROUP BY track)
+SELECT {_GATE} AS status, count(*) AS tracks, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(last) / 100.0, 2) AS seconds_last, round(sum(most) / 100.0, 2) AS seconds_max FROM l JOIN g ON g.track = l.track GROUP BY 1""")
+def compound_stats(spark, d):
+    both = _both(spark, d)
+    return stats.compound_stats(both, training.gate(both))
+
+
+@query("""WITH l AS (SELECT l_linenumber AS i, l_discount * 10 AS ce FROM lineitem)
+SELECT round(avg(ce), 6) AS loss, round(avg(ce) * log2(exp(1)) * count(*) / 3600, 6) AS bps, round(exp(3 * avg(ce)), 3) AS event_ppl, round(exp(avg(ce) FILTER (WHERE i % 3 = 0)), 3) AS onset_ppl,
+  round(exp(avg(ce) FILTER (WHERE i % 3 = 1)), 3) AS dur_ppl, round(exp(avg(ce) FILTER (WHERE i % 3 = 2)), 3) AS note_ppl FROM l""")
+def loss_metrics(spark, d):
+    return stats.loss_metrics(bind.read(spark, d, "lineitem").select(F.col("l_linenumber").alias("i"), (F.col("l_discount") * 10).alias("ce")), 1.0)
+
+
+@query("SELECT count(*) AS n, round(CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) * 1000000 / count(*), 6) AS total FROM lineitem")
+def extrapolate(spark, d):
+    return stats.extrapolate(bind.read(spark, d, "lineitem").select(F.col("l_quantity").cast("long").alias("q")), "q", 1_000_000)
+
+
+@query("SELECT l_linenumber AS parts, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY l_linenumber")
+def timing_stats(spark, d):
+    return stats.timings(bind.read(spark, d, "lineitem").withColumn("parts", F.col("l_linenumber")), "parts", "l_quantity")
+
+
+_MELODY = "melody AS (SELECT track, instr FROM (SELECT track, instr, row_number() OVER (PARTITION BY track ORDER BY sum(pitch) / count(*) DESC, min(pos)) AS r, sum(pitch) AS s FROM notes WHERE instr NOT IN (0, 9) AND instr < 112 GROUP BY track, instr) WHERE r = 1 AND s > 0)"
+
+
+@query(f"WITH {NOTES}, {_MELODY} SELECT track, instr FROM melody")
+def melody_argmax(spark, d):
+    return stats.melody_instrument(bind.notes(spark, d))
+
+
+_QUOTED = "'0', 'clip', track"
+WINDOWS = f"""{NOTES}, ends AS (SELECT track, greatest(max(time), 0) AS fin FROM notes GROUP BY track HAVING greatest(max(time), 0) >= 2000),
+starts AS (SELECT track, CAST(floor((fin - 2000) * {U.format(_QUOTED)}) AS BIGINT) AS start FROM ends),
+win AS (SELECT n.track, pos, kind, time - start AS time, least(dur, start + 2000 - time) AS dur, instr, pitch, start FROM notes n JOIN starts s ON s.track = n.track WHERE time BETWEEN start AND start + 2000)"""
+
+
+@query(f"WITH {WINDOWS} SELECT track, start, count(DISTINCT instr) AS parts, count(*) FILTER (WHERE time < 500) AS n FROM win GROUP BY track, start HAVING count(DISTINCT instr) <= 15 AND count(*) FILTER (WHERE time < 500) >= 10")
+def clip_candidates(spark, d):
+    return clips.clip_candidates(clips.random_windows(bind.notes(spark, d), 2000), 500)
+
+
+@query(f"""WITH {WINDOWS}, {_MELODY} SELECT w.track, m.instr AS melody FROM win w JOIN melody m ON m.track = w.track GROUP BY w.track, m.instr
+HAVING count(DISTINCT CASE WHEN w.instr <> 128 THEN w.instr END) BETWEEN 4 AND 12 AND count(*) FILTER (WHERE w.instr = m.instr) >= 5 AND min(w.time) FILTER (WHERE w.instr = m.instr) <= 500 AND max(w.time) FILTER (WHERE w.instr = m.instr) >= 1800""")
+def melody_candidates(spark, d):
+    rows = bind.notes(spark, d)
+    return clips.melody_candidates(clips.random_windows(rows, 2000), stats.melody_instrument(rows), 500, 2000, (4, 12), 5)
+
+
+@query(f"WITH {WINDOWS}, {_MELODY} SELECT w.track, w.pos, w.kind, w.time, w.dur, w.instr, w.pitch, w.start FROM win w JOIN melody m ON m.track = w.track WHERE w.instr = m.instr OR w.time < 500")
+def accompaniment(spark, d):
+    rows = bind.notes(spark, d)
+    return clips.accompaniment(clips.random_windows(rows, 2000), stats.melody_instrument(rows), 500).select(*V.NOTE_COLUMNS, "start")
+
+
+def _logits(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as logits: an order is a position."""
+    li = bind.read(spark, d, "lineitem")
+    return li.groupBy((F.col("l_orderkey") % 50).alias("seq"), (F.col("l_orderkey") % 7).cast("long").alias("idx"), (F.col("l_partkey") * 37 % 30000).alias("token")).agg((F.max("l_quantity") / 10).alias("logit"))
+
+
+LOGITS = "lg AS (SELECT l_orderkey % 50 AS seq, l_orderkey % 7 AS idx, l_partkey * 37 % 30000 AS token, max(l_quantity) / 10 AS logit FROM lineitem GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {LOGITS} SELECT seq, idx, token FROM lg WHERE token < 27513 AND (token = 27512 OR CASE idx % 3 WHEN 0 THEN token < 10000 WHEN 1 THEN token BETWEEN 10000 AND 10999 ELSE token BETWEEN 11000 AND 27511 END)")
+def slot_mask(spark, d):
+    return sampling.slot_mask(_logits(spark, d)).select("seq", "idx", "token")
+
+
+@query(f"WITH {LOGITS} SELECT seq, idx, token FROM lg WHERE token >= 10000 OR token >= 4000")
+def future_mask(spark, d):
+    return sampling.future_mask(_logits(spark, d), 4000).select("seq", "idx", "token")
+
+
+@query(f"""WITH {LOGITS}, seen AS (SELECT DISTINCT l_orderkey % 50 AS seq, l_partkey % (3 + l_orderkey % 50) AS instr FROM lineitem), full_ AS (SELECT seq FROM seen GROUP BY seq HAVING count(*) >= 15)
+SELECT seq, idx, token FROM lg WHERE NOT (token BETWEEN 11000 AND 27511) OR seq NOT IN (SELECT seq FROM full_) OR EXISTS (SELECT 1 FROM seen s WHERE s.seq = lg.seq AND s.instr = (token - 11000) // 128)""")
+def instr_cap(spark, d):
+    seen = bind.read(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("seq"), (F.col("l_partkey") % (3 + F.col("l_orderkey") % 50)).alias("instr")).distinct()
+    return sampling.instrument_cap(_logits(spark, d), seen).select("seq", "idx", "token")
+
+
+@query(f"""WITH {LOGITS}, w AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY seq, idx)) AS w FROM lg),
+b AS (SELECT seq, idx, token, coalesce(sum(w) OVER (PARTITION BY seq, idx ORDER BY logit DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER (PARTITION BY seq, idx) AS before FROM w)
+SELECT seq, idx, token FROM b WHERE before <= 0.98765""")
+def nucleus(spark, d):
+    return sampling.nucleus(_logits(spark, d), 0.98765).select("seq", "idx", "token")
+
+
+@query(f"WITH {NOTES}, h AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY pos DESC) AS r FROM notes) SELECT track, pos, kind, time - min(time) OVER (PARTITION BY track) AS time, dur, instr, pitch FROM h WHERE r <= 339")
+def history(spark, d):
+    return sampling.history(bind.notes(spark, d))
+
+
+@query()
+def prompt_assembly(spark, d):
+    events, controls = sequence.split(_marked(bind.notes(spark, d)))
+    return sampling.prompt_assembly(sequence.sort(events), 3000, controls)
+
+
+@query(_pack_sql(1) + ", c2 AS (SELECT shard, chunk, list_prepend(flag, toks)::INT[] AS t FROM packed WHERE NOT discarded AND chunk < 3) SELECT shard, chunk, len(t) AS n, t[1] AS first FROM c2")
+def collate(spark, d):
+    rows = training.pack(*_packable(spark, d)).where("not discarded and chunk < 3").select("shard", "chunk", "tokens")
+    return sampling.collate(rows, "shard").select("shard", "chunk", F.size("labels").alias("n"), F.get("input_ids", F.lit(0)).alias("first"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return pack_rows(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
