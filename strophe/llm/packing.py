@@ -20,28 +20,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.llm import words as W
 from strophe.llm.store import Workspace
 
 CAPACITY = 4096
 #: Pieces of a group, search nodes of a group, fillings tried around one piece, steps to find them.
 GROUP, NODES, FILLINGS, STEPS = 4000, 1_000, 8, 400
-#: Words whose ids a task remembers.
+#: Words whose ids a process remembers.
 REMEMBERED = 1_500_000
 
 
+class IdTable:
+    """Token ids of words by their 64-bit hash and length: an open-addressing table over arrays, probed for many words at once."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.size = 0
+        self.at, self.count, self.bytes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
+        self._spread(1 << 13, np.zeros(0, np.uint64))
+
+    def _spread(self, slots: int, keys: np.ndarray) -> None:
+        self.keys, self.slot, self.mask = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32), np.uint64(slots - 1)
+        self._place(keys, np.arange(len(keys), dtype=np.int32))
+
+    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        at = (keys & self.mask).astype(np.int64)
+        while len(keys):
+            free = np.flatnonzero(self.slot[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            won = free[one]
+            self.slot[at[won]], self.keys[at[won]] = entries[won], keys[won]
+            rest = np.ones(len(keys), bool)
+            rest[won] = False
+            keys, entries, at = keys[rest], entries[rest], (at[rest] + 1) & int(self.mask)
+
+    def find(self, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Entry of each word, -1 for unknown ones."""
+        at = (keys & self.mask).astype(np.int64)
+        out = self.slot[at]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & int(self.mask)
+            out[open_] = self.slot[at[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[at[open_]] != keys[open_])]
+        out = out.astype(np.int64)
+        out[(out >= 0) & (self.bytes[out] != sizes)] = -1
+        return out
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: list[bytes]) -> None:
+        n, flat = len(keys), np.frombuffer(b"".join(ids), np.uint32)
+        if not n:
+            return
+        while self.size + n > len(self.at):
+            self.at, self.count, self.bytes = (np.r_[x, np.zeros_like(x)] for x in (self.at, self.count, self.bytes))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        counts = np.array([len(x) // 4 for x in ids], np.int64)
+        new = slice(self.size, self.size + n)
+        self.at[new], self.count[new], self.bytes[new] = self.used + np.cumsum(counts) - counts, counts, sizes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        if 2 * (self.size + n) > len(self.slot):
+            held = np.zeros(self.size, np.uint64)
+            full = self.slot >= 0
+            held[self.slot[full]] = self.keys[full]
+            slots = len(self.slot)
+            while 2 * (self.size + n) > slots:
+                slots *= 2
+            self._spread(slots, held)
+        self._place(keys, np.arange(self.size, self.size + n, dtype=np.int32))
+        self.size += n
+
+
 class WordIds:
-    """Ids of a text as bytes of little-endian uint32, by way of remembered white-space-separated parts.
+    """Ids of texts, by way of remembered words.
 
-    The tokenizer lower-cases, drops white space and never merges across it, so the ids of a text are
-    those of its parts in a row, and a . or , behind a letter or digit that ends a part is a token of its
-    own. Texts of Latin-1 characters are lower-cased here, so that fewer parts differ.
+    The tokenizer lower-cases, drops white space and never merges across it, so a text's ids are those of
+    its white-space-separated parts in a row, and a . or , behind a letter or digit that ends a part is a
+    token of its own. A-Z and the Latin-1 letters are lower-cased here, so that fewer words differ.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.table = Tokenizer.from_file(path), IdTable()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -60,35 +125,66 @@ class WordIds:
             raw = ids.tobytes()
             yield from (raw[a:b] for a, b in zip([0, *at], at, strict=False))
 
-    def _learn(self, new: set[str]) -> None:
-        marked = [p for p in new if p[-1] in ".," and len(p) > 1 and p[-2].isalnum()]
-        plain = new.difference(marked).union([p[:-1] for p in marked], ".,").difference(self.known)
-        words = [p for p in plain if p.isalpha() and (p.isascii() or max(p) < "\u0100")]
-        other = list(plain.difference(words))
-        known = self.known
-        known.update(zip(words, self._several(words), strict=True))
-        known.update(zip(other, self._single(other), strict=True))
-        ends = {m: known[m] for m in ".,"}
-        known.update({p: known[p[:-1]] + ends[p[-1]] for p in marked})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [lower_latin(t).split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*split)
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in split]
-
-
-def lower_latin(text: str) -> str:
-    """text in lower case if it is all Latin-1, where Python's rule is the tokenizer's."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+    def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
+        parts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        plain = np.array([p.isalpha() and (p.isascii() or max(p) < "\u0100") for p in parts], bool)
+        for which, encode in ((plain, self._several), (~plain, self._single)):
+            at = np.flatnonzero(which)
+            self.table.add(keys[at], (ends - starts)[at], list(encode([parts[i] for i in at.tolist()])))
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts in a buffer; each text's ids are followed by end_id."""
+        buf = lower_latin(buf)
+        w = W.split_words(buf, offsets)
+        last, before = buf[w.ends - 1], buf[np.maximum(w.ends - 2, 0)]
+        accent = (before >= 0x80) & (buf[np.maximum(w.ends - 3, 0)] == 0xC3) & (before != 0x97) & (before != 0xB7) & (w.ends - w.starts > 2)
+        marked = ((last == 46) | (last == 44)) & (w.ends - w.starts > 1) & (_ALNUM[before] | accent)
+        n = 1 + marked
+        place = np.cumsum(n) - n
+        starts, ends = np.repeat(w.starts, n), np.repeat(w.ends, n)
+        ends[place[marked]] -= 1
+        starts[place[marked] + 1] = ends[place[marked]]
+        units = W.Words(buf, starts, ends, np.r_[0, np.cumsum(n)][w.offsets])
+        keys, table = units.hashes(), self.table
+        entry = table.find(keys, ends - starts)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            if table.size + len(new) > REMEMBERED:
+                table.clear()
+                new = np.arange(len(keys))
+            _, one = np.unique(keys[new], return_index=True)
+            first = new[one]
+            self._learn(buf.tobytes(), starts[first], ends[first], keys[first])
+            entry[new] = table.find(keys[new], (ends - starts)[new])
+            lost = new[entry[new] < 0]  # two words of one hash: the later is encoded on its own
+        else:
+            lost = new
+        count = table.count[entry]
+        own = [self._single([buf[a:b].tobytes().decode()])[0] for a, b in zip(starts[lost].tolist(), ends[lost].tolist(), strict=True)]
+        count[lost] = [len(x) // 4 for x in own]
+        # every text takes one more place for end_id behind its units
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(units.offsets))
+        to = np.cumsum(count) - count + text
+        total = np.r_[0, np.cumsum(count)][units.offsets]
+        ids = np.full(int(total[-1]) + len(offsets) - 1, end_id, np.uint32)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        ids[np.repeat(to, count) + step] = table.ids[np.minimum(np.repeat(table.at[entry], count) + step, len(table.ids) - 1)]
+        for at, x in zip(to[lost].tolist(), own, strict=True):
+            ids[at : at + len(x) // 4] = np.frombuffer(x, np.uint32)
+        return ids, total + np.arange(len(offsets))
+
+
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+
+
+def lower_latin(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the Latin-1 capitals of UTF-8 bytes in lower case."""
+    out = W.lower_ascii(buf)
+    if len(out) > 1:
+        capital = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
+        out[1:][capital] += 32
+    return out
 
 
 #: Of this process; Python workers serve many tasks.
@@ -99,21 +195,21 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _WORDS:
             _WORDS[path] = WordIds(path)
-        words, end = _WORDS[path], np.asarray([end_id], "<u4").tobytes()
-        step = 4 * capacity
+        words = _WORDS[path]
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                ids, texts = b.column(0).slice(at, 64), b.column(1).slice(at, 64).fill_null("").to_pylist()
-                out: list[tuple] = []
-                for r, got in enumerate(words.encode(texts)):
-                    got += end
-                    out += [(r, k // step, k // 4, len(p := got[k : k + step]) // 4, zlib.crc32(p), p) for k in range(0, len(got), step)]
-                row, piece, start, length, crc, parts = zip(*out, strict=True)
-                arrays = [ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            for i, j, buf, offsets in W.pieces(b.column(1)):
+                ids, ends = words.encode(buf, offsets, end_id)
+                n = -(-np.diff(ends) // capacity)
+                row = np.repeat(np.arange(j - i), n)
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(np.diff(ends)[row] - start, capacity)
+                raw, at = memoryview(ids.astype("<u4").tobytes()), ((ends[row] + start) * 4).tolist()
+                crc = [zlib.crc32(raw[a : a + 4 * k]) for a, k in zip(at, length.tolist(), strict=True)]
+                arrays = [b.column(0).take(pa.array(row + i)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    flat = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(flat)))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
