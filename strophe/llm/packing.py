@@ -27,7 +27,7 @@ CAPACITY = 4096
 #: Pieces of a group, search nodes of a group, fillings tried around one piece, steps to find them.
 GROUP, NODES, FILLINGS, STEPS = 4000, 1_000, 8, 400
 #: Words whose ids a process remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 
 class IdTable:

@@ -156,10 +156,11 @@ def _cut(window: int, joined: bool, text_at: int, marks_at: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n_words, n_removed = [], np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            kept_columns = [k for k in range(b.num_columns) if k not in (text_at, marks_at)]
+            names = [*(b.schema.names[k] for k in kept_columns), "__text", "__words", "__removed"]
             for i, j, buf, offsets in W.pieces(b.column(text_at)):
+                texts, n_removed = [], np.zeros(j - i, np.int64)
                 w = W.split_words(buf, offsets)
-                n_words[i:j] = w.counts()
                 raw = buf.tobytes()
                 marks = b.column(marks_at).slice(i, j - i)
                 ends = marks.offsets.to_numpy()
@@ -176,7 +177,7 @@ def _cut(window: int, joined: bool, text_at: int, marks_at: int):
                     np.add.at(delta, p0[x:y], 1)
                     np.add.at(delta, p1[x:y] + window, -1)
                     kept = np.flatnonzero(np.cumsum(delta[:-1]) == 0)
-                    n_removed[i + r] = z - a - len(kept)
+                    n_removed[r] = z - a - len(kept)
                     if joined:
                         parts = whole.split()
                         texts.append(b" ".join([parts[q] for q in kept.tolist()]))
@@ -185,9 +186,8 @@ def _cut(window: int, joined: bool, text_at: int, marks_at: int):
                     cut = np.flatnonzero(np.diff(kept) != 1)
                     heads, tails = np.r_[kept[:1], kept[cut + 1]], np.r_[kept[cut], kept[-1:]]
                     texts.append(b"".join(raw[w.starts[a + q] : until[t]] for q, t in zip(heads.tolist(), tails.tolist(), strict=True)))
-            columns = [c for k, c in enumerate(b.columns) if k not in (text_at, marks_at)]
-            names = [c for k, c in enumerate(b.schema.names) if k not in (text_at, marks_at)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words), pa.array(n_removed)], names=[*names, "__text", "__words", "__removed"])
+                columns = [b.column(k).slice(i, j - i) for k in kept_columns]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(w.counts()), pa.array(n_removed)], names=names)
 
     return run
 

@@ -7,6 +7,7 @@ polynomial hashes that depend on the content alone, hence agree between all task
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 U = np.uint64
 _BASE, _WORD_BASE = U(0x9E3779B97F4A7C55), U(0xD1342543DE82EF95)
 #: Bytes of text that are worked on at a time; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -67,6 +68,21 @@ class Words:
         return np.diff(self.offsets)
 
 
+_SEEN = [0]
+
+
+def release(done: int, every: int = 32 << 20) -> None:
+    """Give memory that is free in this process back to the machine after so many bytes of text."""
+    _SEEN[0] += done
+    if _SEEN[0] >= every:
+        _SEEN[0] = 0
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string array; nulls are empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -83,6 +99,7 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         j = min(j, n)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        release(int(offsets[j] - offsets[i]))
         i = j
 
 
