@@ -157,6 +157,7 @@ class Items:
 
 def _search(items: Items, ids: pa.Array):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("decontaminate")
         for b in batches:
             for i, _, buf, offsets in W.pieces(b.column(1)):
                 found = items.find(W.split_words(plain(buf), offsets))
@@ -169,6 +170,7 @@ def _search(items: Items, ids: pa.Array):
 
 def _keep_clean(items: Items, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("decontaminate")
         for b in batches:
             bad = [i + f[0] for i, _, buf, offsets in W.pieces(b.column(text_at)) for f in items.find(W.split_words(plain(buf), offsets))]
             keep = np.ones(b.num_rows, bool)

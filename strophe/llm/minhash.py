@@ -69,6 +69,7 @@ def chunk_keys(sig: np.ndarray, chunks: int, width: int) -> np.ndarray:
 
 def _sign(n: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("minhash")
         for b in batches:
             for i, j, buf, offsets in W.pieces(b.column(1)):
                 sets = W.shingle_sets(W.split_words(W.lower_ascii(buf), offsets), n)
@@ -86,6 +87,7 @@ def _sign(n: int, k: int):
 
 def _enter(chunks: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("minhash")
         for b in batches:
             if not b.num_rows:
                 continue
@@ -100,6 +102,7 @@ def _gather(n: int):
     """Sets of the wanted classes; a class is given once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("minhash")
         seen: set[int] = set()
         for b in batches:
             want = {c: b.column(c + 1).to_numpy() for c in range(3)}
@@ -140,6 +143,7 @@ def _block_pairs(percent: int):
     """Links between the sets of two blocks that join different components, as a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("minhash")
         for b in batches:
             for r in range(b.num_rows):
                 sides = []

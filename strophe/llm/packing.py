@@ -193,8 +193,10 @@ _WORDS: dict[str, WordIds] = {}
 
 def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("packing")
         if path not in _WORDS:
             _WORDS[path] = WordIds(path)
+            W.remember("packing", _WORDS.clear)
         words = _WORDS[path]
         for b in batches:
             for i, j, buf, offsets in W.pieces(b.column(1)):

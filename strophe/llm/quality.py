@@ -208,6 +208,7 @@ def fit_lines(lines: Lines, labels: np.ndarray) -> QualityModel:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    W.enter("quality")
     for b in batches:
         for i, j, buf, offsets in W.pieces(b.column(1)):
             x = lines_of(buf, offsets)
@@ -234,6 +235,7 @@ def fit_quality(spark: SparkSession, documents: DataFrame, labels: DataFrame, sa
 
 def _score(model: QualityModel, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("quality")
         for b in batches:
             out = [model.scores(lines_of(buf, offsets)) for _, _, buf, offsets in W.pieces(b.column(text_at))]
             yield b.append_column("__score", pa.array(np.concatenate(out) if out else np.zeros(0)))

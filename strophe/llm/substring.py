@@ -110,6 +110,7 @@ def _spans(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _runs(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("substring")
         for b in batches:
             for i, j, buf, offsets in W.pieces(b.column(0)):
                 w = W.split_words(buf, offsets)
@@ -132,6 +133,7 @@ def _expand(window: int):
     """Windows of the runs listed beside a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("substring")
         for b in batches:
             for i, j, buf, offsets in W.pieces(b.column(0)):
                 w = W.split_words(buf, offsets)
@@ -155,6 +157,7 @@ def _cut(window: int, joined: bool, text_at: int, marks_at: int):
     """Take the words covered by the marked windows out of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("substring")
         for b in batches:
             kept_columns = [k for k in range(b.num_columns) if k not in (text_at, marks_at)]
             names = [*(b.schema.names[k] for k in kept_columns), "__text", "__words", "__removed"]

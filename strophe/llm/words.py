@@ -8,7 +8,7 @@ polynomial hashes that depend on the content alone, hence agree between all task
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,6 +83,25 @@ def release(done: int, every: int = 32 << 20) -> None:
             pass
 
 
+#: What operators remember in this process, by operator, as functions that drop it.
+_FORGET: dict[str, Callable[[], None]] = {}
+_OWNER = [""]
+
+
+def enter(operator: str) -> None:
+    """Begin a task of this operator: what others remember in this process goes."""
+    if _OWNER[0] != operator:
+        _OWNER[0] = operator
+        for name, forget in _FORGET.items():
+            if name != operator:
+                forget()
+        release(0, 0)
+
+
+def remember(operator: str, forget: Callable[[], None]) -> None:
+    _FORGET[operator] = forget
+
+
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string array; nulls are empty."""
     column = column.cast(pa.large_string()).fill_null("")
