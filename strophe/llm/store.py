@@ -39,11 +39,12 @@ class Workspace:
         self._n = 0
         self._paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, compression: str = "uncompressed") -> DataFrame:
+        """Hashes and ids don't shrink, and a codec's buffers outside the heap add up over many small tables; name a codec for texts and runs."""
         self._n += 1
         path = f"{self.root}/{self._n}"
         schema = df.schema
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(schema).parquet(path)
         self._paths[id(out)] = path
         return out

@@ -204,9 +204,9 @@ def repeated_windows(spark: SparkSession, documents: DataFrame, window: int = 35
     """
     work = Workspace(spark, "substring")
     texts = documents.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
-    runs = work.save(texts.mapInArrow(_runs(window, rounds), "sym long, body long, k1 long, k2 int, p0 int, p1 int"))
+    runs = work.save(texts.mapInArrow(_runs(window, rounds), "sym long, body long, k1 long, k2 int, p0 int, p1 int"), "snappy")
     again = runs.groupBy("sym").agg(F.count("*").alias("c"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("c > 1").select("sym", (F.col("b0") != F.col("b1")).alias("mixed"))
-    held = work.save(runs.join(again, "sym"))
+    held = work.save(runs.join(again, "sym"), "snappy")
     work.drop(runs)
     whole = held.where("not mixed").select(*KEY, "p0", "p1")
     mixed = held.where("mixed")
