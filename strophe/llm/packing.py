@@ -10,6 +10,7 @@ groups, until one group holds it.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from bisect import bisect_right, insort
@@ -106,6 +107,7 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # else each of its threads keeps memory of its own
         self.tokenizer, self.table = Tokenizer.from_file(path), IdTable()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
