@@ -109,6 +109,8 @@ def _spans(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _runs(window: int, rounds: int):
+    """One row per text, symbol and content: the content's starts in the text, and how many windows follow each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.enter("substring")
         for b in batches:
@@ -120,11 +122,16 @@ def _runs(window: int, rounds: int):
                 h = w.hashes()
                 text, p0, p1, name = window_symbols(h, w.offsets, window, rounds)
                 body = _spans(h, p0, p1 + window)
-                lone = name == 0
-                name[lone] = body[lone]
-                keys = [b.column(c + 1).slice(i, j - i).to_numpy()[text] for c in range(2)]
-                at = w.offsets[text]
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(body.view(np.int64)), *map(pa.array, keys), pa.array((p0 - at).astype(np.int32)), pa.array((p1 - at).astype(np.int32))], names=["sym", "body", *KEY, "p0", "p1"])
+                name = np.where(name == 0, body, name)
+                order = np.lexsort((body, name, text))
+                text, p0, p1, name, body = (x[order] for x in (text, p0, p1, name, body))
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (name[1:] != name[:-1]) | (body[1:] != body[:-1])
+                at = np.flatnonzero(new)
+                starts = pa.array((p0 - w.offsets[text]).astype(np.int32))
+                starts = pa.ListArray.from_arrays(pa.array(np.r_[at, len(text)].astype(np.int32)), starts)
+                keys = [b.column(c + 1).slice(i, j - i).to_numpy()[text[at]] for c in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(name[at].view(np.int64)), pa.array(body[at].view(np.int64)), *map(pa.array, keys), pa.array((p1 - p0)[at].astype(np.int32)), starts], names=["sym", "body", *KEY, "more", "starts"])
 
     return run
 
@@ -204,23 +211,27 @@ def repeated_windows(spark: SparkSession, documents: DataFrame, window: int = 35
     """
     work = Workspace(spark, "substring")
     texts = documents.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
-    runs = work.save(texts.mapInArrow(_runs(window, rounds), "sym long, body long, k1 long, k2 int, p0 int, p1 int"), "snappy")
-    again = runs.groupBy("sym").agg(F.count("*").alias("c"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("c > 1").select("sym", (F.col("b0") != F.col("b1")).alias("mixed"))
+    runs = work.save(texts.mapInArrow(_runs(window, rounds), "sym long, body long, k1 long, k2 int, more int, starts array<int>"), "snappy")
+    counted = runs.groupBy("sym").agg(F.sum(F.size("starts")).alias("c"), F.min("body").alias("b0"), F.max("body").alias("b1"))
+    # a table of its own, so that the join's sides are dealt apart from the counting and a hot symbol's rows can be split
+    again = work.save(counted.where("c > 1").select("sym", (F.col("b0") != F.col("b1")).alias("mixed")))
     held = work.save(runs.join(again, "sym"), "snappy")
-    work.drop(runs)
-    whole = held.where("not mixed").select(*KEY, "p0", "p1")
+    work.drop(runs, again)
     mixed = held.where("mixed")
-    bodies = work.save(mixed.groupBy("sym", "body").agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "p0", "p1")).alias("one")))
+    one = F.min(F.struct(*KEY, F.col("starts")[0].alias("p0"), (F.col("starts")[0] + F.col("more")).alias("p1")))
+    bodies = work.save(mixed.groupBy("sym", "body").agg(F.sum(F.size("starts")).alias("times"), one.alias("one")))
     listed = bodies.groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(F.collect_list(F.struct("sym", "body", "times", F.col("one.p0").alias("p0"), F.col("one.p1").alias("p1"))).alias("runs"))
     sources = texts.join(listed.hint("shuffle_hash"), list(KEY)).select("text", "runs")
     grams = work.save(sources.mapInArrow(_expand(window), "sym long, body long, times long, step int, gram long").distinct())
     more = grams.groupBy("sym", "gram").agg(F.sum("times").alias("all")).where("all > 1")
     steps = grams.where("times = 1").join(more, ["sym", "gram"]).groupBy("sym", "body").agg(F.collect_set("step").alias("steps"))
     steps = steps.unionByName(bodies.where("times > 1").select("sym", "body", F.lit(None).cast("array<int>").alias("steps")))
-    partly = mixed.join(steps, ["sym", "body"]).select(*KEY, "p0", "p1", "steps")
-    every = partly.where("steps is null").select(*KEY, "p0", "p1").unionByName(whole)
-    some = partly.where("steps is not null").select(*KEY, F.explode("steps").alias("step"), "p0").select(*KEY, (F.col("p0") + F.col("step")).alias("p0"), (F.col("p0") + F.col("step")).alias("p1"))
-    return work.save(every.unionByName(some).groupBy(*KEY).agg(F.collect_set(F.struct("p0", "p1")).alias("spans")))
+    partly = mixed.join(steps, ["sym", "body"]).select(*KEY, "more", "starts", "steps")
+    found = partly.unionByName(held.where("not mixed").select(*KEY, "more", "starts", F.lit(None).cast("array<int>").alias("steps")))
+    every = "transform(starts, p -> struct(p AS p0, p + more AS p1))"
+    some = "flatten(transform(starts, p -> transform(steps, x -> struct(p + x AS p0, p + x AS p1))))"
+    found = found.select(*KEY, F.expr(f"if(steps IS NULL, {every}, {some})").alias("spans"))
+    return work.save(found.groupBy(*KEY).agg(F.flatten(F.collect_set("spans")).alias("spans")))
 
 
 def drop_repeats(spark: SparkSession, documents: DataFrame, window: int = 35, rounds: int = ROUNDS, joined: bool = False) -> DataFrame:
