@@ -415,15 +415,17 @@ def file_category(spark, d):
     return corpus.file_category(_counts(spark, d), bind.BIG)
 
 
+_SHARE = "tracks / sum(tracks) OVER ()"
 _TARGET = {
     "b": "CASE WHEN grp IN ('STANDARD', 'MEDIUM', 'PROMO') THEN 100.0 ELSE tracks * 0.1 END",
     "c1": "least(floor(min(tracks) OVER () * 0.1), tracks)",
     "c2": "tracks * 0.1",
-    "c3": "sum(tracks) OVER () * 0.1 * sqrt(tracks) / sum(sqrt(tracks)) OVER ()",
-    "c4": "sum(tracks) OVER () * 0.1 * ln(1 + tracks) / sum(ln(1 + tracks)) OVER ()",
-    "c5": "sum(tracks) OVER () * 0.1 * (tracks / sum(tracks) OVER () * 0.75 + 0.25 / count(*) OVER ())",
-    "c6": "sum(tracks) OVER () * 0.1 * (tracks / sum(tracks) OVER () * 0.5 + 0.5 / count(*) OVER ())",
+    "c3": "sum(tracks) OVER () * sqrt(tracks) / sum(sqrt(tracks)) OVER ()",
+    "c4": "all_ * ln(1 + 100.0 * tracks / all_) / sum(ln(1 + 100.0 * tracks / all_)) OVER ()",
+    "c5": f"sum(tracks) OVER () * (0.25 * {_SHARE} + 0.75 / count(*) OVER ())",
+    "c6": "least(floor(all_ * 0.1) + floor((all_ - floor(all_ * 0.1) * count(*) OVER ()) * tracks / all_ + 1e-9), tracks)",
 }
+_AVAIL = "(SELECT *, sum(tracks) OVER () AS all_ FROM avail)"
 
 
 def _targets(spark: SparkSession, d: str, strategy: str) -> DataFrame:
@@ -435,13 +437,13 @@ def _target_query(strategy: str) -> None:
         return _targets(spark, d, strategy)
 
     run.__name__ = f"targets_{strategy}"
-    query(f"WITH {ZIPPED} SELECT grp, tracks, CAST(floor(({_TARGET[strategy]}) + 1e-9) AS BIGINT) AS target FROM avail")(run)
+    query(f"WITH {ZIPPED} SELECT grp, tracks, CAST(floor(({_TARGET[strategy]}) + 1e-9) AS BIGINT) AS target FROM {_AVAIL}")(run)
 
 
 for _name in _TARGET:
     _target_query(_name)
 
-_ALL_TARGETS = " UNION ALL ".join(f"SELECT '{s}' AS strategy, grp, tracks, CAST(floor(({e}) + 1e-9) AS BIGINT) AS target FROM avail" for s, e in _TARGET.items())
+_ALL_TARGETS = " UNION ALL ".join(f"SELECT '{s}' AS strategy, grp, tracks, CAST(floor(({e}) + 1e-9) AS BIGINT) AS target FROM {_AVAIL}" for s, e in _TARGET.items())
 
 
 @query(f"""WITH {ZIPPED}, t AS ({_ALL_TARGETS}), h AS (SELECT *, 100.0 * target / sum(target) OVER (PARTITION BY strategy) AS share FROM t),
@@ -601,10 +603,11 @@ def prompt_assembly(spark, d):
     return sampling.prompt_assembly(sequence.sort(events), 3000, controls)
 
 
-@query(_pack_sql(1) + ", c2 AS (SELECT shard, chunk, list_prepend(flag, toks)::INT[] AS t FROM packed WHERE NOT discarded AND chunk < 3) SELECT shard, chunk, len(t) AS n, t[1] AS first FROM c2")
+@query(_pack_sql(1) + ", c2 AS (SELECT shard, chunk, list_prepend(flag, toks)::INT[] AS t FROM packed WHERE NOT discarded) SELECT shard, chunk, len(t) AS n, t[1] AS first FROM c2")
 def collate(spark, d):
-    rows = training.pack(*_packable(spark, d)).where("not discarded and chunk < 3").select("shard", "chunk", "tokens")
-    return sampling.collate(rows, "shard").select("shard", "chunk", F.size("labels").alias("n"), F.get("input_ids", F.lit(0)).alias("first"))
+    rows = training.pack(*_packable(spark, d)).where("not discarded").select("shard", "chunk", "tokens")
+    rows = rows.withColumn("batch", F.floor(F.col("chunk") / 8))
+    return sampling.collate(rows, "shard", "batch").select("shard", "chunk", F.size("labels").alias("n"), F.get("input_ids", F.lit(0)).alias("first"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 
 EXPRESSIVE = 12
 GENRES = ("gospel", "latin")
+NATIVE_SPLITS = {"training-V1.1-80%": "train", "validation-V1.1-10%": "validation", "test-V1.1-10%": "test"}  # fixed values: folder names
+
+
+def native_split(path: Column, names: dict[str, str] | None = None) -> Column:
+    """The split whose marker a path contains; null (a row to drop) without one."""
+    out = F.lit(None).cast("string")
+    for marker, split in reversed((names or NATIVE_SPLITS).items()):
+        out = F.when(path.contains(marker), split).otherwise(out)
+    return out
 
 
 def expressive(nomml: Column, threshold: int = EXPRESSIVE) -> Column:
@@ -110,23 +119,28 @@ def file_category(counts: DataFrame, big: tuple[str, str, str]) -> DataFrame:
 def targets(available: DataFrame, strategy: str, pct: float, big: tuple[str, ...] = (), big_cap: int = 0) -> DataFrame:
     """(grp, tracks, target) of available (grp, tracks) under a quota strategy.
 
-    b: big_cap for the big groups, pct of the rest; c1: the smallest group's pct, at most what there is; c2: pct of each;
-    c3: shares by square root; c4: shares by log(1 + n); c5: a quarter of the way to an even share; c6: half evenly, half by size.
+    b: big_cap for the big groups, pct of the rest; c1: the smallest group's pct for each, at most what there is; c2: pct of each;
+    c3, c4: all tracks shared out by the square root, or the log of 1 + percent, of a group's share; c5: shares a quarter as far
+    from an even share as they are; c6: pct of all tracks for each group and the rest by size, at most what there is, and no
+    rows where the groups' floors are more than all tracks.
     """
     w = Window.partitionBy()
     n = F.col("tracks").cast("double")
     total, k, least = F.sum(n).over(w), F.count("*").over(w), F.min(n).over(w)
-    budget = total * (pct / 100)
+    share, floor = n / total, F.floor(total * pct / 100)
+    rows = available.select("grp", "tracks", share.alias("share"), total.alias("total"), floor.alias("floor"), k.alias("k"), least.alias("least"))
     of = {
-        "b": F.when(F.col("grp").isin(*big), float(big_cap)).otherwise(n * (pct / 100)),
-        "c1": F.least(F.floor(least * (pct / 100)).cast("double"), n),
-        "c2": n * (pct / 100),
-        "c3": budget * F.sqrt(n) / F.sum(F.sqrt(n)).over(w),
-        "c4": budget * F.log1p(n) / F.sum(F.log1p(n)).over(w),
-        "c5": budget * (n / total * 0.75 + 0.25 / k),
-        "c6": budget * (n / total * 0.5 + 0.5 / k),
+        "b": F.when(F.col("grp").isin(*big), float(big_cap)).otherwise(n * pct / 100),
+        "c1": F.least(F.floor(F.col("least") * pct / 100).cast("double"), n),
+        "c2": n * pct / 100,
+        "c3": F.col("total") * F.sqrt("share") / F.sum(F.sqrt("share")).over(w),
+        "c4": F.col("total") * F.log1p(F.col("share") * 100) / F.sum(F.log1p(F.col("share") * 100)).over(w),
+        "c5": F.col("total") * (1 / F.col("k") + (F.col("share") - 1 / F.col("k")) * 0.25),
+        "c6": F.least(F.col("floor") + F.floor((F.col("total") - F.col("floor") * F.col("k")) * n / F.col("total") + 1e-9), n),
     }
-    return available.select("grp", "tracks", F.floor(of[strategy] + 1e-9).cast("long").alias("target"))
+    if strategy == "c6":
+        rows = rows.where(F.col("floor") * F.col("k") <= F.col("total"))
+    return rows.select("grp", "tracks", F.floor(of[strategy] + 1e-9).cast("long").alias("target"))
 
 
 def feasible(targets_: DataFrame) -> DataFrame:
@@ -205,6 +219,12 @@ def parse_string_list(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>", {"allowSingleQuotes": "true"}), F.array().cast("array<string>"))
 
 
+def parse_python_list(text: Column) -> Column:
+    """The quoted strings of a list written as a Python literal, or else its integers as text; never fails."""
+    strings = F.regexp_extract_all(text, F.lit("'([^']*)'"), 1)
+    return F.coalesce(F.when(F.size(strings) > 0, strings).otherwise(F.regexp_extract_all(text, F.lit("-?[0-9]+"), 0)), F.array().cast("array<string>"))
+
+
 def with_status(wanted: DataFrame, local: DataFrame, existing: DataFrame) -> DataFrame:
     """Each wanted md5 as skipped (already there), found or missing."""
     rows = wanted.select("md5").distinct().join(local.select("md5", F.lit(1).alias("l")).distinct(), "md5", "left").join(existing.select("md5", F.lit(1).alias("x")).distinct(), "md5", "left")

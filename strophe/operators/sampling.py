@@ -64,9 +64,9 @@ def output_assembly(generated: DataFrame, future: DataFrame) -> DataFrame:
     return S.combine(S.unpad(events), future)
 
 
-def collate(rows: DataFrame, batch: str, ignore: int = -100) -> DataFrame:
+def collate(rows: DataFrame, *batch: str, ignore: int = -100) -> DataFrame:
     """tokens of each batch padded to its longest with 0, labels with `ignore`."""
-    longest = F.max(F.size("tokens")).over(Window.partitionBy(batch))
+    longest = F.max(F.size("tokens")).over(Window.partitionBy(*batch))
     short = longest - F.size("tokens")
     return rows.select("*", F.concat("tokens", F.array_repeat(F.lit(ignore), short.cast("int"))).alias("labels"), F.concat("tokens", F.array_repeat(F.lit(0), short.cast("int"))).alias("input_ids"))
 

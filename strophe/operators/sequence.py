@@ -71,12 +71,18 @@ def to_events(df: DataFrame) -> DataFrame:
     return df.withColumn("kind", F.when(F.col("kind") == "control", "event").otherwise(F.col("kind")))
 
 
-def pad(df: DataFrame, end_time: int | None = None, density: int = V.RESOLUTION) -> DataFrame:
-    """Rests every `density` ticks in gaps longer than that, and up to end_time (the track's last time if none)."""
+def pad(df: DataFrame, end_time: int | DataFrame | None = None, density: int = V.RESOLUTION) -> DataFrame:
+    """Rests every `density` ticks in gaps longer than that, and up to end_time (the track's last time if none).
+
+    end_time may differ by track: rows (track, end_time), one for each track, also for those without events.
+    """
     prev = F.coalesce(F.lag("time").over(_track()), F.lit(0))
     gaps = lambda t, p: F.greatest(F.lit(0), F.floor((t - p - 1) / density)).cast("int")
     rests = df.select("track", "pos", "time", prev.alias("prev")).select("track", "pos", F.col("prev"), gaps(F.col("time"), F.col("prev")).alias("n"))
-    if end_time:
+    if isinstance(end_time, DataFrame):
+        tail = end_time.join(df.groupBy("track").agg((F.max("pos") + 1).alias("pos"), F.max_by("time", "pos").alias("prev")), "track", "left").withColumn("prev", F.coalesce("prev", F.lit(0)))
+        rests = rests.unionByName(tail.select("track", F.coalesce("pos", F.lit(0)).alias("pos"), "prev", gaps(F.col("end_time"), F.col("prev")).alias("n")))
+    elif end_time:
         tail = df.groupBy("track").agg(F.max("pos").alias("pos"), F.max_by("time", "pos").alias("prev"))
         rests = rests.unionByName(tail.select("track", (F.col("pos") + 1).alias("pos"), "prev", gaps(F.lit(end_time), F.col("prev")).alias("n")))
     rests = rests.where("n > 0").select("track", "pos", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"), "prev")

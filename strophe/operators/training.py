@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions import vocab as V
+from strophe.operators import sequence as S
 
 
 def gate(df: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def gate(df: DataFrame) -> DataFrame:
     return a.select("track", "n", "end", status.cast("long").alias("status"))
 
 
-def extract_random(df: DataFrame, rate: int, seed: str = "0") -> DataFrame:
+def extract_random(df: DataFrame, rate: int | Column, seed: str = "0") -> DataFrame:
     """Events become controls with chance rate / 10."""
     hit = V.uniform(seed, "random", F.col("track"), F.col("pos")) < rate / 10
     return df.withColumn("kind", F.when(hit & (F.col("kind") == "event"), "control").otherwise(F.col("kind")))
@@ -48,6 +49,54 @@ def augment(tracks: DataFrame, factor: int) -> DataFrame:
     return tracks.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(factor - 1)))).withColumn("mode", mode).withColumn("k", F.col("k").cast("long"))
 
 
+def mode_of(k: int) -> str:
+    return "none" if k % 10 == 0 else "span" if k % 10 == 1 else "random" if k % 10 < 6 else "instrument"
+
+
+def extract_some_instruments(df: DataFrame, seed: str = "0") -> DataFrame:
+    """At least one but not all of a track's instruments, drawn at random, become controls; none of a track with one instrument."""
+    parts = df.where("kind = 'event'").select("track", "instr").distinct()
+    own = Window.partitionBy("track")
+    rank = F.row_number().over(own.orderBy(V.uniform(seed, "instrument", F.col("track"), F.col("instr")), "instr"))
+    parts = parts.withColumn("n", F.count("*").over(own)).withColumn("r", rank)
+    take = 1 + F.floor(V.uniform(seed, "instruments", F.col("track")) * (F.col("n") - 1))
+    drawn = parts.where((F.col("n") > 1) & (F.col("r") <= take)).select("track", "instr", F.lit(True).alias("hit"))
+    return S.to_controls(df.join(drawn, ["track", "instr"], "left"), F.coalesce("hit", F.lit(False))).select(*V.NOTE_COLUMNS)
+
+
+def tokenize(notes: DataFrame, shards: DataFrame, factor: int = 1, seed: str = "0", size: int = V.M, max_time: int = V.MAX_TIME, span_wait: int = 2000) -> DataFrame:
+    """Training rows (shard, chunk, flag, start, discarded, tokens) of the tracks that pass the gate, `factor` copies of each.
+
+    shards: (track, shard). Copy k is augmented as mode_of(k) says: unchanged, in spans, by chance (rate 1 to 9 tenths) or by
+    instruments. Each copy is padded to the track's end, its controls are interleaved, and a separator put before it.
+    A sequence is the pair (track, k); copies of a mode are made in one plan, so there are four, whatever the factor.
+    """
+    good = gate(notes).where("status = 0").select("track", F.col("end").alias("end_time"))
+    rows = notes.where("kind = 'event'").join(good.select("track"), "track", "left_semi").withColumn("dur", V.clamp_dur(F.col("dur")).cast("long")).select(*V.NOTE_COLUMNS)
+    many = lambda df, ks: df.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in ks]))).withColumn("track", F.struct("track", "k")).drop("k")
+    marked = None
+    for mode in ("none", "span", "random", "instrument"):
+        ks = [k for k in range(factor) if mode_of(k) == mode]
+        if not ks:
+            continue
+        copies = many(rows, ks)
+        if mode == "span":
+            copies = extract_spans(copies, span_wait, seed)
+        elif mode == "random":
+            copies = extract_random(copies, 1 + F.floor(V.uniform(seed, "rate", F.col("track")) * 9), seed)
+        elif mode == "instrument":
+            copies = extract_some_instruments(copies, seed)
+        copies = copies.select(*V.NOTE_COLUMNS)
+        marked = copies if marked is None else marked.unionByName(copies)
+    events, controls = S.split(marked)
+    merged, _ = S.anticipate(S.pad(events, many(good, range(factor))).unionByName(controls))
+    k = F.col("track")["k"]
+    sequences = with_separator(merged).join(shards.select(F.col("track").alias("of"), "shard"), F.col("track")["track"] == F.col("of")).drop("of")
+    flags = many(good, range(factor)).join(shards.select(F.col("track").alias("of"), "shard"), F.col("track")["track"] == F.col("of"))
+    flags = flags.select("shard", "track", F.when(k % 10 == 0, V.AUTOREGRESS).otherwise(V.ANTICIPATE).alias("flag"))
+    return pack(sequences, flags, size, max_time)
+
+
 def with_separator(df: DataFrame) -> DataFrame:
     """Each track with a separator before its first row."""
     null = F.lit(None).cast("long")
