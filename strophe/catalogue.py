@@ -446,15 +446,19 @@ for _name in _TARGET:
 _ALL_TARGETS = " UNION ALL ".join(f"SELECT '{s}' AS strategy, grp, tracks, CAST(floor(({e}) + 1e-9) AS BIGINT) AS target FROM {_AVAIL}" for s, e in _TARGET.items())
 
 
-@query(f"""WITH {ZIPPED}, t AS ({_ALL_TARGETS}), h AS (SELECT *, 100.0 * target / sum(target) OVER (PARTITION BY strategy) AS share FROM t),
-a AS (SELECT strategy, bool_and(target <= tracks) AS feasible, round(max(share) - min(share), 6) AS spread FROM h GROUP BY strategy)
-SELECT strategy, feasible, spread, row_number() OVER (ORDER BY spread, strategy) AS place FROM a""")
-def feasible_rank(spark, d):
+def _every_target(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for s in _TARGET:
         part = _targets(spark, d, s).withColumn("strategy", F.lit(s))
         out = part if out is None else out.unionByName(part)
-    return corpus.feasible(out)
+    return out
+
+
+@query(f"""WITH {ZIPPED}, t AS ({_ALL_TARGETS}), h AS (SELECT *, 100.0 * target / sum(target) OVER (PARTITION BY strategy) AS share FROM t),
+a AS (SELECT strategy, bool_and(target <= tracks) AS feasible, round(max(share) - min(share), 6) AS spread FROM h GROUP BY strategy)
+SELECT strategy, feasible, spread, row_number() OVER (ORDER BY spread, strategy) AS place FROM a""")
+def feasible_rank(spark, d):
+    return corpus.feasible(_every_target(spark, d))
 
 
 @query()
@@ -610,6 +614,145 @@ def collate(spark, d):
     return sampling.collate(rows, "shard", "batch").select("shard", "chunk", F.size("labels").alias("n"), F.get("input_ids", F.lit(0)).alias("first"))
 
 
+_NAMES = "[" + ", ".join("'" + n + "'" for n in V.GM_NAMES) + "]"
+_NAME = f"CASE WHEN instr = 128 THEN 'Drums' WHEN instr BETWEEN 0 AND 127 THEN {_NAMES}[instr + 1] ELSE 'Instrument ' || instr END"
+
+
+@query(f"WITH {NOTES} SELECT track, instr, n, {_NAME} AS name FROM (SELECT track, instr, count(*) AS n FROM notes GROUP BY track, instr)")
+def instrument_names(spark, d):
+    return sequence.instruments(bind.notes(spark, d)).select("track", "instr", "n", V.gm_name(F.col("instr")).alias("name"))
+
+
+@query(f"""WITH {NOTES}, p AS (SELECT track, instr, min(pos) AS first FROM notes GROUP BY track, instr), b AS (SELECT track, instr, first, CASE WHEN instr % 16 = 0 THEN 'Part ' || (instr % 3) ELSE {_NAME} END AS base FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY track, base ORDER BY first, instr) AS k FROM b) SELECT track, instr, CASE WHEN k = 1 THEN base ELSE base || ' ' || k END AS name FROM k""")
+def part_names(spark, d):
+    parts = sequence.instruments(bind.notes(spark, d))
+    given = parts.where("instr % 16 = 0").select("track", "instr", F.concat(F.lit("Part "), (F.col("instr") % 3).cast("string")).alias("name"))
+    return stats.part_names(parts, given)
+
+
+_SHOWN = "CASE WHEN kind = 'sep' THEN pos || ' SEPARATOR' WHEN kind = 'rest' THEN pos || ' ' || time || ' REST' ELSE concat_ws(' ', pos, time, dur, instr, pitch, CASE WHEN kind = 'control' THEN '(A)' END) END"
+
+
+@query(f"WITH {MARKED} SELECT track, pos, {_SHOWN} AS line FROM (SELECT track, pos, CASE WHEN pos % 97 = 96 THEN 'sep' ELSE kind END AS kind, time, dur, instr, pitch FROM marked)")
+def show_rows(spark, d):
+    rows = _segments(_marked(bind.notes(spark, d)))
+    return rows.select("track", "pos", V.shown(*[F.col(c) for c in ("pos", "kind", "time", "dur", "instr", "pitch")]).alias("line"))
+
+
+@query(_pack_sql(1) + """, u AS (SELECT shard, chunk, unnest(range(0, 341)) AS i, toks FROM packed WHERE NOT discarded), t AS (SELECT shard, chunk, i, toks[3 * i + 1] AS t FROM u),
+g AS (SELECT *, sum(CASE WHEN t = 55025 THEN 1 ELSE 0 END) OVER (PARTITION BY shard, chunk ORDER BY i) AS seg FROM t),
+s AS (SELECT 3 * count(*) AS n, max(greatest(CASE WHEN t >= 27513 THEN t - 27513 ELSE t END, 0)) AS t FROM g WHERE t <> 55025 GROUP BY shard, chunk, seg)
+SELECT count(*) AS sequences, CAST(sum(n) AS BIGINT) AS tokens, round(sum(t) / 360000.0, 6) AS hours, round(100.0 * sum(n) / sum(t), 6) AS rate, round(avg(100.0 * n / t) FILTER (WHERE t > 0), 6) AS mean_rate, round(stddev_pop(100.0 * n / t) FILTER (WHERE t > 0), 6) AS std_rate FROM s""")
+def sequence_stats(spark, d):
+    return stats.sequence_stats(training.pack(*_packable(spark, d)).where("not discarded"))
+
+
+@query(f"WITH {FILES} SELECT count(*) AS files, count(*) FILTER (WHERE k) AS kept, round(100.0 * count(*) FILTER (WHERE k) / count(*), 6) AS keep_rate, min(num_tracks) FILTER (WHERE k) AS low, max(num_tracks) FILTER (WHERE k) AS high, round(avg(num_tracks) FILTER (WHERE k), 6) AS mean FROM (SELECT num_tracks, num_tracks BETWEEN 1 AND 16 AND {_ANY} AS k FROM files)")
+def filter_report(spark, d):
+    return stats.filter_report(bind.files(spark, d), corpus.track_range(F.col("num_tracks")) & corpus.expressive(F.col("nomml"), SCORE))
+
+
+_SPLIT = "CASE substr(md5, 1, 1) WHEN 'e' THEN 'valid' WHEN 'f' THEN 'test' ELSE 'train' END"
+
+
+@query(f"SELECT {_SPLIT} AS split, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS md5 FROM orders) GROUP BY 1")
+def split_counts(spark, d):
+    return stats.split_counts(bind.read(spark, d, "orders"), corpus.hash_split(F.md5(F.col("o_orderkey").cast("string"))))
+
+
+_PICKED = f"WITH {ZIPPED}, sel AS (SELECT md5, total_notes FROM files WHERE num_tracks BETWEEN 1 AND 16 AND {_ANY})"
+
+
+def _profile(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return stats.selection_profile(corpus.subset(bind.files(spark, d), "s4", SCORE).select("md5", "total_notes"), _counts(spark, d))
+
+
+@query(f"{_PICKED} SELECT count(*) AS files, CAST(sum(total_notes) AS BIGINT) AS notes, CAST(3 * sum(total_notes) AS BIGINT) AS tokens, round(sum(total_notes) / (663555310 / 8943), 9) AS hours FROM sel")
+def profile_totals(spark, d):
+    return _profile(spark, d)[0]
+
+
+@query(f"{_PICKED} SELECT grp, CAST(sum(n) AS BIGINT) AS tracks, round(100.0 * sum(n) / sum(sum(n)) OVER (), 6) AS share, count(DISTINCT md5) AS files FROM counts WHERE md5 IN (SELECT md5 FROM sel) GROUP BY grp")
+def profile_groups(spark, d):
+    return _profile(spark, d)[1]
+
+
+_TOP = "SELECT strategy, grp, target, row_number() OVER (PARTITION BY strategy ORDER BY target {}, grp) AS place FROM t QUALIFY place <= 3"
+
+
+@query(f"WITH {ZIPPED}, t AS ({_ALL_TARGETS}), a AS ({_TOP.format('DESC')}), low AS ({_TOP.format('ASC')}) SELECT * FROM a UNION ALL SELECT strategy, grp, target, -place FROM low")
+def top_groups(spark, d):
+    return stats.top_groups(_every_target(spark, d), "grp", "target")
+
+
+@query(f"""WITH {NOTES}, c AS (SELECT track FROM notes GROUP BY track HAVING max(time) >= 5000), g AS (SELECT track FROM notes WHERE instr IN (0, 16) GROUP BY track HAVING max(time) >= 5000),
+p AS (SELECT track FROM notes WHERE time <= 550 GROUP BY track HAVING greatest(max(time), 0) BETWEEN 400 AND 600)
+SELECT track, pos, kind, time, CASE WHEN time + dur > 5000 THEN 5000 - time ELSE dur END AS dur, instr, pitch FROM notes WHERE time BETWEEN 0 AND 5000 AND track IN (SELECT track FROM c) AND track IN (SELECT track FROM g) AND track IN (SELECT track FROM p)""")
+def paired_clips(spark, d):
+    rows = bind.notes(spark, d)
+    return clips.paired_clips(rows, rows.where("time <= 550"), rows.where("instr in (0, 16)"), 5000)
+
+
+@query(f"""WITH {NOTES}, m AS (SELECT track, pos, CASE WHEN dur % 3 = 0 THEN 'program' ELSE 'note' END AS type, CAST(pitch % 12 AS BIGINT) AS channel, instr AS program FROM notes)
+SELECT track, pos, type, channel, CASE WHEN channel = 9 THEN 128 ELSE coalesce(last_value(CASE WHEN type = 'program' THEN program END IGNORE NULLS) OVER (PARTITION BY track, channel ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) END AS instr FROM m""")
+def current_program(spark, d):
+    rows = bind.notes(spark, d).select("track", "pos", F.when(F.col("dur") % 3 == 0, "program").otherwise("note").alias("type"), (F.col("pitch") % 12).alias("channel"), F.col("instr").alias("program"))
+    return codec.current_program(rows).select("track", "pos", "type", "channel", "instr")
+
+
+_TOKENS = f"""WITH {MESSAGES}, t AS (SELECT track, pos, least(time - coalesce(lag(time) OVER (PARTITION BY track ORDER BY pos), 0), 999) AS delta, CASE WHEN is_on THEN 1000 ELSE 17512 END + 128 * instr + pitch AS note FROM msg),
+u AS (SELECT track, pos, 0 AS j, delta AS token FROM t WHERE delta > 0 UNION ALL SELECT track, pos, 1, note FROM t),
+toks AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY pos, j) - 1 AS pos, token FROM u)"""
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return codec.interarrival(_messages(bind.notes(spark, d)))
+
+
+@query(f"{_TOKENS} SELECT track, pos, token FROM (SELECT *, max(CASE WHEN token BETWEEN 1000 AND 17511 THEN pos END) OVER (PARTITION BY track) AS last FROM toks) WHERE pos <= last")
+def trim_interarrival(spark, d):
+    return codec.trim_interarrival(_tokens(spark, d))
+
+
+@query(f"""{_TOKENS}, r AS (SELECT track, pos, token BETWEEN 1000 AND 17511 AS is_on, token - CASE WHEN token < 17512 THEN 1000 ELSE 17512 END AS plain, token, CAST(sum(CASE WHEN token < 1000 THEN token ELSE 0 END) OVER (PARTITION BY track ORDER BY pos) AS BIGINT) AS time FROM toks),
+f AS (SELECT *, min(CASE WHEN is_on THEN pos END) OVER (PARTITION BY track, plain // 128) AS first FROM r WHERE token >= 1000)
+SELECT track, row_number() OVER (PARTITION BY track ORDER BY pos) - 1 AS pos, time, is_on AS "on", plain // 128 AS instr, plain % 128 AS pitch FROM f WHERE is_on OR pos > first""")
+def interarrival_schedule(spark, d):
+    return codec.interarrival_schedule(_tokens(spark, d))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 5")
+def limit_per_split(spark, d):
+    return corpus.limit_per_split(bind.read(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 5)
+
+
+_PATH = "'/data/' || CASE o_orderstatus WHEN 'F' THEN 'training-V1.1-80%' WHEN 'O' THEN 'validation-V1.1-10%' ELSE 'other' END || '/' || o_orderkey"
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'validation' END AS split FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def native_split(spark, d):
+    return bind.read(spark, d, "orders").select("o_orderkey", corpus.native_split(F.expr(_PATH)).alias("split")).where("split is not null")
+
+
+@query("SELECT c_custkey, [c_mktsegment, c_name] AS strings, [CAST(c_custkey AS VARCHAR), '-1'] AS numbers FROM customer")
+def python_lists(spark, d):
+    rows = bind.read(spark, d, "customer")
+    quoted = F.format_string("['%s', '%s']", "c_mktsegment", "c_name")
+    return rows.select("c_custkey", corpus.parse_python_list(quoted).alias("strings"), corpus.parse_python_list(F.format_string("[%d, -1]", "c_custkey")).alias("numbers"))
+
+
+@query(f"WITH {NOTES} SELECT track, round(339 / (count(*) / ((max(time) + 200) / 200.0)), 6) AS bars FROM notes GROUP BY track")
+def context_bars(spark, d):
+    return bind.notes(spark, d).groupBy("track").agg(F.round(stats.context_bars(F.count("*"), (F.max("time") + 200) / 200.0), 6).alias("bars"))
+
+
+@query()
+def tokenize(spark, d):
+    rows = bind.notes(spark, d).where("time >= 0")
+    return training.tokenize(rows, rows.select("track", (F.col("track") % 4).alias("shard")).distinct(), 10)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_rows(spark, sf_dir)
 

@@ -63,3 +63,42 @@ def bar_to_seconds(bar: Column, bpm: float, num: int, den: int) -> Column:
 def seconds_to_bar_beat(seconds: Column, bpm: float, beats: int) -> tuple[Column, Column]:
     total = seconds * F.lit(bpm / 60.0)
     return F.floor(total / beats) + 1, F.floor(total % beats) + 1
+
+
+# The public General MIDI names of programs 0 to 127.
+GM_NAMES = (
+    "Acoustic Grand Piano", "Bright Acoustic Piano", "Electric Grand Piano", "Honky-tonk Piano", "Electric Piano 1", "Electric Piano 2", "Harpsichord", "Clavinet",
+    "Celesta", "Glockenspiel", "Music Box", "Vibraphone", "Marimba", "Xylophone", "Tubular Bells", "Dulcimer",
+    "Drawbar Organ", "Percussive Organ", "Rock Organ", "Church Organ", "Reed Organ", "Accordion", "Harmonica", "Tango Accordion",
+    "Acoustic Guitar (nylon)", "Acoustic Guitar (steel)", "Electric Guitar (jazz)", "Electric Guitar (clean)", "Electric Guitar (muted)", "Overdriven Guitar", "Distortion Guitar", "Guitar Harmonics",
+    "Acoustic Bass", "Electric Bass (finger)", "Electric Bass (pick)", "Fretless Bass", "Slap Bass 1", "Slap Bass 2", "Synth Bass 1", "Synth Bass 2",
+    "Violin", "Viola", "Cello", "Contrabass", "Tremolo Strings", "Pizzicato Strings", "Orchestral Harp", "Timpani",
+    "String Ensemble 1", "String Ensemble 2", "SynthStrings 1", "SynthStrings 2", "Choir Aahs", "Voice Oohs", "Synth Voice", "Orchestra Hit",
+    "Trumpet", "Trombone", "Tuba", "Muted Trumpet", "French Horn", "Brass Section", "SynthBrass 1", "SynthBrass 2",
+    "Soprano Sax", "Alto Sax", "Tenor Sax", "Baritone Sax", "Oboe", "English Horn", "Bassoon", "Clarinet",
+    "Piccolo", "Flute", "Recorder", "Pan Flute", "Blown Bottle", "Shakuhachi", "Whistle", "Ocarina",
+    "Lead 1 (square)", "Lead 2 (sawtooth)", "Lead 3 (calliope)", "Lead 4 (chiff)", "Lead 5 (charang)", "Lead 6 (voice)", "Lead 7 (fifths)", "Lead 8 (bass+lead)",
+    "Pad 1 (new age)", "Pad 2 (warm)", "Pad 3 (polysynth)", "Pad 4 (choir)", "Pad 5 (bowed)", "Pad 6 (metallic)", "Pad 7 (halo)", "Pad 8 (sweep)",
+    "FX 1 (rain)", "FX 2 (soundtrack)", "FX 3 (crystal)", "FX 4 (atmosphere)", "FX 5 (brightness)", "FX 6 (goblins)", "FX 7 (echoes)", "FX 8 (sci-fi)",
+    "Sitar", "Banjo", "Shamisen", "Koto", "Kalimba", "Bag pipe", "Fiddle", "Shanai",
+    "Tinkle Bell", "Agogo", "Steel Drums", "Woodblock", "Taiko Drum", "Melodic Tom", "Synth Drum", "Reverse Cymbal",
+    "Guitar Fret Noise", "Breath Noise", "Seashore", "Bird Tweet", "Telephone Ring", "Helicopter", "Applause", "Gunshot",
+)
+
+
+def gm_name(instr: Column) -> Column:
+    """The name of a program; 128 is Drums, others are numbered."""
+    known = F.when(instr.between(0, 127), F.get(F.array(*[F.lit(n) for n in GM_NAMES]), instr.cast("int")))
+    return F.when(instr == DRUMS, "Drums").otherwise(F.coalesce(known, F.concat(F.lit("Instrument "), instr.cast("string"))))
+
+
+def shown(pos: Column, kind: Column, time: Column, dur: Column, instr: Column, pitch: Column) -> Column:
+    """A row as a line of text: its place and fields, (A) behind a control."""
+    note = F.concat_ws(" ", pos, time, dur, instr, pitch, F.when(kind == "control", "(A)"))
+    return F.when(kind == "sep", F.concat_ws(" ", pos, F.lit("SEPARATOR"))).when(kind == "rest", F.concat_ws(" ", pos, time, F.lit("REST"))).otherwise(note)
+
+
+def quantize_fraction(text: Column) -> Column:
+    """N of '1/N'; another form is an error."""
+    n = F.regexp_extract(text, r"^\s*1\s*/\s*([1-9][0-9]*)\s*$", 1)
+    return F.when(n == "", F.raise_error(F.concat(F.lit("not 1/N: "), text)).cast("int")).otherwise(n.try_cast("int"))

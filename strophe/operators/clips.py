@@ -39,3 +39,11 @@ def accompaniment(windows: DataFrame, melody: DataFrame, prompt: int) -> DataFra
     """Melody of the whole window with the other parts of the prompt alone: the condition of an accompaniment task."""
     m = windows.join(melody.select("track", F.col("instr").alias("melody")), "track")
     return m.where((F.col("instr") == F.col("melody")) | (F.col("time") < prompt)).drop("melody")
+
+
+def paired_clips(continuation: DataFrame, prompt: DataFrame, ground: DataFrame, length: int, prompt_range: tuple[int, int] = (400, 600)) -> DataFrame:
+    """The continuation's first `length` ticks, of tracks whose continuation and ground truth are as long and whose prompt ends in range."""
+    long = lambda df: S.max_time(df).where(F.col("max_time") >= length).select("track")
+    near = S.max_time(prompt).where(F.col("max_time").between(*prompt_range)).select("track")
+    kept = long(continuation).join(near, "track", "left_semi").join(long(ground), "track", "left_semi")
+    return S.clip(continuation.join(kept, "track", "left_semi"), 0, length, seconds=False)

@@ -67,3 +67,31 @@ def trim_interarrival(tokens: DataFrame) -> DataFrame:
     """Tokens (track, pos, token) up to the last note-on."""
     last = tokens.groupBy("track").agg(F.max(F.when((F.col("token") >= V.MIDI_ON) & (F.col("token") < V.MIDI_OFF), F.col("pos"))).alias("last"))
     return tokens.join(last, "track").where("pos <= last").drop("last")
+
+
+def midi_notes(messages: DataFrame) -> DataFrame:
+    """Notes of decoded message rows (path, pos, time, type, ...): programs followed, ons and offs paired; track is the path."""
+    rows = current_program(messages.withColumnRenamed("path", "track"))
+    return pair_notes(rows.where("type = 'note'"))
+
+
+def midi_interarrival(messages: DataFrame) -> DataFrame:
+    """Inter-arrival tokens of decoded message rows; each delta is rounded by itself from the seconds between note messages."""
+    rows = current_program(messages.withColumnRenamed("path", "track")).where("type = 'note'")
+    own = Window.partitionBy("track").orderBy("pos")
+    delta = F.rint((F.col("seconds") - F.coalesce(F.lag("seconds").over(own), F.lit(0.0))) * V.RESOLUTION).cast("long")
+    step = rows.withColumn("delta", delta)
+    return interarrival(step.withColumn("time", F.sum("delta").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+
+
+def interarrival_schedule(tokens: DataFrame) -> DataFrame:
+    """Messages (track, pos, time, on, instr, pitch) of inter-arrival tokens (track, pos, token): deltas add up; separators and
+    offs of instruments that haven't played are passed over."""
+    own = Window.partitionBy("track").orderBy("pos")
+    t, is_on = F.col("token"), (F.col("token") >= V.MIDI_ON) & (F.col("token") < V.MIDI_OFF)
+    rows = tokens.withColumn("time", F.sum(F.when(t < V.MIDI_ON, t).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    plain = F.when(is_on, t - V.MIDI_ON).otherwise(t - V.MIDI_OFF)
+    rows = rows.where((t >= V.MIDI_ON) & (t != V.MIDI_SEPARATOR)).select("track", "pos", "time", is_on.alias("on"), F.floor(plain / 128).cast("long").alias("instr"), F.pmod(plain, F.lit(128)).cast("long").alias("pitch"))
+    first = F.min(F.when(F.col("on"), F.col("pos"))).over(Window.partitionBy("track", "instr"))
+    rows = rows.withColumn("first", first).where(F.col("on") | (F.col("pos") > F.col("first")))
+    return rows.select("track", (F.row_number().over(own) - 1).cast("long").alias("pos"), F.col("time").cast("long").alias("time"), "on", "instr", "pitch")

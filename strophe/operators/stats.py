@@ -100,5 +100,65 @@ def melody_instrument(notes: DataFrame) -> DataFrame:
 
 
 def top_groups(df: DataFrame, group: str, value: str, k: int = 3) -> DataFrame:
-    up = F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc(value), group))
-    return df.withColumn("r", up).where(F.col("r") <= k)
+    """(strategy, group, value, place) of the k largest groups of each strategy, and of the k smallest with places from -1 down."""
+    ranked = lambda order, sign: df.withColumn("place", F.row_number().over(Window.partitionBy("strategy").orderBy(order, group))).where(F.col("place") <= k).withColumn("place", (sign * F.col("place")).cast("long"))
+    return ranked(F.desc(value), 1).unionByName(ranked(F.asc(value), -1)).select("strategy", group, value, "place")
+
+
+def part_names(parts: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(track, instr, name) of the parts (track, instr, first) of tracks: the given name (track, instr, name) or else the program's;
+    names a track has already are numbered from 2 in order of first use."""
+    own = V.gm_name(F.col("instr"))
+    base = parts.withColumn("base", own) if names is None else parts.join(names.withColumnRenamed("name", "given"), ["track", "instr"], "left").withColumn("base", F.coalesce(F.when(F.col("given") != "", F.col("given")), own))
+    n = F.row_number().over(Window.partitionBy("track", "base").orderBy("first", "instr"))
+    return base.withColumn("n", n).select("track", "instr", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws(" ", "base", F.col("n").cast("string"))).alias("name"))
+
+
+def sequence_stats(lines: DataFrame) -> DataFrame:
+    """(sequences, tokens, hours, rate, mean_rate, std_rate) of token rows (tokens: flag, then triples) cut at separators.
+
+    rate is all tokens by all seconds; mean and population deviation are over sequences, those of no length left out.
+    Each row is folded in place, so nothing is exchanged but the sums.
+    """
+    triples = F.transform(F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / 3).cast("int") - 1), lambda i: F.get("tokens", i * 3 + 1))
+    time = lambda t: F.when(t >= V.CONTROL_OFFSET, t - V.CONTROL_OFFSET).otherwise(t).cast("long")
+    done = lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(F.struct(s["n"].alias("n"), s["t"].alias("t"))))).otherwise(s["out"])
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("n"), zero.alias("t"), F.array().cast("array<struct<n:bigint,t:bigint>>").alias("out"))
+
+    def step(s, t):
+        sep = t == V.SEPARATOR
+        return F.struct(F.when(sep, zero).otherwise(s["n"] + 3).alias("n"), F.when(sep, zero).otherwise(F.greatest(s["t"], time(t))).alias("t"), F.when(sep, done(s)).otherwise(s["out"]).alias("out"))
+
+    rows = lines.where(F.size("tokens") > 3).select(F.inline(F.aggregate(triples, start, step, done)))
+    rate = F.when(F.col("t") > 0, 100.0 * F.col("n") / F.col("t"))
+    return rows.agg(
+        F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.round(F.sum("t") / 360000.0, 6).alias("hours"),
+        F.round(100.0 * F.sum("n") / F.sum("t"), 6).alias("rate"), F.round(F.avg(rate), 6).alias("mean_rate"), F.round(F.stddev_pop(rate), 6).alias("std_rate"),
+    )
+
+
+def filter_report(files: DataFrame, kept: Column, tracks: str = "num_tracks") -> DataFrame:
+    """(files, kept, keep_rate, low, high, mean): the share kept, and the track counts of what is kept."""
+    n = F.when(kept, F.col(tracks))
+    return files.agg(F.count("*").alias("files"), F.count_if(kept).alias("kept"), F.round(100.0 * F.count_if(kept) / F.count("*"), 6).alias("keep_rate"), F.min(n).alias("low"), F.max(n).alias("high"), F.round(F.avg(n), 6).alias("mean"))
+
+
+def split_counts(files: DataFrame, split: Column) -> DataFrame:
+    """(split, n, share) with share in percent."""
+    a = files.groupBy(split.alias("split")).agg(F.count("*").alias("n"))
+    return a.withColumn("share", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+def selection_profile(selected: DataFrame, counts: DataFrame, tokens_per_note: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Of selected files (md5, total_notes) and their tracks by group (md5, grp, n): totals (files, notes, tokens, hours) and
+    (grp, tracks, share, files) of each group."""
+    notes = F.sum("total_notes")
+    totals = selected.agg(F.count("*").alias("files"), notes.alias("notes"), (notes * tokens_per_note).alias("tokens"), F.round(notes / EVENTS_PER_HOUR, 9).alias("hours"))
+    a = counts.join(selected.select("md5"), "md5", "left_semi").groupBy("grp").agg(F.sum("n").alias("tracks"), F.count_distinct("md5").alias("files"))
+    return totals, a.select("grp", "tracks", F.round(100.0 * F.col("tracks") / F.sum("tracks").over(Window.partitionBy()), 6).alias("share"), "files")
+
+
+def context_bars(events: Column, bars: Column, triples: int = 339) -> Column:
+    """How many bars of a track fit the model's context."""
+    return triples / (events / bars)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MESSAGE_SCHEMA = "path string, pos long, tick long, seconds double, time long, type string, channel int, program int, pitch long, velocity int, on boolean"
+MESSAGE_SCHEMA = "path string, pos long, tick long, seconds double, time long, type string, channel int, program int, pitch long, velocity int, on boolean, part int, text string"
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,16 +43,21 @@ def tracks(data: bytes) -> tuple[int, list[bytes]]:
 
 
 def events(body: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(absolute tick, status, data) of a track, with running status; meta events have their kind first in data."""
-    at = tick = status = 0
+    """(absolute tick, status, data) of a track, with running status, which meta events don't end; they have their kind first in data."""
+    at = tick = running = 0
     while at < len(body):
         delta, at = quantity(body, at)
         tick += delta
         if at >= len(body):
             return
+        status = running
         if body[at] >= 128:
             status = body[at]
             at += 1
+            if status != 255:
+                running = status
+        if status < 128:
+            raise ValueError("data without a status")
         if status == 255:
             kind = body[at : at + 1]
             n, at = quantity(body, at + 1)
@@ -68,22 +73,32 @@ def events(body: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 def messages(data: bytes) -> list[tuple]:
-    """(tick, seconds, type, channel, program, pitch, velocity, on) of all tracks merged by tick, tempo map applied."""
+    """(tick, seconds, type, channel, program, pitch, velocity, on, part, text) of all tracks merged by tick, tempo map applied.
+
+    type is note, program, tempo (program: microseconds a beat), signature (text: 3/4), name, instrument (text) or other.
+    """
     division, bodies = tracks(data)
     merged = sorted(((tick, k, i, status, d) for k, b in enumerate(bodies) for i, (tick, status, d) in enumerate(events(b))), key=lambda x: x[:3])
     tempo, last, seconds, out = 500000, 0, 0.0, []
-    for tick, _, _, status, d in merged:
+    for tick, part, _, status, d in merged:
         frames = division & 0x8000
         seconds += (tick - last) / (((256 - (division >> 8)) * (division & 255)) or 1) if frames else (tick - last) * tempo / 1e6 / (division or 1)
         last = tick
         kind, channel = status & 240, status & 15
+        row = lambda what, c=None, p=None, pitch=None, v=None, on=None, text=None: (tick, seconds, what, c, p, pitch, v, on, part, text)  # noqa: B023, E731
         if status == 255 and d[:1] == b"\x51" and len(d) >= 4:
             tempo = int.from_bytes(d[1:4], "big")
-            out.append((tick, seconds, "tempo", None, tempo, None, None, None))
+            out.append(row("tempo", p=tempo))
+        elif status == 255 and d[:1] == b"\x58" and len(d) >= 3:
+            out.append(row("signature", text=f"{d[1]}/{1 << d[2]}"))
+        elif status == 255 and d[:1] in (b"\x03", b"\x04"):
+            out.append(row("name" if d[0] == 3 else "instrument", text=d[1:].decode("latin-1").strip()))
         elif kind == 192 and d:
-            out.append((tick, seconds, "program", channel, d[0], None, None, None))
+            out.append(row("program", channel, d[0]))
         elif kind in (128, 144) and len(d) == 2:
-            out.append((tick, seconds, "note", channel, None, d[0], d[1], kind == 144 and d[1] > 0))
+            out.append(row("note", channel, None, d[0], d[1], kind == 144 and d[1] > 0))
+        elif 128 <= kind < 240:
+            out.append(row("other", channel))
     return out
 
 
@@ -100,21 +115,80 @@ def decode(files: DataFrame, resolution: int = 100) -> DataFrame:
                 try:
                     found = messages(bytes(content))
                 except (ValueError, IndexError, struct.error, TypeError):
-                    rows.append((path, 0, None, None, None, "bad", None, None, None, None, None))
+                    rows.append((path, 0, None, None, None, "bad", *[None] * 7))
                     continue
-                rows += [(path, i, t, s, round(s * resolution), k, c, p, pitch, v, on) for i, (t, s, k, c, p, pitch, v, on) in enumerate(found)]
+                rows += [(path, i, t, s, round(s * resolution), *rest) for i, (t, s, *rest) in enumerate(found)]
             yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
 
     return files.select("path", "content").mapInPandas(run, MESSAGE_SCHEMA)
 
 
 def count_raw(data: bytes) -> tuple[int, int] | None:
-    """(note-ons, tracks) without a tempo map; null if it is no MIDI file."""
-    try:
-        _, bodies = tracks(data)
-    except ValueError:
+    """(note-ons, tracks) without a tempo map; null if it is no MIDI file. A track that ends past the file is counted, not read."""
+    if len(data) < 14 or data[:4] != b"MThd":
         return None
-    return sum(1 for b in bodies for _, status, d in events(b) if status & 240 == 144 and status != 255 and len(d) == 2 and d[1] > 0), len(bodies)
+    at, notes, found = 8 + struct.unpack(">I", data[4:8])[0], 0, 0
+    while at + 8 <= len(data):
+        n = struct.unpack(">I", data[at + 4 : at + 8])[0]
+        if data[at : at + 4] == b"MTrk":
+            found += 1
+            if at + 8 + n <= len(data):
+                try:
+                    notes += sum(1 for _, status, d in events(data[at + 8 : at + 8 + n]) if status & 240 == 144 and len(d) == 2 and d[1] > 0)
+                except (ValueError, IndexError):
+                    pass
+        at += 8 + n
+    return notes, found
+
+
+def raw_counts(files: DataFrame) -> DataFrame:
+    """(path, note_events, tracks) of files (path, content); nulls for what is no MIDI file."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for f in frames:
+            got = [count_raw(bytes(c)) if c is not None else None for c in f.content]
+            yield pd.DataFrame({"path": f.path, "note_events": pd.array([g and g[0] for g in got], "Int64"), "tracks": pd.array([g and g[1] for g in got], "Int64")})
+
+    return files.select("path", "content").mapInPandas(run, "path string, note_events long, tracks long")
+
+
+def file_sizes(files: DataFrame, splits: tuple[str, ...]) -> DataFrame:
+    """(split, files, bytes) of files (path, length) whose path has a folder of a split; hidden files don't count."""
+    split = F.coalesce(*[F.when(F.col("path").contains(f"/{s}/"), s) for s in splits])
+    rows = files.where("path like '%.mid' and not path like '%/._%'").select(split.alias("split"), "length").where("split is not null")
+    return rows.groupBy("split").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def part_summary(rows: DataFrame) -> DataFrame:
+    """(path, part, name, note_ons, channels, programs) of each track of message rows; programs are 'channel:program', the last of each channel."""
+    programs = rows.where("type = 'program'").groupBy("path", "part", "channel").agg(F.max_by("program", "pos").alias("p"))
+    programs = programs.groupBy("path", "part").agg(F.array_sort(F.collect_list(F.struct("channel", "p"))).alias("programs"))
+    a = rows.where("type <> 'bad'").groupBy("path", "part").agg(
+        F.max_by(F.when(F.col("type") == "name", F.col("text")), F.when(F.col("type") == "name", F.col("pos"))).alias("name"),
+        F.count_if(F.coalesce("on", F.lit(False))).alias("note_ons"), F.array_sort(F.collect_set("channel")).alias("channels"),
+    )
+    shown = F.coalesce(F.transform("programs", lambda x: F.concat_ws(":", x["channel"], x["p"])), F.array().cast("array<string>"))
+    return a.join(programs, ["path", "part"], "left").withColumn("programs", shown).select("path", "part", "name", "note_ons", "channels", "programs")
+
+
+def file_summary(rows: DataFrame) -> DataFrame:
+    """(path, parts, seconds, has_tempo, bpms, signatures, channels): bpms and signatures in the order of the file."""
+    listed = lambda kind, value: F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("pos", value.alias("v"))))), lambda x: x["v"])
+    return rows.where("type <> 'bad'").groupBy("path").agg(
+        F.count_distinct("part").alias("parts"), F.max("seconds").alias("seconds"), (F.count_if(F.col("type") == "tempo") > 0).alias("has_tempo"),
+        listed("tempo", F.round(60e6 / F.col("program"), 3)).alias("bpms"), listed("signature", F.col("text")).alias("signatures"), F.array_sort(F.collect_set("channel")).alias("channels"),
+    )
+
+
+def source_names(rows: DataFrame) -> DataFrame:
+    """(path, instr, name): each instrument with the name of the first named track that uses it; 128 is channel 9."""
+    first = lambda kind: F.min_by(F.when(F.col("type") == kind, F.col("text")), F.when((F.col("type") == kind) & (F.col("text") != ""), F.col("pos")))
+    named = rows.groupBy("path", "part").agg(F.coalesce(first("name"), first("instrument")).alias("name")).where("name is not null")
+    used = rows.where("type in ('note', 'program')").groupBy("path", "part", "channel").agg(F.max_by("program", F.when(F.col("type") == "program", F.col("pos"))).alias("p"))
+    used = used.withColumn("instr", F.when(F.col("channel") == 9, 128).otherwise(F.coalesce("p", F.lit(0))))
+    return used.join(named, ["path", "part"]).groupBy("path", "instr").agg(F.min_by("name", F.struct("part", "channel")).alias("name"))
 
 
 def durations(message_rows: DataFrame, ticks_per_beat: int) -> DataFrame:
@@ -129,15 +203,26 @@ def put_quantity(value: int) -> bytes:
     return bytes(reversed(out))
 
 
-def encode(schedule: list[tuple[int, bool, int, int, int]], ticks_per_beat: int = 50, tempo: int = 500000) -> bytes:
-    """A file from (time, on, instrument, pitch, channel) rows in order: one track for each instrument in order of first use."""
+def beat_ticks(bpm: float) -> tuple[int, int]:
+    """(ticks a beat, microseconds a beat) that keep a tick at a hundredth of a second at this tempo."""
+    tempo = round(60e6 / bpm)
+    return max(1, round(tempo / 10000)), tempo
+
+
+def encode(schedule: list[tuple[int, bool, int, int, int]], ticks_per_beat: int = 50, tempo: int = 500000, beats: int | None = None, names: dict[int, tuple[str, str]] | None = None) -> bytes:
+    """A file from (time, on, instrument, pitch, channel) rows in order: one track for each instrument in order of first use.
+
+    beats: a time signature of so many quarters; names: (track name, instrument name) by instrument.
+    """
+    meta = lambda kind, body: b"\x00\xff" + bytes([kind]) + put_quantity(len(body)) + body
     parts: dict[int, list] = {}
     for time, on, instr, pitch, channel in schedule:
         parts.setdefault(instr, []).append((time, on, pitch, channel))
-    bodies = [b"\x00\xff\x51\x03" + tempo.to_bytes(3, "big") + b"\x00\xff\x2f\x00"]
+    bodies = [meta(0x51, tempo.to_bytes(3, "big")) + (meta(0x58, bytes([beats, 2, 24, 8])) if beats else b"") + meta(0x2F, b"")]
     for instr, rows in parts.items():
         channel, last = rows[0][3], 0
-        body = b"" if channel == 9 else b"\x00" + bytes([192 | channel, instr])
+        body = b"".join(meta(3 + i, text.encode("latin-1", "replace")) for i, text in enumerate((names or {}).get(instr, ())))
+        body += b"" if channel == 9 else b"\x00" + bytes([192 | channel, instr])
         for time, on, pitch, c in rows:
             body += put_quantity(time - last) + bytes([(144 if on else 128) | c, pitch, 72 if on else 0])
             last = time
