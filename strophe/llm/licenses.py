@@ -1,7 +1,7 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences; a normalised sentence that is a known licence sentence, or begins or ends
-with one, is given that sentence's identifier. Licence rules are ordered sequences of identifiers; at
+Known licence sentences are found as runs of words anywhere in a text's words, so line ends, comment
+signs and punctuation within them hide nothing; each is given its identifier. Licence rules are ordered sequences of identifiers; at
 each place of a text's identifier sequence the first rule of the list that matches there is reported,
 and the scan goes on behind it.
 """
@@ -9,6 +9,7 @@ and the scan goes on behind it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,35 +66,56 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 _BREAK = re.compile(r"\n|(?<=[.;!?:])\s+")
 _WORD = re.compile(r"[^\W_]+")
+#: What makes an SPDX identifier longer than the known one: MIT-0 is not MIT.
+_LONGER = re.compile(r"\+|-[^\W_]")
 
 
 class Recogniser:
     def __init__(self, sentences: dict[str, tuple[str, ...]] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES):
         self.known = {s: k for k, all_ in sentences.items() for s in all_}
-        self.by_words = {tuple(s.split()): k for s, k in self.known.items()}
-        self.sizes = sorted({len(w) for w in self.by_words}, reverse=True)
-        # a sentence without any of these words is none of the known ones
-        self.rare = re.compile("|".join(sorted({re.escape(max(s.split(), key=len)) for s in self.known})), re.I)
+        # a text without any of these words holds none of the known sentences
+        words = {max(s.split(), key=len) for s in self.known}
+        self.rare = [w for w in sorted(words) if not any(v != w and v in w for v in words)]
         self.rules = [(i, name, ids) for i, (name, ids) in enumerate(rules)]
 
-    def identify(self, sentence: str) -> str | None:
-        words = tuple(_WORD.findall(sentence.lower()))
-        for n in self.sizes:
-            if n <= len(words) and (found := self.by_words.get(words[:n]) or self.by_words.get(words[-n:])):
-                return found
-        return None
+    def identify(self, text: str) -> list[tuple[str, int, int]]:
+        """(identifier, start, end) of the known sentences in a lower-cased text, in order; of one within another only the longer."""
+        stream = f" {' '.join(_WORD.findall(text))} "
+        hits = []
+        for s, k in self.known.items():
+            at = stream.find(f" {s} ")
+            while at >= 0:
+                first = stream.count(" ", 0, at)
+                hits.append((first, -(first + s.count(" ")), k, s))
+                at = stream.find(f" {s} ", at + 1)
+        if not hits:
+            return []
+        spans = [m.span() for m in _WORD.finditer(text)]
+        out, most = [], -1
+        for first, last, k, s in sorted(hits):
+            end = spans[-last][1]
+            if -last > most and not (s.startswith("spdx ") and _LONGER.match(text, end)):
+                out.append((k, spans[first][0], end))
+                most = -last
+        return out
 
     def scan(self, text: str) -> list[tuple[str, int, int, list[str]]]:
         """(licence, first sentence, sentences, identifiers) of each match, in order; sentences count from 0."""
-        if not self.rare.search(text):
+        text = text.lower()
+        if not any(w in text for w in self.rare) or not (found := self.identify(text)):
             return []
-        row = [(k, s) for k, s in enumerate(x for x in _BREAK.split(text) if x.strip()) if self.rare.search(s)]
-        ids = [(k, found) for k, s in row if (found := self.identify(s))]
+        begins, at = [], 0
+        for m in _BREAK.finditer(text):
+            if text[at : m.start()].strip():
+                begins.append(at)
+            at = m.end()
+        begins.append(at)
+        ids = [(k, bisect_right(begins, a) - 1, bisect_right(begins, b - 1) - 1) for k, a, b in found]
         out, at = [], 0
         while at < len(ids):
             for _, name, want in self.rules:
-                if tuple(x for _, x in ids[at : at + len(want)]) == want:
-                    out.append((name, ids[at][0], ids[at + len(want) - 1][0] - ids[at][0] + 1, list(want)))
+                if tuple(x for x, _, _ in ids[at : at + len(want)]) == want:
+                    out.append((name, ids[at][1], ids[at + len(want) - 1][2] - ids[at][1] + 1, list(want)))
                     at += len(want)
                     break
             else:
@@ -113,7 +135,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_licenses(documents: DataFrame) -> DataFrame:
     """One row per licence match in documents (doc_id, text): doc_id, license, first_sentence, n_sentences, sentence_ids.
 
-    Sentences end at a line end or behind . ; ! ? : and white space. Null and empty texts match nothing;
+    Sentences are counted from line ends and . ; ! ? : with white space behind; a licence sentence may go over several. Null and empty texts match nothing;
     repeated rows are each reported.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()

@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -150,6 +151,62 @@ def test_licenses(spark):
     assert got == [(1, "MIT"), (3, "All-Rights-Reserved"), (3, "Apache-2.0")]
 
 
+PUBLISHED = """Released under the MIT License.
+Licensed under the MIT license.
+This project is licensed under the MIT License - see LICENSE.
+SPDX-License-Identifier: MIT
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES
+Licensed under the Apache License, Version 2.0 (the "License");
+Released under the Apache License, Version 2.0.
+SPDX-License-Identifier: Apache-2.0
+you may not use this file except in compliance with the License.
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+This work is licensed under the GNU General Public License, version 3.
+The library is licensed under the GNU General Public License, version 3.
+SPDX-License-Identifier: GPL-3.0-only
+SPDX-License-Identifier: GPL-3.0-or-later
+It is licensed under the GNU General Public License, version 2.
+SPDX-License-Identifier: GPL-2.0-only
+SPDX-License-Identifier: GPL-2.0-or-later
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+It is licensed under the GNU Lesser General Public License, version 2.1.
+It is licensed under the GNU Lesser General Public License, version 3.
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Licensed under the BSD License.
+Released under the BSD license.
+SPDX-License-Identifier: BSD-3-Clause
+SPDX-License-Identifier: BSD-2-Clause
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy
+Licensed under the Mozilla Public License, version 2.0.
+Licensed under CC BY 4.0.
+This work is licensed under a Creative Commons Attribution 4.0 International License.
+Licensed under CC BY-SA 4.0.
+This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.
+Licensed under CC BY-NC 4.0.
+This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.
+Licensed under CC0 1.0.
+This work is dedicated to the public domain.
+All rights reserved.""".split("\n")
+
+
+def test_licenses_in_published_form():
+    known = licenses.Recogniser(rules=tuple((k, (k,)) for k in licenses.SENTENCES))
+    entries = [(k, s) for k, all_ in licenses.SENTENCES.items() for s in all_]
+    assert len(entries) == len(PUBLISHED)
+    for (k, s), text in zip(entries, PUBLISHED, strict=True):
+        assert s in " ".join(re.findall(r"[^\W_]+", text.lower()))
+        for shown in (text, f"Some file. {text} And so on", *("Intro.\n\n" + textwrap.fill(text, w, initial_indent=i, subsequent_indent=i) for w in (30, 70, 80) for i in ("", " * ", "# "))):
+            assert [x[3] for x in known.scan(shown)] == [[k]], shown
+    whole = lambda *rows: [x[0] for x in licenses.Recogniser().scan("\n".join(textwrap.fill(PUBLISHED[r], 72, initial_indent=" * ", subsequent_indent=" * ") for r in rows))]
+    assert whole(4, 5, 6) == ["MIT"] and whole(8, 11, 12) == ["Apache-2.0"] and whole(20, 21) == ["GPL"] and whole(39, 24, 7) == ["All-Rights-Reserved", "BSD"]
+    assert licenses.Recogniser().scan("First. Here:\n\n# SPDX-License-Identifier: MIT\n") == [("MIT", 2, 2, ["mit-ref"])]
+    assert licenses.Recogniser().scan("SPDX-License-Identifier: MIT-0\nSPDX-License-Identifier: BSD-3-Clause-Clear") == []
+
+
 def test_quality(spark):
     rng = random.Random(1)
     good = lambda: "\n".join(" ".join(rng.choice(["the", "house", "runs", "of", "green"]) + str(rng.randint(0, 99)) for _ in range(12)) + "." for _ in range(4))
