@@ -2,7 +2,7 @@
 
 All pages of a host are merged into one style tree: a node stands for the elements at one path of tags,
 classes and ids. A node's importance joins the entropy of its contents and of its presentations (the
-order of child tags) over the pages that have it, as shares of the most that so many pages can show:
+order of child tags) over the pages that have it, each counted once, as shares of the most that so many pages can show:
 menus, adverts and footers say the same everywhere, articles do not. A tree over all hosts stands beside
 it for hosts with few pages. Branches of low importance are cut from every page, as are elements whose
 tag or class tells that they are no content.
@@ -36,12 +36,13 @@ SCOPE = frozenset("html body table ul ol dl div article section main".split())
 #: Words of a class or id that mark an element as no content.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer masthead menu menus modal nav navbar navigation newsletter notice notices alert popup promo promotion related replies reply respond share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription teaser toolbar widget".split())
 CONTENT = frozenset("article main".split())
-#: Within an article these are its prose, and stay however often copies of it repeat them.
-PROSE = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Within an article these are its prose and the parts of its lists and tables, and stay however often they are repeated.
+PROSE = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th thead tbody tfoot caption figcaption".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_PARTS = re.compile(r"[A-Za-z]+")
+_ALL = (1 << 64) - 1
+_PARTS = re.compile(r"[^\W\d_]")
 
 
 class Node:
@@ -134,12 +135,29 @@ def _plain(node: Node) -> str:
     return "".join(c if isinstance(c, str) else _plain(c) if c.tag in INLINE else f" {_plain(c)} " for c in node.children)
 
 
+def _spoken(node: Node) -> str:
+    """The text within a node as observe() compares it: without silent elements."""
+    return "".join(c if isinstance(c, str) else " " if c.silent or c.tag in VOID else _spoken(c) if c.tag in INLINE else f" {_spoken(c)} " for c in node.children)
+
+
+def _content(text: str, host: str, exact: bool) -> int:
+    """Hash of a text without the host's name and, unless exact or the text has no letters, without its digits."""
+    said = text.replace(host, "") if host else text
+    if not exact and _PARTS.search(said):
+        said = re.sub(r"[0-9]+", "#", said)
+    return xxhash.xxh64_intdigest(" ".join(said.split()))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def observe(node: Node, host: str, path: int, seen: list[tuple[int, int, int]]) -> str:
-    """Append (path, content, presentation) of every element below; returns its text. Elements that go anyway are not looked into."""
+def observe(node: Node, host: str, path: int, seen: list[tuple[int, int, int]], exact: bool = False) -> str:
+    """Append (path, content, presentation) of every element below; returns its text. Elements that go anyway are not looked into.
+
+    Within an article contents are exact.
+    """
+    exact = exact or node.tag in CONTENT
     out, tags, inner = [], [], []
     for c in node.children:
         if isinstance(c, str):
@@ -150,11 +168,10 @@ def observe(node: Node, host: str, path: int, seen: list[tuple[int, int, int]])
         if c.silent or c.tag in VOID:
             out.append(" ")
             continue
-        out.append(observe(c, host, _path(path, c.key), seen))
+        out.append(observe(c, host, _path(path, c.key), seen, exact))
     text = "".join(out)
     if text and not text.isspace():
-        said = re.sub(r"[0-9]+", "#", text.replace(host, "") if host else text)
-        seen.append((path, xxhash.xxh64_intdigest(" ".join(said.split())), xxhash.xxh64_intdigest(" ".join(tags))))
+        seen.append((path, _content(text, host, exact), xxhash.xxh64_intdigest(" ".join(tags))))
     return text if node.tag in INLINE else f" {text} "
 
 
@@ -171,8 +188,11 @@ def _has(node: Node, tags: frozenset) -> list[tuple[Node, int]]:
     return found
 
 
-def extract(root: Node, low: frozenset[int]) -> str:
-    """The page's text without silent elements and branches whose path is low; within its article or main element if it has one."""
+def extract(root: Node, low: frozenset[int], said: frozenset[tuple[int, int]] = frozenset(), host: str = "") -> str:
+    """The page's text without silent elements and branches whose path is low; within its article or main element if it has one.
+
+    Within that only branches other than prose go whose (path, content) is among those said on most pages.
+    """
     blocks: list[str] = []
     line: list[str] = []
 
@@ -183,7 +203,14 @@ def extract(root: Node, low: frozenset[int]) -> str:
             if words:
                 blocks.append(" ".join(words))
 
-    def go(node: Node, path: int, prose: frozenset) -> None:
+    told = {p for p, _ in said}
+
+    def goes(c: Node, path: int, article: bool) -> bool:
+        if not article:
+            return path in low
+        return path in told and c.tag not in PROSE and (path, _content(_spoken(c), host, True)) in said
+
+    def go(node: Node, path: int, article: bool) -> None:
         for c in node.children:
             if isinstance(c, str):
                 line.append(c)
@@ -194,8 +221,8 @@ def extract(root: Node, low: frozenset[int]) -> str:
                 block = c.tag not in INLINE
                 if block:
                     close()
-                if p not in low or c.key in prose:
-                    go(c, p, prose)
+                if not goes(c, p, article):
+                    go(c, p, article)
                 if block:
                     close()
             elif c.silent and c.tag not in INLINE:
@@ -203,7 +230,7 @@ def extract(root: Node, low: frozenset[int]) -> str:
 
     inner = [(x, p) for x, p in _has(root, CONTENT) if _plain(x).strip()]
     for x, p in inner or [(root, 0)]:
-        go(x, p, PROSE if inner else frozenset())
+        go(x, p, bool(inner))
         close()
     return " ".join(blocks)
 
@@ -215,10 +242,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for host, page in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256).to_pylist(), strict=True):
                 seen: list[tuple[int, int, int]] = []
                 observe(parse(page or ""), host, 0, seen)
-                for path, content, shape in seen:
-                    if path:
-                        count[host, path, 0, content] += 1
-                        count[host, path, 1, shape] += 1
+                count.update({(host, path, *x) for path, content, shape in seen if path for x in ((0, content), (1, shape), (2, 0))})
         if count:
             keys = list(count)
             yield pa.RecordBatch.from_arrays(
@@ -227,32 +251,39 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _take(url_at: int, html_at: int, low_at: int):
+def _take(url_at: int, html_at: int, host_at: int, low_at: int, said_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                for page, low in zip(part.column(html_at).to_pylist(), part.column(low_at).to_pylist(), strict=True):
-                    texts.append(extract(parse(page or ""), frozenset(x & 0xFFFFFFFFFFFFFFFF for x in low or ())))
-            keep = [k for k in range(b.num_columns) if k not in (html_at, low_at)]
+                for page, host, low, said in zip(*(part.column(k).to_pylist() for k in (html_at, host_at, low_at, said_at)), strict=True):
+                    branches = frozenset((x["path"] & _ALL, x["value"] & _ALL) for x in said or ())
+                    texts.append(extract(parse(page or ""), frozenset(x & _ALL for x in low or ()), branches, host))
+            keep = [k for k in range(b.num_columns) if k not in (html_at, host_at, low_at, said_at)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(texts, pa.string())], names=[*(b.schema.names[k] for k in keep), "text"])
 
     return run
 
 
 def _importance(sums: DataFrame, *node: str) -> DataFrame:
-    spread = sums.groupBy(*node, "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("clogc"))
-    entropy = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.ln("n") - F.col("clogc") / F.col("n")) / F.ln("n")).otherwise(1.0)
-    weight = F.when(F.col("kind") == 0, GAMMA).otherwise(1 - GAMMA)
-    return spread.groupBy(*node).agg(F.max("n").alias("n"), F.sum(weight * entropy).alias("importance"))
+    """n (pages that have a node) and its importance: the mean of ln(n / pages that show it too) / ln n over what each page shows."""
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+    logs = F.col("c") * F.ln("c")
+    spread = sums.groupBy(*node).agg(of(2, F.col("c")).alias("n"), *(of(k, x).alias(f"{name}{k}") for k in (0, 1) for name, x in (("c", F.col("c")), ("clogc", logs))))
+    entropy = lambda k: F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.ln("n") - F.col(f"clogc{k}") / F.col(f"c{k}")) / F.ln("n")).otherwise(1.0)
+    return spread.select(*node, "n", (GAMMA * entropy(0) + (1 - GAMMA) * entropy(1)).alias("importance"))
 
 
-def style_tree(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Every node of every host's tree: host, path, n, importance, and the same of the node in the tree of all hosts."""
+def _sums(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """Pages c of a host that show a value at a path: kind 0 contents, 1 presentations, 2 the path itself."""
     rows = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html")
     seen = rows.mapInArrow(_observe, "host string, path long, kind int, value long, c long")
-    sums = Workspace(spark, "style").save(seen.groupBy("host", "path", "kind", "value").agg(F.sum("c").alias("c")))
+    return Workspace(spark, "style").save(seen.groupBy("host", "path", "kind", "value").agg(F.sum("c").alias("c")))
+
+
+def style_tree(sums: DataFrame) -> DataFrame:
+    """Every node of every host's tree: host, path, n, importance, and the same of the node in the tree of all hosts."""
     every = _importance(sums.groupBy("path", "kind", "value").agg(F.sum("c").alias("c")), "path")
     own = _importance(sums, "host", "path")
     return own.join(every.select("path", F.col("n").alias("n_all"), F.col("importance").alias("importance_all")), "path")
@@ -262,11 +293,18 @@ def main_text(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOL
     """One row per row of pages (page_id, url, html): page_id, url and text, the page's main text.
 
     A branch goes if at least `trusted` pages of its host, or of all hosts, show an importance below the
-    threshold. Null and empty pages have an empty text. Pages without host share a tree.
+    threshold. Within an article or main element it goes only if besides it says what at least `trusted`
+    pages of the host, and most that have it, say there, and is no prose, list item or table part.
+    Null and empty pages have an empty text. Pages without host share a tree.
     """
-    tree = style_tree(spark, pages)
+    sums = _sums(spark, pages)
+    tree = style_tree(sums)
     poor = tree.where(((F.col("n") >= trusted) & (F.col("importance") < threshold)) | ((F.col("n_all") >= trusted) & (F.col("importance_all") < threshold)))
-    low = Workspace(spark, "pages").save(poor.groupBy("host").agg(F.collect_set("path").alias("low")))
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low")
+    poor = Workspace(spark, "poor").save(poor.select("host", "path", "n"))
+    said = sums.where((F.col("kind") == 0) & (F.col("c") >= trusted)).join(poor, ["host", "path"]).where(2 * F.col("c") > F.col("n"))
+    low = poor.groupBy("host").agg(F.collect_set("path").alias("low"))
+    said = said.groupBy("host").agg(F.collect_set(F.struct("path", "value")).alias("said"))
+    low = Workspace(spark, "pages").save(low.join(said, "host", "left"))
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(low, "host", "left").select("page_id", "url", "html", "host", "low", "said")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(_take(1, 2, 3), f"page_id {kind}, url string, text string")
+    return rows.mapInArrow(_take(1, 2, 3, 4, 5), f"page_id {kind}, url string, text string")

@@ -248,6 +248,20 @@ def test_pages(spark):
     assert got == "text c"
 
 
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in pages.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_keep_tables_and_lists_of_articles(spark):
+    cells = "".join(f"<tr><td>{k}</td><td>{'total ' + str(k) if k % 4 == 0 else k * k}</td></tr>" for k in range(25))
+    lone = f'<body><article><table>{cells}</table></article><div class="d">{"<b>7</b>" * 9}</div>'
+    got = texts_of(spark, [(1, "http://t.com/", lone)])
+    assert got[1] == " ".join(f"{k} {'total ' + str(k) if k % 4 == 0 else k * k}" for k in range(25))
+    page = '<body><article><div class="box">Read more here</div><h2 class="t">Results</h2><p class="lead">Same lead</p><ul><li>yes</li><li>no</li><li>as {2}</li></ul><table><tr><td>0</td><td>{0}</td></tr></table><div class="score">{1}</div><p>story {2}</p></article>'
+    got = texts_of(spark, [(i, "http://u.com/", page.format(i % 2, i % 3, chr(97 + i))) for i in range(24)])
+    assert got == {i: f"Results Same lead yes no as {chr(97 + i)} 0 {i % 2} {i % 3} story {chr(97 + i)}" for i in range(24)}
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert not minhash.near_duplicates(spark, none).count() and not substring.drop_repeats(spark, none).count() and not packing.pack(spark, none, queries.tokenizer_path()).count()
