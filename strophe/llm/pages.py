@@ -4,7 +4,7 @@ All pages of a host are merged into one style tree: a node stands for the elemen
 classes and ids. A node's importance joins the entropy of its contents and of its presentations (the
 order of child tags) over the pages that have it, each counted once, as shares of the most that so many pages can show:
 menus, adverts and footers say the same everywhere, articles do not. A tree over all hosts stands beside
-it for hosts with few pages. Branches of low importance are cut from every page, as are elements whose
+it for hosts with few pages. Copies of a page count once. Branches of low importance are cut from every page, as are elements whose
 tag or class tells that they are no content.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -236,19 +235,24 @@ def extract(root: Node, low: frozenset[int], said: frozenset[tuple[int, int]] =
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a page that has text: host, hash of its article's text or else its whole text, and what it shows at each path."""
     for b in batches:
-        count: Counter[tuple[str, int, int, int]] = Counter()
         for at in range(0, b.num_rows, 256):
+            hosts, texts, ends, nodes = [], [], [0], []
             for host, page in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256).to_pylist(), strict=True):
+                root = parse(page or "")
                 seen: list[tuple[int, int, int]] = []
-                observe(parse(page or ""), host, 0, seen)
-                count.update({(host, path, *x) for path, content, shape in seen if path for x in ((0, content), (1, shape), (2, 0))})
-        if count:
-            keys = list(count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([_signed(k[1]) for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int32()), pa.array([_signed(k[3]) for k in keys], pa.int64()), pa.array(list(count.values()), pa.int64())],
-                names=["host", "path", "kind", "value", "c"],
-            )
+                text = observe(root, host, 0, seen)
+                nodes += sorted({(_signed(path), kind, _signed(x)) for path, content, shape in seen if path for kind, x in ((0, content), (1, shape), (2, 0))})
+                if len(nodes) > ends[-1]:
+                    inner = " ".join(_spoken(x) for x, _ in _has(root, CONTENT))
+                    hosts.append(host)
+                    texts.append(_signed(_content(inner if inner.strip() else text, host, True)))
+                    ends.append(len(nodes))
+            if hosts:
+                path, kind, value = zip(*nodes, strict=True)
+                shown = pa.StructArray.from_arrays([pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64())], names=["path", "kind", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), shown)], names=["host", "said", "nodes"])
 
 
 def _take(url_at: int, html_at: int, host_at: int, low_at: int, said_at: int):
@@ -276,32 +280,43 @@ def _importance(sums: DataFrame, *node: str) -> DataFrame:
 
 
 def _sums(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Pages c of a host that show a value at a path: kind 0 contents, 1 presentations, 2 the path itself."""
+    """Pages c of a host that show a value at a path: kind 0 contents, 1 presentations, 2 the path itself. Copies of a page count once."""
     rows = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html")
-    seen = rows.mapInArrow(_observe, "host string, path long, kind int, value long, c long")
-    return Workspace(spark, "style").save(seen.groupBy("host", "path", "kind", "value").agg(F.sum("c").alias("c")))
+    seen = rows.mapInArrow(_observe, "host string, said long, nodes array<struct<path:long,kind:int,value:long>>")
+    once = seen.groupBy("host", "said").agg(F.min("nodes").alias("nodes")).select("host", F.inline("nodes"))
+    return Workspace(spark, "style").save(once.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c")))
 
 
 def style_tree(sums: DataFrame) -> DataFrame:
-    """Every node of every host's tree: host, path, n, importance, and the same of the node in the tree of all hosts."""
-    every = _importance(sums.groupBy("path", "kind", "value").agg(F.sum("c").alias("c")), "path")
+    """Every node of every host's tree: host, path, n, importance, and n_all, hosts and importance_all of the node in the tree of all hosts.
+
+    In that each host counts once, with all that its pages show: a host of many pages outweighs no other.
+    """
+    every = _importance(sums.groupBy("path", "kind", "value").agg(F.count("*").alias("c")), "path")
+    total = sums.where("kind = 2").groupBy("path").agg(F.sum("c").alias("n_all"))
     own = _importance(sums, "host", "path")
-    return own.join(every.select("path", F.col("n").alias("n_all"), F.col("importance").alias("importance_all")), "path")
+    return own.join(every.select("path", F.col("n").alias("hosts"), F.col("importance").alias("importance_all")), "path").join(total, "path")
 
 
 def main_text(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url and text, the page's main text.
 
-    A branch goes if at least `trusted` pages of its host, or of all hosts, show an importance below the
-    threshold. Within an article or main element it goes only if besides it says what at least `trusted`
-    pages of the host, and most that have it, say there, and is no prose, list item or table part.
+    A branch goes if at least `trusted` different pages of its host show an importance below the threshold,
+    or if fewer of its host have it and at least `trusted` of all hosts show one. Within an article or main
+    element it goes only if besides it says what at least `trusted` of these pages, and most that have it
+    (of all hosts: most hosts), say there, and is no prose, list item or table part.
     Null and empty pages have an empty text. Pages without host share a tree.
     """
     sums = _sums(spark, pages)
     tree = style_tree(sums)
-    poor = tree.where(((F.col("n") >= trusted) & (F.col("importance") < threshold)) | ((F.col("n_all") >= trusted) & (F.col("importance_all") < threshold)))
-    poor = Workspace(spark, "poor").save(poor.select("host", "path", "n"))
-    said = sums.where((F.col("kind") == 0) & (F.col("c") >= trusted)).join(poor, ["host", "path"]).where(2 * F.col("c") > F.col("n"))
+    known = F.col("n") >= trusted
+    poor = tree.where((known & (F.col("importance") < threshold)) | (~known & (F.col("n_all") >= trusted) & (F.col("importance_all") < threshold)))
+    poor = Workspace(spark, "poor").save(poor.select("host", "path", "n", "hosts"))
+    contents = sums.where(F.col("kind") == 0)
+    said = contents.where(F.col("c") >= trusted).join(poor.where(known), ["host", "path"]).where(2 * F.col("c") > F.col("n"))
+    shared = contents.groupBy("path", "value").agg(F.count("*").alias("c"), F.sum("c").alias("pages")).where(F.col("pages") >= trusted)
+    shared = shared.join(poor.where(~known), "path").where(2 * F.col("c") > F.col("hosts"))
+    said = said.select("host", "path", "value").unionByName(shared.select("host", "path", "value"))
     low = poor.groupBy("host").agg(F.collect_set("path").alias("low"))
     said = said.groupBy("host").agg(F.collect_set(F.struct("path", "value")).alias("said"))
     low = Workspace(spark, "pages").save(low.join(said, "host", "left"))

@@ -262,6 +262,24 @@ def test_pages_keep_tables_and_lists_of_articles(spark):
     assert got == {i: f"Results Same lead yes no as {chr(97 + i)} 0 {i % 2} {i % 3} story {chr(97 + i)}" for i in range(24)}
 
 
+def test_pages_all_hosts_tree_is_for_small_hosts(spark):
+    page = '<body><div class="top">menu</div><div class="content">{}</div></body>'
+    hot = [(i, "http://hot.com/", f'<body><div class="content">same text</div><div class="c">own {chr(97 + i % 26)}{chr(97 + i // 26)}</div></body>') for i in range(60)]
+    own = [(100 + i, "http://big.com/", page.format(f"story {chr(97 + i)}")) for i in range(10)]
+    few = [(200 + i, "http://few.com/", page.format(f"news {chr(97 + i)}")) for i in range(3)]
+    got = texts_of(spark, hot + own + few)
+    assert got[0] == "own aa" and got[103] == "story d" and got[202] == "news c"
+    menus = [(i, f"http://h{i}.com/", page.format(f"tale {chr(97 + i)}")) for i in range(12)]
+    assert texts_of(spark, menus)[4] == "tale e"
+
+
+def test_pages_copies_count_once(spark):
+    page = '<body><div class="top">menu</div><div class="content">{}</div></body>'
+    rows = [(i, "http://c.com/", page.format("copied" if i < 60 else f"single {chr(97 + i % 26)}{chr(97 + i // 26)}")) for i in range(80)]
+    got = texts_of(spark, rows)
+    assert got[3] == "copied" and got[70] == "single sc"
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert not minhash.near_duplicates(spark, none).count() and not substring.drop_repeats(spark, none).count() and not packing.pack(spark, none, queries.tokenizer_path()).count()
