@@ -5,7 +5,7 @@ classes and ids. A node's importance joins the entropy of its contents and of it
 order of child tags) over the pages that have it, each counted once, as shares of the most that so many pages can show:
 menus, adverts and footers say the same everywhere, articles do not. A tree over all hosts stands beside
 it for hosts with few pages. Copies of a page count once. Branches of low importance are cut from every page, as are elements whose
-tag or class tells that they are no content.
+tag tells that they are no content, or whose class does and that hold a minor share of the text.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ SILENT = frozenset("head script style noscript template svg math object embed if
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = frozenset("html body table ul ol dl div article section main".split())
-#: Words of a class or id that mark an element as no content.
+#: Words of a class or id that mark an element as no content, if its share of the text is minor.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer masthead menu menus modal nav navbar navigation newsletter notice notices alert popup promo promotion related replies reply respond share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription teaser toolbar widget".split())
 CONTENT = frozenset("article main".split())
 #: Within an article these are its prose and the parts of its lists and tables, and stay however often they are repeated.
@@ -40,23 +40,25 @@ PROSE = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAME = re.compile(r"[^\s\[\]=]+(?!=)\b")
 _ALL = (1 << 64) - 1
 _PARTS = re.compile(r"[^\W\d_]")
 
 
 class Node:
-    __slots__ = ("children", "key", "silent", "tag")
+    __slots__ = ("children", "holds", "key", "marked", "silent", "size", "tag")
 
-    def __init__(self, tag: str, key: str, silent: bool):
-        self.tag, self.key, self.silent = tag, key, silent
+    def __init__(self, tag: str, key: str, silent: bool, marked: bool = False):
+        self.tag, self.key, self.silent, self.marked = tag, key, silent, marked
+        self.size, self.holds = 0, False
         self.children: list[Node | str] = []
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """Key of an element (its tag, classes and id without digits) and whether these mark it as no content."""
+def _describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Key of an element (its tag, classes and id without digits), whether it is hidden or in a role of no content, and whether a word marks it."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return tag, False
-    names, noise = [], False
+        return tag, False, False
+    names, noise, marked = [], False, False
     for m in _NAMES.finditer(attributes):
         what, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if what == "hidden" or what == "aria-hidden" and value == "true":
@@ -64,15 +66,72 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
             continue
         names.append(f"{what}={re.sub(r'[0-9]+', '#', value)}")
         parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)]
-        noise = noise or any(p in NOISE for p in parts) or what == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog")
-    return f"{tag}[{' '.join(sorted(names))}]", noise and tag not in ("html", "body", "main")
+        marked = marked or any(p in NOISE for p in parts)
+        noise = noise or what == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog")
+    return f"{tag}[{' '.join(sorted(names))}]", noise and tag not in ("html", "body", "main"), marked and tag not in ("html", "body", "main")
+
+
+def _judge(root: Node) -> None:
+    """Silence the elements that a word marks, hold no article or main, and together have a minor share of the page's or article's text.
+
+    Where they have half of it or more, the largest and those that share a name with it are opened: what
+    is marked within them is judged instead, and the style tree decides on the rest. A marked article is
+    one unless the page has others that are not marked.
+    """
+    scopes = [root]
+
+    def weigh(node: Node) -> None:
+        for c in node.children:
+            if isinstance(c, str):
+                node.size += len(c) - c.count(" ")
+            elif not c.silent:
+                weigh(c)
+                node.size += c.size
+        if node.tag in CONTENT and node.size:
+            scopes.append(node)
+
+    weigh(root)
+    if any(not x.marked for x in scopes[1:]):
+        scopes = [x for x in scopes if not x.marked]
+    real = {id(x) for x in scopes}
+
+    def find(node: Node) -> bool:
+        for c in node.children:
+            if isinstance(c, Node) and not c.silent and find(c):
+                node.holds = True
+        return node.holds or id(node) in real
+
+    find(root)
+
+    def outer(node: Node, out: list[Node]) -> None:
+        for c in node.children:
+            if isinstance(c, Node) and not c.silent and id(c) not in real:
+                out.append(c) if c.marked and not c.holds else outer(c, out)
+
+    for scope in scopes:
+        front: list[Node] = []
+        outer(scope, front)
+        while front and 2 * sum(x.size for x in front) >= scope.size:
+            big = max(front, key=lambda x: x.size)
+            if not big.size:
+                break
+            names = set(_NAME.findall(big.key)[1:])
+            rest: list[Node] = []
+            for x in front:
+                if x is big or names & set(_NAME.findall(x.key)[1:]):
+                    outer(x, rest)
+                else:
+                    rest.append(x)
+            front = rest
+        for x in front:
+            x.silent = True
 
 
 def parse(text: str) -> Node:
     """A tree of the page, tolerant of missing, crossed and cut tags."""
     root = Node("", "", False)
     stack = [root]
-    at, n = 0, len(text)
+    at, n, judged = 0, len(text), False
     find = _TOKEN.search
     while at < n:
         m = find(text, at)
@@ -112,16 +171,19 @@ def parse(text: str) -> Node:
                 if stack[k].tag in SCOPE:
                     break
         attributes = m[3] or m[6] or ""
-        key, noise = _describe(tag, attributes)
+        key, noise, marked = _describe(tag, attributes)
         parent = stack[-1]
         silent = noise or tag in SILENT or tag == "header" and not any(x.tag in CONTENT for x in stack)
-        node = Node(tag, key, silent)
+        node = Node(tag, key, silent, marked)
+        judged = judged or marked
         parent.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>|</{tag}\Z", re.I).search(text, at)
             at = end.end() if end else n
         elif tag not in VOID:
             stack.append(node)
+    if judged:
+        _judge(root)
     return root
 
 

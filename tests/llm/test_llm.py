@@ -280,6 +280,20 @@ def test_pages_copies_count_once(spark):
     assert got[3] == "copied" and got[70] == "single sc"
 
 
+@pytest.mark.parametrize("wrap", ['<div class="layout has-sidebar">{}</div>', '<div class="no-sidebar"><article>{}</article></div>', '<article class="post category-ads comments-open">{}</article>', '<article><div class="widget-text">{}</div></article>'])
+def test_pages_class_words_do_not_silence_the_text(wrap):
+    text = "A story of many words that goes on for a while."
+    for body in (f"<p>{text}</p>", f'<p>{text}</p><div class="sidebar">links</div><div class="share">send</div>'):
+        assert pages.extract(pages.parse(f"<body><nav>menu</nav>{wrap.format(body)}</body>"), frozenset()) == text
+
+
+def test_pages_class_words_of_posts_and_comments():
+    posts = "".join(f'<div class="post category-{c} comments-open"><p>Post {c}.</p></div>' for c in ("ads", "news", "promo"))
+    assert pages.extract(pages.parse(f'<body>{posts}<div class="ad">buy</div></body>'), frozenset()) == "Post ads. Post news. Post promo."
+    page = '<body><article class="post"><p>A longer story here.</p></article><div id="comments"><article class="comment"><p>Nice</p></article></div></body>'
+    assert pages.extract(pages.parse(page), frozenset()) == "A longer story here."
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert not minhash.near_duplicates(spark, none).count() and not substring.drop_repeats(spark, none).count() and not packing.pack(spark, none, queries.tokenizer_path()).count()
