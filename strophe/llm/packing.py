@@ -25,8 +25,10 @@ from strophe.llm import words as W
 from strophe.llm.store import Workspace
 
 CAPACITY = 4096
-#: Pieces of a group, search nodes of a group, fillings tried around one piece, steps to find them.
+#: Pieces of a group, least search nodes of a group, fillings tried around one piece, steps to find them.
 GROUP, NODES, FILLINGS, STEPS = 4000, 1_000, 8, 400
+#: Search nodes of a group for each sequence of its best fit decreasing packing.
+PACKINGS = 4
 #: Words whose ids a process remembers.
 REMEMBERED = 1_000_000
 
@@ -301,16 +303,32 @@ def fillings(room: int, sizes: list[int], count: dict[int, int], limit: int, ste
     return found[:limit]
 
 
-def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins of lengths, as few as branch and bound finds within so many nodes; never more than best fit decreasing."""
+def bin_completion(lengths: list[int], capacity: int, nodes: int | None = None) -> list[list[int]]:
+    """Bins of lengths, as few as branch and bound finds within so many nodes; never more than best fit decreasing.
+
+    A node places one sequence, so by default there are enough of them for whole packings and for going back.
+    """
     best = best_fit_decreasing(lengths, capacity)
+    if nodes is None:
+        nodes = max(NODES, PACKINGS * len(best))
     bound = lower_bound(lengths, capacity)
     if len(best) <= bound:
         return best
     count: dict[int, int] = {}
     for x in lengths:
         count[x] = count.get(x, 0) + 1
-    sizes = sorted(count)
+    sizes = sorted(count)  # of the pieces left
+
+    def take(x: int) -> None:
+        count[x] -= 1
+        if not count[x]:
+            del sizes[bisect_right(sizes, x) - 1]
+
+    def give(x: int) -> None:
+        if not count[x]:
+            insort(sizes, x)
+        count[x] += 1
+
     total = sum(lengths)
     stack: list[tuple[list[tuple[int, list[int]]], int, int]] = []  # open fillings, largest piece, waste before
     bins: list[list[int]] = []
@@ -325,10 +343,10 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> lis
             options, big = [], 0
             back = True
         else:
-            big = next(x for x in reversed(sizes) if count[x] > 0)
-            count[big] -= 1
+            big = sizes[-1]
+            take(big)
             options = [f for f in fillings(capacity - big, sizes, count, FILLINGS, STEPS) if waste + f[0] <= spare or placed + 1 + len(f[1]) == len(lengths)]
-            count[big] += 1
+            give(big)
             nodes -= 1
             stack.append((options[::-1], big, waste))
             back = False
@@ -341,14 +359,14 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> lis
             if bins and len(bins) == len(stack):
                 done = bins.pop()
                 for x in done:
-                    count[x] += 1
+                    give(x)
                 placed -= len(done)
         if not stack or nodes <= 0:
             return best
         options, big, waste = stack[-1]
         free, chosen = options.pop()
         for x in (big, *chosen):
-            count[x] -= 1
+            take(x)
         bins.append([big, *chosen])
         placed += 1 + len(chosen)
         waste += free

@@ -109,6 +109,14 @@ def test_bin_completion_beats_best_fit():
     assert len(packing.bin_completion(lengths, 10)) == packing.lower_bound(lengths, 10) == 4
 
 
+def test_bin_completion_of_long_pieces():
+    rng = random.Random(1)
+    lengths = [rng.randint(900, 1800) for _ in range(4000)]
+    bins = packing.bin_completion(lengths, 4096)
+    assert sorted(x for b in bins for x in b) == sorted(lengths) and max(map(sum, bins)) <= 4096
+    assert len(bins) < len(packing.best_fit_decreasing(lengths, 4096)) == 1436
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(6, 8))
