@@ -1,7 +1,8 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased (A-Z and the Latin-1 letters),
-so punctuation and case hide nothing. An item of n words is sought in windows of n words of a text.
+so punctuation and case hide nothing. An item of n words is sought in windows of n words of a text, and
+in the whole of a shorter text that holds enough shingles to reach the similarity.
 Windows and items have 128-bit SimHashes of their 5-word shingles, weighted by multiplicity. A
 multi-index over the items' fingerprints (8 blocks of 16 bits, each entered with all values within
 radius // 8 errors) returns every item of the window's size within `radius` bits; each such pair is
@@ -130,6 +131,19 @@ class Items:
             counts = np.r_[0, np.cumsum(hit)]
             for n in np.unique(self.lengths[(np.minimum(self.lengths, self.shingle) == size) & (self.lengths > 0)]).tolist():
                 m = n - size + 1  # shingles of a window
+                # texts shorter than the item are one window each
+                own = np.diff(offsets) - size + 1
+                whole = np.flatnonzero((own > 0) & (own < m) & (own >= self.similarity * m - 1e-9))
+                shared = counts[offsets[whole] + own[whole]] - counts[offsets[whole]]
+                whole = whole[shared >= np.maximum(1, self.similarity / (1 + self.similarity) * (own[whole] + m) - 1e-9)]
+                for t in whole.tolist():
+                    bag = grams[offsets[t] : offsets[t] + own[t]]
+                    _, item, distance = self.within(fingerprints(votes(bag).sum(axis=0, dtype=np.int32)[None]), n)
+                    for i, d in zip(item.tolist(), distance.tolist(), strict=True):
+                        s = self.weighted_similarity(bag, i)
+                        if s >= self.similarity:
+                            found = (-s, 0, int(offsets[t + 1] - offsets[t]), d)
+                            best[t, i] = min(best.get((t, i), found), found)
                 if len(h) < n:
                     continue
                 least = math.ceil(2 * self.similarity / (1 + self.similarity) * m - 1e-9)  # shared by two bags of m at this similarity

@@ -85,6 +85,17 @@ def test_leaks(spark, docs):
     assert decontaminate.drop_contaminated(spark, more, bench).count() == docs.count()
 
 
+def test_leaks_in_texts_shorter_than_the_item(spark):
+    w = [f"word{i}" for i in range(59)]
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(f"other{i}" for i in range(20)))], "item_id long, text string")
+    rows = [(1, " ".join(w[:-1])), (2, " ".join(w[2:-2])), (3, " ".join(w[:40])), (4, "word1 word2"), (5, " ".join(w))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).coalesce(1)
+    got = decontaminate.leaks(spark, docs, bench).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.item_id, r.start, r.n_words) for r in got] == [(1, 1, 0, 58), (2, 1, 0, 55), (5, 1, 0, 59)]
+    assert np.allclose([r.similarity for r in got], [54 / 55, 51 / 55, 1])
+    assert [r.doc_id for r in decontaminate.drop_contaminated(spark, docs, bench).orderBy("doc_id").collect()] == [3, 4]
+
+
 def test_packing_round_trip(spark, docs):
     path = queries.tokenizer_path()
     rows = packing.pack(spark, docs, path, 256).collect()
