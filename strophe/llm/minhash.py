@@ -5,11 +5,13 @@ distance d, the number of min-hashes that differ. Cut into `chunks` chunks, two
 d <= 2 * chunks - 1 have, by pigeonhole, a chunk with at most one error; every chunk is therefore
 entered once for each min-hash left out of it, and all pairs within that distance meet under a common
 key. Pairs that meet at a larger distance are verified as well, never cut. Texts with the same shingle
-set are one class from the start. Items that a set shares with no other member of the larger keys bound
-its similarity to any of them. Under a key, members are compared with a leader, the one with the fewest
-such items; members that can still link to another component are compared block by block in one matrix
-product each, which gives a forest of the links found. So no link between different sets is lost, and a
-group's pairs are not emitted.
+set are one class from the start. Under a key, every member is first compared with a leader, the member
+that meets most others. Keys that then hold one component are done. The members of the others are
+compared by prefixes: in an order of items by rarity, two sets over the threshold share one of the first
+(1 - threshold) * size + 1 items of each, so sets that share none of these cannot link. The lists of
+such items are compared block by block in one matrix product each, which gives a forest of the links
+found; blocks that one component fills aren't compared with each other. So no link between different
+sets is lost, and a group's pairs are not emitted.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from strophe.llm.graph import connected_components
 from strophe.llm.store import Workspace
 
 CHUNKS, WIDTH = 9, 5
-#: Sets and items of a block of the exact comparison.
-BLOCK_SETS, BLOCK_ITEMS = 256, 200_000
+#: Sets and items of a block of the exact comparison, and members of a list from which a component has blocks of its own.
+BLOCK_SETS, BLOCK_ITEMS, OWN_BLOCKS = 256, 200_000, 64
 SET_SALTS = (0x51ED270B35D4F1A7, 0x2545F4914F6CDD1D)
 
 
@@ -91,9 +93,10 @@ def _enter(chunks: int, width: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(b.num_rows, chunks * width)
+            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(b.num_rows, chunks * width)
             keys = chunk_keys(sig, chunks, width)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]))], names=["key", "id"])
+            again = (pa.array(np.repeat(b.column(c).to_numpy(), keys.shape[1])) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *again], names=["key", "id", "n"])
 
     return run
 
@@ -118,27 +121,15 @@ def _gather(n: int):
     return run
 
 
-def _ceiling(percent: int) -> str:
-    """Whether two sets can reach the similarity: na, nb their sizes, ua, ub their items that no other candidate has."""
-    return f"100 * least(na - ua, nb - ub) >= {percent} * (least(na - ua, nb - ub) + ua + ub) and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
-
-
 def _verify(work: Workspace, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) of the linked ones among pairs of ids a, b with na, nb, ua, ub."""
-    new = work.save(pairs.where(_ceiling(percent)).select("a", "b").distinct())
+    """(src, dst) of the linked ones among pairs of ids a, b."""
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    looked = new.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("n"))
+    looked = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("n"))
     return work.save(looked.where(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def can_link(members: DataFrame, percent: int) -> DataFrame:
-    """Members (key, id, n, u) that their own items alone don't keep from every other member of the key."""
-    least = members.groupBy("key").agg(F.min("n").alias("n0"))
-    return members.join(least, "key").where((F.col("n") - F.col("u")) * 100 >= F.greatest("n", F.col("n0") + F.col("u")) * percent).drop("n0")
-
-
 def _block_pairs(percent: int):
     """Links between the sets of two blocks that join different components, as a forest."""
 
@@ -191,24 +182,40 @@ def _forest(x: tuple, y: tuple, percent: int) -> Iterator[tuple[int, int]]:
             yield int(ia[i]), int(ib[j])
 
 
-def _block_edges(work: Workspace, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components among rest (key, id, g, first: the key's least id): sets that keys connect are compared block by block."""
-    clusters = connected_components(work, rest.select(F.col("id").alias("src"), F.col("first").alias("dst")))
-    one = rest.groupBy("id").agg(F.min("g").alias("g")).join(clusters, F.col("id") == F.col("node")).select("id", "g", F.col("component").alias("cluster")).join(sets, "id")
-    one = work.save(one)
-    sizes = one.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.size("items")) / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    dealt = one.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    blocks = work.save(dealt.groupBy("cluster", "blocks", "block").agg(F.collect_list(F.struct("id", "g", "items")).alias("rows")))
-    a = blocks.select("cluster", "block", F.col("rows").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
-    b = blocks.select("cluster", F.col("block").alias("other"), F.col("rows").alias("y"))
-    return work.save(a.join(b, ["cluster", "other"]).select("x", "y").mapInArrow(_block_pairs(percent), "src long, dst long"))
-
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(item, id, g, n) of the items that sets (id, g, items) must be compared by.
 
-def _ordered(left: str, right: str) -> list:
-    """Columns a, b, na, nb, ua, ub of two sides, the smaller id first."""
-    first = F.col(f"{left}.id") < F.col(f"{right}.id")
-    pick = lambda c, one, two: F.when(first, F.col(f"{one}.{c}")).otherwise(F.col(f"{two}.{c}"))
-    return [pick(c, *side).alias(as_) for c, as_, side in (("id", "a", (left, right)), ("id", "b", (right, left)), ("n", "na", (left, right)), ("n", "nb", (right, left)), ("u", "ua", (left, right)), ("u", "ub", (right, left)))]
+    Items are ordered by how many of the sets have them. Of two linked sets each has at least
+    percent * n / 100 items of the other, so its first n - that + 1 items hold a common one. Items of a single set come
+    first in the order and meet nothing: they take their places in the prefix, but make no rows.
+    """
+    each = sets.select("id", "g", F.size("items").alias("n"), F.explode("items").alias("item"))
+    shared = each.groupBy("item").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(shared, "item").groupBy("id", "g", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("s"))
+    places = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1 - (F.col("n") - F.size("s"))
+    return ranked.where(places > 0).select("id", "g", "n", F.explode(F.slice("s", 1, F.greatest(F.lit(1), places))).alias("x")).select(F.col("x.item").alias("item"), "id", "g", "n")
+
+
+def _list_edges(work: Workspace, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components g among sets (id, g, items): the lists of their prefix items are compared block by block."""
+    listed = work.save(_prefixes(sets, percent))
+    counted = listed.groupBy("item", "g").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
+    counted = work.save(counted)
+    # lists of several components; of lists with the same members one
+    open_ = counted.groupBy("item").agg(F.count("*").alias("k"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).where("k > 1").groupBy("h1", "h2").agg(F.min("item").alias("item"))
+    own = F.when(F.col("m") >= OWN_BLOCKS, F.col("g")).otherwise(-1)
+    parts = work.save(counted.join(open_.select("item"), "item").select("item", "g", "m", "s", own.alias("part")))
+    blocks = parts.groupBy("item", "part").agg(F.ceil(F.greatest(F.sum("m") / BLOCK_SETS, F.sum("s") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    dealt = listed.join(parts.select("item", "g", "part"), ["item", "g"]).join(blocks, ["item", "part"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = dealt.select("item", "part", "block", "id").join(sets, "id").groupBy("item", "part", "block").agg(F.collect_list(F.struct("id", "g", "items")).alias("rows"))
+    rows = work.save(rows)
+    alone = rows.where("part = -1").select(F.col("rows").alias("x"), F.col("rows").alias("y"))
+    names = rows.select("item", "part", "block")
+    two = names.select("item", F.col("part").alias("part2"), F.col("block").alias("block2"))
+    pairs = names.join(two, "item").where("struct(part, block) < struct(part2, block2) and (part <> part2 or part = -1)")
+    other = rows.select("item", F.col("part").alias("part2"), F.col("block").alias("block2"), F.col("rows").alias("y"))
+    across = pairs.join(rows, ["item", "part", "block"]).join(other, ["item", "part2", "block2"]).select(F.col("rows").alias("x"), "y")
+    return work.save(alone.unionByName(across).mapInArrow(_block_pairs(percent), "src long, dst long"))
 
 
 def _fetch(work: Workspace, texts: DataFrame, reps: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -235,30 +242,23 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, perce
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key"))
     signed = work.save(texts.mapInArrow(_sign(n, k), "doc_id long, text_key long, n_shingles long, h1 long, h2 long, sig binary"))
     reps = work.save(signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep_doc")).withColumn("id", F.monotonically_increasing_id()))
-    entries = reps.select("id", "sig").mapInArrow(_enter(chunks, width), "key long, id long")
-    shared = work.save(entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("c > 1"))
-    members = work.save(entries.join(shared.where("c > 2").select("key"), "key"))
-    wanted = shared.select(F.col("lo").alias("id")).unionByName(shared.select(F.col("hi").alias("id"))).unionByName(members.select("id")).distinct()
-    sets = _fetch(work, texts, reps, wanted, n)
-    # items that no other member of a larger key has bound what its pairs can reach
-    crowd = sets.join(members.select("id").distinct(), "id")
-    lone = crowd.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    sized = reps.select("id", F.col("n_shingles").alias("n"))
-    known = work.save(crowd.select("id", F.size("items").cast("long").alias("n")).join(lone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u")))
-    open_ = work.save(members.join(known, "id").withColumn("g", F.col("id")))
-    twos = shared.where("c = 2").select("lo", "hi").distinct().join(sized.select(F.col("id").alias("lo"), F.col("n").alias("na")), "lo").join(sized.select(F.col("id").alias("hi"), F.col("n").alias("nb")), "hi")
-    pairs = twos.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "na", "nb", F.lit(0).cast("long").alias("ua"), F.lit(0).cast("long").alias("ub"))
-    # first every key's leader, the member with the fewest such items, and the keys of two
-    leaders = can_link(open_, percent).groupBy("key").agg(F.min(F.struct("u", "id", "n")).alias("l")).select("key", "l.*")
-    star = leaders.alias("l").join(open_.alias("m"), "key").where("l.id <> m.id").select(*_ordered("l", "m"))
-    edges = _verify(work, sets, star.unionByName(pairs), percent)
+    entries = reps.select("id", F.col("n_shingles").alias("n"), "sig").mapInArrow(_enter(chunks, width), "key long, id long, n long")
+    shared = work.save(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    members = work.save(entries.join(shared, "key"))
+    # every key's leader, the member that meets most others, is compared with all members
+    meets = members.groupBy("id").agg(F.sum("c").alias("w"))
+    leaders = members.join(meets, "id").groupBy("key").agg(F.max(F.struct("w", "id", "n")).alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.n").alias("n2"))
+    star = members.join(leaders, "key").where(f"id <> leader and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
+    star = work.save(star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+    sets = _fetch(work, texts, reps, members.select("id").distinct(), n)
+    edges = _verify(work, sets, star, percent)
     groups = connected_components(work, edges)
-    # then all that can still link, in blocks of the sets that share keys
-    named = open_.drop("g").join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "n", "u", F.coalesce("component", "id").alias("g"))
-    rest = can_link(named, percent)
-    split = rest.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("id").alias("first")).where("g0 < g1").select("key", "first")
-    rest = work.save(rest.join(split, "key"))
-    more = _block_edges(work, rest, sets, percent)
+    # then the members of keys that hold several components
+    named = members.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("g"))
+    named = work.save(named)
+    split = named.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("key")
+    rest = named.join(split, "key").select("id", "g").distinct()
+    more = _list_edges(work, work.save(sets.join(rest, "id")), percent)
     groups = connected_components(work, edges.unionByName(more))
     least = reps.join(groups, reps.id == groups.node).groupBy("component").agg(F.min("rep_doc").alias("least"))
     named = reps.join(groups, reps.id == groups.node, "left").join(least, "component", "left")

@@ -143,8 +143,70 @@ def test_vectors(spark):
 
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (60, 60), (None, 3)], "src long, dst long")
-    got = {r.node: r.component for r in graph.connected_components(store.Workspace(spark, "t"), edges).collect()}
-    assert got == {**dict.fromkeys(range(31), 0), 50: 50, 51: 50}
+    want = {**dict.fromkeys(range(31), 0), 50: 50, 51: 50}
+    work = store.Workspace(spark, "t")
+    for small in (graph.SMALL, 4):  # finished in one task, and by star rounds
+        assert {r.node: r.component for r in graph.connected_components(work, edges, small).collect()} == want
+    names = edges.selectExpr("concat('u', src) as src", "concat('u', dst) as dst")
+    for small in (graph.SMALL, 4):
+        assert {r.node: r.component for r in graph.connected_components(work, names, small).collect()} == {f"u{k}": f"u{v}" for k, v in want.items()}
+
+
+def test_least_reachable_against_search():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 300):
+        a, b = rng.integers(0, n, (2, n))
+        want = np.arange(n)
+        for _ in range(n):
+            m = np.minimum(want[a], want[b])
+            np.minimum.at(want, a, m)
+            np.minimum.at(want, b, m)
+        assert (graph.least_reachable(a, b, n) == want).all()
+
+
+def components_of(sets, percent):
+    """Brute force: the least id reachable over links of all pairs."""
+    ids, least = sorted(sets), {d: d for d in sets}
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            changed |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    return least
+
+
+def test_near_duplicates_of_groups_near_the_threshold(spark):
+    """A template's texts below, at and over the similarity, their slots filled from few or many words, and chains of copies."""
+    rng = random.Random(5)
+    rows = []
+    for edits, vocabulary in ((1, 10**6), (2, 4), (3, 3), (5, 10**6)):
+        base = [f"t{edits}{k}" for k in range(60)]
+        for _ in range(60):
+            w = list(base)
+            for k in rng.sample(range(60), edits):
+                w[k] = f"x{k}x{rng.randrange(vocabulary)}"
+            rows.append((len(rows), " ".join(w)))
+    chain = [f"c{k}" for k in range(80)]
+    for k in range(30):
+        rows.append((len(rows), " ".join(chain[:-1] + [f"d{k}"] if k % 3 else chain[k:] + [f"e{j}" for j in range(k)])))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3)
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark, docs, 4).collect()}
+    want = components_of(sets, 80)
+    assert got == want and len(set(want.values())) > 60
+
+
+def test_prefix_lists_hold_every_link(spark):
+    rng = random.Random(2)
+    sets = {i: set(rng.sample(range(14), rng.randint(1, 12))) for i in range(70)} | {100 + i: set(range(1000 + 50 * i, 1040 + 50 * i)) | set(range(100)) for i in range(40)}
+    for percent in (50, 80):
+        rows = spark.createDataFrame([(i, i, sorted(x)) for i, x in sets.items()], "id long, g long, items array<long>")
+        found = minhash._list_edges(store.Workspace(spark, "t"), rows, percent)
+        groups = {r.node: r.component for r in graph.connected_components(store.Workspace(spark, "t"), found).collect()}
+        assert {i: groups.get(i, i) for i in sets} == components_of(sets, percent)
 
 
 def test_token_counts(spark, docs):
