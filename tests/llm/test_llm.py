@@ -329,6 +329,13 @@ def test_pages(spark):
     assert got == "text c"
 
 
+def alone(page, importance=None):
+    """Text of a page that no tree knows, or of which it knows the importance of elements by key."""
+    nodes = pages.parse(page)
+    articles = pages.judge(nodes, "")
+    return pages.extract(nodes, articles, {x.path: v for x in nodes for k, v in (importance or {}).items() if x.key == k})
+
+
 def texts_of(spark, rows):
     return {r.page_id: r.text for r in pages.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
@@ -365,14 +372,84 @@ def test_pages_copies_count_once(spark):
 def test_pages_class_words_do_not_silence_the_text(wrap):
     text = "A story of many words that goes on for a while."
     for body in (f"<p>{text}</p>", f'<p>{text}</p><div class="sidebar">links</div><div class="share">send</div>'):
-        assert pages.extract(pages.parse(f"<body><nav>menu</nav>{wrap.format(body)}</body>"), frozenset()) == text
+        assert alone(f"<body><nav>menu</nav>{wrap.format(body)}</body>") == text
 
 
 def test_pages_class_words_of_posts_and_comments():
     posts = "".join(f'<div class="post category-{c} comments-open"><p>Post {c}.</p></div>' for c in ("ads", "news", "promo"))
-    assert pages.extract(pages.parse(f'<body>{posts}<div class="ad">buy</div></body>'), frozenset()) == "Post ads. Post news. Post promo."
+    assert alone(f'<body>{posts}<div class="ad">buy</div></body>') == "Post ads. Post news. Post promo."
     page = '<body><article class="post"><p>A longer story here.</p></article><div id="comments"><article class="comment"><p>Nice</p></article></div></body>'
-    assert pages.extract(pages.parse(page), frozenset()) == "A longer story here."
+    assert alone(page) == "A longer story here."
+
+
+def test_pages_importance_decides(spark):
+    """The tree's importance overrules what a class tells, both ways, and without it the result differs."""
+    page = '<body><div class="share">{}</div><div class="c">{}</div><p>Story of {}</p></body>'
+    assert alone(page.format("x", "y", "z")) == "y Story of z"  # no tree: the class decides
+    varied = '<i>a</i><b>b</b>', '<b>c</b>', '<u>d</u><b>e</b>', '<i>f</i>'
+    rows = [(i, "http://v.com/", page.format(f"{varied[i % 4]}{chr(97 + i)}<em>{'<s>q</s>' * (i % 2)}</em>", "Same line", chr(97 + i))) for i in range(24)]
+    rows = [(i, u, h.replace('<em>', f'<em class="k{chr(97 + i)}">')) for i, u, h in rows]
+    got = texts_of(spark, rows)
+    text = lambda i: re.sub("<[^>]*>", "", f"{varied[i % 4]}{chr(97 + i)}{'q' * (i % 2)}")
+    assert got == {i: f"{text(i)} Story of {chr(97 + i)}" for i in range(24)}
+    inside = [(i, "http://w.com/", f'<article><div class="box">Read on</div><div class="own">Own {chr(97 + i)}</div><p>Text {chr(97 + i)}</p></article>') for i in range(24)]
+    assert texts_of(spark, inside) == {i: f"Own {chr(97 + i)} Text {chr(97 + i)}" for i in range(24)}
+    assert alone(inside[0][2]) == "Read on Own a Text a"
+    beside = [(i, "http://x.com/", f'<h1>Title</h1><div class="lead">Lead {chr(97 + i)}</div><div class="top">Top</div><article><p>Text {chr(97 + i)}</p></article>') for i in range(24)]
+    assert texts_of(spark, beside) == {i: f"Lead {chr(97 + i)} Text {chr(97 + i)}" for i in range(24)}
+
+
+def test_pages_importance_against_entropy(spark):
+    """Importance of every path against the entropies of contents and presentations, counted page by page."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        menu = "".join(f"<a>{rng.choice('xy')}</a>" if rng.random() < 0.7 else f"<b>{rng.choice('xyz')}</b>" for _ in range(rng.randint(1, 3)))
+        rows.append((i, "http://e.com/", f'<div class="m">{menu}</div><div class="t"><p>{rng.choice(["one", "two", "three"])}</p>{"<p>more</p>" * rng.randint(0, 2)}<h2>{i}</h2> unique {chr(97 + i % 26)}{chr(97 + i // 26)}</div>'))
+    shows = collections.defaultdict(lambda: (collections.Counter(), collections.Counter(), set()))
+    for i, _, h in rows:
+        nodes = pages.parse(h)
+        pages.judge(nodes, "e.com")
+        for path, kind, value in pages.observe(nodes):
+            if kind < 2:
+                shows[path][kind][value] += 1
+            shows[path][2].add(i)
+    got = {r.path & ((1 << 64) - 1): (r.n, r.importance) for r in pages.style_tree(pages._sums(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    assert set(got) == set(shows)
+    for path, (contents, shapes, having) in shows.items():
+        n, want = len(having), 0.0
+        for weight, counts in ((pages.GAMMA, contents), (1 - pages.GAMMA, shapes)):
+            total = sum(counts.values())
+            want += weight * (max(0.0, sum(c * (np.log(n) - np.log(c)) for c in counts.values()) / total / np.log(n)) if n > 1 else 1.0)
+        assert got[path][0] == n and np.isclose(got[path][1], want)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article class="post ad-free"><p>Real text</p></article>', "Real text"),
+        ("<form><main><p>Real text</p></main></form>", "Real text"),
+        ('<article><p class="share-price">Price 5</p><p>Other</p></article>', "Price 5 Other"),
+        ('<body><h1>Title</h1><p class="lead">Lead</p><article><p>Body</p></article></body>', "Title Lead Body"),
+        ('<div id="comments">hi there</div><div class="ad">x</div><div><p>text of a page that is long</p></div>', "text of a page that is long"),
+        ("<form><div>all of the text</div></form>", "all of the text"),
+        ("<article>a &lt;b&gt; &#233;<br>c<nav>menu</nav><form>f</form></article>", "a <b> é c"),
+    ],
+)
+def test_pages_kept_whole(page, text):
+    assert alone(page) == text
+
+
+def test_pages_of_any_depth_and_length(spark):
+    deep = "<div>" * 10_000 + "bottom" + "</div>" * 10_000
+    crossed = "<b>" * 3_000 + "<p>a</i></u>" * 300
+    long = "<article>" + "".join(f"<p>block {i}</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://d.com/", deep), (2, "http://d.com/", crossed), (3, "http://d.com/", long), (3, "http://d.com/", long), (None, None, "<p>no id"), (4, "", "")]
+    got = pages.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.page_id].append(r.text)
+    assert by == {1: ["bottom"], 2: [" ".join("a" * 300)], 3: [" ".join(f"block {i}" for i in range(20_000))] * 2, None: ["no id"], 4: [""]}
 
 
 def test_empty_tables(spark, docs):
