@@ -8,10 +8,10 @@ key. Pairs that meet at a larger distance are verified as well, never cut. Texts
 set are one class from the start. Under a key, every member is first compared with a leader, the member
 that meets most others. Keys that then hold one component are done. The members of the others are
 compared by prefixes: in an order of items by rarity, two sets over the threshold share one of the first
-(1 - threshold) * size + 1 items of each, so sets that share none of these cannot link. The lists of
-such items are compared block by block in one matrix product each, which gives a forest of the links
-found; blocks that one component fills aren't compared with each other. So no link between different
-sets is lost, and a group's pairs are not emitted.
+(1 - threshold) * size + 1 items of each, so sets that share none of these cannot link. Sets with such
+items in common are dealt into blocks, and blocks are compared in one matrix product each, which gives a
+forest of the links found; blocks that one component fills aren't compared with each other. So no link
+between different sets is lost, and a group's pairs are not emitted.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from strophe.llm.graph import connected_components
 from strophe.llm.store import Workspace
 
 CHUNKS, WIDTH = 9, 5
-#: Sets and items of a block of the exact comparison, and members of a list from which a component has blocks of its own.
+#: Sets and items of a block of the exact comparison, and sets from which a component has blocks of its own.
 BLOCK_SETS, BLOCK_ITEMS, OWN_BLOCKS = 256, 200_000, 64
 SET_SALTS = (0x51ED270B35D4F1A7, 0x2545F4914F6CDD1D)
 
@@ -189,32 +189,37 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     percent * n / 100 items of the other, so its first n - that + 1 items hold a common one. Items of a single set come
     first in the order and meet nothing: they take their places in the prefix, but make no rows.
     """
-    each = sets.select("id", "g", F.size("items").alias("n"), F.explode("items").alias("item"))
-    shared = each.groupBy("item").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = each.join(shared, "item").groupBy("id", "g", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("s"))
+    each = sets.select("id", F.explode("items").alias("item"))
+    shared = each.groupBy("item").agg(F.count("*").cast("int").alias("c")).where("c > 1")
+    ranked = each.join(shared, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("s"))
+    ranked = ranked.join(sets.select("id", "g", F.size("items").alias("n")), "id")
     places = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1 - (F.col("n") - F.size("s"))
     return ranked.where(places > 0).select("id", "g", "n", F.explode(F.slice("s", 1, F.greatest(F.lit(1), places))).alias("x")).select(F.col("x.item").alias("item"), "id", "g", "n")
 
 
 def _list_edges(work: Workspace, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components g among sets (id, g, items): the lists of their prefix items are compared block by block."""
-    listed = work.save(_prefixes(sets, percent))
-    counted = listed.groupBy("item", "g").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
+    """Links across components g among sets (id, g, items).
+
+    The sets of a prefix item are its list. Sets that lists of several components connect are dealt into
+    blocks, those of a large component apart, and blocks with a common list are compared.
+    """
+    listed = _prefixes(sets, percent)
+    open_ = listed.groupBy("item").agg(F.min("id").alias("first"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1")
+    listed = work.save(listed.join(open_.select("item", "first"), "item"))
+    clusters = connected_components(work, listed.select(F.col("id").alias("src"), F.col("first").alias("dst")))
+    dealt = listed.select("id", "g", "n").distinct().join(clusters, F.col("id") == F.col("node")).select("id", "g", "n", F.col("component").alias("cluster"))
+    counted = dealt.groupBy("cluster", "g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).withColumn("part", F.when(F.col("m") >= OWN_BLOCKS, F.col("g")).otherwise(-1))
     counted = work.save(counted)
-    # lists of several components; of lists with the same members one
-    open_ = counted.groupBy("item").agg(F.count("*").alias("k"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).where("k > 1").groupBy("h1", "h2").agg(F.min("item").alias("item"))
-    own = F.when(F.col("m") >= OWN_BLOCKS, F.col("g")).otherwise(-1)
-    parts = work.save(counted.join(open_.select("item"), "item").select("item", "g", "m", "s", own.alias("part")))
-    blocks = parts.groupBy("item", "part").agg(F.ceil(F.greatest(F.sum("m") / BLOCK_SETS, F.sum("s") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    dealt = listed.join(parts.select("item", "g", "part"), ["item", "g"]).join(blocks, ["item", "part"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = dealt.select("item", "part", "block", "id").join(sets, "id").groupBy("item", "part", "block").agg(F.collect_list(F.struct("id", "g", "items")).alias("rows"))
-    rows = work.save(rows)
-    alone = rows.where("part = -1").select(F.col("rows").alias("x"), F.col("rows").alias("y"))
-    names = rows.select("item", "part", "block")
-    two = names.select("item", F.col("part").alias("part2"), F.col("block").alias("block2"))
-    pairs = names.join(two, "item").where("struct(part, block) < struct(part2, block2) and (part <> part2 or part = -1)")
-    other = rows.select("item", F.col("part").alias("part2"), F.col("block").alias("block2"), F.col("rows").alias("y"))
-    across = pairs.join(rows, ["item", "part", "block"]).join(other, ["item", "part2", "block2"]).select(F.col("rows").alias("x"), "y")
+    blocks = counted.groupBy("cluster", "part").agg(F.ceil(F.greatest(F.sum("m") / BLOCK_SETS, F.sum("s") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    dealt = dealt.join(counted.select("cluster", "g", "part"), ["cluster", "g"]).join(blocks, ["cluster", "part"])
+    dealt = work.save(dealt.select("id", F.struct("cluster", "part", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).alias("b")))
+    rows = work.save(dealt.join(sets, "id").groupBy("b").agg(F.collect_list(F.struct("id", "g", "items")).alias("rows")))
+    # blocks of one cluster that share an item; those of one component need no comparison
+    held = listed.select("item", "id").join(dealt, "id").select("item", "b").distinct()
+    two = held.select("item", F.col("b").alias("c"))
+    pairs = held.join(two, "item").where("b < c and (b.part <> c.part or b.part = -1)").select("b", "c").distinct()
+    across = pairs.join(rows, "b").join(rows.select(F.col("b").alias("c"), F.col("rows").alias("y")), "c").select(F.col("rows").alias("x"), "y")
+    alone = rows.where("b.part = -1").select(F.col("rows").alias("x"), F.col("rows").alias("y"))
     return work.save(alone.unionByName(across).mapInArrow(_block_pairs(percent), "src long, dst long"))
 
 
@@ -247,15 +252,15 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, perce
     members = work.save(entries.join(shared, "key"))
     # every key's leader, the member that meets most others, is compared with all members
     meets = members.groupBy("id").agg(F.sum("c").alias("w"))
-    leaders = members.join(meets, "id").groupBy("key").agg(F.max(F.struct("w", "id", "n")).alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.n").alias("n2"))
+    leaders = work.save(members.join(meets, "id").groupBy("key").agg(F.max(F.struct("w", "id", "n")).alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.n").alias("n2")))
     star = members.join(leaders, "key").where(f"id <> leader and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
     star = work.save(star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
     sets = _fetch(work, texts, reps, members.select("id").distinct(), n)
     edges = _verify(work, sets, star, percent)
     groups = connected_components(work, edges)
-    # then the members of keys that hold several components
-    named = members.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("g"))
-    named = work.save(named)
+    # then the members of keys that hold several components beside the leader
+    others = members.join(leaders, "key").where("id <> leader").select("key", "id")
+    named = work.save(others.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("g")))
     split = named.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("key")
     rest = named.join(split, "key").select("id", "g").distinct()
     more = _list_edges(work, work.save(sets.join(rest, "id")), percent)
