@@ -20,8 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from strophe.llm import frames
 from strophe.llm import words as W
+from strophe.llm.store import Workspace
 
 SHINGLE, SIMILARITY, RADIUS, BITS, BLOCKS = 5, 0.8, 31, 128, 8
 #: Items and bytes of text of one pass over the documents; a larger benchmark takes more passes.
@@ -183,6 +187,8 @@ def _search(items: Items, ids: pa.Array):
 
 
 def _keep_clean(items: Items, text_at: int):
+    """Rows without a found item in the text at this place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.enter("decontaminate")
         for b in batches:
@@ -194,34 +200,42 @@ def _keep_clean(items: Items, text_at: int):
     return run
 
 
-def _passes(benchmark: DataFrame, shingle: int, radius: int, similarity: float) -> Iterator[tuple[Items, pa.Array]]:
-    """Indexes over slices of the benchmark, each of bounded size."""
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+def _passes(benchmark: DataFrame, shingle: int, radius: int, similarity: float) -> Iterator[tuple[Items, pa.Array, bool]]:
+    """Indexes over slices of the benchmark, one after the other, each of bounded size, and whether there are several."""
+    rows = frames.pick(benchmark, "item_id", "text").where(F.col("text").isNotNull())
     size = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
     n = max(1, -(-(size[0] or 0) // (PASS_ITEMS // 2)), -(-int(size[1] or 0) // (PASS_BYTES // 2)))
+    kind = to_arrow_type(rows.schema["item_id"].dataType)
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).distinct().collect()
         if part:
-            yield Items([r[1] for r in part], shingle, radius, similarity), pa.array([r[0] for r in part], pa.int64())
+            yield Items([r[1] for r in part], shingle, radius, similarity), pa.array([r[0] for r in part], kind), n > 1
 
 
 def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row per document row and benchmark item found in it.
 
-    doc_id, item_id, similarity (weighted Jaccard of the best window), start and n_words (that window, in
+    doc_id, item_id (as benchmark has them, of any type), similarity (weighted Jaccard of the best window, the first of equal ones), start and n_words (that window, in
     words as normalised here), distance (bits). Items of fewer than five words are one shingle, so they
-    match exactly; null items and items without words match nothing, null and empty texts hold nothing.
+    match exactly; null items and items without words match nothing, null and empty texts hold nothing. Repeated
+    documents are each reported; repeated rows of benchmark count once. Other columns are not read. A benchmark
+    of more than PASS_ITEMS / 2 items takes several passes over documents, each written before the next is indexed.
     """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, similarity double, start long, n_words long, distance int"
-    out = spark.createDataFrame([], schema)
-    for items, ids in _passes(benchmark, shingle, radius, similarity):
-        out = out.unionByName(documents.select("doc_id", "text").mapInArrow(_search(items, ids), schema))
+    kinds = [(f.name, f.dataType) for f in (frames.pick(documents, "doc_id").schema[0], frames.pick(benchmark, "item_id").schema[0])]
+    schema = T.StructType([T.StructField(*k) for k in kinds] + list(T.StructType.fromDDL("similarity double, start long, n_words long, distance int")))
+    out, work = spark.createDataFrame([], schema), Workspace(spark, "leaks")
+    for items, ids, several in _passes(benchmark, shingle, radius, similarity):
+        found = frames.pick(documents, "doc_id", "text").mapInArrow(_search(items, ids), schema)
+        out = out.unionByName(work.save(found) if several else found)
     return out
 
 
 def drop_contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """documents without the rows in which an item of benchmark is found; all columns stay."""
-    for items, _ in _passes(benchmark, shingle, radius, similarity):
-        documents = documents.mapInArrow(_keep_clean(items, documents.columns.index("text")), documents.schema)
-    return documents
+    """documents without the rows in which an item of benchmark is found; all columns stay, whatever their names. Null and empty texts stay."""
+    work, rows = Workspace(spark, "clean"), frames.numbered(documents)
+    for items, _, several in _passes(benchmark, shingle, radius, similarity):
+        kept = rows.mapInArrow(_keep_clean(items, frames.place(documents, "text")), rows.schema)
+        rows = work.save(kept, "snappy") if several else kept
+        if several:
+            work.only(rows)
+    return rows.select(*frames.named(rows, documents.columns))

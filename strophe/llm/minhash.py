@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.llm import frames
 from strophe.llm import words as W
 from strophe.llm.graph import connected_components
 from strophe.llm.store import Workspace
@@ -244,7 +245,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, perce
     """
     work = Workspace(spark, "near")
     k = chunks * width
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key"))
+    texts = frames.pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key"))
     signed = work.save(texts.mapInArrow(_sign(n, k), "doc_id long, text_key long, n_shingles long, h1 long, h2 long, sig binary"))
     reps = work.save(signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep_doc")).withColumn("id", F.monotonically_increasing_id()))
     entries = reps.select("id", F.col("n_shingles").alias("n"), "sig").mapInArrow(_enter(chunks, width), "key long, id long, n long")
@@ -265,6 +266,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, perce
     rest = named.join(split, "key").select("id", "g").distinct()
     more = _list_edges(work, work.save(sets.join(rest, "id")), percent)
     groups = connected_components(work, edges.unionByName(more))
+    work.only(signed, reps, groups)
     least = reps.join(groups, reps.id == groups.node).groupBy("component").agg(F.min("rep_doc").alias("least"))
     named = reps.join(groups, reps.id == groups.node, "left").join(least, "component", "left")
     named = named.select("h1", "h2", F.coalesce("component", "id").alias("group_id"), F.coalesce("least", "rep_doc").alias("least"))
@@ -277,12 +279,13 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, perce
 def drop_near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """documents without the near-duplicates of others: one row of each component stays, one with its least doc_id.
 
-    Of rows that repeat both doc_id and text one stays; empty texts all stay. Columns are kept as they are.
+    Of rows that repeat both doc_id and text one stays; empty texts all stay. Columns are kept as they are, whatever their names.
     """
     marks = near_duplicates(spark, documents, n, percent).where("kept").select("doc_id", "text_key", "group_id")
     marks = Workspace(spark, "keep").save(marks.groupBy("group_id", "doc_id", "text_key").agg(F.count("*").alias("same")))
     one = marks.where("group_id is not null").groupBy("group_id", "doc_id").agg(F.min(F.struct("text_key", "same")).alias("x"))
     keep = one.select("doc_id", "x.text_key", "x.same").unionByName(marks.where("group_id is null").select("doc_id", "text_key", F.lit(1).cast("long").alias("same")))
-    rows = documents.alias("d").join(keep.alias("k").hint("shuffle_hash"), F.expr("cast(d.doc_id as long) <=> k.doc_id and xxhash64(d.text) = k.text_key"))
-    cols = [F.col(f"d.`{c}`") for c in documents.columns]
-    return rows.where("k.same = 1").select(*cols).unionByName(rows.where("k.same > 1").select(*cols).dropDuplicates(["doc_id", "text"]))
+    d, text = (f"c{frames.place(documents, c)}" for c in ("doc_id", "text"))
+    rows = frames.numbered(documents).join(keep.hint("shuffle_hash"), F.expr(f"cast({d} as long) <=> doc_id and xxhash64({text}) = text_key")).drop("doc_id", "text_key")
+    once = rows.where("same = 1").unionByName(rows.where("same > 1").dropDuplicates([d, text]))
+    return once.select(*frames.named(once, documents.columns))

@@ -8,6 +8,7 @@ marginals, put on the scale of a probability by a two-parameter logistic fit.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,12 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strophe.llm import frames
 from strophe.llm import words as W
 
 #: The labelled rows that a fit may use at most (taken in the order of a hash of doc_id).
 SAMPLE = 6000
 STEPS, PENALTY = 150, 1e-3
+#: The lines in a row that a text gives to a fit at most, from a place that a hash of its lines draws; scores are of whole texts.
+LINES = 128
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other ASCII, 1 lower, 2 upper, 3 digit, 4 sentence mark, 5 symbol, 6 non-ASCII, 7 white space
 _CLASS[33:127] = 5
@@ -207,24 +212,41 @@ def fit_lines(lines: Lines, labels: np.ndarray) -> QualityModel:
     return model
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    W.enter("quality")
+def _drawn(sizes: np.ndarray, s: int, e: int, lines: int) -> tuple[int, int]:
+    """At most so many lines in a row of lines s to e, from a place that their sizes draw."""
+    if e - s <= lines:
+        return s, e
+    at = s + zlib.crc32(sizes.astype("<f8").tobytes()) % (e - s - lines + 1)
+    return at, at + lines
+
+
+def _features(lines: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.enter("quality")
+        yield from _each(batches, lines)
+
+    return run
+
+
+def _each(batches: Iterator[pa.RecordBatch], lines: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, j, buf, offsets in W.pieces(b.column(1)):
             x = lines_of(buf, offsets)
-            parts = [(x.features[s:e].astype("<f4").tobytes(), x.sizes[s:e].astype("<f4").tobytes()) for s, e in zip(x.offsets[:-1].tolist(), x.offsets[1:].tolist(), strict=True)]
+            spans = [_drawn(x.sizes[s:e], s, e, lines) for s, e in zip(x.offsets[:-1].tolist(), x.offsets[1:].tolist(), strict=True)]
+            parts = [(x.features[s:e].astype("<f4").tobytes(), x.sizes[s:e].astype("<f4").tobytes()) for s, e in spans]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["label", "features", "sizes"])
 
 
-def fit_quality(spark: SparkSession, documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """A model from documents (doc_id, text) with labels (doc_id, quality), at most `sample` of them.
+def fit_quality(spark: SparkSession, documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> QualityModel:
+    """A model from documents (doc_id, text) with labels (doc_id, quality), at most `sample` of them and `lines` lines of each, which bounds what reaches the driver.
 
     Used are rows whose crc32 of doc_id as text, modulo 4, is not 2. Null labels don't count; several
     labels of a document are averaged. Without labels every text scores 0.5 or near it.
     """
-    known = labels.where("quality is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+    documents = frames.pick(documents, "doc_id", "text")
+    known = frames.pick(labels, "doc_id", "quality").where("quality is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     some = known.join(documents.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text").mapInArrow(_features, "label int, features binary, sizes binary").collect()
+    rows = documents.join(F.broadcast(some), "doc_id").select("label", "text").mapInArrow(_features(lines), "label int, features binary, sizes binary").collect()
     rows.sort(key=lambda r: (r[1], r[0]))
     width = 3 * BASE + 2
     features = np.frombuffer(b"".join(r[1] for r in rows), "<f4").reshape(-1, width).astype(float)
@@ -238,13 +260,16 @@ def _score(model: QualityModel, text_at: int):
         W.enter("quality")
         for b in batches:
             out = [model.scores(lines_of(buf, offsets)) for _, _, buf, offsets in W.pieces(b.column(text_at))]
-            yield b.append_column("__score", pa.array(np.concatenate(out) if out else np.zeros(0)))
+            yield b.append_column("score", pa.array(np.concatenate(out) if out else np.zeros(0)))
 
     return run
 
 
 def score_quality(documents: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
-    """documents with a score of 0 to 1 in column `name` (replaced if there); null and blank texts get the model's score of such texts."""
-    kept = documents.drop(name)
-    scored = kept.mapInArrow(_score(model, kept.columns.index("text")), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "__score double"]))
-    return scored.withColumnRenamed("__score", name)
+    """documents with a score of 0 to 1 in column `name`, replaced if there; other columns may have any names.
+
+    Null and blank texts get the model's score of such texts. Repeated rows get the same score.
+    """
+    rows = frames.numbered(documents)
+    scored = rows.mapInArrow(_score(model, frames.place(documents, "text")), T.StructType([*rows.schema, T.StructField("score", T.DoubleType())]))
+    return scored.select(*[c for c, n in zip(frames.named(scored, documents.columns), documents.columns, strict=True) if n != name], F.col("score").alias(name))

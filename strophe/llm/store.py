@@ -1,8 +1,8 @@
 """Intermediate tables in the cluster's shared folder.
 
 Lineage is cut by writing a Parquet table under ``spark.checkpoint.dir`` and reading it back, so a
-lost executor costs the running tasks only. A private folder is used where the setting is absent
-(local tests).
+lost executor costs the running tasks only. Where the setting is absent a local session (as in tests) gets a private
+folder; on a cluster that is an error, as executors don't share local folders.
 """
 
 from __future__ import annotations
@@ -16,28 +16,36 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one if the session has none."""
+    """The folder of spark.checkpoint.dir; a temporary one if a local session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="strophe-"))
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, as texts may be very long."""
+    """Bound the rows of an Arrow batch, as texts may be very long.
+
+    Spark reads this setting when a plan runs, and operators return plans, so it stays lowered for the session.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 class Workspace:
-    """Named tables of one operator call: ``save`` writes and rereads, ``drop`` frees disk early."""
+    """Named tables of one operator call: ``save`` writes and rereads, ``drop`` and ``only`` free disk.
+
+    What the operator's result reads stays until ``clear``, which the caller of the result may use when done with it.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._tables: dict[str, DataFrame] = {}
 
     def save(self, df: DataFrame, compression: str = "uncompressed") -> DataFrame:
         """Hashes and ids don't shrink, and a codec's buffers outside the heap add up over many small tables; name a codec for texts and runs."""
@@ -46,13 +54,23 @@ class Workspace:
         schema = df.schema
         df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(schema).parquet(path)
-        self._paths[id(out)] = path
+        self._tables[path] = out
         return out
 
+    def _delete(self, path: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(t)))
-            path.getFileSystem(conf).delete(path, True)
+        for path in [p for p, t in self._tables.items() if any(t is x for x in tables)]:
+            del self._tables[path]
+            self._delete(path)
+
+    def only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        self.drop(*(t for t in self._tables.values() if not any(t is x for x in tables)))
+
+    def clear(self) -> None:
+        self._tables.clear()
+        self._delete(self.root)

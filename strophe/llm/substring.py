@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strophe.llm import frames
 from strophe.llm import words as W
 from strophe.llm.store import Workspace
 
@@ -160,19 +162,17 @@ def _expand(window: int):
     return run
 
 
-def _cut(window: int, joined: bool, text_at: int, marks_at: int):
-    """Take the words covered by the marked windows out of the texts."""
+def _cut(window: int, joined: bool):
+    """(row, text, words, removed) of rows (row, text, spans): the words covered by the marked windows are out of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.enter("substring")
         for b in batches:
-            kept_columns = [k for k in range(b.num_columns) if k not in (text_at, marks_at)]
-            names = [*(b.schema.names[k] for k in kept_columns), "__text", "__words", "__removed"]
-            for i, j, buf, offsets in W.pieces(b.column(text_at)):
+            for i, j, buf, offsets in W.pieces(b.column(1)):
                 texts, n_removed = [], np.zeros(j - i, np.int64)
                 w = W.split_words(buf, offsets)
                 raw = buf.tobytes()
-                marks = b.column(marks_at).slice(i, j - i)
+                marks = b.column(2).slice(i, j - i)
                 ends = marks.offsets.to_numpy()
                 flat = marks.flatten()
                 p0, p1 = flat.field("p0").to_numpy(), flat.field("p1").to_numpy()
@@ -196,8 +196,7 @@ def _cut(window: int, joined: bool, text_at: int, marks_at: int):
                     cut = np.flatnonzero(np.diff(kept) != 1)
                     heads, tails = np.r_[kept[:1], kept[cut + 1]], np.r_[kept[cut], kept[-1:]]
                     texts.append(b"".join(raw[w.starts[a + q] : until[t]] for q, t in zip(heads.tolist(), tails.tolist(), strict=True)))
-                columns = [b.column(k).slice(i, j - i) for k in kept_columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(w.counts()), pa.array(n_removed)], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(w.counts()), pa.array(n_removed)], names=["row", "text", "words", "removed"])
 
     return run
 
@@ -231,24 +230,28 @@ def repeated_windows(spark: SparkSession, documents: DataFrame, window: int = 35
     every = "transform(starts, p -> struct(p AS p0, p + more AS p1))"
     some = "flatten(transform(starts, p -> transform(steps, x -> struct(p + x AS p0, p + x AS p1))))"
     found = found.select(*KEY, F.expr(f"if(steps IS NULL, {every}, {some})").alias("spans"))
-    return work.save(found.groupBy(*KEY).agg(F.flatten(F.collect_set("spans")).alias("spans")))
+    spans = work.save(found.groupBy(*KEY).agg(F.flatten(F.collect_set("spans")).alias("spans")))
+    work.only(spans)
+    return spans
 
 
-def drop_repeats(spark: SparkSession, documents: DataFrame, window: int = 35, rounds: int = ROUNDS, joined: bool = False) -> DataFrame:
+def drop_repeats(spark: SparkSession, documents: DataFrame, window: int = 35, rounds: int = ROUNDS, joined: bool = False, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """documents with every word taken out that a repeated window covers, plus n_words and n_removed.
 
     Words are runs of anything but ASCII white space and count unchanged. White space around kept words
     stays, or becomes one space each if joined. Null texts stay null and have no words; texts that lose
-    all words become empty. Columns n_words and n_removed of the input are replaced.
+    all words become empty. Repeated rows repeat each other's words, so both lose them. Other columns may have any
+    names; those called as `counts` says are replaced.
     """
-    spans = repeated_windows(spark, documents, window, rounds)
-    others = [c for c in documents.columns if c.lower() not in ("text", "n_words", "n_removed")]
-    rows = documents.select(*[F.col(f"`{c}`") for c in others], F.col("text").alias("__in"), F.xxhash64("text").alias("k1__"), F.hash("text").alias("k2__"))
-    marked = rows.join(spans.hint("shuffle_hash"), (F.col("k1__") == F.col("k1")) & (F.col("k2__") == F.col("k2")) & F.col("__in").isNotNull(), "left")
-    empty = F.array().cast("array<struct<p0:int,p1:int>>")
-    marked = marked.select(*[F.col(f"`{c}`") for c in others], F.col("__in").isNull().alias("__null"), F.coalesce("__in", F.lit("")).alias("__in"), F.coalesce("spans", empty).alias("__spans"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name not in ("__in", "__spans")]
-    at = len(others) + 1
-    done = marked.mapInArrow(_cut(window, joined, at, at + 1), ", ".join([*kinds, "__text string", "__words long", "__removed long"]))
-    order = [F.when(~F.col("__null"), F.col("__text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("n_words", "n_removed")]
-    return done.select(*order, F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed"))
+    at = frames.place(documents, "text")
+    spans = repeated_windows(spark, frames.pick(documents, "text"), window, rounds)
+    others = [i for i, c in enumerate(documents.columns) if i != at and c not in counts]
+    text = F.col(f"c{at}")
+    # the row travels as one struct, so its columns clash with no name used here
+    row = F.struct(F.isnull(text).alias("none"), *[F.col(f"c{i}") for i in others]).alias("row")
+    rows = frames.numbered(documents).select(row, text.alias("whole"), F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"))
+    marked = rows.join(spans.hint("shuffle_hash"), F.expr("t1 = k1 and t2 = k2 and whole is not null"), "left")
+    marked = marked.select("row", F.coalesce("whole", F.lit("")).alias("whole"), F.coalesce("spans", F.array().cast("array<struct<p0:int,p1:int>>")).alias("spans"))
+    done = marked.mapInArrow(_cut(window, joined), T.StructType([rows.schema["row"], *T.StructType.fromDDL("text string, words long, removed long")]))
+    out = [F.when(~F.col("row.none"), F.col("text")).alias(c) if i == at else F.col(f"row.c{i}").alias(c) for i, c in enumerate(documents.columns) if i == at or i in others]
+    return done.select(*out, F.col("words").alias(counts[0]), F.col("removed").alias(counts[1]))

@@ -28,7 +28,7 @@ def path_of(url: Column) -> Column:
 def matched(host: Column, path: Column, rules: list[Rule]) -> Column:
     """Struct (verdict, rule) of the longest rule that fits, null if none does; of equal ones the first."""
     found = F.lit(None).cast("struct<verdict:string,rule:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
+    for verdict, h, p in sorted(reversed(rules), key=lambda r: len(r[1]) + len(r[2])):  # the last one built in decides
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         found = F.when(fits, F.struct(F.lit(verdict).alias("verdict"), F.lit(h + p).alias("rule"))).otherwise(found)
     return found
@@ -70,7 +70,8 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[Rule], redirec
     """One row per row of pages: page_id, url, host, path, rule (null if none fits), verdict.
 
     pages has page_id, url and html; redirects, if given, has src_url and dst_url. Null URLs and URLs
-    without :// have empty host and path and no alias, and get the default.
+    without :// have empty host and path and no alias, and get the default. Of rules of equal length the first counts.
+    Repeated rows are each judged; other columns are not read.
     """
     work = Workspace(spark, "urls")
     edges = link_edges(pages)
