@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import decontaminate, minhash, packing, quality, store, substring
+from strophe.llm import decontaminate, frames, minhash, packing, quality, store, substring
 from strophe.llm.queries import REJECT_BELOW, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,8 +17,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the line field scores below 0.7 go."""
     store.small_batches(spark)
     model = quality.fit_quality(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_quality(docs, model, "__quality")
-    return scored.where(F.col("__quality") >= REJECT_BELOW).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = frames.fresh("quality", docs)
+    scored = frames.numbered(quality.score_quality(docs, model, score))
+    return scored.where(F.col(f"c{len(docs.columns)}") >= REJECT_BELOW).select(*frames.named(scored, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +29,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in repeated windows of 35 words go; n_chars follows where a text changed."""
-    cut = substring.drop_repeats(spark, docs, 35)
+    cut = frames.numbered(substring.drop_repeats(spark, docs, 35, counts=(frames.fresh("n_words", docs), frames.fresh("n_removed", docs))))
+    cols = frames.named(cut, docs.columns)
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+        at, text, removed = docs.columns.index("n_chars"), frames.place(docs, "text"), len(docs.columns) + 1
+        cols[at] = F.when(F.col(f"c{removed}") > 0, F.char_length(f"c{text}").cast(docs.schema[at].dataType)).otherwise(F.col(f"c{at}")).alias("n_chars")
+    return cut.select(*cols)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
