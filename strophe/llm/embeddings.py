@@ -2,7 +2,7 @@
 
 Unit vectors are within cosine c exactly if they are within eps = sqrt(2 - 2 c) of each other. Vectors
 are put on a grid of width eps over the leading principal dimensions and sorted by cell; the order is
-cut into intervals with bounding boxes. Interval pairs meet over the cells of the first dimension, are
+cut into intervals with bounding boxes. Interval pairs meet over the cells of the grid that touch, are
 skipped if their boxes are provably further apart than eps, and are halved recursively under the same
 test down to leaves, where cosines are computed in double precision.
 """
@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import words as W
+from strophe.llm import frames
 from strophe.llm.graph import connected_components
 from strophe.llm.store import Workspace
 
@@ -96,10 +97,10 @@ def _cut(size: int):
             one = [
                 [open_[0][1]], [len(open_[0][3])], [[r[0] for r in open_]], [[r[2] for r in open_]], [b"".join(r[3] for r in open_)],
                 [np.ascontiguousarray(places).tobytes()], [places.min(axis=0).tolist()], [places.max(axis=0).tolist()],
-                [sorted({r[5][0] for r in open_})],
+                [sorted({tuple(r[5]) for r in open_})],
             ]
             open_.clear()
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32())]
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, kinds, strict=True)], names=["label", "bytes", "ids", "times", "vectors", "places", "low", "high", "cells"])
 
         for b in batches:
@@ -180,30 +181,36 @@ def _join(cosine: float, eps: float):
     return run
 
 
+def _around(cell: Column) -> Column:
+    """The cells that touch a cell, itself included."""
+    steps = product((-1, 0, 1), repeat=GRID_DIMENSIONS)
+    return F.array(*[F.array(*[(F.get(cell, k) + s).cast("int") for k, s in enumerate(step)]) for step in steps])
+
+
 def near_vectors(spark: SparkSession, embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     """One row per row of embeddings (vec_id, embedding, label): n_links, component_id, kept.
 
     Vectors link if their labels are equal and not null and their cosine, in double precision, is at
     least `cosine`. Null, empty or zero vectors, vectors with null or non-finite parts, and vectors of
     different dimension counts do not link. Repeated rows link with each other. A null vec_id counts as
-    larger than any other; kept compares null-safe.
+    larger than any other; kept compares null-safe. Labels are of any type that has a text form. Other columns are not read.
     """
     eps = math.sqrt(2 - 2 * cosine)
     work = Workspace(spark, "vectors")
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"), F.col("label").cast("int").alias("label"))
-    named = work.save(rows.mapInArrow(_name, "vec_id long, label int, vector binary"))
+    rows = frames.pick(embeddings, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"), F.col("label").cast("string").alias("label"))
+    named = work.save(rows.mapInArrow(_name, "vec_id long, label string, vector binary"))
     classes = named.where("vector is not null").groupBy("label", "vector").agg(F.count("*").alias("times"), F.min("vec_id").alias("least"))
     classes = work.save(classes.select(F.monotonically_increasing_id().alias("id"), "label", "times", "vector", "least"))
     sizes = [r[0] for r in classes.select(F.length("vector")).distinct().collect()]
     axes = {n // 8: principal_axes(classes.where(F.length("vector") == n), n // 8, BOX_DIMENSIONS) for n in sizes}
-    placed = classes.drop("least").mapInArrow(_project(axes, eps, GRID_DIMENSIONS), "id long, label int, times long, vector binary, cell array<int>, place array<double>")
+    placed = classes.drop("least").mapInArrow(_project(axes, eps, GRID_DIMENSIONS), "id long, label string, times long, vector binary, cell array<int>, place array<double>")
     order = [F.length("vector").alias("n"), "label", "cell", "place", "id"]
     sequence = placed.repartitionByRange("label", "cell", "place", "id").sortWithinPartitions("label", *order[:1], "cell", "place", "id")
-    schema = "label int, bytes int, ids array<long>, times array<long>, vectors binary, places binary, low array<double>, high array<double>, cells array<int>"
+    schema = "label string, bytes int, ids array<long>, times array<long>, vectors binary, places binary, low array<double>, high array<double>, cells array<array<int>>"
     intervals = work.save(sequence.mapInArrow(_cut(INTERVAL), schema).withColumn("interval", F.monotonically_increasing_id()))
     box = intervals.select("interval", "label", "bytes", "low", "high", "cells")
     left = box.select("interval", "label", "bytes", "low", "high", F.explode("cells").alias("cell"))
-    right = box.select(F.col("interval").alias("other"), "label", "bytes", F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.array_distinct(F.flatten(F.transform("cells", lambda c: F.array(c - 1, c, c + 1))))).alias("cell"))
+    right = box.select(F.col("interval").alias("other"), "label", "bytes", F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.array_distinct(F.flatten(F.transform("cells", _around)))).alias("cell"))
     gap = F.aggregate(F.sequence(F.lit(0), F.size("low") - 1), F.lit(0.0), lambda s, i: s + F.pow(F.greatest(F.lit(0.0), F.get("low", i) - F.get("high2", i), F.get("low2", i) - F.get("high", i)), 2))
     pairs = left.join(right, ["label", "bytes", "cell"]).where("interval <= other").where(gap <= (eps + 1e-9) ** 2).select("interval", "other").distinct()
     a = intervals.select("interval", "bytes", "ids", "times", "vectors", "places")
@@ -215,6 +222,7 @@ def near_vectors(spark: SparkSession, embeddings: DataFrame, cosine: float = 0.9
     of = classes.join(counts, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
     of = of.select("label", "vector", "least", "times", F.coalesce("component", "id").alias("g"), F.coalesce("links", F.lit(0)).alias("links"))
     of = work.save(of)
+    work.only(named, of)
     small = of.groupBy("g").agg(F.min("least").alias("component_id"))
     of = of.join(small, "g").select("label", "vector", (F.col("times") - 1 + F.col("links")).alias("links"), F.col("component_id").alias("c"), F.lit(True).alias("in"))
     out = named.join(of, ["label", "vector"], "left")

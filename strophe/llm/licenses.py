@@ -14,7 +14,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strophe.llm import frames
 
 #: Licence sentences in their public wording, lower-cased and without punctuation.
 SENTENCES: dict[str, tuple[str, ...]] = {
@@ -138,5 +140,6 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     Sentences are counted from line ends and . ; ! ? : with white space behind; a licence sentence may go over several. Null and empty texts match nothing;
     repeated rows are each reported.
     """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text")).mapInArrow(_scan, f"doc_id {kind}, license string, first_sentence int, n_sentences int, sentence_ids array<string>")
+    documents = frames.pick(documents, "doc_id", "text")
+    schema = T.StructType([documents.schema["doc_id"], *T.StructType.fromDDL("license string, first_sentence int, n_sentences int, sentence_ids array<string>")])
+    return documents.mapInArrow(_scan, schema)

@@ -1,11 +1,11 @@
 """Best-fit packing of tokenised documents by bin completion.
 
 Documents are tokenised where they are read; only (document, piece, length) rows travel. Pieces are
-dealt into groups of bounded size, each packed by bin completion: the largest piece left is put into a
+dealt by a hash into groups of some thousand, each packed by bin completion: the largest piece left is put into a
 new sequence, the undominated fillings of the rest of that sequence are enumerated, and branch and
 bound over them starts from a best-fit-decreasing incumbent and prunes by the waste that an improvement
 can still afford. What a group leaves in badly filled sequences is packed again with that of other
-groups, until one group holds it.
+groups, in groups of the same size, as long as that places a fair share of it.
 """
 
 from __future__ import annotations
@@ -14,19 +14,21 @@ import os
 import zlib
 from array import array
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strophe.llm import frames
 from strophe.llm import words as W
 from strophe.llm.store import Workspace
 
 CAPACITY = 4096
-#: Pieces of a group, least search nodes of a group, fillings tried around one piece, steps to find them.
-GROUP, NODES, FILLINGS, STEPS = 4000, 1_000, 8, 400
+#: Pieces of a group, least search nodes of a group, steps after which a search looks at the fillings found so far.
+GROUP, NODES, STEPS = 4000, 1_000, 400
 #: Search nodes of a group for each sequence of its best fit decreasing packing.
 PACKINGS = 4
 #: Words whose ids a process remembers.
@@ -251,8 +253,8 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     return best
 
 
-def _dominated(filling: list[int], slack: int, left: list[int], used: dict[int, int]) -> bool:
-    """Whether a piece outside could take the place of some of the filling's pieces: such a filling is never better."""
+def _dominated(filling: list[int], slack: int, left: list[int], free: Callable[[int], bool]) -> bool:
+    """Whether a free piece outside could take the place of some of the filling's pieces: such a filling is never better."""
     if len(filling) > 6:
         return False
     sums = {0}
@@ -261,52 +263,58 @@ def _dominated(filling: list[int], slack: int, left: list[int], used: dict[int,
     for s in sums - {0}:
         k = bisect_right(left, s + slack)  # the largest piece of at most s + slack
         while k and left[k - 1] > s:
-            x = left[k - 1]
-            if used.get(x, 0) > 0:
+            if free(left[k - 1]):
                 return True
             k -= 1
-        if s not in filling and used.get(s, 0) > 0:  # one piece for several of the same sum
+        if s not in filling and free(s):  # one piece for several of the same sum
             return True
     return False
 
 
-def fillings(room: int, sizes: list[int], count: dict[int, int], limit: int, steps: int) -> list[tuple[int, list[int]]]:
-    """(waste, pieces) of undominated maximal fillings of room, least waste and fewest pieces first."""
-    found: list[tuple[int, list[int]]] = []
-    budget = [steps]
+def fillings(room: int, sizes: list[int], count: dict[int, int], held: int = 0, steps: int = STEPS) -> Iterator[list[tuple[int, list[int]]]]:
+    """All undominated maximal fillings of room as (waste, pieces), `held` being a piece already taken.
 
-    def descend(free: int, most: int, chosen: list[int]) -> bool:
-        k = bisect_right(sizes, min(free, most))
-        any_fit = False
-        while k:
-            x = sizes[k - 1]
+    They come in batches, found within so many steps or up to an exact one, each with the least waste and fewest pieces first. sizes
+    and count may change between batches as long as they are as before when the next one is asked for.
+    """
+    used = {held: 1}
+    free = lambda x: count.get(x, 0) > used.get(x, 0)
+    chosen: list[int] = []
+    found: list[tuple[int, list[int]]] = []
+    path = [[bisect_right(sizes, room), room, False]]  # sizes to try, room left, whether any fits
+    taken = 0
+    while path:
+        top = path[-1]
+        k = top[0]
+        while k and not free(sizes[k - 1]):
             k -= 1
-            if count[x] <= 0:
-                continue
-            any_fit = True
-            budget[0] -= 1
-            count[x] -= 1
+        if k:
+            x = sizes[k - 1]
+            top[0], top[2] = k - 1, True
+            taken += 1
             chosen.append(x)
-            done = descend(free - x, x, chosen)
-            chosen.pop()
-            count[x] += 1
-            if done or budget[0] <= 0:
-                return done or budget[0] <= 0
-        if not any_fit and not (sizes and any(count[y] > 0 for y in sizes[: bisect_right(sizes, free)])):
-            if free == 0 or not _dominated(chosen, free, sizes, count):
-                found.append((free, list(chosen)))
-            return free == 0
-        return False
-
-    descend(room, room, [])
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    return found[:limit]
+            used[x] = used.get(x, 0) + 1
+            path.append([bisect_right(sizes, min(top[1] - x, x)), top[1] - x, False])
+            continue
+        path.pop()
+        exact = False
+        if not top[2] and not any(free(y) for y in sizes[: bisect_right(sizes, top[1])]) and (not top[1] or not _dominated(chosen, top[1], sizes, free)):
+            found.append((top[1], list(chosen)))
+            exact = not top[1]
+        if path:
+            used[chosen.pop()] -= 1
+        if found and (exact or taken >= steps):
+            yield sorted(found, key=lambda f: (f[0], len(f[1])))
+            found, taken = [], 0
+    if found:
+        yield sorted(found, key=lambda f: (f[0], len(f[1])))
 
 
 def bin_completion(lengths: list[int], capacity: int, nodes: int | None = None) -> list[list[int]]:
     """Bins of lengths, as few as branch and bound finds within so many nodes; never more than best fit decreasing.
 
     A node places one sequence, so by default there are enough of them for whole packings and for going back.
+    No undominated filling is thrown away: where nodes are left the search goes through all of them, and its result is the least.
     """
     best = best_fit_decreasing(lengths, capacity)
     if nodes is None:
@@ -319,80 +327,78 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int | None = None)
         count[x] = count.get(x, 0) + 1
     sizes = sorted(count)  # of the pieces left
 
-    def take(x: int) -> None:
-        count[x] -= 1
-        if not count[x]:
-            del sizes[bisect_right(sizes, x) - 1]
+    def take(pieces: list[int]) -> None:
+        for x in pieces:
+            count[x] -= 1
+            if not count[x]:
+                del sizes[bisect_right(sizes, x) - 1]
 
-    def give(x: int) -> None:
-        if not count[x]:
-            insort(sizes, x)
-        count[x] += 1
+    def give(pieces: list[int]) -> None:
+        for x in pieces:
+            if not count[x]:
+                insort(sizes, x)
+            count[x] += 1
 
     total = sum(lengths)
-    stack: list[tuple[list[tuple[int, list[int]]], int, int]] = []  # open fillings, largest piece, waste before
+    levels: list[tuple[Iterator, list, int, int]] = []  # batches of fillings, open ones, largest piece, waste before
     bins: list[list[int]] = []
     waste, placed = 0, 0
     while True:
-        spare = (len(best) - 1) * capacity - total  # the waste that one sequence fewer leaves
         if placed == len(lengths):
             if len(bins) < len(best):
                 best = [list(b) for b in bins]
             if len(best) <= bound:
                 return best
-            options, big = [], 0
-            back = True
-        else:
+        elif nodes > 0:
             big = sizes[-1]
-            take(big)
-            options = [f for f in fillings(capacity - big, sizes, count, FILLINGS, STEPS) if waste + f[0] <= spare or placed + 1 + len(f[1]) == len(lengths)]
-            give(big)
+            levels.append((fillings(capacity - big, sizes, count, big), [], big, waste))
             nodes -= 1
-            stack.append((options[::-1], big, waste))
-            back = False
-        while stack and (back or not stack[-1][0]):
-            if not back:
-                stack.pop()
-            back = False
-            if not stack:
-                break
-            if bins and len(bins) == len(stack):
+        else:
+            return best
+        spare = (len(best) - 1) * capacity - total  # the waste that one sequence fewer leaves
+        while levels:
+            batches, open_, big, before = levels[-1]
+            if len(bins) == len(levels):
                 done = bins.pop()
-                for x in done:
-                    give(x)
+                give(done)
                 placed -= len(done)
-        if not stack or nodes <= 0:
+            if not open_:
+                open_ += next(batches, [])[::-1]
+            if not open_:
+                levels.pop()
+                continue
+            free, chosen = open_.pop()
+            if before + free <= spare or placed + 1 + len(chosen) == len(lengths):
+                break
+        else:
             return best
-        options, big, waste = stack[-1]
-        free, chosen = options.pop()
-        for x in (big, *chosen):
-            take(x)
         bins.append([big, *chosen])
+        take(bins[-1])
         placed += 1 + len(chosen)
-        waste += free
+        waste = before + free
 
 
-def _pack_group(capacity: int, last: bool):
-    def run(key, rows):
-        import pandas as pd
+def _pack_group(capacity: int):
+    """Every piece of a group with its sequence seq, its offset there, and whether that sequence is well filled."""
 
-        group = key[0]
+    def run(key, rows):
         lengths = rows.length.tolist()
         bins = bin_completion(lengths, capacity)
         by: dict[int, list[int]] = {}
         for i, x in enumerate(lengths):
             by.setdefault(x, []).append(i)
-        order, seq, offset = [], [], []
+        order, seq, offset, good = [], [], [], []
         for k, b in enumerate(bins):
-            full = sum(b)
+            fine = sum(b) >= capacity - capacity // 64
             at = 0
             for x in b:
                 order.append(by[x].pop())
-                seq.append(k if last or full >= capacity - capacity // 64 else -1)
+                seq.append(k)
                 offset.append(at)
+                good.append(fine)
                 at += x
         out = rows.iloc[order][["doc_id", "piece", "start", "length", "ids_crc32", "row"]].reset_index(drop=True)
-        return out.assign(group=group, seq=pd.array(seq, "int64"), offset=pd.array(offset, "int64"))
+        return out.assign(group=key[0], seq=np.array(seq, np.int64), offset=np.array(offset, np.int64), good=good)
 
     return run
 
@@ -402,37 +408,39 @@ def tokenise(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
 
     A null or empty text is the end id alone.
     """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(_tokenise(tokenizer, capacity, end_id, with_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    documents = frames.pick(documents, "doc_id", "text")
+    schema = T.StructType([documents.schema["doc_id"], *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)])
+    return documents.mapInArrow(_tokenise(tokenizer, capacity, end_id, with_ids), schema)
 
 
-def pack(spark: SparkSession, documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
+def pack(spark: SparkSession, documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, group: int = GROUP) -> DataFrame:
     """Where each piece of each document goes: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Every row of documents is packed, repeated rows and null ids too. Only documents of more than
-    capacity tokens are cut. Offsets in a sequence are gapless from 0.
+    Every row of documents is packed, repeated rows, null ids and null or empty texts (the end id alone) too. Only documents of more than
+    capacity tokens are cut. Offsets in a sequence are gapless from 0. Other columns are not read.
+
+    Pieces are dealt by a hash into groups of about `group` pieces, at every level. Sequences that a level leaves badly
+    filled are taken apart and their pieces dealt again, until one group held them all or a level has placed less than a
+    quarter of its pieces well: then its sequences stand as they are.
     """
     work = Workspace(spark, "pack")
     pieces = work.save(tokenise(documents, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     done = pieces.where(F.col("length") == capacity).select(*cols, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     open_ = pieces.where(F.col("length") < capacity)
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long, group long, seq long, offset long"
-    groups = max(1, -(-open_.count() // GROUP))
-    level = 0
-    while True:
+    schema = T.StructType([*pieces.schema, *T.StructType.fromDDL("`group` long, seq long, offset long, good boolean")])
+    left, level = open_.count(), 0
+    while left:
+        groups = -(-left // group)
         dealt = open_.withColumn("group", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).cast("long"))
-        packed = work.save(dealt.groupBy("group").applyInPandas(_pack_group(capacity, groups == 1), schema))
-        sid = F.lit((level + 1) << 56) + F.col("group") * (1 << 20) + F.col("seq")  # row numbers stay under 2**56
-        placed = packed.where("seq >= 0").select(*cols, sid.alias("sequence_id"), "offset")
-        done = done.unionByName(placed)
-        if groups == 1:
-            break
-        open_ = packed.where("seq < 0").select(*cols, "row")
-        left = open_.count()
-        if not left:
-            break
-        groups = min(-(-left // GROUP), max(1, groups // 2))
+        packed = work.save(dealt.groupBy("group").applyInPandas(_pack_group(capacity), schema))
+        again = packed.where("not good").count() if groups > 1 else 0
+        last = groups == 1 or 4 * again > 3 * left
         level += 1
+        # row numbers stay under 2**56; a group is some thousand pieces at every level, so seq stays under 2**20
+        sid = F.lit(level << 56) + F.col("group") * (1 << 20) + F.col("seq")
+        done = done.unionByName((packed if last else packed.where("good")).select(*cols, sid.alias("sequence_id"), "offset"))
+        if last:
+            break
+        open_, left = packed.where("not good").select(*cols, "row"), again
     return done

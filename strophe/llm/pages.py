@@ -23,7 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strophe.llm import frames
 from strophe.llm import words as W
 from strophe.llm.store import Workspace
 from strophe.llm.urls import host_of
@@ -425,7 +427,7 @@ def _importance(sums: DataFrame, *node: str) -> DataFrame:
 
 def _sums(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Pages c of a host that show a value at a path: kind 0 contents, 1 presentations, 2 the path itself, 3 that a tag or class tells something. Copies of a page count once."""
-    rows = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html")
+    rows = frames.pick(pages, "url", "html").where("html is not null").select(host_of(F.col("url")).alias("host"), "html")
     seen = rows.mapInArrow(_observe, "host string, said long, nodes array<struct<path:long,kind:int,value:long>>")
     once = seen.groupBy("host", "said").agg(F.min("nodes").alias("nodes")).select("host", F.inline("nodes"))
     return Workspace(spark, "style").save(once.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c")))
@@ -469,6 +471,6 @@ def main_text(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOL
     known = known.groupBy("host").agg(F.collect_list(F.struct("path", F.col("importance").cast("float").alias("importance"))).alias("known"))
     said = said.groupBy("host").agg(F.collect_set(F.struct("path", "value")).alias("said"))
     known = Workspace(spark, "pages").save(known.join(said, "host", "left"))
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "host", "known", "said")
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(_take(threshold), f"page_id {kind}, url string, text string")
+    pages = frames.pick(pages, "page_id", "url", "html")
+    rows = pages.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "host", "known", "said")
+    return rows.mapInArrow(_take(threshold), T.StructType([pages.schema["page_id"], *T.StructType.fromDDL("url string, text string")]))

@@ -14,9 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Words whose counts a task remembers.
+from strophe.llm import frames
+from strophe.llm import words as W
+
+#: Words whose counts a process remembers.
 REMEMBERED = 500_000
 
 
@@ -96,9 +99,17 @@ class Matcher:
             return total
 
 
+#: Of this process; Python workers serve many tasks.
+_MATCHERS: dict[str, Matcher] = {}
+
+
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(byte_tokens(path))
+        W.enter("tokencounts")
+        if path not in _MATCHERS:
+            _MATCHERS[path] = Matcher(byte_tokens(path))
+            W.remember("tokencounts", _MATCHERS.clear)
+        matcher = _MATCHERS[path]
         for b in batches:
             words, tokens = [], []
             texts = b.column(1).cast(pa.binary())
@@ -117,6 +128,7 @@ def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
 
     Words are runs of bytes other than ASCII white space; each is matched with one space before it against
     the byte-level vocabulary file, longest piece first from its left. Null, empty and blank texts have none.
+    Texts are counted whole; repeated rows are each counted; other columns are not read.
     """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text")).mapInArrow(_count(vocabulary), f"doc_id {kind}, n_words long, n_tokens long")
+    documents = frames.pick(documents, "doc_id", "text")
+    return documents.mapInArrow(_count(vocabulary), T.StructType([documents.schema["doc_id"], *T.StructType.fromDDL("n_words long, n_tokens long")]))

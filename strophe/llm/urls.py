@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.llm import frames
 from strophe.llm.graph import connected_components
 from strophe.llm.store import Workspace
 
@@ -74,6 +75,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[Rule], redirec
     Repeated rows are each judged; other columns are not read.
     """
     work = Workspace(spark, "urls")
+    pages = frames.pick(pages, "page_id", "url", "html")
     edges = link_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(F.col("src_url")).alias("src"), node_of(F.col("dst_url")).alias("dst")).where("src <> dst"))
