@@ -2,7 +2,7 @@
 
 Known licence sentences are found as runs of words anywhere in a text's words, so line ends, comment
 signs and punctuation within them hide nothing; each is given its identifier. Licence rules are ordered sequences of identifiers; at
-each place of a text's identifier sequence the first rule of the list that matches there is reported,
+each place of a text's identifier sequence the first rule of the list that matches there, its sentences at most GAP words apart, is reported,
 and the scan goes on behind it.
 """
 
@@ -12,6 +12,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -24,21 +25,42 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",),
     "mit-notice": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
     "as-is": ("the software is provided as is without warranty of any kind express or implied", "this software is provided by the copyright holders and contributors as is"),
+    "isc-ref": ("licensed under the isc license", "spdx license identifier isc"),
+    "isc-grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
+    "0bsd-grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is",),
+    "zlib-ref": ("licensed under the zlib license", "spdx license identifier zlib"),
+    "zlib-as-is": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",),
+    "zlib-grant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "boost-ref": ("distributed under the boost software license version 1 0", "spdx license identifier bsl 1 0"),
+    "boost-grant": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
+    "unlicense": ("this is free and unencumbered software released into the public domain", "spdx license identifier unlicense"),
     "apache-ref": ("licensed under the apache license version 2 0", "released under the apache license version 2 0", "spdx license identifier apache 2 0"),
     "apache-may": ("you may not use this file except in compliance with the license",),
     "apache-basis": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",),
+    "agpl3-ref": ("licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3 0 only", "spdx license identifier agpl 3 0 or later"),
+    "agpl-free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",),
     "gpl3-ref": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "spdx license identifier gpl 3 0 only", "spdx license identifier gpl 3 0 or later"),
     "gpl2-ref": ("licensed under the gnu general public license version 2", "spdx license identifier gpl 2 0 only", "spdx license identifier gpl 2 0 or later"),
     "gpl-free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",),
-    "gpl-hope": ("this program is distributed in the hope that it will be useful but without any warranty",),
-    "lgpl-ref": ("licensed under the gnu lesser general public license version 2 1", "licensed under the gnu lesser general public license version 3"),
+    "version-3": ("either version 3 of the license or at your option any later version",),
+    "version-2": ("either version 2 of the license or at your option any later version",),
+    "version-2-1": ("either version 2 1 of the license or at your option any later version",),
+    "gpl-hope": ("this program is distributed in the hope that it will be useful but without any warranty", "this library is distributed in the hope that it will be useful but without any warranty"),
+    "lgpl-ref": ("licensed under the gnu lesser general public license version 2 1", "licensed under the gnu lesser general public license version 3", "spdx license identifier lgpl 2 1 only", "spdx license identifier lgpl 2 1 or later", "spdx license identifier lgpl 3 0 only", "spdx license identifier lgpl 3 0 or later"),
+    "lgpl-free": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",),
     "bsd-redist": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
-    "bsd-ref": ("licensed under the bsd license", "released under the bsd license", "spdx license identifier bsd 3 clause", "spdx license identifier bsd 2 clause"),
-    "mpl-ref": ("this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"),
-    "cc-by": ("licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    "cc-by-sa": ("licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    "bsd-source": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",),
+    "bsd-binary": ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",),
+    "bsd-names": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "bsd-ref": ("licensed under the bsd license", "released under the bsd license"),
+    "bsd3-ref": ("spdx license identifier bsd 3 clause",),
+    "bsd2-ref": ("spdx license identifier bsd 2 clause",),
+    "mpl-ref": ("this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0", "spdx license identifier mpl 2 0"),
+    "epl-ref": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "spdx license identifier epl 2 0"),
+    "cc-by": ("licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license", "spdx license identifier cc by 4 0"),
+    "cc-by-sa": ("licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "spdx license identifier cc by sa 4 0"),
     "cc-by-nc": ("licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    "cc0": ("licensed under cc0 1 0", "this work is dedicated to the public domain"),
+    "cc0": ("licensed under cc0 1 0", "this work is dedicated to the public domain", "spdx license identifier cc0 1 0"),
     "reserved": ("all rights reserved",),
 }
 #: Ordered rules: licence name and the identifiers that stand for it in a row; longer evidence first.
@@ -47,24 +69,54 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-ref",)),
     ("MIT", ("mit-grant",)),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-ref",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("Zlib", ("zlib-ref",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-ref",)),
+    ("Unlicense", ("unlicense",)),
     ("Apache-2.0", ("apache-ref", "apache-may", "apache-basis")),
     ("Apache-2.0", ("apache-ref", "apache-may")),
     ("Apache-2.0", ("apache-ref",)),
+    ("BSD-3-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-names", "as-is")),
+    ("BSD-3-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-2-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "as-is")),
+    ("BSD-2-Clause", ("bsd-redist", "bsd-source", "bsd-binary")),
     ("BSD", ("bsd-redist", "as-is")),
     ("BSD", ("bsd-redist",)),
+    ("BSD-3-Clause", ("bsd3-ref",)),
+    ("BSD-2-Clause", ("bsd2-ref",)),
     ("BSD", ("bsd-ref",)),
+    ("AGPL-3.0", ("agpl-free", "version-3", "gpl-hope")),
+    ("AGPL-3.0", ("agpl-free", "version-3")),
+    ("AGPL-3.0", ("agpl3-ref",)),
+    ("AGPL-3.0", ("agpl-free",)),
+    ("GPL-3.0", ("gpl-free", "version-3", "gpl-hope")),
+    ("GPL-3.0", ("gpl-free", "version-3")),
+    ("GPL-2.0", ("gpl-free", "version-2", "gpl-hope")),
+    ("GPL-2.0", ("gpl-free", "version-2")),
     ("GPL", ("gpl-free", "gpl-hope")),
     ("GPL-3.0", ("gpl3-ref",)),
     ("GPL-2.0", ("gpl2-ref",)),
     ("GPL", ("gpl-free",)),
+    ("LGPL", ("lgpl-free", "version-3", "gpl-hope")),
+    ("LGPL", ("lgpl-free", "version-2-1", "gpl-hope")),
+    ("LGPL", ("lgpl-free", "version-2-1")),
     ("LGPL", ("lgpl-ref",)),
+    ("LGPL", ("lgpl-free",)),
     ("MPL-2.0", ("mpl-ref",)),
+    ("EPL-2.0", ("epl-ref",)),
     ("CC-BY-4.0", ("cc-by",)),
     ("CC-BY-SA-4.0", ("cc-by-sa",)),
     ("CC-BY-NC-4.0", ("cc-by-nc",)),
     ("CC0-1.0", ("cc0",)),
     ("All-Rights-Reserved", ("reserved",)),
 )
+#: Words that may stand between a rule's sentences.
+GAP = 200
 
 _BREAK = re.compile(r"\n|(?<=[.;!?:])\s+")
 _WORD = re.compile(r"[^\W_]+")
@@ -73,15 +125,18 @@ _LONGER = re.compile(r"\+|-[^\W_]")
 
 
 class Recogniser:
-    def __init__(self, sentences: dict[str, tuple[str, ...]] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES):
+    def __init__(self, sentences: dict[str, tuple[str, ...]] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES, gap: int = GAP):
+        self.gap = gap
         self.known = {s: k for k, all_ in sentences.items() for s in all_}
         # a text without any of these words holds none of the known sentences
-        words = {max(s.split(), key=len) for s in self.known}
-        self.rare = [w for w in sorted(words) if not any(v != w and v in w for v in words)]
+        self.rare = ahocorasick.Automaton()
+        for s in self.known:
+            self.rare.add_word(max(s.split(), key=len), True)
+        self.rare.make_automaton()
         self.rules = [(i, name, ids) for i, (name, ids) in enumerate(rules)]
 
-    def identify(self, text: str) -> list[tuple[str, int, int]]:
-        """(identifier, start, end) of the known sentences in a lower-cased text, in order; of one within another only the longer."""
+    def identify(self, text: str) -> list[tuple[str, int, int, int, int]]:
+        """(identifier, start, end, first word, last word) of the known sentences in a lower-cased text, in order; of one within another only the longer."""
         stream = f" {' '.join(_WORD.findall(text))} "
         hits = []
         for s, k in self.known.items():
@@ -97,14 +152,14 @@ class Recogniser:
         for first, last, k, s in sorted(hits):
             end = spans[-last][1]
             if -last > most and not (s.startswith("spdx ") and _LONGER.match(text, end)):
-                out.append((k, spans[first][0], end))
+                out.append((k, spans[first][0], end, first, -last))
                 most = -last
         return out
 
     def scan(self, text: str) -> list[tuple[str, int, int, list[str]]]:
         """(licence, first sentence, sentences, identifiers) of each match, in order; sentences count from 0."""
         text = text.lower()
-        if not any(w in text for w in self.rare) or not (found := self.identify(text)):
+        if next(self.rare.iter(text), None) is None or not (found := self.identify(text)):
             return []
         begins, at = [], 0
         for m in _BREAK.finditer(text):
@@ -112,11 +167,12 @@ class Recogniser:
                 begins.append(at)
             at = m.end()
         begins.append(at)
-        ids = [(k, bisect_right(begins, a) - 1, bisect_right(begins, b - 1) - 1) for k, a, b in found]
+        ids = [(k, bisect_right(begins, a) - 1, bisect_right(begins, b - 1) - 1) for k, a, b, _, _ in found]
+        near = [b[3] - a[4] <= self.gap for a, b in zip(found, found[1:], strict=False)]
         out, at = [], 0
         while at < len(ids):
             for _, name, want in self.rules:
-                if tuple(x for x, _, _ in ids[at : at + len(want)]) == want:
+                if tuple(x for x, _, _ in ids[at : at + len(want)]) == want and all(near[at : at + len(want) - 1]):
                     out.append((name, ids[at][1], ids[at + len(want) - 1][2] - ids[at][1] + 1, list(want)))
                     at += len(want)
                     break
@@ -138,7 +194,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     """One row per licence match in documents (doc_id, text): doc_id, license, first_sentence, n_sentences, sentence_ids.
 
     Sentences are counted from line ends and . ; ! ? : with white space behind; a licence sentence may go over several. Null and empty texts match nothing;
-    repeated rows are each reported.
+    repeated rows are each reported. Texts are scanned whole; other columns are not read.
     """
     documents = frames.pick(documents, "doc_id", "text")
     schema = T.StructType([documents.schema["doc_id"], *T.StructType.fromDDL("license string, first_sentence int, n_sentences int, sentence_ids array<string>")])

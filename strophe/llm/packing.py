@@ -274,8 +274,8 @@ def _dominated(filling: list[int], slack: int, left: list[int], free: Callable[[
 def fillings(room: int, sizes: list[int], count: dict[int, int], held: int = 0, steps: int = STEPS) -> Iterator[list[tuple[int, list[int]]]]:
     """All undominated maximal fillings of room as (waste, pieces), `held` being a piece already taken.
 
-    They come in batches, found within so many steps or up to an exact one, each with the least waste and fewest pieces first. sizes
-    and count may change between batches as long as they are as before when the next one is asked for.
+    They come in batches, of what so many steps find or what they find up to an exact one, each with the least waste and fewest pieces first. A
+    batch may be empty. sizes and count may change between batches as long as they are as before when the next one is asked for.
     """
     used = {held: 1}
     free = lambda x: count.get(x, 0) > used.get(x, 0)
@@ -303,7 +303,7 @@ def fillings(room: int, sizes: list[int], count: dict[int, int], held: int = 0,
             exact = not top[1]
         if path:
             used[chosen.pop()] -= 1
-        if found and (exact or taken >= steps):
+        if exact or taken >= steps:
             yield sorted(found, key=lambda f: (f[0], len(f[1])))
             found, taken = [], 0
     if found:
@@ -313,7 +313,7 @@ def fillings(room: int, sizes: list[int], count: dict[int, int], held: int = 0,
 def bin_completion(lengths: list[int], capacity: int, nodes: int | None = None) -> list[list[int]]:
     """Bins of lengths, as few as branch and bound finds within so many nodes; never more than best fit decreasing.
 
-    A node places one sequence, so by default there are enough of them for whole packings and for going back.
+    A node looks for fillings of one sequence, so by default there are enough of them for whole packings and for going back.
     No undominated filling is thrown away: where nodes are left the search goes through all of them, and its result is the least.
     """
     best = best_fit_decreasing(lengths, capacity)
@@ -349,12 +349,9 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int | None = None)
                 best = [list(b) for b in bins]
             if len(best) <= bound:
                 return best
-        elif nodes > 0:
+        else:
             big = sizes[-1]
             levels.append((fillings(capacity - big, sizes, count, big), [], big, waste))
-            nodes -= 1
-        else:
-            return best
         spare = (len(best) - 1) * capacity - total  # the waste that one sequence fewer leaves
         while levels:
             batches, open_, big, before = levels[-1]
@@ -363,9 +360,14 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int | None = None)
                 give(done)
                 placed -= len(done)
             if not open_:
-                open_ += next(batches, [])[::-1]
-            if not open_:
-                levels.pop()
+                batch = next(batches, None)
+                if batch is None:
+                    levels.pop()
+                    continue
+                nodes -= 1
+                if nodes < 0:
+                    return best
+                open_ += batch[::-1]
                 continue
             free, chosen = open_.pop()
             if before + free <= spare or placed + 1 + len(chosen) == len(lengths):
@@ -425,6 +427,11 @@ def pack(spark: SparkSession, documents: DataFrame, tokenizer: str, capacity: in
     """
     work = Workspace(spark, "pack")
     pieces = work.save(tokenise(documents, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))
+    return pack_pieces(work, pieces, capacity, group)
+
+
+def pack_pieces(work: Workspace, pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
+    """Places of pieces (doc_id, piece, start, length, ids_crc32, row), row being a unique number under 2**56."""
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     done = pieces.where(F.col("length") == capacity).select(*cols, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     open_ = pieces.where(F.col("length") < capacity)
