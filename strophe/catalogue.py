@@ -115,9 +115,13 @@ def anticipate(spark, d):
     return sequence.anticipate(_marked(bind.notes(spark, d)))[0]
 
 
-@query(f"{_KEYED} SELECT {COLS} FROM e WHERE kind = 'control' AND ord > fin")
+_LATE = _KEYED.replace(MARKED, MARKED.replace("kind END AS kind, time,", "kind END AS kind, CASE WHEN instr IN (0, 8) THEN time * 2 ELSE time END AS time,"))
+
+
+@query(f"{_LATE} SELECT {COLS} FROM e WHERE kind = 'control' AND ord > fin")
 def anticipate_leftover(spark, d):
-    return sequence.anticipate(_marked(bind.notes(spark, d)))[1]
+    rows = _marked(bind.notes(spark, d))
+    return sequence.anticipate(rows.withColumn("time", F.when(F.col("kind") == "control", F.col("time") * 2).otherwise(F.col("time"))))[1]
 
 
 @query(f"WITH {SEGMENTS} SELECT track, pos, kind, CASE WHEN seg = 0 AND kind <> 'sep' THEN time + 700 ELSE time END AS time, dur, instr, pitch FROM segs")
@@ -232,9 +236,9 @@ def interarrival(spark, d):
 
 @query(f"""WITH {NOTES}, m AS (SELECT track, pos AS src, instr, pitch, time AS tm, 0 AS t FROM notes UNION ALL SELECT track, pos, instr, pitch, time + dur, 1 FROM notes),
 o AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY tm, t, src) - 1 AS pos FROM m),
-f AS (SELECT track, instr, min(pos) AS first FROM o GROUP BY track, instr),
-c AS (SELECT track, instr, CASE WHEN r >= 9 THEN r + 1 ELSE r END AS channel FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY first) - 1 AS r FROM f WHERE instr <> 128) UNION ALL SELECT track, instr, 9 FROM f WHERE instr = 128)
-SELECT o.track, o.pos, o.tm AS time, o.t = 0 AS "on", o.instr, o.pitch, c.channel, o.tm - coalesce(lag(o.tm) OVER (PARTITION BY o.track, o.instr ORDER BY o.pos), 0) AS delta FROM o JOIN c ON c.track = o.track AND c.instr = o.instr""")
+f AS (SELECT track, instr, min(pos) AS first FROM o WHERE t = 0 GROUP BY track, instr),
+c AS (SELECT track, instr, first, CASE WHEN instr = 128 THEN 9 WHEN r >= 9 THEN r + 1 ELSE r END AS channel FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY first) - 1 AS r FROM f))
+SELECT o.track, o.pos, o.tm AS time, o.t = 0 AS "on", o.instr, o.pitch, c.channel, o.tm - coalesce(lag(o.tm) OVER (PARTITION BY o.track, o.instr ORDER BY o.pos), 0) AS delta FROM o JOIN c ON c.track = o.track AND c.instr = o.instr WHERE o.t = 0 OR o.pos > c.first""")
 def midi_schedule(spark, d):
     return codec.midi_schedule(bind.notes(spark, d))
 
@@ -307,9 +311,15 @@ def pack_flags(spark, d):
     return training.pack(*_packable(spark, d, 8)).select("shard", "chunk", "flag", "start", "discarded")
 
 
-@query(f"WITH {MESSAGES}, t AS (SELECT track, pos, least(time - coalesce(lag(time) OVER (PARTITION BY track ORDER BY pos), 0), 999) AS delta, CASE WHEN is_on THEN 1000 ELSE 17512 END + 128 * instr + pitch AS note FROM msg), u AS (SELECT track, pos, 0 AS j, delta AS token FROM t WHERE delta > 0 UNION ALL SELECT track, pos, 1, note FROM t), p AS (SELECT track % 4 AS shard, token, row_number() OVER (PARTITION BY track % 4 ORDER BY track, pos, j) - 1 AS p FROM u) SELECT shard, p // 1024 AS chunk, list(token ORDER BY p) AS tokens FROM p GROUP BY shard, p // 1024 HAVING count(*) = 1024")
+@query(f"""WITH {_GATES}, st AS (SELECT track FROM g WHERE {_GATE} = 0), all_ AS (SELECT track, pos, time, dur, instr, pitch FROM notes UNION ALL SELECT track + 1000000, pos, time, dur, instr, pitch FROM feed),
+msg AS (SELECT track, pos, time, dur % 3 <> 0 AS is_on, instr % 3 AS instr, pitch % 8 AS pitch FROM all_ WHERE track IN (SELECT track FROM st)),
+t AS (SELECT track, pos, least(time - coalesce(lag(time) OVER (PARTITION BY track ORDER BY pos), 0), 999) AS delta, CASE WHEN is_on THEN 1000 ELSE 17512 END + 128 * instr + pitch AS note FROM msg),
+u AS (SELECT track, pos, 0 AS j, delta AS token FROM t WHERE delta > 0 UNION ALL SELECT track, pos, 1, note FROM t UNION ALL SELECT track, -1, 0, 34024 FROM st),
+p AS (SELECT track % 4 AS shard, token, row_number() OVER (PARTITION BY track % 4 ORDER BY track, pos, j) - 1 AS p FROM u) SELECT shard, p // 1024 AS chunk, list(token ORDER BY p) AS tokens FROM p GROUP BY shard, p // 1024 HAVING count(*) = 1024""")
 def pack_interarrival(spark, d):
-    return training.pack_tokens(codec.interarrival(_messages(bind.notes(spark, d))).withColumn("shard", F.col("track") % 4))
+    both = _both(spark, d)
+    shards = both.select("track", (F.col("track") % 4).alias("shard")).distinct()
+    return training.tokenize_interarrival(codec.interarrival(_messages(both)), training.gate(both), shards)
 
 
 _ANY = f"len(list_filter(nomml, lambda n: n >= {SCORE})) > 0"
@@ -363,9 +373,9 @@ def semi_targets(spark, d):
     return bind.read(spark, d, "orders").join(wanted, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_existing(spark, d):
-    return bind.read(spark, d, "customer").join(bind.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return bind.read(spark, d, "customer").join(bind.read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
@@ -374,9 +384,9 @@ def set_intersect(spark, d):
     return part("R").intersect(part("A"))
 
 
-@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7")
 def set_except(spark, d):
-    return bind.read(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(bind.read(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey"))
+    return bind.read(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(bind.read(spark, d, "lineitem").where("l_returnflag = 'R' and l_linenumber = 7").select("l_partkey"))
 
 
 @query("""SELECT CASE WHEN x.k IS NOT NULL THEN 'skipped' WHEN l.k IS NOT NULL THEN 'found' ELSE 'missing' END AS status, count(*) AS n FROM part
@@ -463,15 +473,13 @@ def feasible_rank(spark, d):
 
 @query()
 def greedy_select(spark, d):
-    caps = {r.grp: r.target for r in _targets(spark, d, "c2").collect()}
-    return corpus.select_balanced(spark, _counts(spark, d), bind.files(spark, d), caps, bind.BIG)
+    return corpus.select_balanced(spark, _counts(spark, d), bind.files(spark, d), _targets(spark, d, "c2"), bind.BIG)
 
 
 @query()
 def calibrate(spark, d):
-    goals = {r.grp: r.target for r in _targets(spark, d, "c2").collect()}
-    goal = bind.read(spark, d, "lineitem").agg(F.sum(F.col("l_quantity").cast("long"))).first()[0] // 20
-    return corpus.calibrate(spark, _counts(spark, d), bind.files(spark, d), goals, bind.BIG, goal)
+    goal = bind.read(spark, d, "lineitem").agg(F.floor(F.sum(F.col("l_quantity").cast("long")) / 20).alias("goal"))
+    return corpus.calibrate(spark, _counts(spark, d), bind.files(spark, d), _targets(spark, d, "c2"), bind.BIG, goal)
 
 
 @query("""WITH l AS (SELECT p_type AS grp, CAST(l_quantity AS BIGINT) AS v FROM lineitem JOIN part ON p_partkey = l_partkey), s AS (SELECT grp, list_sort(list(v)) AS x, count(*) AS n FROM l GROUP BY grp)
@@ -545,7 +553,7 @@ starts AS (SELECT track, CAST(floor((fin - 2000) * {U.format(_QUOTED)}) AS BIGIN
 win AS (SELECT n.track, pos, kind, time - start AS time, least(dur, start + 2000 - time) AS dur, instr, pitch, start FROM notes n JOIN starts s ON s.track = n.track WHERE time BETWEEN start AND start + 2000)"""
 
 
-@query(f"WITH {WINDOWS} SELECT track, start, count(DISTINCT instr) AS parts, count(*) FILTER (WHERE time < 500) AS n FROM win GROUP BY track, start HAVING count(DISTINCT instr) <= 15 AND count(*) FILTER (WHERE time < 500) >= 10")
+@query(f"WITH {WINDOWS} SELECT track, start, count(DISTINCT instr) AS parts, count(*) FILTER (WHERE time <= 500) AS n FROM win GROUP BY track, start HAVING count(DISTINCT instr) <= 15 AND count(*) FILTER (WHERE time <= 500) >= 10")
 def clip_candidates(spark, d):
     return clips.clip_candidates(clips.random_windows(bind.notes(spark, d), 2000), 500)
 
@@ -557,7 +565,7 @@ def melody_candidates(spark, d):
     return clips.melody_candidates(clips.random_windows(rows, 2000), stats.melody_instrument(rows), 500, 2000, (4, 12), 5)
 
 
-@query(f"WITH {WINDOWS}, {_MELODY} SELECT w.track, w.pos, w.kind, w.time, w.dur, w.instr, w.pitch, w.start FROM win w JOIN melody m ON m.track = w.track WHERE w.instr = m.instr OR w.time < 500")
+@query(f"WITH {WINDOWS}, {_MELODY} SELECT w.track, w.pos, w.kind, w.time, w.dur, w.instr, w.pitch, w.start FROM win w JOIN melody m ON m.track = w.track WHERE w.instr = m.instr OR w.time <= 500")
 def accompaniment(spark, d):
     rows = bind.notes(spark, d)
     return clips.accompaniment(clips.random_windows(rows, 2000), stats.melody_instrument(rows), 500).select(*V.NOTE_COLUMNS, "start")
@@ -601,12 +609,39 @@ def history(spark, d):
     return sampling.history(bind.notes(spark, d))
 
 
-@query()
-def prompt_assembly(spark, d):
+_PROMPT = f"""WITH {MARKED}, up AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY time, pos) AS p FROM marked WHERE kind = 'event' AND time BETWEEN 0 AND 3000),
+trk AS (SELECT DISTINCT track FROM marked), gap AS (SELECT track, p, time, coalesce(lag(time) OVER (PARTITION BY track ORDER BY p), 0) AS prev FROM up
+  UNION ALL SELECT t.track, 1000000, 3000, coalesce(max(u.time), 0) FROM trk t LEFT JOIN up u ON u.track = t.track GROUP BY t.track),
+res AS (SELECT track, p, prev + 100 * unnest(range(1, CAST(greatest(0, floor((time - prev - 1) / 100.0)) AS BIGINT) + 1)) AS time FROM gap),
+ev AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY p, j, time) AS p, kind, time, dur, instr, pitch FROM (
+  SELECT track, p, 1 AS j, kind, time, dur, instr, pitch FROM up UNION ALL SELECT track, p, 0, 'rest', time, 0, NULL, NULL FROM res)),
+ctl AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY time, src, pos) AS p, 'control' AS kind, time, dur, instr, pitch FROM (
+  SELECT *, 0 AS src FROM marked WHERE kind = 'control' AND time >= 5 UNION ALL SELECT *, 1 FROM marked WHERE kind = 'event' AND time > 3000)),
+k AS (SELECT *, coalesce(lag(time) OVER (PARTITION BY track ORDER BY p), 0) AS key, 1 AS last FROM ev UNION ALL SELECT *, time - 500, 0 FROM ctl),
+o AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY key, last, p) AS ord FROM k),
+e AS (SELECT *, coalesce(max(CASE WHEN kind <> 'control' THEN ord END) OVER (PARTITION BY track), 0) AS fin FROM o)"""
+
+
+def _prompt(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     events, controls = sequence.split(_marked(bind.notes(spark, d)))
     return sampling.prompt_assembly(sequence.sort(events), 3000, controls)
 
 
+@query(f"{_PROMPT} SELECT track, row_number() OVER (PARTITION BY track ORDER BY ord) - 1 AS pos, kind, time, dur, instr, pitch FROM e WHERE kind <> 'control' OR ord <= fin")
+def prompt_assembly(spark, d):
+    return _prompt(spark, d)[0]
+
+
+@query(f"{_PROMPT} SELECT track, kind, time, dur, instr, pitch FROM e WHERE kind = 'control' AND ord > fin")
+def prompt_waiting(spark, d):
+    return _prompt(spark, d)[1].drop("pos")
+
+
+@query(f"{_PROMPT} SELECT track, CASE WHEN track IN (SELECT track FROM ctl) THEN 55027 ELSE 55026 END AS flag FROM trk")
+def prompt_flags(spark, d):
+    return _prompt(spark, d)[2]
+
+
 @query(_pack_sql(1) + ", c2 AS (SELECT shard, chunk, list_prepend(flag, toks)::INT[] AS t FROM packed WHERE NOT discarded) SELECT shard, chunk, len(t) AS n, t[1] AS first FROM c2")
 def collate(spark, d):
     rows = training.pack(*_packable(spark, d)).where("not discarded").select("shard", "chunk", "tokens")
@@ -757,6 +792,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_rows(spark, sf_dir)
 
 
+from strophe import catalogue_more  # noqa: E402, F401
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

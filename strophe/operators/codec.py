@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions import vocab as V
+from strophe.operators import sequence as S
 
 
 def current_program(messages: DataFrame) -> DataFrame:
@@ -52,21 +53,37 @@ def note_messages(notes: DataFrame) -> DataFrame:
     return rows.select("track", order.cast("long").alias("pos"), F.col("at").alias("time"), (F.col("t") == 0).alias("on"), "instr", "pitch", F.when(F.col("instr") == V.DRUMS, 9).otherwise(0).alias("channel"))
 
 
-def midi_schedule(notes: DataFrame) -> DataFrame:
-    """Messages with channel and delta within their instrument's part; channels follow the first onsets and pass over 9."""
-    rows = note_messages(notes).drop("channel")
-    first = rows.groupBy("track", "instr").agg(F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("track").orderBy("first")) - 1
-    parts = first.where(F.col("instr") != V.DRUMS).withColumn("r", rank).withColumn("channel", F.when(F.col("r") >= 9, F.col("r") + 1).otherwise(F.col("r")))
-    parts = parts.select("track", "instr", "channel").unionByName(first.where(F.col("instr") == V.DRUMS).select("track", "instr", F.lit(9).alias("channel")))
+def with_channels(rows: DataFrame) -> DataFrame:
+    """Messages (track, pos, time, on, instr, pitch) with channel and delta within their instrument's part.
+
+    All parts are numbered in order of their first onsets, passing over 9; drums take a number too, but play on 9.
+    Offs before the first onset of their instrument are passed over.
+    """
+    first = rows.where("on").groupBy("track", "instr").agg(F.min("pos").alias("first"))
+    r = F.row_number().over(Window.partitionBy("track").orderBy("first")) - 1
+    channel = F.when(F.col("instr") == V.DRUMS, 9).otherwise(F.when(r >= 9, r + 1).otherwise(r))
     own = Window.partitionBy("track", "instr").orderBy("pos")
-    return rows.join(parts, ["track", "instr"]).withColumn("delta", F.col("time") - F.coalesce(F.lag("time").over(own), F.lit(0))).select("track", "pos", "time", "on", "instr", "pitch", F.col("channel").cast("long").alias("channel"), F.col("delta").cast("long").alias("delta"))
+    known = rows.join(first.withColumn("channel", channel), ["track", "instr"]).where(F.col("on") | (F.col("pos") > F.col("first")))
+    delta = F.col("time") - F.coalesce(F.lag("time").over(own), F.lit(0))
+    return known.select("track", "pos", "time", "on", "instr", "pitch", F.col("channel").cast("long").alias("channel"), delta.cast("long").alias("delta"))
+
+
+def midi_schedule(notes: DataFrame) -> DataFrame:
+    """Messages of notes with channel and delta within their instrument's part."""
+    return with_channels(note_messages(notes).drop("channel"))
 
 
 def trim_interarrival(tokens: DataFrame) -> DataFrame:
     """Tokens (track, pos, token) up to the last note-on."""
-    last = tokens.groupBy("track").agg(F.max(F.when((F.col("token") >= V.MIDI_ON) & (F.col("token") < V.MIDI_OFF), F.col("pos"))).alias("last"))
-    return tokens.join(last, "track").where("pos <= last").drop("last")
+    on = (F.col("token") >= V.MIDI_ON) & (F.col("token") < V.MIDI_OFF)
+    last = F.max(F.when(on, F.col("pos"))).over(Window.partitionBy("track"))
+    return tokens.withColumn("last", last).where("pos <= last").drop("last")
+
+
+def delta_truncations(messages: DataFrame) -> DataFrame:
+    """(track, truncated): deltas of note messages (track, pos, time) that inter-arrival tokens cut."""
+    delta = F.col("time") - F.coalesce(F.lag("time").over(Window.partitionBy("track").orderBy("pos")), F.lit(0))
+    return messages.withColumn("delta", delta).groupBy("track").agg(F.count_if(F.col("delta") > V.MAX_DELTA).alias("truncated"))
 
 
 def midi_notes(messages: DataFrame) -> DataFrame:
@@ -95,3 +112,13 @@ def interarrival_schedule(tokens: DataFrame) -> DataFrame:
     first = F.min(F.when(F.col("on"), F.col("pos"))).over(Window.partitionBy("track", "instr"))
     rows = rows.withColumn("first", first).where(F.col("on") | (F.col("pos") > F.col("first")))
     return rows.select("track", (F.row_number().over(own) - 1).cast("long").alias("pos"), F.col("time").cast("long").alias("time"), "on", "instr", "pitch")
+
+
+def files_to_events(messages: DataFrame) -> DataFrame:
+    """(track, pos, tokens) of decoded message rows: notes with their durations clamped, as event triples; track is the path."""
+    return S.encode_events(midi_notes(messages))
+
+
+def events_to_schedule(tokens: DataFrame) -> DataFrame:
+    """Messages with channels of event triples (track, pos, tokens), as files are written from; controls play as events."""
+    return midi_schedule(S.sort(S.stack_segments(S.to_events(S.unpad(S.decode_events(tokens))))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +32,18 @@ def genre(styles: Column, scraped: Column | None = None, genres: tuple[str, ...]
     return F.exists(every, lambda s: F.coalesce(F.lower(s).isin(*genres), F.lit(False)))
 
 
+def style(styles: Column, wanted: tuple[str, ...]) -> Column:
+    """Any style exactly, case included, among the wanted ones."""
+    return F.coalesce(F.arrays_overlap(styles, F.array(*[F.lit(x) for x in wanted])), F.lit(False))
+
+
+def records(files: DataFrame, split: str | Column) -> DataFrame:
+    """The record of each file of metadata: missing texts are empty, missing numbers 0."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    number = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
+    return files.select(text("md5"), (split if isinstance(split, Column) else F.lit(split)).alias("split"), number("num_tracks", "long"), text("title"), text("artist"), number("duration", "double"), text("time_signature"), number("tempo", "double"))
+
+
 def track_range(n: Column, low: int = 1, high: int = 16) -> Column:
     return F.coalesce(n, F.lit(0)).between(low, high)
 
@@ -43,6 +55,11 @@ def subset_predicate(name: str, threshold: int = EXPRESSIVE, genres: tuple[str,
     return of[name] & (F.coalesce("md5", F.lit("")) != "")
 
 
+def with_content(files: DataFrame) -> DataFrame:
+    """Files whose bytes (content) are there and not empty."""
+    return files.where(F.coalesce(F.length("content"), F.lit(0)) > 0)
+
+
 SUBSET_FRACTION = {"s1": 0.1, "s2": 0.1, "s3": 0.2}
 
 
@@ -59,18 +76,34 @@ def hash_order(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key))
 
 
+def _ranked_low(df: DataFrame, by: list[str], key: str, take: Callable[[Column], Column], seed: int) -> DataFrame:
+    """The rows of each group that come first in the seeded order, take(n) of its n.
+
+    Rows are counted by the leading digits of their order; those under the cut's digits stay by that alone, and only rows that
+    share the cut's digits are ranked.
+    """
+    digits = 4 if not by else 3
+    rows = df.withColumn("__h", hash_order(F.col(key), seed)).withColumn("__b", F.substring("__h", 1, digits))
+    counts = rows.groupBy(*by, "__b").agg(F.count("*").alias("__c"))
+    own = Window.partitionBy(*by)
+    before = F.sum("__c").over(own.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__c")
+    cuts = counts.withColumn("__before", before).withColumn("__k", take(F.sum("__c").over(own))).where("__before < __k")
+    near = rows.join(cuts, [*by, "__b"])
+    whole = F.col("__before") + F.col("__c") <= F.col("__k")
+    rank = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", key))
+    last = near.where(~whole).withColumn("__r", rank).where("__before + __r <= __k").drop("__r")
+    return near.where(whole).unionByName(last).select(*df.columns)
+
+
 def exact_sample(df: DataFrame, key: str, fraction: float, seed: int = 42, min_one: bool = False) -> DataFrame:
-    """int(n * fraction) rows without replacement, in an order that depends on the seed and the key alone."""
-    n = df.count()
-    k = int(n * fraction)
-    return df.orderBy(hash_order(F.col(key), seed), key).limit(max(1, k) if min_one and n else k)
+    """int(n * fraction) rows without replacement, those first in an order that depends on the seed and the key alone."""
+    least = 1 if min_one else 0
+    return _ranked_low(df, [], key, lambda n: F.greatest(F.lit(least), F.floor(n * fraction)), seed)
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """max(1, int(n * fraction)) rows of every stratum."""
-    w = Window.partitionBy(stratum)
-    row = F.row_number().over(w.orderBy(hash_order(F.col(key), seed), key))
-    return df.withColumn("__n", F.count("*").over(w)).withColumn("__r", row).where(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") * fraction))).drop("__n", "__r")
+    return _ranked_low(df, [stratum], key, lambda n: F.greatest(F.lit(1), F.floor(n * fraction)), seed)
 
 
 def subset(df: DataFrame, name: str, threshold: int = EXPRESSIVE, genres: tuple[str, ...] = GENRES, seed: int = 42) -> DataFrame:
@@ -87,7 +120,10 @@ def subsample(df: DataFrame, seq: str, every: int = 10) -> DataFrame:
     return df.where(F.col(seq) % every == 0)
 
 
-def limit_per_split(df: DataFrame, split: str, key: str, n: int) -> DataFrame:
+def limit_per_split(df: DataFrame, split: str, key: str, n: int, accepted: Column | None = None) -> DataFrame:
+    """The first n rows of each split; with accepted, those of the first n scanned that it accepts (give accepted rows alone to count these)."""
+    if accepted is not None:
+        return limit_per_split(df, split, key, n).where(accepted)
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(split).orderBy(key))).where(F.col("__r") <= n).drop("__r")
 
 
@@ -150,64 +186,89 @@ def feasible(targets_: DataFrame) -> DataFrame:
     return a.withColumn("place", F.row_number().over(Window.orderBy("spread", "strategy")).cast("long"))
 
 
-def greedy_select(files: list[tuple[str, dict[str, int], int]], caps: dict[str, int], big: tuple[str, str, str]) -> list[str]:
-    """md5 of the files taken, in order of notes: first those with another group than the big three, each if no group would pass its cap
-    (no cap or 0: unlimited), then by category the big-three files with what is left. Sequential by nature; rows are narrow."""
-    used: dict[str, int] = {}
-    order = {frozenset(big[:2]): 0, frozenset(big[1:2]): 1, frozenset(big[:1]): 2}
-    ranked = sorted(files, key=lambda f: (-f[2], f[0]))
-    others = [f for f in ranked if set(f[1]) - set(big)]
-    rest = sorted((f for f in ranked if not set(f[1]) - set(big)), key=lambda f: order.get(frozenset(set(f[1]) & set(big[:2])), 3))
-    out = []
-    for phase, part in enumerate((others, rest)):
-        for md5, groups, _ in part:
-            if all((caps.get(g, 0) == 0 and phase == 0) or used.get(g, 0) + n <= caps.get(g, 0) for g, n in groups.items()):
-                out.append(md5)
-                for g, n in groups.items():
-                    used[g] = used.get(g, 0) + n
-    return out
+def _phases(counts: DataFrame, notes: DataFrame, big: tuple[str, str, str]) -> DataFrame:
+    """(phase, place, notes, row, md5, g) of every file with counts: files with another group than the big three first, then by category
+    second and first, second only, first only, the others; by notes, then as `row` says (the order of the list, if notes has it)."""
+    row = F.col("row") if "row" in notes.columns else F.lit(0)
+    groups = F.map_from_entries(F.collect_list(F.struct("grp", "n")))
+    has = lambda k: F.max(F.when(F.col("grp") == big[k], 1).otherwise(0))
+    a = counts.groupBy("md5").agg(groups.alias("g"), F.min(F.when(F.col("grp").isin(*big), 1).otherwise(0)).alias("phase"), has(0).alias("b0"), has(1).alias("b1"))
+    place = F.when(F.col("phase") == 0, 0).when((F.col("b0") == 1) & (F.col("b1") == 1), 0).when(F.col("b1") == 1, 1).when(F.col("b0") == 1, 2).otherwise(3)
+    return a.join(notes.select("md5", F.col("total_notes").alias("notes"), row.cast("long").alias("row")), "md5").select("phase", place.alias("place"), "notes", "row", "md5", "g")
+
+
+def _fits(used: dict[str, int], groups: dict[str, int], caps: dict[str, int], phase: int) -> bool:
+    """Take a file's tracks if no group passes its cap; in the first phase a cap of 0 is none."""
+    if not all((caps.get(g, 0) == 0 and phase == 0) or used.get(g, 0) + n <= caps.get(g, 0) for g, n in groups.items()):
+        return False
+    for g, n in groups.items():
+        used[g] = used.get(g, 0) + n
+    return True
 
 
-def select_balanced(spark: SparkSession, counts: DataFrame, notes: DataFrame, caps: dict[str, int], big: tuple[str, str, str]) -> DataFrame:
-    """(md5) of the greedy quota selection over counts (md5, grp, n) and notes (md5, total_notes).
+def _with_caps(files: DataFrame, caps: DataFrame) -> DataFrame:
+    """The files in their order, behind one row that has the caps (grp, target) in g."""
+    head = caps.agg(F.map_from_entries(F.collect_list(F.struct("grp", F.col("target").cast("long")))).alias("g"))
+    head = head.select(F.lit(-1).alias("phase"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("notes"), F.lit(0).cast("long").alias("row"), F.lit("").alias("md5"), "g")
+    return head.unionByName(files).orderBy("phase", "place", F.desc("notes"), "row", "md5")
 
-    The selection is an ordered fold over one row a file, so one task holds these rows (the reference's
-    semantics leave no other order); texts and other columns stay out of it.
+
+def select_balanced(spark: SparkSession, counts: DataFrame, notes: DataFrame, caps: DataFrame, big: tuple[str, str, str]) -> DataFrame:
+    """(md5) of the greedy quota selection over counts (md5, grp, n), notes (md5, total_notes[, row]) and caps (grp, target).
+
+    Whether a file fits depends on all taken before it, so the fold is one task's; the sort before it is not, and the task reads
+    the sorted rows as a stream and holds the groups' sums alone.
     """
-    rows = counts.groupBy("md5").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("g")).join(notes.select("md5", "total_notes"), "md5")
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        files = [(m, dict(g), int(n)) for f in frames for m, g, n in zip(f.md5, f.g, f.total_notes, strict=True)]
-        yield pd.DataFrame({"md5": greedy_select(files, caps, big)}, dtype="object")
+        used: dict[str, int] = {}
+        limit: dict[str, int] = {}
+        for f in frames:
+            out = []
+            for phase, md5, g in zip(f.phase, f.md5, f.g, strict=True):
+                if phase < 0:
+                    limit = dict(g)
+                elif _fits(used, dict(g), limit, phase):
+                    out.append(md5)
+            yield pd.DataFrame({"md5": out}, dtype="object")
 
-    return rows.repartition(1).mapInPandas(run, "md5 string")
+    return _with_caps(_phases(counts, notes, big), caps).coalesce(1).mapInPandas(run, "md5 string")
 
 
-def calibrate(spark: SparkSession, counts: DataFrame, notes: DataFrame, targets_: dict[str, int], big: tuple[str, str, str], goal: int, low: float = 0.001, high: float = 20.0, rounds: int = 30, tolerance: float = 0.005) -> DataFrame:
-    """(scale, total, files): the bisected scale of the targets whose selection has closest to `goal` notes."""
-    rows = counts.groupBy("md5").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("g")).join(notes.select("md5", "total_notes"), "md5")
+def calibrate(spark: SparkSession, counts: DataFrame, notes: DataFrame, targets_: DataFrame, big: tuple[str, str, str], goal: DataFrame, low: float = 0.001, high: float = 20.0, rounds: int = 30, tolerance: float = 0.005) -> DataFrame:
+    """(scale, total, files): the bisected scale of the targets (grp, target) whose selection has closest to the one row `goal` (goal) of notes.
+
+    Every round folds over all files, and the next one's scale depends on its sum, so one task holds the files' groups and notes.
+    """
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        files = [(m, dict(g), int(n)) for f in frames for m, g, n in zip(f.md5, f.g, f.total_notes, strict=True)]
-        size = {f[0]: f[2] for f in files}
+        files, want, limit = [], 0, {}
+        for f in frames:
+            for phase, place, n, g in zip(f.phase, f.place, f.notes, f.g, strict=True):
+                if phase < 0:
+                    limit, want = (dict(g), want) if place == 0 else (limit, int(n))
+                else:
+                    files.append((phase, int(n), dict(g)))
         a, b, best = low, high, None
         for _ in range(rounds):
-            scale = (a + b) / 2
-            got = greedy_select(files, {g: max(1, int(t * scale)) for g, t in targets_.items()}, big)
-            total = sum(size[m] for m in got)
-            error = abs(total - goal) / max(1, goal)
+            scale, used = (a + b) / 2, {}
+            caps = {g: max(1, int(t * scale)) for g, t in limit.items()}
+            got = [n for phase, n, g in files if _fits(used, g, caps, phase)]
+            error = abs(sum(got) - want) / max(1, want)
             if best is None or error < best[0]:
-                best = (error, scale, total, len(got))
+                best = (error, scale, sum(got), len(got))
             if error < tolerance:
                 break
-            a, b = (scale, b) if total < goal else (a, scale)
+            a, b = (scale, b) if sum(got) < want else (a, scale)
         yield pd.DataFrame({"scale": [best[1]], "total": [best[2]], "files": [best[3]]})
 
-    return rows.repartition(1).mapInPandas(run, "scale double, total long, files long")
+    files = _phases(counts, notes, big)
+    aim = goal.select(F.lit(-1).alias("phase"), F.lit(1).alias("place"), F.col("goal").cast("long").alias("notes"), F.lit(0).cast("long").alias("row"), F.lit("").alias("md5"), F.create_map().cast("map<string,bigint>").alias("g"))
+    return _with_caps(files.unionByName(aim), targets_).coalesce(1).mapInPandas(run, "scale double, total long, files long")
 
 
 def parse_number_list(text: Column) -> Column:

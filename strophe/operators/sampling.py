@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +46,23 @@ def history(df: DataFrame, triples: int = 339) -> DataFrame:
     return last.withColumn("time", F.col("time") - F.min("time").over(Window.partitionBy("track")))
 
 
-def prompt_assembly(inputs: DataFrame, start: int, controls: DataFrame, delta: int = V.DELTA, slack: int = 5) -> DataFrame:
-    """The padded prompt before `start` with the inputs' later rows and the controls, from start - slack on, interleaved as controls."""
-    prompt = S.pad(S.clip(inputs, 0, start, clip_duration=False, seconds=False), start)
+def prompt_assembly(inputs: DataFrame, start: int, controls: DataFrame, delta: int = V.DELTA, least: int = V.DELTA // V.RESOLUTION) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prompt, waiting, flags) of tracks sorted by time.
+
+    The inputs up to `start` are padded to it. Their later rows become controls; the given controls count from tick `least` on, and
+    at equal times come first. prompt has the controls that are due among its events, waiting the others; flags (track, flag) is
+    ANTICIPATE for tracks with any, else AUTOREGRESS.
+    """
+    upto = S.clip(inputs, 0, start, clip_duration=False, seconds=False)
+    tracks = inputs.select("track").unionByName(controls.select("track")).distinct()
+    prompt = S.pad(upto, tracks.withColumn("end_time", F.lit(start)))
     later = S.to_controls(inputs.where(F.col("time") > start), F.lit(True))
-    ahead = later.unionByName(controls.where(F.col("time") >= start - slack))
-    order = F.row_number().over(Window.partitionBy("track").orderBy("time", "pos"))
-    ahead = ahead.withColumn("pos", order.cast("long"))
-    merged, left = S.anticipate(prompt.unionByName(ahead), delta)
-    return merged
+    ahead = controls.where(F.col("time") >= least).withColumn("src", F.lit(0)).unionByName(later.withColumn("src", F.lit(1)))
+    order = F.row_number().over(Window.partitionBy("track").orderBy("time", "src", "pos"))
+    ahead = ahead.withColumn("pos", order.cast("long")).drop("src")
+    merged, waiting = S.anticipate(prompt.unionByName(ahead), delta)
+    some = ahead.select("track", F.lit(V.ANTICIPATE).alias("a")).distinct()
+    return merged, waiting, tracks.join(some, "track", "left").select("track", F.coalesce("a", F.lit(V.AUTOREGRESS)).cast("long").alias("flag"))
 
 
 def output_assembly(generated: DataFrame, future: DataFrame) -> DataFrame:
@@ -69,8 +75,3 @@ def collate(rows: DataFrame, *batch: str, ignore: int = -100) -> DataFrame:
     longest = F.max(F.size("tokens")).over(Window.partitionBy(*batch))
     short = longest - F.size("tokens")
     return rows.select("*", F.concat("tokens", F.array_repeat(F.lit(ignore), short.cast("int"))).alias("labels"), F.concat("tokens", F.array_repeat(F.lit(0), short.cast("int"))).alias("input_ids"))
-
-
-def generate(prompts: DataFrame, model: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """Run a caller's model over batches of prompts (pandas frames in and out)."""
-    return prompts.mapInPandas(model, schema)

@@ -24,8 +24,8 @@ def upper_quantile(values: Column, num: int, den: int) -> Column:
     return F.get(s, F.floor(F.size(s) * num / den).cast("int"))
 
 
-def group_quantiles(counts: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group: count, mean, least, quartiles and median as order statistics, most.
+def group_quantiles(counts: DataFrame, group: str, value: str, shares: tuple[int, ...] = ()) -> DataFrame:
+    """Per group: count, mean, least, quartiles and median as order statistics, most, and the shares in percent of values from each of `shares` on.
 
     Values are counted first, so a group's list has one entry for each distinct value only.
     """
@@ -37,6 +37,7 @@ def group_quantiles(counts: DataFrame, group: str, value: str) -> DataFrame:
     return cum.groupBy(group).agg(
         F.max("n").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.max("n"), 6).alias("mean"), F.min(value).alias("low"),
         at(1, 4).alias("p25"), at(1, 2).alias("median"), at(3, 4).alias("p75"), F.max(value).alias("high"),
+        *[F.round(100.0 * F.sum(F.when(F.col(value) >= k, F.col("c")).otherwise(0)) / F.max("n"), 6).alias(f"share_{k}") for k in shares],
     )
 
 
@@ -67,6 +68,36 @@ def compound_stats(notes: DataFrame, status: DataFrame) -> DataFrame:
     return a.join(status.select("track", "status"), "track").groupBy("status").agg(F.count("*").alias("tracks"), F.sum("tokens").alias("tokens"), F.round(F.sum("last") / 100.0, 2).alias("seconds_last"), F.round(F.sum("most") / 100.0, 2).alias("seconds_max"))
 
 
+def compound_summary(notes: DataFrame, status: DataFrame) -> DataFrame:
+    """One row: tracks and tokens, those of status 0 and their shares in percent, hours of status 0, and mean and population deviation of its
+    seconds (to the last note's end) and tokens."""
+    a = notes.where("kind = 'event'").groupBy("track").agg((3 * F.count("*")).alias("tokens"), (F.max_by(F.col("time") + F.col("dur"), F.col("pos")) / 100.0).alias("seconds"))
+    good = lambda c: F.when(F.col("status") == 0, F.col(c))
+    return a.join(status.select("track", "status"), "track").agg(
+        F.count("*").alias("tracks"), F.sum("tokens").alias("tokens"), F.count_if(F.col("status") == 0).alias("kept"), F.sum(good("tokens")).alias("kept_tokens"),
+        F.round(100.0 * F.count_if(F.col("status") == 0) / F.count("*"), 6).alias("kept_share"), F.round(100.0 * F.sum(good("tokens")) / F.sum("tokens"), 6).alias("kept_token_share"),
+        F.round(F.sum(good("seconds")) / 3600, 6).alias("hours"), F.round(F.avg(good("seconds")), 6).alias("mean_seconds"), F.round(F.stddev_pop(good("seconds")), 6).alias("std_seconds"),
+        F.round(F.avg(good("tokens")), 6).alias("mean_tokens"), F.round(F.stddev_pop(good("tokens")), 6).alias("std_tokens"),
+    )
+
+
+def discard_rate(files: DataFrame, bad: Column) -> DataFrame:
+    """(processed, discarded, rate) with rate in percent of all files."""
+    return files.agg(F.count_if(~bad).alias("processed"), F.count_if(bad).alias("discarded"), F.round(100.0 * F.count_if(bad) / F.count("*"), 2).alias("rate"))
+
+
+#: Size of the public corpus that others are compared with.
+CORPUS = {"files": 178165, "events": 663555310, "tokens": 1990665930, "hours": 8943}
+
+
+def compare_corpus(totals: DataFrame) -> DataFrame:
+    """(metric, reference, value, ratio) of one row of totals (files, events, tokens, hours); rates have no ratio."""
+    rate = lambda a, b: (a + "_per_" + b, CORPUS[a] / CORPUS[b], F.col(a) / F.col(b), F.lit(None).cast("double"))
+    sizes = [(k, float(v), F.col(k).cast("double"), F.col(k) / float(v)) for k, v in CORPUS.items()]
+    rows = [*sizes, rate("events", "hours"), rate("tokens", "hours"), rate("events", "files")]
+    return totals.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.lit(r), 6).alias("reference"), F.round(v, 6).alias("value"), F.round(q, 6).alias("ratio")) for m, r, v, q in rows])))
+
+
 def token_stats(lines: DataFrame) -> DataFrame:
     """(lines, tokens, events, hours) of token rows (tokens array): separators don't count, three tokens an event, rows under two tokens are passed over."""
     kept = lines.where(F.size("tokens") >= 2).select(F.size(F.filter("tokens", lambda t: t != V.SEPARATOR)).alias("n"))

@@ -69,10 +69,10 @@ def extract_some_instruments(df: DataFrame, seed: str = "0") -> DataFrame:
     return S.to_controls(df.join(drawn, ["track", "instr"], "left"), F.coalesce("hit", F.lit(False))).select(*V.NOTE_COLUMNS)
 
 
-def tokenize(notes: DataFrame, shards: DataFrame, factor: int = 1, seed: str = "0", size: int = V.M, max_time: int = V.MAX_TIME, span_wait: int = 2000) -> DataFrame:
+def tokenize(notes: DataFrame, shards: DataFrame, factor: int = 1, unchanged: tuple = (), seed: str = "0", size: int = V.M, max_time: int = V.MAX_TIME, span_wait: int = 2000) -> DataFrame:
     """Training rows (shard, chunk, flag, start, discarded, tokens) of the tracks that pass the gate, `factor` copies of each.
 
-    shards: (track, shard). Copy k is augmented as mode_of(k) says: unchanged, in spans, by chance (rate 1 to 9 tenths) or by
+    shards: (track, shard); tracks of the `unchanged` shards (validation and test) have their one unchanged copy. Copy k is augmented as mode_of(k) says: unchanged, in spans, by chance (rate 1 to 9 tenths) or by
     instruments. Each copy is padded to the track's end, its controls are interleaved, and a separator put before it.
     A sequence is the pair (track, k); copies of a mode are made in one plan, so there are four, whatever the factor.
     """
@@ -93,8 +93,10 @@ def tokenize(notes: DataFrame, shards: DataFrame, factor: int = 1, seed: str = "
             copies = extract_some_instruments(copies, seed)
         copies = copies.select(*V.NOTE_COLUMNS)
         marked = copies if marked is None else marked.unionByName(copies)
+    marked = first_copies(marked, shards, unchanged)
     events, controls = S.split(marked)
-    merged, _ = S.anticipate(S.pad(events, many(good, range(factor))).unionByName(controls))
+    ends = first_copies(many(good, range(factor)), shards, unchanged)
+    merged, _ = S.anticipate(S.pad(events, ends).unionByName(controls))
     k = F.col("track")["k"]
     sequences = with_separator(merged).join(shards.select(F.col("track").alias("of"), "shard"), F.col("track")["track"] == F.col("of")).drop("of")
     flags = many(good, range(factor)).join(shards.select(F.col("track").alias("of"), "shard"), F.col("track")["track"] == F.col("of"))
@@ -102,6 +104,33 @@ def tokenize(notes: DataFrame, shards: DataFrame, factor: int = 1, seed: str = "
     return pack(sequences, flags, size, max_time)
 
 
+def first_copies(copies: DataFrame, shards: DataFrame, unchanged: tuple) -> DataFrame:
+    """Rows whose track is (track, k), of the unchanged shards those of copy 0 alone."""
+    if not unchanged:
+        return copies
+    held = shards.where(F.col("shard").isin(*unchanged)).select(F.col("track").alias("of"))
+    one = F.col("track")["k"] > 0
+    return copies.join(held, one & (F.col("track")["track"] == F.col("of")), "left_anti")
+
+
+def tokenization_report(notes: DataFrame, rows: DataFrame, factor: DataFrame, size: int = V.M) -> DataFrame:
+    """One row of seven counters and two ratios of a tokenization.
+
+    notes: what went in; rows: what tokenize() gave; factor (track, copies): the copies of each track. sequences, rests (and their
+    share of triples in percent), tracks too short, too long and with too many instruments, rows discarded, durations cut (of every
+    copy, and their share). Rests are those put into the sequences, also where a last short row went.
+    """
+    status = gate(notes)
+    good = status.where("status = 0").select("track", F.col("end").alias("end_time"))
+    kept = notes.where("kind = 'event'").join(good, "track", "left_semi")
+    cut = S.truncations(kept).join(factor, "track").agg(F.coalesce(F.sum(F.col("truncated") * F.col("copies")), F.lit(0)).alias("truncated"))
+    counts = status.agg(*[F.count_if(F.col("status") == k).alias(n) for k, n in enumerate(("good", "short", "long", "instruments"))]).drop("good")
+    made = rows.agg(F.count_if(~F.col("discarded")).alias("sequences"), F.count_if(F.col("discarded")).alias("discarded"), F.coalesce(F.sum(F.size(F.filter("tokens", lambda t: t == V.REST))), F.lit(0)).alias("rests"))
+    share = lambda c: F.round(100.0 * F.col(c) / (F.col("sequences") * size), 2)
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(made).join(one(counts), "one").join(one(cut), "one").select("sequences", "rests", "short", "long", "instruments", "discarded", "truncated", share("rests").alias("rest_share"), share("truncated").alias("cut_share"))
+
+
 def with_separator(df: DataFrame) -> DataFrame:
     """Each track with a separator before its first row."""
     null = F.lit(None).cast("long")
@@ -118,7 +147,8 @@ def pack(rows: DataFrame, flags: DataFrame, size: int = V.M, max_time: int = V.M
     taken relative to the least one before the row's first separator; rows that still reach max_time go.
     Returns (shard, chunk, flag, start, discarded, tokens). The flag is that of the sequence that owns the
     first triple, but after a discarded row it stays that row's until a row starts with a sequence.
-    Places come from the prefix sums of the sequences' sizes, so no shard is one task's work.
+    Places come from the prefix sums of the sequences' sizes, so a shard's triples are packed by many tasks; one
+    task sees a shard's sequence sizes, and one its rows' flags.
     """
     sizes = rows.groupBy("shard", "track").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("track").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,11 +162,22 @@ def pack(rows: DataFrame, flags: DataFrame, size: int = V.M, max_time: int = V.M
     chunks = chunks.withColumn("cut", F.when(first_sep == 0, size + 1).otherwise(first_sep)).withColumn("start", F.coalesce(F.array_min(F.transform(head, lambda x: x["time"])), F.lit(0)))
     moved = F.transform("c", lambda x: x.withField("time", F.when(x["q"] + 1 < F.col("cut"), x["time"] - F.col("start")).otherwise(x["time"])))
     chunks = chunks.withColumn("c", moved).withColumn("discarded", F.coalesce(F.array_max(F.transform("c", lambda x: x["time"])), F.lit(0)) >= max_time)
+    # the flags' window sees four narrow columns, not the rows
     order = Window.partitionBy("shard").orderBy("chunk")
     fresh = ~F.coalesce(F.lag("discarded").over(order), F.lit(False)) | (F.col("cut") == 1)
-    flag = F.last(F.when(fresh, F.get("c", F.lit(0))["flag"]), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    narrow = chunks.select("shard", "chunk", "discarded", "cut", F.get("c", F.lit(0))["flag"].alias("own"))
+    last = F.last(F.when(fresh, F.col("own")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chunks = chunks.join(narrow.select("shard", "chunk", last.alias("flag")), ["shard", "chunk"])
     tokens = F.concat(F.array(F.col("flag")), F.flatten(F.transform("c", lambda x: V.encode(x["kind"], x["time"], x["dur"], x["instr"], x["pitch"]))))
-    return chunks.withColumn("flag", flag).select("shard", F.col("chunk").cast("long").alias("chunk"), F.col("flag").cast("long").alias("flag"), F.col("start").cast("long").alias("start"), "discarded", tokens.alias("tokens"))
+    return chunks.select("shard", F.col("chunk").cast("long").alias("chunk"), F.col("flag").cast("long").alias("flag"), F.col("start").cast("long").alias("start"), "discarded", tokens.alias("tokens"))
+
+
+def tokenize_interarrival(tokens: DataFrame, status: DataFrame, shards: DataFrame, size: int = V.CONTEXT) -> DataFrame:
+    """Rows (shard, chunk, tokens) of the inter-arrival tokens (track, pos, token) of tracks whose gate status is 0, a separator before each track."""
+    good = tokens.join(status.where("status = 0").select("track"), "track", "left_semi")
+    sep = good.select("track").distinct().select("track", F.lit(-1).cast("long").alias("pos"), F.lit(V.MIDI_SEPARATOR).cast("long").alias("token"))
+    rows = good.select("track", "pos", F.col("token").cast("long").alias("token")).unionByName(sep).withColumn("pos", F.col("pos") + 1)
+    return pack_tokens(rows.join(shards, "track"), size)
 
 
 def pack_tokens(tokens: DataFrame, size: int = V.CONTEXT) -> DataFrame:

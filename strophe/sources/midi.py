@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -191,9 +192,28 @@ def source_names(rows: DataFrame) -> DataFrame:
     return used.join(named, ["path", "part"]).groupBy("path", "instr").agg(F.min_by("name", F.struct("part", "channel")).alias("name"))
 
 
-def durations(message_rows: DataFrame, ticks_per_beat: int) -> DataFrame:
-    """(path, note_ons, seconds, seconds_at_120) of each file."""
-    return message_rows.groupBy("path").agg(F.count_if(F.col("on")).alias("note_ons"), F.max("seconds").alias("seconds"), (F.max("tick") * 500000 / max(1, ticks_per_beat) / 1e6).alias("seconds_at_120"))
+def divisions(files: DataFrame) -> DataFrame:
+    """(path, ticks_per_beat) as the headers of files (path, content) say."""
+    return files.select("path", F.conv(F.hex(F.substring("content", 13, 2)), 16, 10).cast("int").alias("ticks_per_beat"))
+
+
+def durations(message_rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """(path, note_ons, seconds, seconds_at_120) of each file; headers: (path, ticks_per_beat).
+
+    seconds follows the tempo map, and is that without one where the map gives nothing; seconds_at_120 passes it over, and is 0 for
+    a header of 0 ticks a beat.
+    """
+    a = message_rows.where("type <> 'bad'").groupBy("path").agg(F.count_if(F.coalesce("on", F.lit(False))).alias("note_ons"), F.max("seconds").alias("seconds"), F.max("tick").alias("tick"))
+    plain = F.when(F.col("ticks_per_beat") > 0, F.col("tick") * 500000 / F.col("ticks_per_beat") / 1e6).otherwise(0.0)
+    return a.join(headers, "path").select("path", "note_ons", F.coalesce("seconds", plain).alias("seconds"), plain.alias("seconds_at_120"))
+
+
+def scan_totals(raw: DataFrame, lengths: DataFrame, tokens_per_note: int = 3) -> DataFrame:
+    """(files, errors, notes, tokens, hours) of raw_counts() rows and durations(); files that can't be read are errors."""
+    a = raw.join(lengths.select("path", "seconds_at_120"), "path", "left")
+    ok = F.col("note_events").isNotNull()
+    notes = F.coalesce(F.sum("note_events"), F.lit(0))
+    return a.agg(F.count_if(ok).alias("files"), F.count_if(~ok).alias("errors"), notes.alias("notes"), (notes * tokens_per_note).alias("tokens"), F.round(F.coalesce(F.sum(F.when(ok, F.col("seconds_at_120"))), F.lit(0.0)) / 3600, 9).alias("hours"))
 
 
 def put_quantity(value: int) -> bytes:
@@ -241,3 +261,30 @@ def write_files(schedule: DataFrame) -> DataFrame:
             yield pd.DataFrame({"track": f.track, "content": [encode([(m["time"], m["on"], m["instr"], m["pitch"], m["channel"]) for m in ms]) for ms in f.m]})
 
     return packed.mapInPandas(run, "track long, content binary")
+
+
+def write_raw(files: DataFrame, root: str) -> DataFrame:
+    """(name, written) of files (name, content), each written to root/name unless it is there; nothing happens before the result is read.
+
+    A file appears under its name only when it is whole, so a task may run again. The folder is one that all tasks see.
+    """
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+        from pyarrow import fs
+
+        disk, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for f in frames:
+            done = []
+            for name, content in zip(f.name, f.content, strict=True):
+                path = f"{base}/{name}"
+                done.append(disk.get_file_info(path).type == fs.FileType.NotFound)
+                if done[-1]:
+                    disk.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    part = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                    with disk.open_output_stream(part) as out:
+                        out.write(bytes(content))
+                    disk.move(part, path)
+            yield pd.DataFrame({"name": f.name, "written": done})
+
+    return files.select("name", "content").mapInPandas(run, "name string, written boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strophe.operators.corpus import hex_shard
@@ -21,12 +21,72 @@ def write_token_lines(rows: DataFrame, path: str) -> None:
 
 def read_compound(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, time, dur, pitch, instr, velocity) of whole files of 5-tuples."""
-    values = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("long"))
+    values = F.transform(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+"), lambda x: x.try_cast("long"))
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), values.alias("v"))
-    rows = rows.select("path", "v", F.posexplode(F.sequence(F.lit(0), F.floor(F.size("v") / 5).cast("int") - 1)).alias("pos", "i"))
+    rows = rows.select("path", "v", F.posexplode(F.slice(F.sequence(F.lit(0), F.floor(F.size("v") / 5).cast("int")), F.lit(1), F.floor(F.size("v") / 5).cast("int"))).alias("pos", "i"))
     return rows.select("path", F.col("pos").cast("long").alias("pos"), *[F.get("v", F.col("i") * 5 + k).alias(c) for k, c in enumerate(("time", "dur", "pitch", "instr", "velocity"))])
 
 
+def write_compound(notes: DataFrame, path: str) -> None:
+    """A line of 5-tuples for each track (track, pos, time, dur, pitch, instr, velocity), in folders by the track's name."""
+    cell = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("time", "dur", "pitch", "instr", "velocity")])
+    lines = notes.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("pos", cell.alias("t")))).alias("x"))
+    lines.select("track", F.array_join(F.transform("x", lambda x: x["t"]), " ").alias("value")).write.mode("overwrite").partitionBy("track").text(path)
+
+
+def compound_of_files(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(5-tuple rows, unreadable files) of decoded message rows; velocity is that of the note's on."""
+    from strophe.operators import codec
+
+    notes = codec.midi_notes(messages.where("type <> 'bad'"))
+    ons = messages.where("type = 'note' and on").select(F.col("path").alias("track"), F.col("pos").alias("at"), F.col("velocity").cast("long").alias("velocity"))
+    ons = ons.withColumn("pos", (F.row_number().over(Window.partitionBy("track").orderBy("at")) - 1).cast("long"))
+    return notes.join(ons, ["track", "pos"]).select("track", "pos", "time", "dur", "pitch", "instr", "velocity"), messages.where("type = 'bad'").select("path")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """One object a line: records, or the one row of a report."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """With a header: indexes of clips, losses by step."""
+    rows.write.mode("overwrite").csv(path, header=True)
+
+
+def read_index(spark: SparkSession, path: str, offset: int = 0, count: int | None = None) -> DataFrame:
+    """Rows of an index whose idx is in [offset, offset + count)."""
+    rows = spark.read.csv(path, header=True).withColumn("idx", F.col("idx").cast("long")).where(F.col("idx") >= offset)
+    return rows if count is None else rows.where(F.col("idx") < offset + count)
+
+
+def index_files(index: DataFrame, files: DataFrame, column: str = "original") -> DataFrame:
+    """Index rows with the files (name, ...) that a column of theirs names; rows whose file is missing go."""
+    return index.join(files, index[column] == files["name"])
+
+
+def write_splits(rows: DataFrame, path: str) -> None:
+    """Rows (md5, value) as text files in one folder for each split, those of a split in order of their hex shards."""
+    from strophe.operators.corpus import hash_split
+
+    lines = rows.select(hash_split(F.col("md5")).alias("split"), hex_shard(F.col("md5")).alias("hex"), "md5", "value")
+    lines.repartitionByRange("split", "hex").sortWithinPartitions("split", "hex", "md5").select("split", "value").write.mode("overwrite").partitionBy("split").text(path)
+
+
+def read_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """All rows of a hex-sharded table, of one split if named, in hex order."""
+    rows = spark.read.parquet(path)
+    return (rows if split is None else rows.where(F.col("split") == split)).orderBy("hex")
+
+
+def existing_md5(spark: SparkSession, path: str) -> DataFrame:
+    """The md5 that a hex-sharded table has already; none if there is no table."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], "md5 string")
+    return spark.read.parquet(path).select("md5").distinct()
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 

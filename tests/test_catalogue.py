@@ -9,6 +9,8 @@ import pytest
 from strophe import catalogue
 
 SF = "/root/testdata/sf0.001"
+#: Folds and whole pipelines without SQL; test_sequence.py, test_tokenize.py and test_tasks.py hold their rows against sequential versions.
+TESTED_ELSEWHERE = {"extract_spans", "greedy_select", "calibrate", "tokenize", "tokenization_report"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
 
@@ -34,9 +36,10 @@ def test_query(spark, duck, name):
     cols = sorted(df.columns)
     got = sorted(tuple(canon(r[c]) for c in cols) for r in df.collect())
     if name not in catalogue.SQL:
+        assert name in TESTED_ELSEWHERE and got
         return
     rel = duck.execute(catalogue.SQL[name])
     names = [d[0] for d in rel.description]
     assert sorted(names) == cols
     want = sorted(tuple(canon(r[names.index(c)]) for c in cols) for r in rel.fetchall())
-    assert got == want
+    assert got == want and got

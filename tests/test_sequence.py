@@ -83,9 +83,7 @@ def test_midi_round_trip(spark):
     assert notes == [(0, True, 0, 60), (10, True, 9, 35), (20, False, 0, 60), (30, False, 9, 35)]
 
 
-def test_greedy_and_samples(spark):
-    files = [("a", {"X": 1, "P": 2}, 9), ("b", {"P": 3}, 8), ("c", {"X": 1}, 7), ("d", {"P": 1}, 6)]
-    assert corpus.greedy_select(files, {"X": 1, "P": 3}, ("P", "G", "D")) == ["a", "d"]
+def test_samples(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("md5"))
     assert corpus.exact_sample(df, "md5", 0.1).count() == 10 and corpus.exact_sample(df, "md5", 0.001, min_one=True).count() == 1
     lists = spark.createDataFrame([("['a', 'b']", "[1, 12]"), ("oops", None)], "s string, n string")
