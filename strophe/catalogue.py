@@ -284,7 +284,7 @@ def augment_fanout(spark, d):
 def _packable(spark: SparkSession, d: str, scale: int = 1) -> tuple[DataFrame, DataFrame]:
     rows = training.with_separator(sequence.anticipate(_marked(bind.notes(spark, d)))[0]).withColumn("shard", F.col("track") % 4)
     rows = rows.withColumn("dur", V.clamp_dur(F.col("dur"))).withColumn("time", F.col("time") * scale)
-    flags = rows.select("shard", "track").distinct().withColumn("flag", F.when(F.col("track") % 3 == 0, V.AUTOREGRESS).otherwise(V.ANTICIPATE))
+    flags = bind.notes(spark, d).select((F.col("track") % 4).alias("shard"), "track").distinct().withColumn("flag", F.when(F.col("track") % 3 == 0, V.AUTOREGRESS).otherwise(V.ANTICIPATE))
     return rows, flags
 
 

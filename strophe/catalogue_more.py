@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +11,10 @@ from strophe.functions import vocab as V
 from strophe.operators import clips, codec, corpus, generation, sequence, stats, training
 from strophe.plans import bind
 from strophe.plans.bind import FILES, NOTES
+from strophe.plans.scratch import folder as scratch
 from strophe.sources import midi, text
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one of a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="strophe-") if spark.sparkContext.master.startswith("local") else None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 # sinks read back
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import vocab as V
 from strophe.operators import sequence as S
+from strophe.plans.scratch import stored
 
 
 def gate(df: DataFrame) -> DataFrame:
@@ -133,10 +134,13 @@ def tokenization_report(notes: DataFrame, rows: DataFrame, factor: DataFrame, si
 
 def with_separator(df: DataFrame) -> DataFrame:
     """Each track with a separator before its first row."""
+    n = F.row_number().over(Window.partitionBy("track").orderBy("pos")).cast("long")
+    fields = ("pos", "kind", "time", "dur", "instr", "pitch")
+    row = F.struct(*[F.col(c) for c in fields])
     null = F.lit(None).cast("long")
-    sep = df.select("track").distinct().select("track", F.lit(-1).cast("long").alias("pos"), F.lit("sep").alias("kind"), null.alias("time"), null.alias("dur"), null.alias("instr"), null.alias("pitch"))
-    both = df.unionByName(sep)
-    return both.withColumn("pos", (F.row_number().over(Window.partitionBy("track").orderBy("pos")) - 1).cast("long"))
+    sep = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("sep").alias("kind"), *[null.alias(c) for c in fields[2:]])
+    both = df.withColumn("pos", n).select("track", F.explode(F.when(F.col("pos") == 1, F.array(sep, row)).otherwise(F.array(row))).alias("r"))
+    return both.select("track", "r.*").select(*V.NOTE_COLUMNS)
 
 
 def pack(rows: DataFrame, flags: DataFrame, size: int = V.M, max_time: int = V.MAX_TIME) -> DataFrame:
@@ -150,6 +154,7 @@ def pack(rows: DataFrame, flags: DataFrame, size: int = V.M, max_time: int = V.M
     Places come from the prefix sums of the sequences' sizes, so a shard's triples are packed by many tasks; one
     task sees a shard's sequence sizes, and one its rows' flags.
     """
+    rows = stored(rows)
     sizes = rows.groupBy("shard", "track").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("track").rowsBetween(Window.unboundedPreceding, -1)
     places = sizes.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(flags, ["shard", "track"]).select("shard", "track", "base", "flag")
@@ -163,6 +168,7 @@ def pack(rows: DataFrame, flags: DataFrame, size: int = V.M, max_time: int = V.M
     moved = F.transform("c", lambda x: x.withField("time", F.when(x["q"] + 1 < F.col("cut"), x["time"] - F.col("start")).otherwise(x["time"])))
     chunks = chunks.withColumn("c", moved).withColumn("discarded", F.coalesce(F.array_max(F.transform("c", lambda x: x["time"])), F.lit(0)) >= max_time)
     # the flags' window sees four narrow columns, not the rows
+    chunks = stored(chunks)
     order = Window.partitionBy("shard").orderBy("chunk")
     fresh = ~F.coalesce(F.lag("discarded").over(order), F.lit(False)) | (F.col("cut") == 1)
     narrow = chunks.select("shard", "chunk", "discarded", "cut", F.get("c", F.lit(0))["flag"].alias("own"))

@@ -265,8 +265,9 @@ def test_packing_keeps_rows_out_of_the_shards_window(spark):
     songs = {k: song(60 + k, 130, 5) for k in range(4)}
     rows = frame(spark, songs)
     plan = training.tokenize(rows, rows.select("track", F.lit(0).alias("shard")).distinct(), 1)._jdf.queryExecution().optimizedPlan().toString()
-    windows = [x for x in plan.split("\n") if "Window [last(" in x or ("Window [" in x and "discarded" in x)]
-    assert windows and all("instr" not in x and "collect_list" not in x for x in windows)
+    lines = plan.split("\n")
+    below = [lines[i + 1] for i, x in enumerate(lines) if "Window [" in x]
+    assert below and all("instr" not in x for x in below) and plan.count("Relation [") == 2
 
 
 def test_styles_and_records(spark):
