@@ -217,8 +217,12 @@ def _list_edges(work: Workspace, sets: DataFrame, percent: int) -> DataFrame:
     rows = work.save(dealt.join(sets, "id").groupBy("b").agg(F.collect_list(F.struct("id", "g", "items")).alias("rows")))
     # blocks of one cluster that share an item; those of one component need no comparison
     held = listed.select("item", "id").join(dealt, "id").select("item", "b").distinct()
-    two = held.select("item", F.col("b").alias("c"))
-    pairs = held.join(two, "item").where("b < c and (b.part <> c.part or b.part = -1)").select("b", "c").distinct()
+    apart, own = held.where("b.part = -1"), held.where("b.part <> -1")
+    other = lambda df: df.select("item", *[F.col(c).alias({"b": "c", "part": "part2"}[c]) for c in df.columns if c != "item"])
+    large = own.select("item", "b", F.col("b.part").alias("part"))
+    parts = large.select("item", "part").distinct()
+    meeting = parts.join(other(parts), "item").where("part < part2").join(large, ["item", "part"]).join(other(large), ["item", "part2"])
+    pairs = apart.join(other(apart), "item").where("b < c").unionByName(apart.join(other(own), "item")).select("b", "c").unionByName(meeting.select("b", "c")).distinct()
     across = pairs.join(rows, "b").join(rows.select(F.col("b").alias("c"), F.col("rows").alias("y")), "c").select(F.col("rows").alias("x"), "y")
     alone = rows.where("b.part = -1").select(F.col("rows").alias("x"), F.col("rows").alias("y"))
     return work.save(alone.unionByName(across).mapInArrow(_block_pairs(percent), "src long, dst long"))
