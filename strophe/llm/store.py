@@ -25,13 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="strophe-"))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, as texts may be very long.
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
-    Spark reads this setting when a plan runs, and operators return plans, so it stays lowered for the session.
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of an Arrow batch, as texts may be very long.
+
+    Spark reads these settings when a plan runs, and operators return plans, so they stay lowered for the session.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if int(spark.conf.get(key, "0").rstrip("bB")) not in range(1, most + 1):
+            spark.conf.set(key, str(most))
 
 
 class Workspace:
