@@ -36,7 +36,8 @@ def small_batches(spark: SparkSession) -> None:
     """
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        if int(spark.conf.get(key, "0").rstrip("bB")) not in range(1, most + 1):
+        found = spark.conf.get(key)
+        if not found.rstrip("bB").isdigit() or int(found.rstrip("bB")) not in range(1, most + 1):
             spark.conf.set(key, str(most))
 
 
