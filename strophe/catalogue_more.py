@@ -143,6 +143,36 @@ def midi_local(spark, d):
     return rows.select("md5", F.regexp_extract("path", "/(train|valid|test)/", 1).alias("split"))
 
 
+@query(f"WITH {NOTES} SELECT md5(CAST(track AS VARCHAR)) AS md5, 96.0::DOUBLE AS bpm, '3/4' AS signature, round(max(time + dur) * 0.625 / 62, 3) AS seconds FROM notes GROUP BY track")
+def midi_retimed(spark, d):
+    """Tempo and signature of every file rewritten."""
+    rows = midi.file_summary(midi.decode(midi.rewrite_timing(midi.read_files(spark, _files(spark, d)), 96, 3)))
+    return rows.select(_md5(), F.get("bpms", F.lit(0)).alias("bpm"), F.get("signatures", F.lit(0)).alias("signature"), F.round("seconds", 3).alias("seconds"))
+
+
+@query(f"WITH {NOTES} SELECT md5(CAST(track AS VARCHAR)) AS md5, instr, count(*) AS note_ons FROM notes GROUP BY track, instr")
+def midi_parts(spark, d):
+    """Of every file's parts their note-ons, by the program that the part's summary names."""
+    rows = midi.part_summary(midi.decode(midi.read_files(spark, _files(spark, d)))).where("note_ons > 0")
+    program = F.when(F.array_contains("channels", 9), V.DRUMS).otherwise(F.element_at(F.split(F.get("programs", F.lit(0)), ":"), 2).cast("int"))
+    return rows.select(_md5(), program.cast("long").alias("instr"), "note_ons")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS md5, c_name AS title, 'say \"' || c_mktsegment || '\", twice' AS style FROM customer")
+def metadata_csv(spark, d):
+    path = scratch(spark)
+    rows = bind.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("md5"), F.col("c_name").alias("title"), F.concat(F.lit('say "'), "c_mktsegment", F.lit('", twice')).alias("style"))
+    rows.write.csv(path, header=True, escape='"')
+    return text.read_metadata(spark, path)
+
+
+@query(f"WITH {NOTES} SELECT DISTINCT track, CAST((track % 32) * 2.5 AS DOUBLE) AS seconds, CAST(track % 7 + 1 AS INT) AS fraction FROM notes")
+def bar_seconds(spark, d):
+    rows = bind.notes(spark, d).select("track").distinct()
+    fraction = V.quantize_fraction(F.concat(F.lit(" 1/"), (F.col("track") % 7 + 1).cast("string")))
+    return rows.select("track", V.bar_to_seconds(F.col("track") % 32 + 1, 96, 4, 4).cast("double").alias("seconds"), fraction.alias("fraction"))
+
+
 @query("WITH n AS (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem) SELECT n AS processed, 3::BIGINT AS discarded, round(300.0 / (n + 3), 2) AS rate FROM n")
 def discard_rate(spark, d):
     rows = midi.raw_counts(midi.read_files(spark, _files(spark, d, True)))
