@@ -11,6 +11,7 @@ from strophe.functions import vocab as V
 from strophe.operators import clips, codec, corpus, sampling, sequence, stats, training
 from strophe.plans import bind
 from strophe.plans.bind import FEED, FILES, NOTES
+from strophe.plans.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -438,8 +439,8 @@ _TARGET = {
 _AVAIL = "(SELECT *, sum(tracks) OVER () AS all_ FROM avail)"
 
 
-def _targets(spark: SparkSession, d: str, strategy: str) -> DataFrame:
-    return corpus.targets(corpus.group_available(_counts(spark, d)), strategy, 10, bind.BIG, 100)
+def _targets(spark: SparkSession, d: str, strategy: str, available: DataFrame | None = None) -> DataFrame:
+    return corpus.targets(corpus.group_available(_counts(spark, d)) if available is None else available, strategy, 10, bind.BIG, 100)
 
 
 def _target_query(strategy: str) -> None:
@@ -457,9 +458,9 @@ _ALL_TARGETS = " UNION ALL ".join(f"SELECT '{s}' AS strategy, grp, tracks, CAST(
 
 
 def _every_target(spark: SparkSession, d: str) -> DataFrame:
-    out = None
+    out, available = None, stored(corpus.group_available(_counts(spark, d)))  # a row a group: the files are read once for all strategies
     for s in _TARGET:
-        part = _targets(spark, d, s).withColumn("strategy", F.lit(s))
+        part = _targets(spark, d, s, available).withColumn("strategy", F.lit(s))
         out = part if out is None else out.unionByName(part)
     return out
 

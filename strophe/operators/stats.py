@@ -132,8 +132,10 @@ def melody_instrument(notes: DataFrame) -> DataFrame:
 
 def top_groups(df: DataFrame, group: str, value: str, k: int = 3) -> DataFrame:
     """(strategy, group, value, place) of the k largest groups of each strategy, and of the k smallest with places from -1 down."""
-    ranked = lambda order, sign: df.withColumn("place", F.row_number().over(Window.partitionBy("strategy").orderBy(order, group))).where(F.col("place") <= k).withColumn("place", (sign * F.col("place")).cast("long"))
-    return ranked(F.desc(value), 1).unionByName(ranked(F.asc(value), -1)).select("strategy", group, value, "place")
+    place = lambda order: F.row_number().over(Window.partitionBy("strategy").orderBy(order, group)).cast("long")
+    ranked = df.withColumn("high", place(F.desc(value))).withColumn("low", place(F.asc(value))).where(F.least("high", "low") <= k)
+    places = F.filter(F.array("high", -F.col("low")), lambda x: F.abs(x) <= k)
+    return ranked.select("strategy", group, value, F.explode(places).alias("place"))
 
 
 def part_names(parts: DataFrame, names: DataFrame | None = None) -> DataFrame:
