@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, and SQL for those that SQL can express."""
+"""The operators of this package as queries over the driver's tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import decontaminate, embeddings, licenses, minhash, packing, pages, quality, store, substring, tokencounts, urls
+from strophe.llm import decontaminate, embeddings, licenses, minhash, packing, pages, quality, runs, store, substring, tokencounts, tokenfiles, urls
 
 RULES: list[urls.Rule] = [
     ("block", "com", "/en/"),
@@ -75,8 +75,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(spark, _read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(runs.collapse_runs(runs.plant_periods(_read(spark, sf_dir, "documents"))))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{store.Workspace(spark, 'tokens').root}/simple8b"
+    tokenfiles.write_documents(_read(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return tokenfiles.read_documents(spark, path, ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontaminate, op2_pack, op3_embedding_dedup, op4_substring_dedup, op5_minhash_dedup, op6_license_scan, op7_token_counts, op8_quality, op9_url_filter, op10_main_text)
+    ops = (op1_decontaminate, op2_pack, op3_embedding_dedup, op4_substring_dedup, op5_minhash_dedup, op6_license_scan, op7_token_counts, op8_quality, op9_url_filter, op10_main_text, op12_periodic_runs, op13_token_files)
     return {f.__name__: f for f in ops}
 
 
@@ -156,5 +166,30 @@ FROM own o LEFT JOIN fits f ON f.k = o.k LEFT JOIN judged j ON j.node = {node.fo
 """
 
 
+#: A run of period q and 4 q words or more repeats every three words that its first 3 q words begin; islands of these are the runs.
+OP12_SQL = r"""
+WITH z AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT k, doc_id, w, len(w) AS n, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+                                                                          lambda c, x: xor(c >> 8, crc[1 + xor(c & 255, x)]))) AS h FROM d, z),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS z FROM h),
+v AS (SELECT k, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // z) END]) END AS w FROM a),
+p AS (SELECT k, n, w, unnest(range(n)) AS i FROM v),
+g AS (SELECT k, n, i, w[i + 1] AS x, array_to_string(w[i + 1:i + 3], ' ') AS t, i + 2 < n AS whole FROM p),
+m AS (SELECT l.k, l.i, r.i - l.i AS q FROM g l JOIN g r ON l.k = r.k AND l.t = r.t AND r.i > l.i AND 4 * (r.i - l.i) <= l.n WHERE l.whole AND r.whole),
+s AS (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM m),
+e AS (SELECT k, q, min(i) AS start, max(i) - min(i) + 3 + q AS length FROM s GROUP BY k, q, island),
+r AS (SELECT k, start, length, min(q) AS q FROM e WHERE length >= greatest(6, 4 * q) GROUP BY k, start, length),
+one AS (SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines,
+        first(struct_pack(s := start, l := length, q := q) ORDER BY length DESC, start, q) AS b FROM r GROUP BY k),
+c AS (SELECT g.k, g.i, g.x FROM g ANTI JOIN r ON g.k = r.k AND g.i >= r.start + r.q AND g.i < r.start + r.length),
+t AS (SELECT k, string_agg(x, ' ' ORDER BY i) AS kept FROM c GROUP BY k)
+SELECT d.doc_id, coalesce(o.n_runs, 0) AS n_runs, o.b.s AS start, o.b.l AS length, o.b.q AS period, 1000 * o.b.l // o.b.q AS exponent_milli,
+  sha256(coalesce(o.lines, '')) AS runs_sha256, sha256(coalesce(t.kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN one o ON o.k = d.k LEFT JOIN t ON t.k = d.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op9_url_filter": _op9_sql()}
+    return {"op3_embedding_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op9_url_filter": _op9_sql(), "op12_periodic_runs": OP12_SQL}
