@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import decontaminate, embeddings, licenses, minhash, packing, pages, quality, runs, store, substring, tokencounts, tokenfiles, urls
+from strophe.llm import alignment, decontaminate, embeddings, licenses, minhash, packing, pages, quality, runs, store, substring, tokencounts, tokenfiles, urls
 
 RULES: list[urls.Rule] = [
     ("block", "com", "/en/"),
@@ -75,6 +75,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(spark, _read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align_documents(spark, _read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digest(runs.collapse_runs(runs.plant_periods(_read(spark, sf_dir, "documents"))))
 
@@ -86,7 +91,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontaminate, op2_pack, op3_embedding_dedup, op4_substring_dedup, op5_minhash_dedup, op6_license_scan, op7_token_counts, op8_quality, op9_url_filter, op10_main_text, op12_periodic_runs, op13_token_files)
+    ops = (op1_decontaminate, op2_pack, op3_embedding_dedup, op4_substring_dedup, op5_minhash_dedup, op6_license_scan, op7_token_counts, op8_quality, op9_url_filter, op10_main_text, op11_token_alignment, op12_periodic_runs, op13_token_files)
     return {f.__name__: f for f in ops}
 
 
