@@ -13,6 +13,9 @@ import re
 
 import numpy as np
 
+from strophe.llm import packing
+from strophe.llm import words as W
+
 #: What a process remembers: parts, and characters of them.
 REMEMBERED, REMEMBERED_CHARS = 500_000, 1 << 23
 #: Parts that the library encodes in one text.
@@ -115,3 +118,127 @@ class PartIds:
         counts = self.counts.data[at]
         total = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(sizes)]]
         return self.ids.data[spread(self.starts.data[at], counts)], np.diff(total)
+
+
+#: White space besides ASCII's; texts that hold some are encoded whole.
+ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_FIRST = np.zeros(256, bool)
+_FIRST[[c.encode()[0] for c in ODD_SPACE]] = True
+_SPACED = np.uint64(0x5851F42D4C957F2D)
+
+
+class ByteIds(PartIds):
+    """PartIds over buffers of bytes, with remembered words in arrays.
+
+    A text is cut further: into words, each with the space before it if there is one, a . or , behind a letter or digit that ends a word, and what
+    else stands between words. Between words the splitting rule takes all white space but its last character as one piece, and the last with the word
+    if it is a space, else as a piece of its own.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
+        super().__init__(path, plain)
+        self.table = packing.IdTable()
+        special = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.first = _FIRST.copy()
+        self.first[[t[0] for t in special]] = True
+        self.odd = [*(c.encode() for c in ODD_SPACE), *special]
+
+    def _odd(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts hold odd white space or the string of a special token."""
+        out = np.full(len(offsets) - 1, not self.cuts)
+        at = np.flatnonzero(self.first[buf])
+        if not len(at):
+            return out
+        ends = np.searchsorted(offsets, at, "right") - 1
+        lead = buf[at]
+        for x in self.odd:
+            hits = lead == x[0]
+            for k in range(1, len(x)):
+                hits[hits] = buf[np.minimum(at[hits] + k, len(buf) - 1)] == x[k]
+            out[ends[hits]] = True
+        return out
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x, np.uint32).tobytes() for x in self.encode(texts)]
+
+    def _spaced(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words with a space before each, many to a call: each opens with the only space it has."""
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.encode([(b" " + b" ".join(some)).decode()])[0], np.uint32)
+            cuts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("a token of this vocabulary holds a space behind something else")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+        return out
+
+    def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, keys: np.ndarray) -> None:
+        parts = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for kind in range(4):
+            at = np.flatnonzero(kinds == kind)
+            some = [parts[k] for k in at.tolist()]
+            if kind == 1:
+                ids = self._spaced(some)
+            elif kind == 2:  # between words; any letter stands for the next one
+                ids = [x[:-4] for x in self._raw([p.decode() + "x" for p in some])]
+            else:
+                ids = self._raw([p.decode() for p in some])
+            self.table.add(keys[at], (ends - starts)[at], ids)
+
+    def buffer(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, how many each has) of texts in a buffer."""
+        raw = buf.tobytes()
+        n = len(offsets) - 1
+        cuts = offsets.tolist()
+        odd = self._odd(buf, offsets)
+        whole = {int(k): np.array(self.encode([raw[cuts[k] : cuts[k + 1]].decode()])[0], np.uint32) for k in np.flatnonzero(odd)}
+        w = W.split_words(buf, offsets)
+        of = np.repeat(np.arange(n), w.counts())
+        first = np.ones(len(of), bool)
+        first[1:] = of[1:] != of[:-1]
+        gap = np.where(first, offsets[of], np.r_[0, w.ends[:-1]]) if len(of) else np.zeros(0, np.int64)
+        spaced = (w.starts > gap) & (buf[np.maximum(w.starts - 1, 0)] == 32)
+        last, before = buf[w.ends - 1], buf[np.maximum(w.ends - 2, 0)]
+        mark = ((last == 46) | (last == 44)) & (w.ends - w.starts > 1) & packing._ALNUM[before]
+        tail = np.flatnonzero(~odd & (offsets[1:] > offsets[:-1]))  # texts whose end is white space
+        ended = np.where(w.counts()[tail] > 0, w.ends[np.maximum(w.offsets[1:][tail] - 1, 0)] if len(of) else 0, offsets[:-1][tail])
+        tail, ended = tail[ended < offsets[1:][tail]], ended[ended < offsets[1:][tail]]
+        between = np.flatnonzero((w.starts - gap > 1) | ((w.starts - gap == 1) & ~spaced))
+        marks = np.flatnonzero(mark)
+        # kinds: 0 a word or mark with nothing before it, 1 a word with a space, 2 white space between words, 3 white space at the end
+        starts = np.r_[w.starts, w.ends[marks] - 1, gap[between], ended]
+        ends = np.r_[w.ends - mark, w.ends[marks], w.starts[between], offsets[1:][tail]]
+        kinds = np.r_[spaced.astype(np.int64), np.zeros(len(marks), np.int64), np.full(len(between), 2), np.full(len(tail), 3)]
+        text = np.r_[of, of[marks], of[between], tail]
+        keep = np.flatnonzero(~odd[text])
+        keep = keep[np.lexsort((ends[keep], starts[keep]))]
+        starts, ends, kinds, text = starts[keep], ends[keep], kinds[keep], text[keep]
+        keys = W.mix(W.Words(buf, starts, ends, offsets).hashes() + kinds.astype(np.uint64) * _SPACED)
+        sizes, table = ends - starts, self.table
+        entry = table.find(keys, sizes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            if table.size + len(new) > packing.REMEMBERED:
+                table.clear()
+                new = np.arange(len(keys))
+            _, one = np.unique(keys[new], return_index=True)
+            one = new[one]
+            self._learn(raw, starts[one], ends[one], kinds[one], keys[one])
+            entry[new] = table.find(keys[new], sizes[new])
+            lost = np.unique(text[new[entry[new] < 0]])  # two parts of one hash: the text is encoded on its own
+            for k in lost.tolist():
+                whole[k] = np.array(self.encode([raw[cuts[k] : cuts[k + 1]].decode()])[0], np.uint32)
+            if len(lost):
+                stay = ~np.isin(text, lost)
+                entry, text = entry[stay], text[stay]
+        count = table.count[entry]
+        sizes = np.bincount(text, count, n).astype(np.int64)
+        ids = table.ids[spread(table.at[entry], count)]
+        if not whole:
+            return ids, sizes
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        for k, x in whole.items():
+            parts[k], sizes[k] = x, len(x)
+        return np.concatenate(parts), sizes

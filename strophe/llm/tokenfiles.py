@@ -227,6 +227,22 @@ def read_file(system: fs.FileSystem, path: str) -> Iterator[tuple[pa.Array, np.n
             raise ValueError(f"checksum of the blocks differs: {path}")
 
 
+#: Of this process; Python workers serve many tasks.
+_IDS: dict[tuple[str, bool], encoders.ByteIds] = {}
+
+
+def _encoded(texts: pa.Array, tokenizer: str, end_id: int | None, plain: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, ids in a row, ids of each) of some rows at a time."""
+    if (tokenizer, plain) not in _IDS:
+        _IDS[tokenizer, plain] = encoders.ByteIds(tokenizer, plain)
+        W.remember("tokenfiles", _IDS.clear)
+    for i, j, buf, offsets in W.pieces(texts):
+        ids, counts = _IDS[tokenizer, plain].buffer(buf, offsets)
+        if end_id is not None:
+            ids, counts = np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
+        yield i, j, ids, counts
+
+
 @dataclass
 class Written(WriterCommitMessage):
     partition: int = 0
@@ -234,11 +250,23 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, schema: T.StructType, overwrite: bool):
-        self.path, self.overwrite, self.schema, self.job = path.rstrip("/"), overwrite, schema.json(), uuid.uuid4().hex
-        if [f.name for f in schema.fields] != ["doc_id", "ids"]:
-            raise ValueError("token files take the columns doc_id and ids")
-        self.kind = schema.fields[0].dataType
+    def __init__(self, path: str, schema: T.StructType, overwrite: bool, coding: tuple[str, int | None, bool] | None = None):
+        if [f.name for f in schema.fields] != ["doc_id", "text" if coding else "ids"]:
+            raise ValueError("token files take the columns doc_id and ids, or doc_id and text with a tokenizer")
+        self.kind, self.coding = schema.fields[0].dataType, coding
+        ids = T.ArrayType(T.IntegerType()) if coding else schema.fields[1].dataType
+        self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
+        self.schema = T.StructType([schema.fields[0], T.StructField("ids", ids)]).json()
+
+    def _rows(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """(doc ids, ids of each, ids in a row)."""
+        for b in iterator:
+            if self.coding:
+                for i, j, ids, counts in _encoded(b.column(1), *self.coding):
+                    yield b.column(0).slice(i, j - i), counts, ids
+            else:
+                ends = b.column(1).offsets.to_numpy().astype(np.int64)
+                yield b.column(0), np.diff(ends), b.column(1).values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         W.enter("tokenfiles")
@@ -247,18 +275,14 @@ class Writer(DataSourceArrowWriter):
         task = TaskContext.get()
         done, out, kind = [], None, to_arrow_type(self.kind)
         try:
-            for b in iterator:
-                lists = b.column(1)
-                ends = lists.offsets.to_numpy().astype(np.int64)
-                ids, counts = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], np.diff(ends)
-                at = 0
-                while at < b.num_rows:
+            for keys, counts, ids in self._rows(iterator):
+                ends, at = np.r_[0, np.cumsum(counts)], 0
+                while at < len(keys):
                     if out is None:
                         out = FileWriter(system, f"{folder}/{self.job}-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.s8b", kind)
-                    room = np.searchsorted(np.cumsum(counts[at:]), FILE_IDS - out.n_ids) + 1
-                    n = min(b.num_rows - at, int(room), FILE_DOCS - out.n_docs)
-                    lo, hi = ends[at] - ends[0], ends[at + n] - ends[0]
-                    out.add(b.column(0).slice(at, n).cast(kind), counts[at : at + n], ids[lo:hi])
+                    room = np.searchsorted(ends[at + 1 :] - ends[at], FILE_IDS - out.n_ids) + 1
+                    n = min(len(keys) - at, int(room), FILE_DOCS - out.n_docs)
+                    out.add(keys.slice(at, n).cast(kind), counts[at : at + n], ids[ends[at] : ends[at + n]])
                     at += n
                     if out.n_ids >= FILE_IDS or out.n_docs >= FILE_DOCS:
                         done.append(out.close())
@@ -338,7 +362,7 @@ class Reader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """Format "simple8b". Writes (doc_id, ids) in the order of partitions and rows. Reads doc_id, start (ids of all documents before it) and ids;
+    """Format "simple8b". Writes (doc_id, ids) in the order of partitions and rows; with options tokenizer, end_id and plain, (doc_id, text). Reads doc_id, start (ids of all documents before it) and ids;
     with option ids=false, n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers) in their place."""
 
     @classmethod
@@ -362,26 +386,16 @@ class TokenFiles(DataSource):
         return Reader(self.options["path"], self._manifest(), self._ids())
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return Writer(self.options["path"], schema, overwrite)
-
-
-#: Of this process; Python workers serve many tasks.
-_IDS: dict[tuple[str, bool], encoders.PartIds] = {}
+        end = self.options.get("end_id", "")
+        coding = (self.options["tokenizer"], int(end) if end else None, self.options.get("plain", "false").lower() == "true") if "tokenizer" in self.options else None
+        return Writer(self.options["path"], schema, overwrite, coding)
 
 
 def _encode(tokenizer: str, end_id: int | None, plain: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        W.enter("tokenids")
-        if (tokenizer, plain) not in _IDS:
-            _IDS[tokenizer, plain] = encoders.PartIds(tokenizer, plain)
-            W.remember("tokenids", _IDS.clear)
-        coder = _IDS[tokenizer, plain]
+        W.enter("tokenfiles")
         for b in batches:
-            for i, j, buf, offsets in W.pieces(b.column(1)):
-                raw, cuts = buf.tobytes(), offsets.tolist()
-                ids, counts = coder.texts([raw[x:y].decode() for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
-                if end_id is not None:
-                    ids, counts = np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
+            for i, j, ids, counts in _encoded(b.column(1), tokenizer, end_id, plain):
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists], names=["doc_id", "ids"])
 
@@ -407,7 +421,8 @@ def write_documents(documents: DataFrame, path: str, tokenizer: str, end_id: int
     documents.sparkSession.dataSource.register(TokenFiles)
     rows = frames.pick(documents, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
-    encode_documents(ordered, tokenizer, end_id, plain).write.format("simple8b").mode("overwrite").save(path)
+    options = {"tokenizer": tokenizer, "plain": str(plain).lower()} | ({} if end_id is None else {"end_id": str(end_id)})
+    ordered.select("doc_id", "text").write.format("simple8b").options(**options).mode("overwrite").save(path)
 
 
 def read_documents(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
