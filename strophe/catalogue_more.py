@@ -12,6 +12,7 @@ from strophe.operators import clips, codec, corpus, generation, sequence, stats,
 from strophe.plans import bind
 from strophe.plans.bind import FILES, NOTES
 from strophe.plans.scratch import folder as scratch
+from strophe.plans.scratch import stored
 from strophe.sources import midi, text
 
 
@@ -225,7 +226,8 @@ def delta_truncations(spark, d):
 def tokenization_report(spark, d):
     rows = _both(spark, d).where("time >= 0")
     shards = rows.select("track", (F.col("track") % 4).alias("shard")).distinct()
-    return training.tokenization_report(rows, training.tokenize(rows, shards, 2, (3,)), shards.select("track", F.when(F.col("shard") == 3, 1).otherwise(2).alias("copies")))
+    pieces = stored(training.sequences(rows, shards, 2, (3,)))
+    return training.tokenization_report(rows, pieces, training.pack_pieces(pieces))
 
 
 # selection
@@ -300,17 +302,22 @@ def piano_roll(spark, d):
 # generation
 
 
-def steady(tokens: list[int]) -> np.ndarray:
-    """A model for tests: the next event comes 40 ticks after the last, 20 ticks long, always the same note."""
+def _steady(tokens: list[int], instr: int = 40) -> np.ndarray:
+    """The next event comes 40 ticks after the last, 20 ticks long, always the same note or, where that may not be, the nearest."""
     slot = (len(tokens) - 1) % 3
     if slot == 0:
         times = [t for t, n in zip(tokens[1::3], tokens[3::3], strict=True) if n < V.CONTROL_OFFSET]
         want = max(times, default=0) + 40
     else:
-        want = V.DUR_OFFSET + 20 if slot == 1 else V.NOTE_OFFSET + 128 * 40 + 60
+        want = V.DUR_OFFSET + 20 if slot == 1 else V.NOTE_OFFSET + 128 * instr + 60
     return -50.0 * np.abs(np.arange(V.VOCAB) - want)
 
 
+#: Models for tests.
+steady = generation.each(_steady)
+wanting = generation.each(lambda tokens: _steady(tokens, 126))
+
+
 _STEADY = """last AS (SELECT track, t + 100 * CAST(greatest(0, floor((3000 - t - 1) / 100.0)) AS BIGINT) AS t FROM (SELECT track, coalesce(max(time) FILTER (WHERE time <= 3000 {who}), 0) AS t FROM notes GROUP BY track)),
 made AS (SELECT track, unnest(range(greatest(t + 40, 3000), 3400, 40)) AS time FROM last)"""
 
@@ -336,6 +343,21 @@ def accompany_parts(spark, d):
     return generation.accompany(bind.notes(spark, d), [0, 8], steady, 30.0, 34.0, [40])
 
 
+_MANY = "n AS (SELECT track, pos, kind, time, dur, CASE WHEN instr = 128 THEN instr ELSE pitch % 16 END AS instr, pitch FROM notes)"
+
+
+@query(f"""WITH {NOTES}, {_MANY}, s AS (SELECT track, count(DISTINCT instr) FILTER (WHERE instr >= 6 OR time <= 3400) >= 15 AND bool_or(instr = 128) AS full FROM n WHERE time <= 3500 AND (instr < 6 OR time <= 3000) GROUP BY track),
+{_STEADY.replace("{who}", "AND instr >= 6").replace("FROM notes GROUP", "FROM n GROUP")}, a AS (SELECT 0 AS src, track, pos, time, least(dur, 999) AS dur, instr, pitch FROM n WHERE instr >= 6 AND time <= 3000
+  UNION ALL SELECT 0, m.track, 1000000, time, 20, CASE WHEN s.full THEN 128 ELSE 126 END, CASE WHEN s.full THEN 0 ELSE 60 END FROM made m JOIN s ON s.track = m.track
+  UNION ALL SELECT 1, track, pos, time, dur, instr, pitch FROM n WHERE instr >= 6 AND time > 3000)
+SELECT track, row_number() OVER (PARTITION BY track ORDER BY time, src, pos) - 1 AS pos, 'event' AS kind, time, dur, CAST(instr AS BIGINT) AS instr, CAST(pitch AS BIGINT) AS pitch FROM a""")
+def capped_generation(spark, d):
+    """The model wants instrument 126; 10 instruments, drums and 6 of controls are there, so the nearest note of theirs comes."""
+    rows = bind.notes(spark, d).withColumn("instr", F.when(F.col("instr") == 128, F.col("instr")).otherwise(F.col("pitch") % 16))
+    events, controls = sequence.split(sequence.to_controls(rows, F.col("instr") < 6))
+    return generation.generate(sequence.sort(events), controls, wanting, 3000, 3400)
+
+
 def _ends(spark: SparkSession, d: str) -> DataFrame:
     return bind.notes(spark, d).groupBy("track").agg((F.max("time") / 100.0).alias("last_onset"), (F.max(F.col("time") + F.col("dur")) / 100.0).alias("last_end"), ((F.max(F.col("time") + F.col("dur")) + 150) / 100.0).alias("length"))
 

@@ -1,13 +1,15 @@
-"""Generation with a caller's model, a track at a time, and the arithmetic of where it starts and ends.
+"""Generation with a caller's model, many tracks at a time, and the arithmetic of where it starts and ends.
 
-Each step depends on the one before it, so a track's loop runs within one task; tracks run side by side. A model is a function from
-the tokens so far to the logits of the next one, sent to the tasks.
+A track's steps depend on each other, so its loop runs within one task, but the loops of a task's tracks go on together: each asks for the
+next token's logits, the model is called once for all that ask, and a track that has ended makes room for another. A model is a
+function, sent to the tasks, from the tokens so far of several tracks to an array of the logits of each one's next token; `each` makes one of a
+function for a single track.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Hashable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -17,10 +19,56 @@ from strophe.functions import vocab as V
 from strophe.operators import sampling
 from strophe.operators import sequence as S
 
-Model = Callable[[list[int]], np.ndarray]
+Model = Callable[[list[list[int]]], np.ndarray]
 Triple = tuple[int, int, int]
-#: Triples that the model sees besides those it is drawing.
-HISTORY, CAP = 339, 15
+#: A loop gives the tokens so far, takes the next one's logits, and returns its triples.
+Loop = Generator[list[int], np.ndarray, list[Triple]]
+#: Triples that the model sees besides those it is drawing; instruments of a track; tracks that go on together.
+HISTORY, CAP, OPEN = 339, 15, 64
+
+
+def each(model: Callable[[list[int]], np.ndarray]) -> Model:
+    """A model for several tracks that calls `model` for one after the other."""
+    return lambda histories: np.stack([np.asarray(model(h), float) for h in histories])
+
+
+def in_steps(model: Model, loops: Iterator[tuple[Hashable, Loop]], at_once: int = OPEN) -> Iterator[tuple[Hashable, list[Triple]]]:
+    """(key, result) of each loop as it ends; in every step the model is called once for at most `at_once` open loops."""
+    live: list[tuple[Hashable, Loop, list[int]]] = []
+    loops = iter(loops)
+    while True:
+        while len(live) < at_once and (nxt := next(loops, None)) is not None:
+            key, loop = nxt
+            try:
+                live.append((key, loop, next(loop)))
+            except StopIteration as done:
+                yield key, done.value
+        if not live:
+            return
+        logits = np.asarray(model([history for *_, history in live]), float)
+        if len(logits) != len(live):
+            raise ValueError(f"the model gave {len(logits)} rows of logits for {len(live)} tracks")
+        asked, live = live, []
+        for (key, loop, _), row in zip(asked, logits, strict=True):
+            try:
+                live.append((key, loop, loop.send(row)))
+            except StopIteration as done:
+                yield key, done.value
+
+
+class _Track:
+    """Triples so far and the instruments among them; controls count under their instrument, rests as 129."""
+
+    def __init__(self, triples: list[Triple]):
+        self.triples: list[Triple] = []
+        self.seen: set[int] = set()
+        for t in triples:
+            self.add(t)
+
+    def add(self, t: Triple) -> None:
+        self.triples.append(t)
+        if t[2] < V.SEPARATOR:
+            self.seen.add((t[2] - V.NOTE_OFFSET - (V.CONTROL_OFFSET if t[2] >= V.CONTROL_OFFSET else 0)) // V.MAX_PITCH)
 
 
 def _time(t: Triple) -> int:
@@ -55,44 +103,46 @@ def draw(logits: np.ndarray, ok: np.ndarray, top_p: float, rng: np.random.Genera
     return int(rng.choice(order, p=p))
 
 
-def next_triple(model: Model, flag: int, tokens: list[Triple], now: int, top_p: float, rng: np.random.Generator) -> Triple:
+def next_triple(flag: int, track: _Track, now: int, top_p: float, rng: np.random.Generator) -> Generator[list[int], np.ndarray, Triple]:
     """One more triple: the last HISTORY ones, moved to their least time, are what the model sees."""
-    recent = tokens[-HISTORY:]
+    recent = track.triples[-HISTORY:]
     base = min(map(_time, recent), default=0)
-    seen = {V.MAX_INSTR if t[2] == V.REST else (t[2] - V.NOTE_OFFSET) // V.MAX_PITCH for t in tokens if t[2] < V.CONTROL_OFFSET}
     history = [flag, *(x for t in recent for x in (t[0] - base, t[1], t[2]))]
     new: list[int] = []
     for slot in range(3):
-        new.append(draw(np.asarray(model(history + new), float), allowed(slot, now - base, seen), top_p, rng))
+        logits = yield history + new
+        new.append(draw(logits, allowed(slot, now - base, track.seen), top_p, rng))
     return new[0] + base, new[1], new[2]
 
 
-def anticipatory(model: Model, flag: int, prompt: list[Triple], waiting: list[Triple], start: int, end: int, top_p: float, delta: int, rng: np.random.Generator) -> list[Triple]:
+def anticipatory(flag: int, prompt: list[Triple], waiting: list[Triple], start: int, end: int, top_p: float, delta: int, rng: np.random.Generator) -> Loop:
     """The prompt and what the model adds before `end`; controls come in as soon as the time is within delta of theirs."""
-    tokens, ahead = list(prompt), list(waiting)
+    track, ahead = _Track(prompt), 0
     now = max((_time(t) for t in prompt if t[2] < V.CONTROL_OFFSET), default=0)
     while True:
-        while ahead and now >= _time(ahead[0]) - delta:
-            tokens.append(ahead.pop(0))
-        new = next_triple(model, flag, tokens, max(start, now), top_p, rng)
+        while ahead < len(waiting) and now >= _time(waiting[ahead]) - delta:
+            track.add(waiting[ahead])
+            ahead += 1
+        new = yield from next_triple(flag, track, max(start, now), top_p, rng)
         if new[0] >= end:
-            return tokens
-        tokens.append(new)
+            return track.triples
+        track.add(new)
         now = new[0]
 
 
-def autoregressive(model: Model, prompt: list[Triple], later: list[Triple], start: int, end: int, top_p: float, rng: np.random.Generator) -> list[Triple]:
+def autoregressive(prompt: list[Triple], later: list[Triple], start: int, end: int, top_p: float, rng: np.random.Generator) -> Loop:
     """The prompt and what the model adds before `end`; later events come in before the first new one that passes them, and the next of them at the end."""
-    tokens, ahead = list(prompt), list(later)
+    track, ahead = _Track(prompt), 0
     now = max(map(_time, prompt), default=0)
     while True:
-        new = next_triple(model, V.AUTOREGRESS, tokens, max(start, now), top_p, rng)
+        new = yield from next_triple(V.AUTOREGRESS, track, max(start, now), top_p, rng)
         if new[0] >= end:
-            return tokens + ahead[:1]
+            return track.triples + later[ahead : ahead + 1]
         now = new[0]
-        while ahead and now >= _time(ahead[0]):
-            tokens.append(ahead.pop(0))
-        tokens.append(new)
+        while ahead < len(later) and now >= _time(later[ahead]):
+            track.add(later[ahead])
+            ahead += 1
+        track.add(new)
 
 
 def _listed(df: DataFrame, name: str) -> DataFrame:
@@ -100,35 +150,38 @@ def _listed(df: DataFrame, name: str) -> DataFrame:
     return packed.select("track", F.transform("x", lambda x: x["tokens"]).alias(name))
 
 
-def _run(tracks: DataFrame, loop: Callable, seed: int) -> DataFrame:
-    """Rows of the triples that loop(row, rng) gives for each track."""
-
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+def _run(tracks: DataFrame, model: Model, loop: Callable[..., Loop], seed: int, at_once: int) -> DataFrame:
+    """Rows of the triples that loop(flag, prompt, ahead, start, end, rng) gives for each track."""
 
+    def loops(frames: Iterator) -> Iterator[tuple[Hashable, Loop]]:
         for f in frames:
-            out = []
             for r in f.itertuples():
                 lists = [[tuple(map(int, t)) for t in x] if x is not None else [] for x in (r.prompt, r.ahead)]
-                out.append([list(t) for t in loop(int(r.flag), *lists, int(r.start), int(r.end), np.random.default_rng(zlib.crc32(f"{seed}:{r.track}".encode())))])
-            yield pd.DataFrame({"track": f.track, "t": out})
+                yield r.track, loop(int(r.flag), *lists, int(r.start), int(r.end), np.random.default_rng(zlib.crc32(f"{seed}:{r.track}".encode())))
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for track, triples in in_steps(model, loops(frames), at_once):
+            yield pd.DataFrame({"track": [track], "t": [[list(t) for t in triples]]})
 
     made = tracks.mapInPandas(run, "track long, t array<array<int>>").select("track", F.posexplode("t").alias("pos", "tokens"))
     return S.decode_events(made.withColumn("pos", F.col("pos").cast("long")))
 
 
-def generate(inputs: DataFrame, controls: DataFrame, model: Model, start: int, end: int, top_p: float = 1.0, delta: int = V.DELTA, seed: int = 0) -> DataFrame:
+def generate(inputs: DataFrame, controls: DataFrame, model: Model, start: int, end: int, top_p: float = 1.0, delta: int = V.DELTA, seed: int = 0, at_once: int = OPEN) -> DataFrame:
     """Events of each track: the inputs up to `start`, what the model adds from there to `end` (ticks) and the inputs behind `start`.
 
-    These and the controls are anticipated, not played again.
+    These and the controls are anticipated, not played again. Once a track has CAP instruments - those of its controls so far count, and rests
+    as one - no other is drawn. A task calls the model for at most `at_once` tracks together; results don't depend on it.
     """
     prompt, waiting, flags = sampling.prompt_assembly(inputs, start, controls, delta)
     rows = flags.join(_listed(prompt, "prompt"), "track", "left").join(_listed(waiting, "ahead"), "track", "left").withColumn("start", F.lit(start)).withColumn("end", F.lit(end))
-    made = _run(rows, lambda flag, p, a, s, e, rng: anticipatory(model, flag, p, a, s, e, top_p, delta, rng), seed)
+    made = _run(rows, model, lambda flag, p, a, s, e, rng: anticipatory(flag, p, a, s, e, top_p, delta, rng), seed, at_once)
     return sampling.output_assembly(made, inputs.where(F.col("time") > start))
 
 
-def generate_autoregressive(inputs: DataFrame, controls: DataFrame, model: Model, start: int, end: int, top_p: float = 1.0, seed: int = 0) -> DataFrame:
+def generate_autoregressive(inputs: DataFrame, controls: DataFrame, model: Model, start: int, end: int, top_p: float = 1.0, seed: int = 0, at_once: int = OPEN) -> DataFrame:
     """As generate(), with controls as events and nothing anticipated.
 
     Later events that came in among the new ones stand there and, as all later events, once more.
@@ -139,7 +192,7 @@ def generate_autoregressive(inputs: DataFrame, controls: DataFrame, model: Model
     later = rows.where(F.col("time") > start)
     packed = tracks.join(_listed(prompt, "prompt"), "track", "left").join(_listed(later, "ahead"), "track", "left")
     packed = packed.withColumns({"flag": F.lit(V.AUTOREGRESS), "start": F.lit(start), "end": F.lit(end)})
-    made = _run(packed, lambda flag, p, a, s, e, rng: autoregressive(model, p, a, s, e, top_p, rng), seed)
+    made = _run(packed, model, lambda flag, p, a, s, e, rng: autoregressive(p, a, s, e, top_p, rng), seed, at_once)
     return sampling.output_assembly(made, later)
 
 

@@ -6,15 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions import vocab as V
+from strophe.operators import interleave
 from strophe.operators import sequence as S
+from strophe.plans.scan import scan
 from strophe.plans.scratch import stored
 
 
 def gate(df: DataFrame) -> DataFrame:
     """(track, n, end, status): 0 good, 1 too short, 2 too long, 3 too many instruments, tested in this order."""
-    a = df.where("kind = 'event'").groupBy("track").agg(F.count("*").alias("n"), F.max("time").alias("end"), F.count_distinct("instr").alias("k"))
-    status = F.when((F.col("n") < V.MIN_TRACK_EVENTS) | (F.col("end") < V.MIN_TRACK_TIME), 1).when(F.col("end") > V.MAX_TRACK_TIME, 2).when(F.col("k") > V.MAX_TRACK_INSTR, 3).otherwise(0)
-    return a.select("track", "n", "end", status.cast("long").alias("status"))
+    return _measured(df).select("track", "n", "end", "status")
+
+
+def _measured(df: DataFrame) -> DataFrame:
+    """gate() with parts, the track's instruments: a set of 129 at most, so it is put together before the exchange."""
+    a = df.where("kind = 'event'").groupBy("track").agg(F.count("*").alias("n"), F.max("time").alias("end"), F.array_sort(F.collect_set("instr")).alias("parts"))
+    status = F.when((F.col("n") < V.MIN_TRACK_EVENTS) | (F.col("end") < V.MIN_TRACK_TIME), 1).when(F.col("end") > V.MAX_TRACK_TIME, 2).when(F.size("parts") > V.MAX_TRACK_INSTR, 3).otherwise(0)
+    return a.withColumn("status", status.cast("long"))
 
 
 def extract_random(df: DataFrame, rate: int | Column, seed: str = "0") -> DataFrame:
@@ -59,77 +66,43 @@ def mode_of(k: int) -> str:
     return "none" if k % 10 == 0 else "span" if k % 10 == 1 else "random" if k % 10 < 6 else "instrument"
 
 
-def extract_some_instruments(df: DataFrame, seed: str = "0") -> DataFrame:
-    """At least one but not all of a track's instruments, drawn at random, become controls; none of a track with one instrument."""
-    parts = df.where("kind = 'event'").select("track", "instr").distinct()
-    own = Window.partitionBy("track")
-    rank = F.row_number().over(own.orderBy(V.uniform(seed, "instrument", F.col("track"), F.col("instr")), "instr"))
-    parts = parts.withColumn("n", F.count("*").over(own)).withColumn("r", rank)
-    take = 1 + F.floor(V.uniform(seed, "instruments", F.col("track")) * (F.col("n") - 1))
-    drawn = parts.where((F.col("n") > 1) & (F.col("r") <= take)).select("track", "instr", F.lit(True).alias("hit"))
-    return S.to_controls(df.join(drawn, ["track", "instr"], "left"), F.coalesce("hit", F.lit(False))).select(*V.NOTE_COLUMNS)
+def sequences(notes: DataFrame, shards: DataFrame, factor: int = 1, unchanged: tuple = (), seed: str = "0", span_wait: int = 2000) -> DataFrame:
+    """Pieces (shard, track, start, flag, time, dur, note) of the sequences of all copies of the tracks that pass the gate.
+
+    shards: (track, shard), a row for each track; tracks of the `unchanged` shards (validation and test) have their one unchanged copy.
+    Copy k of `factor` is augmented as mode_of(k) says: unchanged, in spans, by chance (rate 1 to 9 tenths) or by instruments. Each copy is padded
+    to the track's end, its controls are interleaved, and a separator put before it; its sequence is the pair (track, k). Events count in
+    order of time, then pos.
+    """
+    events = notes.where("kind = 'event'").withColumn("dur", V.clamp_dur(F.col("dur")).cast("long"))
+    all_copies, one = (F.array(*[F.lit(k).cast("long") for k in range(n)]) for n in (factor, 1))
+    copies = F.when(F.col("shard").isin(*unchanged), one).otherwise(all_copies) if unchanged else all_copies
+    heads = _measured(notes).join(shards, "track", "left")
+    heads = heads.select("track", "shard", F.col("end").alias("end_time"), F.when((F.col("status") == 0) & F.col("shard").isNotNull(), copies).alias("copies"), "parts")
+    return interleave.interleaved(events, heads, {k: mode_of(k) for k in range(factor)}, seed, span_wait)
 
 
 def tokenize(notes: DataFrame, shards: DataFrame, factor: int = 1, unchanged: tuple = (), seed: str = "0", size: int = V.M, max_time: int = V.MAX_TIME, span_wait: int = 2000) -> DataFrame:
-    """Training rows (shard, chunk, flag, start, discarded, tokens) of the tracks that pass the gate, `factor` copies of each.
+    """Training rows (shard, chunk, flag, start, discarded, tokens) of sequences(notes, shards, factor, unchanged, seed, span_wait)."""
+    return pack_pieces(stored(sequences(notes, shards, factor, unchanged, seed, span_wait)), size, max_time)
 
-    shards: (track, shard); tracks of the `unchanged` shards (validation and test) have their one unchanged copy. Copy k is augmented as mode_of(k) says: unchanged, in spans, by chance (rate 1 to 9 tenths) or by
-    instruments. Each copy is padded to the track's end, its controls are interleaved, and a separator put before it.
-    A sequence is the pair (track, k); copies of a mode are made in one plan, so there are four, whatever the factor.
-    """
-    good = gate(notes).where("status = 0").select("track", F.col("end").alias("end_time"))
-    rows = notes.where("kind = 'event'").join(good.select("track"), "track", "left_semi").withColumn("dur", V.clamp_dur(F.col("dur")).cast("long")).select(*V.NOTE_COLUMNS)
-    many = lambda df, ks: df.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in ks]))).withColumn("track", F.struct("track", "k")).drop("k")
-    marked = None
-    for mode in ("none", "span", "random", "instrument"):
-        ks = [k for k in range(factor) if mode_of(k) == mode]
-        if not ks:
-            continue
-        copies = many(rows, ks)
-        if mode == "span":
-            copies = extract_spans(copies, span_wait, seed)
-        elif mode == "random":
-            copies = extract_random(copies, 1 + F.floor(V.uniform(seed, "rate", F.col("track")) * 9), seed)
-        elif mode == "instrument":
-            copies = extract_some_instruments(copies, seed)
-        copies = copies.select(*V.NOTE_COLUMNS)
-        marked = copies if marked is None else marked.unionByName(copies)
-    marked = first_copies(marked, shards, unchanged)
-    events, controls = S.split(marked)
-    ends = first_copies(many(good, range(factor)), shards, unchanged)
-    merged, _ = S.anticipate(S.pad(events, ends).unionByName(controls))
-    k = F.col("track")["k"]
-    sequences = with_separator(merged).join(shards.select(F.col("track").alias("of"), "shard"), F.col("track")["track"] == F.col("of")).drop("of")
-    flags = many(good, range(factor)).join(shards.select(F.col("track").alias("of"), "shard"), F.col("track")["track"] == F.col("of"))
-    flags = flags.select("shard", "track", F.when(k % 10 == 0, V.AUTOREGRESS).otherwise(V.ANTICIPATE).alias("flag"))
-    return pack(sequences, flags, size, max_time)
-
-
-def first_copies(copies: DataFrame, shards: DataFrame, unchanged: tuple) -> DataFrame:
-    """Rows whose track is (track, k), of the unchanged shards those of copy 0 alone."""
-    if not unchanged:
-        return copies
-    held = shards.where(F.col("shard").isin(*unchanged)).select(F.col("track").alias("of"))
-    one = F.col("track")["k"] > 0
-    return copies.join(held, one & (F.col("track")["track"] == F.col("of")), "left_anti")
-
-
-def tokenization_report(notes: DataFrame, rows: DataFrame, factor: DataFrame, size: int = V.M) -> DataFrame:
+
+def tokenization_report(notes: DataFrame, pieces: DataFrame, rows: DataFrame, size: int = V.M) -> DataFrame:
     """One row of seven counters and two ratios of a tokenization.
 
-    notes: what went in; rows: what tokenize() gave; factor (track, copies): the copies of each track. sequences, rests (and their
-    share of triples in percent), tracks too short, too long and with too many instruments, rows discarded, durations cut (of every
-    copy, and their share). Rests are those put into the sequences, also where a last short row went.
+    notes: what went in; pieces: what sequences() gave; rows: what they were packed into. sequences, rests put in (and their share of triples in
+    percent), tracks too short, too long and with too many instruments, rows discarded, durations cut (of every copy, and their share). Rests
+    count wherever their triple went, also in a shard's last short row. Shares are null without rows.
     """
-    status = gate(notes)
-    good = status.where("status = 0").select("track", F.col("end").alias("end_time"))
-    kept = notes.where("kind = 'event'").join(good, "track", "left_semi")
-    cut = S.truncations(kept).join(factor, "track").agg(F.coalesce(F.sum(F.col("truncated") * F.col("copies")), F.lit(0)).alias("truncated"))
-    counts = status.agg(*[F.count_if(F.col("status") == k).alias(n) for k, n in enumerate(("good", "short", "long", "instruments"))]).drop("good")
-    made = rows.agg(F.count_if(~F.col("discarded")).alias("sequences"), F.count_if(F.col("discarded")).alias("discarded"), F.coalesce(F.sum(F.size(F.filter("tokens", lambda t: t == V.REST))), F.lit(0)).alias("rests"))
-    share = lambda c: F.round(100.0 * F.col(c) / (F.col("sequences") * size), 2)
+    counts = _measured(notes).agg(*[F.count_if(F.col("status") == k).alias(n) for k, n in enumerate(("good", "short", "long", "instruments"))]).drop("good")
+    copies = pieces.where("start = 0").groupBy(F.col("track.track").alias("track")).agg(F.count("*").alias("copies"))
+    cut = S.truncations(notes).join(copies, "track").agg(F.coalesce(F.sum(F.col("truncated") * F.col("copies")), F.lit(0)).alias("truncated"))
+    rests = pieces.agg(F.coalesce(F.sum(F.size(F.filter("note", lambda t: t == V.REST))), F.lit(0)).alias("rests"))
+    made = rows.agg(F.count_if(~F.col("discarded")).alias("sequences"), F.count_if(F.col("discarded")).alias("discarded"))
+    share = lambda c: F.round(F.try_divide(100.0 * F.col(c), F.col("sequences") * size), 2)
     one = lambda df: df.withColumn("one", F.lit(1))
-    return one(made).join(one(counts), "one").join(one(cut), "one").select("sequences", "rests", "short", "long", "instruments", "discarded", "truncated", share("rests").alias("rest_share"), share("truncated").alias("cut_share"))
+    all_ = one(made).join(one(rests), "one").join(one(counts), "one").join(one(cut), "one")
+    return all_.select("sequences", "rests", "short", "long", "instruments", "discarded", "truncated", share("rests").alias("rest_share"), share("truncated").alias("cut_share"))
 
 
 def with_separator(df: DataFrame) -> DataFrame:
@@ -151,31 +124,58 @@ def pack(rows: DataFrame, flags: DataFrame, size: int = V.M, max_time: int = V.M
     taken relative to the least one before the row's first separator; rows that still reach max_time go.
     Returns (shard, chunk, flag, start, discarded, tokens). The flag is that of the sequence that owns the
     first triple, but after a discarded row it stays that row's until a row starts with a sequence.
-    Places come from the prefix sums of the sequences' sizes, so a shard's triples are packed by many tasks; one
-    task sees a shard's sequence sizes, and one its rows' flags.
+    Places come from running sums over the sequences' sizes that many tasks share, so no task sees a whole shard.
     """
-    rows = stored(rows)
-    sizes = rows.groupBy("shard", "track").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("track").rowsBetween(Window.unboundedPreceding, -1)
-    places = sizes.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(flags, ["shard", "track"]).select("shard", "track", "base", "flag")
-    at = rows.join(places, ["shard", "track"]).withColumn("p", F.col("base") + F.col("pos"))
-    at = at.withColumn("chunk", F.floor(F.col("p") / size)).withColumn("q", (F.col("p") % size).cast("int"))
-    cell = F.struct("q", "kind", "time", "dur", "instr", "pitch", "flag")
-    chunks = at.groupBy("shard", "chunk").agg(F.array_sort(F.collect_list(cell)).alias("c")).where(F.size("c") == size)
-    first_sep = F.array_position(F.transform("c", lambda x: x["kind"]), "sep")
-    head = F.when(first_sep == 0, F.col("c")).otherwise(F.slice("c", 1, F.greatest(first_sep - 1, F.lit(0)).cast("int")))
-    chunks = chunks.withColumn("cut", F.when(first_sep == 0, size + 1).otherwise(first_sep)).withColumn("start", F.coalesce(F.array_min(F.transform(head, lambda x: x["time"])), F.lit(0)))
-    moved = F.transform("c", lambda x: x.withField("time", F.when(x["q"] + 1 < F.col("cut"), x["time"] - F.col("start")).otherwise(x["time"])))
-    chunks = chunks.withColumn("c", moved).withColumn("discarded", F.coalesce(F.array_max(F.transform("c", lambda x: x["time"])), F.lit(0)) >= max_time)
-    # the flags' window sees four narrow columns, not the rows
-    chunks = stored(chunks)
-    order = Window.partitionBy("shard").orderBy("chunk")
-    fresh = ~F.coalesce(F.lag("discarded").over(order), F.lit(False)) | (F.col("cut") == 1)
-    narrow = chunks.select("shard", "chunk", "discarded", "cut", F.get("c", F.lit(0))["flag"].alias("own"))
-    last = F.last(F.when(fresh, F.col("own")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    chunks = chunks.join(narrow.select("shard", "chunk", last.alias("flag")), ["shard", "chunk"])
-    tokens = F.concat(F.array(F.col("flag")), F.flatten(F.transform("c", lambda x: V.encode(x["kind"], x["time"], x["dur"], x["instr"], x["pitch"]))))
-    return chunks.select("shard", F.col("chunk").cast("long").alias("chunk"), F.col("flag").cast("long").alias("flag"), F.col("start").cast("long").alias("start"), "discarded", tokens.alias("tokens"))
+    note = F.when(F.col("kind") == "sep", V.SEPARATOR).when(F.col("kind") == "rest", V.REST).otherwise(V.NOTE_OFFSET + F.col("instr") * V.MAX_PITCH + F.col("pitch") + F.when(F.col("kind") == "control", V.CONTROL_OFFSET).otherwise(0))
+    cell = F.struct("pos", F.coalesce("time", F.lit(0)).cast("int").alias("time"), F.coalesce("dur", F.lit(0)).cast("int").alias("dur"), note.cast("int").alias("note"))
+    # a sequence in pieces, so that a long one isn't one array
+    pieces = rows.groupBy("shard", "track", F.floor(F.col("pos") / interleave.PIECE).alias("__piece")).agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    pieces = pieces.join(flags, ["shard", "track"]).select("shard", "track", F.get("c", F.lit(0))["pos"].alias("start"), F.col("flag").cast("int").alias("flag"), *[_field("c", f).alias(f) for f in ("time", "dur", "note")])
+    return pack_pieces(stored(pieces), size, max_time)
+
+
+def _field(structs: str, name: str) -> Column:
+    return F.transform(structs, lambda x: x[name])
+
+
+def _cuts(pieces: DataFrame, size: int, arrays: tuple[str, ...]) -> DataFrame:
+    """(shard, chunk, q, ...) of pieces (shard, track, start, ...) cut at every `size` of the shard's places; q is the first place in the chunk."""
+    pieces = pieces.withColumn("__n", F.size(arrays[0]))
+    placed = scan(pieces.groupBy("shard", "track").agg(F.sum("__n").alias("__n")), "shard", "track", sums={"__base": F.col("__n")}).drop("__n")
+    at = pieces.join(placed, ["shard", "track"]).withColumn("__p", F.col("__base") + F.col("start")).where("__n > 0")
+    chunks = F.sequence(F.floor(F.col("__p") / size), F.floor((F.col("__p") + F.col("__n") - 1) / size))
+    at = at.withColumn("chunk", F.explode(chunks)).withColumn("__from", F.greatest(F.col("chunk") * size - F.col("__p"), F.lit(0)).cast("int"))
+    at = at.withColumn("__count", F.least(F.col("__n"), (F.col("chunk") + 1) * size - F.col("__p")).cast("int") - F.col("__from"))
+    others = [c for c in pieces.columns if c not in ("shard", "track", "start", "__n", *arrays)]
+    return at.select("shard", "chunk", (F.col("__p") + F.col("__from") - F.col("chunk") * size).cast("int").alias("q"), *others, *[F.slice(c, F.col("__from") + 1, F.col("__count")).alias(c) for c in arrays])
+
+
+def pack_pieces(pieces: DataFrame, size: int = V.M, max_time: int = V.MAX_TIME) -> DataFrame:
+    """pack() of sequences that come as pieces (shard, track, start, flag, time, dur, note): arrays of the triples from place start on."""
+    arrays = ("time", "dur", "note")
+    cut = _cuts(pieces, size, arrays)
+    chunks = cut.groupBy("shard", "chunk").agg(F.array_sort(F.collect_list(F.struct("q", "flag", *arrays))).alias("c"))
+    chunks = chunks.select("shard", F.col("chunk").cast("long").alias("chunk"), F.get("c", F.lit(0))["flag"].alias("own"), *[F.flatten(_field("c", f)).alias(f) for f in arrays])
+    chunks = chunks.where(F.size("note") == size).withColumn("sep", F.array_position("note", V.SEPARATOR).cast("int"))
+    chunks = chunks.withColumn("cut", F.when(F.col("sep") == 0, size + 1).otherwise(F.col("sep")))
+    chunks = chunks.withColumn("start", F.coalesce(F.array_min(F.slice("time", 1, F.col("cut") - 1)), F.lit(0)))
+    head = F.transform(F.slice("time", 1, F.col("cut") - 1), lambda t: t - F.col("start"))
+    chunks = chunks.withColumn("time", F.concat(head, F.slice("time", F.col("cut"), size))).drop("sep")
+    # a separator's time is not one, but nothing is less than 0
+    chunks = stored(chunks.withColumn("discarded", F.array_max("time") >= max_time))
+    narrow = chunks.select("shard", "chunk", "discarded", "cut", "own")
+    after = narrow.select("shard", (F.col("chunk") + 1).alias("chunk"), F.col("discarded").alias("lost"))
+    fresh = ~F.coalesce("lost", F.lit(False)) | (F.col("cut") == 1)
+    flagged = scan(narrow.join(after, ["shard", "chunk"], "left"), "shard", "chunk", lasts={"flag": F.when(fresh, F.col("own"))})
+
+    def triple(x: Column) -> Column:
+        shift = F.when(x["note"] >= V.CONTROL_OFFSET, V.CONTROL_OFFSET).otherwise(0)
+        sep = x["note"] == V.SEPARATOR
+        return F.array(F.when(sep, V.SEPARATOR).otherwise(x["time"] + V.TIME_OFFSET + shift), F.when(sep, V.SEPARATOR).otherwise(x["dur"] + V.DUR_OFFSET + shift), x["note"])
+
+    tokens = F.concat(F.array(F.col("flag")), F.flatten(F.transform(F.arrays_zip(*arrays), triple)))
+    rows = chunks.join(flagged.select("shard", "chunk", "flag"), ["shard", "chunk"])
+    return rows.select("shard", "chunk", F.col("flag").cast("long").alias("flag"), F.col("start").cast("long").alias("start"), "discarded", tokens.alias("tokens"))
 
 
 def tokenize_interarrival(tokens: DataFrame, status: DataFrame, shards: DataFrame, size: int = V.CONTEXT) -> DataFrame:
@@ -188,9 +188,8 @@ def tokenize_interarrival(tokens: DataFrame, status: DataFrame, shards: DataFram
 
 def pack_tokens(tokens: DataFrame, size: int = V.CONTEXT) -> DataFrame:
     """Inter-arrival tokens (shard, track, pos, token) cut into rows of `size`; the last short row goes."""
-    sizes = tokens.groupBy("shard", "track").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("track").rowsBetween(Window.unboundedPreceding, -1)
-    places = sizes.select("shard", "track", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    at = tokens.join(places, ["shard", "track"]).withColumn("p", F.col("base") + F.col("pos"))
-    rows = at.groupBy("shard", F.floor(F.col("p") / size).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("p", "token"))).alias("c")).where(F.size("c") == size)
-    return rows.select("shard", "chunk", F.transform("c", lambda x: x["token"]).alias("tokens"))
+    tokens = tokens.withColumn("token", F.col("token").cast("int"))
+    pieces = tokens.groupBy("shard", "track", F.floor(F.col("pos") / interleave.PIECE).alias("__piece")).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("c"))
+    pieces = stored(pieces.select("shard", "track", F.get("c", F.lit(0))["pos"].alias("start"), F.transform("c", lambda x: x["token"]).alias("tokens")))
+    rows = _cuts(pieces, size, ("tokens",)).groupBy("shard", "chunk").agg(F.array_sort(F.collect_list(F.struct("q", "tokens"))).alias("c"))
+    return rows.select("shard", "chunk", F.flatten(_field("c", "tokens")).cast("array<long>").alias("tokens")).where(F.size("tokens") == size)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from strophe.catalogue_more import steady
 from strophe.functions import vocab as V
 from strophe.operators import clips, codec, corpus, generation, sampling, stats, training
+from strophe.plans import scratch
+from strophe.plans.scan import scan
 from strophe.sources import midi, text
 
 NOTES = "track long, pos long, kind string, time long, dur long, instr long, pitch long"
@@ -135,7 +137,7 @@ def test_generation_with_controls(spark):
         assert [tuple(r)[2:] for r in got[k]] == sorted(own, key=lambda r: r[1])
 
 
-def test_generation_without_anticipation(spark):
+def test_generation_of_plain_events(spark):
     inputs, controls = prompts()
     got = grouped(generation.generate_autoregressive(frame(spark, inputs), frame(spark, controls, "control"), steady, 3000, 3300))
     for k in inputs:
@@ -154,6 +156,50 @@ def test_generation_without_anticipation(spark):
         assert [tuple(r)[2:] for r in got[k]] == sorted(out, key=lambda r: r[1]), k
 
 
+def hashed(histories):
+    """Logits that depend on all a track has so far."""
+    out = np.zeros((len(histories), V.VOCAB))
+    for row, h in zip(out, histories, strict=True):
+        rng = np.random.default_rng(abs(hash(tuple(h))))
+        row[:] = rng.normal(size=V.VOCAB)
+        if len(h) % 3 == 1:  # times near those seen
+            row[300 + max([t for t, n in zip(h[1::3], h[3::3], strict=True) if n < V.CONTROL_OFFSET], default=0) :] = -1e9
+    return out
+
+
+def test_generation_in_steps_is_generation_one_by_one():
+    def loops():
+        for k in range(30):
+            prompt = [(20 * i, V.DUR_OFFSET + 5, V.NOTE_OFFSET + 128 * (i % 5) + i) for i in range(k % 7)]
+            ahead = [(V.CONTROL_OFFSET + 50 * i, V.CONTROL_OFFSET + V.DUR_OFFSET + 5, V.CONTROL_OFFSET + V.NOTE_OFFSET + 128 * (20 + i % 3)) for i in range(k % 4 * 5)]
+            yield k, generation.anticipatory(V.ANTICIPATE, prompt, ahead, 100, 400 + 40 * k, 0.9, 50, np.random.default_rng(k))
+
+    calls = []
+
+    def counting(histories):
+        calls.append(len(histories))
+        return hashed(histories)
+
+    alone = dict(generation.in_steps(hashed, loops(), 1))
+    together = dict(generation.in_steps(counting, loops(), 30))
+    assert alone == together and len(alone) == 30
+    assert calls[0] == 30 and len(calls) < sum(calls) / 4  # a call a step, not a call a step and track
+    calls.clear()
+    few = dict(generation.in_steps(counting, loops(), 8))
+    assert few == alone and max(calls) == 8 and calls[: len(calls) // 2].count(8) == len(calls) // 2  # ended tracks make room
+
+
+def test_instruments_of_controls_count_for_the_cap():
+    want = generation.each(lambda h: -np.abs(np.arange(V.VOCAB) - (V.NOTE_OFFSET + 128 * 40)).astype(float))
+    ahead = [(V.CONTROL_OFFSET + i, V.CONTROL_OFFSET + V.DUR_OFFSET + 5, V.CONTROL_OFFSET + V.NOTE_OFFSET + 128 * i) for i in range(15)]
+    for n, instr in ((14, 40), (15, 14)):
+        loop = generation.anticipatory(V.ANTICIPATE, [], ahead[:n], 0, V.MAX_TIME, 1.0, V.DELTA, np.random.default_rng(0))
+        history = next(loop)
+        for _ in range(3):
+            last, history = history, loop.send(want([history])[0])
+        assert (history[-1] - V.NOTE_OFFSET) // 128 == instr and len(last) == 3 * n + 3
+
+
 def test_draws_follow_the_masks_and_the_nucleus():
     rng = np.random.default_rng(0)
     assert generation.allowed(0, 50, set()).sum() == V.MAX_TIME - 50 + 1 and generation.allowed(1, 0, set()).sum() == V.MAX_DUR + 1
@@ -206,8 +252,33 @@ def test_valid_and_test_shards_are_not_augmented(spark):
     whole = {r.shard: r.n for r in training.tokenize(rows, shards, 3, (1,), size=50).groupBy("shard").agg(F.count("*").alias("n")).collect()}
     one = {r.shard: r.n for r in training.tokenize(rows, shards, 1, size=50).groupBy("shard").agg(F.count("*").alias("n")).collect()}
     assert whole[1] == one[1] and whole[0] > 2 * one[0]
-    report = training.tokenization_report(rows.unionByName(frame(spark, {9: song(9, 5)})).unionByName(frame(spark, {8: [(0, 1500, 0, 60)] * 120 + [(2000, 1, 0, 60)]})), training.tokenize(rows, shards, 3, (1,), size=50), spark.createDataFrame([(0, 3), (1, 1), (2, 3), (3, 1), (8, 2)], "track long, copies int"), 50).first()
-    assert report.sequences + report.discarded == sum(whole.values()) and (report.short, report.long, report.instruments, report.truncated) == (1, 0, 0, 240)
+    notes = rows.unionByName(frame(spark, {9: song(9, 5)})).unionByName(frame(spark, {8: [(0, 1500, 0, 60)] * 120 + [(2000, 1, 0, 60)]}))
+    pieces = training.sequences(notes, shards.unionByName(spark.createDataFrame([(8, 0)], "track long, shard int")), 3, (1,)).cache()
+    report = training.tokenization_report(notes, pieces, training.pack_pieces(pieces, 50), 50).first()
+    assert report.sequences + report.discarded > sum(whole.values()) and (report.short, report.long, report.instruments, report.truncated) == (1, 0, 0, 360)
+
+
+def test_rests_count_as_they_go_in(spark):
+    """Also those of a shard's last short row, which no row holds."""
+    notes = frame(spark, {1: [(120 * (i // 10), 5, 0, 60) for i in range(400)]})
+    pieces = training.sequences(notes, spark.createDataFrame([(1, 0)], "track long, shard int")).cache()
+    report = training.tokenization_report(notes, pieces, training.pack_pieces(pieces)).first()
+    assert (report.sequences, report.rests, report.rest_share) == (1, 39, round(3900 / 341, 2))
+    empty = training.tokenization_report(notes.limit(0), pieces.limit(0), training.pack_pieces(pieces.limit(0))).first()
+    assert (empty.sequences, empty.rests, empty.truncated, empty.rest_share) == (0, 0, 0, None)
+
+
+def test_interleaving_long_tracks_in_any_batches(spark):
+    """Batches of a few rows give what whole tracks give; a copy waits for delta ticks of rows alone."""
+    songs = {k: [(7 * i + (300 * (i // 50)), 5, i % 5, 60) for i in range(900)] for k in range(3)}
+    rows, shards = frame(spark, songs), spark.createDataFrame([(k, 0) for k in range(3)], "track long, shard int")
+    found = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = []
+    for n in (found, "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        got.append([tuple(r) for r in training.tokenize(rows, shards, 11, size=64, max_time=10**6).orderBy("chunk").collect()])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", found)
+    assert got[0] == got[1] and len(got[0]) > 400
 
 
 def greedy(files, caps, big):
@@ -261,13 +332,30 @@ def test_exact_samples_of_any_size(spark):
     assert by == {0: 166, 1: 166, 2: 166}
 
 
-def test_packing_keeps_rows_out_of_the_shards_window(spark):
+def test_tokenizing_reads_notes_twice_and_windows_no_shard(spark, tmp_path, monkeypatch):
     songs = {k: song(60 + k, 130, 5) for k in range(4)}
-    rows = frame(spark, songs)
-    plan = training.tokenize(rows, rows.select("track", F.lit(0).alias("shard")).distinct(), 1)._jdf.queryExecution().optimizedPlan().toString()
-    lines = plan.split("\n")
-    below = [lines[i + 1] for i, x in enumerate(lines) if "Window [" in x]
-    assert below and all("instr" not in x for x in below) and plan.count("Relation [") == 2
+    path = str(tmp_path / "notes")
+    frame(spark, songs).write.parquet(path)
+    rows, plans = spark.read.parquet(path), []
+    shards = spark.createDataFrame([(k, 0) for k in range(4)], "track long, shard int")
+    monkeypatch.setattr(training, "stored", lambda df: plans.append(df) or scratch.stored(df))
+    plans.append(training.tokenize(rows, shards, 10))
+    text = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert text[0].count("FileScan parquet") == 2 and text[0].count("Exchange ") <= 5 and "Window" not in text[0]
+    windows = [x for t in text for x in t.split("\n") if "Window [" in x]
+    assert all("__p" in x.split("], [")[1] or "__part" in x for x in windows)
+
+
+def test_running_sums_and_carried_values(spark):
+    rows = [(g, i, (i * 7) % 5, (i if i % 6 == 1 else None)) for g in (None, 1, 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, i int, v int, m int").repartition(5)
+    got = {(r.g, r.i): (r.s, r.l) for r in scan(df, "g", "i", {"s": F.col("v")}, {"l": F.col("m")}).collect()}
+    for g in (None, 1, 2):
+        total, last = 0, None
+        for _, i, v, m in (r for r in rows if r[0] == g):
+            last = m if m is not None else last
+            assert got[g, i] == (total, last)
+            total += v
 
 
 def test_styles_and_records(spark):
