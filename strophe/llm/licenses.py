@@ -9,10 +9,10 @@ and the scan goes on behind it.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -115,6 +115,71 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("cc0",)),
     ("All-Rights-Reserved", ("reserved",)),
 )
+#: Further licences by SPDX identifier, with their names in sentences of the FORMS and what their own texts or notices say.
+FORMS = ("spdx license identifier {id}", "licensed under the {name}", "released under the {name}", "distributed under the {name}", "under the terms of the {name}", "covered by the {name}")
+NAMED: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "LGPL-3.0": (("lgpl version 3",), ("this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license",)),
+    "GPL-3.0": (("gplv3",), ("the gnu general public license is a free copyleft license for software and other kinds of works",)),
+    "GPL-2.0": (("gplv2",), ("the licenses for most software are designed to take away your freedom to share and change it",)),
+    "AGPL-3.0": (("agplv3",), ("the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",)),
+    "Apache-2.0": (("apache 2 0 license",), ("you may reproduce and distribute copies of the work or derivative works thereof in any medium with or without modifications and in source or object form provided that you meet the following conditions",)),
+    "X11": (("x11 license",), ()),
+    "BSL-1.0": (("boost software license",), ()),
+    "WTFPL": (("wtfpl", "do what the fuck you want to public license"), ("everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",)),
+    "Artistic-2.0": (("artistic license 2 0", "artistic license version 2 0"), ("this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed",)),
+    "Artistic-1.0": (("artistic license 1 0",), ()),
+    "EUPL-1.2": (("european union public licence version 1 2", "eupl version 1 2"), ("this european union public licence the eupl applies to the work as defined below which is provided under the terms of this licence",)),
+    "EPL-1.0": (("eclipse public license v1 0", "eclipse public license version 1 0"), ()),
+    "MPL-1.1": (("mozilla public license version 1 1",), ("the contents of this file are subject to the mozilla public license version 1 1",)),
+    "CDDL-1.0": (("common development and distribution license",), ("the contents of this file are subject to the terms of the common development and distribution license",)),
+    "MS-PL": (("microsoft public license",), ("this license governs use of the accompanying software if you use the software you accept this license",)),
+    "MS-RL": (("microsoft reciprocal license",), ()),
+    "OFL-1.1": (("sil open font license version 1 1", "sil open font license"), ("this font software is licensed under the sil open font license version 1 1",)),
+    "PostgreSQL": (("postgresql license",), ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",)),
+    "Python-2.0": (("python software foundation license", "psf license"), ()),
+    "NCSA": (("university of illinois ncsa open source license",), ()),
+    "OpenSSL": (("openssl license",), ()),
+    "PHP-3.01": (("php license version 3 01",), ("this source file is subject to version 3 01 of the php license",)),
+    "Ruby": (("ruby license",), ()),
+    "LPPL-1.3c": (("latex project public license",), ("this work may be distributed and or modified under the conditions of the latex project public license",)),
+    "GFDL-1.3": (("gnu free documentation license version 1 3",), ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license",)),
+    "ODbL-1.0": (("open database license", "odc open database license"), ("this database is made available under the open database license",)),
+    "UPL-1.0": (("universal permissive license",), ()),
+    "AFL-3.0": (("academic free license version 3 0",), ("licensed under the academic free license version 3 0",)),
+    "OSL-3.0": (("open software license version 3 0",), ("licensed under the open software license version 3 0",)),
+    "BlueOak-1.0.0": (("blue oak model license 1 0 0",), ()),
+    "0BSD": (("zero clause bsd license",), ()),
+}
+#: The public licences of one family, by the words of their names.
+COMMONS = {"BY": "attribution", "BY-SA": "attribution sharealike", "BY-NC": "attribution noncommercial", "BY-ND": "attribution noderivatives", "BY-NC-SA": "attribution noncommercial sharealike", "BY-NC-ND": "attribution noncommercial noderivatives"}
+COMMONS_VERSIONS = {"4.0": "4 0 international", "3.0": "3 0 unported", "2.0": "2 0 generic"}
+
+
+def all_sentences() -> dict[str, tuple[str, ...]]:
+    """SENTENCES, and those that FORMS makes of the named licences; a sentence that two have belongs to the first."""
+    out, taken = dict(SENTENCES), {s for all_ in SENTENCES.values() for s in all_}
+
+    def add(key: str, sentences: list[str]) -> None:
+        new = tuple(dict.fromkeys(s for s in sentences if s not in taken))
+        taken.update(new)
+        out[key] = new
+
+    for name, (names, own) in NAMED.items():
+        words = re.sub(r"[^a-z0-9]+", " ", name.lower())
+        add(f"name:{name}", [f.format(id=words, name=n) for f in FORMS for n in names])
+        add(f"text:{name}", list(own))
+    for code, words in COMMONS.items():
+        for version, tail in COMMONS_VERSIONS.items():
+            short = f"cc {code.lower().replace('-', ' ')} {version.replace('.', ' ')}"
+            add(f"name:CC-{code}-{version}", [f"spdx license identifier {short}", f"licensed under {short}", *(f"licensed under a creative commons {words} {t}" for t in (f"{tail} license", f"{version.replace('.', ' ')} license"))])
+    return {k: v for k, v in out.items() if v}
+
+
+def all_rules() -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """RULES, then one for each identifier that all_sentences() adds."""
+    return (*RULES, *((k.split(":", 1)[1], (k,)) for k in all_sentences() if ":" in k))
+
+
 #: Words that may stand between a rule's sentences.
 GAP = 200
 
@@ -125,33 +190,39 @@ _LONGER = re.compile(r"\+|-[^\W_]")
 
 
 class Recogniser:
-    def __init__(self, sentences: dict[str, tuple[str, ...]] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES, gap: int = GAP):
+    def __init__(self, sentences: dict[str, tuple[str, ...]] | None = None, rules: tuple[tuple[str, tuple[str, ...]], ...] | None = None, gap: int = GAP):
         self.gap = gap
-        self.known = {s: k for k, all_ in sentences.items() for s in all_}
+        known = {s: k for k, all_ in (all_sentences() if sentences is None else sentences).items() for s in all_}
         # a text without any of these words holds none of the known sentences
-        self.rare = ahocorasick.Automaton()
-        for s in self.known:
+        self.rare, self.known = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for s, k in known.items():
             self.rare.add_word(max(s.split(), key=len), True)
+            self.known.add_word(f" {s} ", (k, len(s), s.count(" "), s.startswith("spdx ")))
         self.rare.make_automaton()
-        self.rules = [(i, name, ids) for i, (name, ids) in enumerate(rules)]
+        self.known.make_automaton()
+        #: Rules by their first identifier, in order.
+        self.rules: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
+        for name, ids in all_rules() if rules is None else rules:
+            self.rules.setdefault(ids[0], []).append((name, tuple(ids)))
 
     def identify(self, text: str) -> list[tuple[str, int, int, int, int]]:
-        """(identifier, start, end, first word, last word) of the known sentences in a lower-cased text, in order; of one within another only the longer."""
-        stream = f" {' '.join(_WORD.findall(text))} "
-        hits = []
-        for s, k in self.known.items():
-            at = stream.find(f" {s} ")
-            while at >= 0:
-                first = stream.count(" ", 0, at)
-                hits.append((first, -(first + s.count(" ")), k, s))
-                at = stream.find(f" {s} ", at + 1)
-        if not hits:
-            return []
+        """(identifier, start, end, first word, last word) of the known sentences in a lower-cased text, in order; of one within another only the longer.
+
+        One pass of an automaton over the text's words, joined by one space each.
+        """
         spans = [m.span() for m in _WORD.finditer(text)]
+        stream = f" {' '.join([text[a:b] for a, b in spans])} "
+        found = list(self.known.iter(stream))
+        if not found:
+            return []
+        sizes = np.array([v[1] for _, v in found])
+        places = np.cumsum([0, *(b - a + 1 for a, b in spans)])  # of the space before each word
+        firsts = np.searchsorted(places, np.array([end for end, _ in found]) - sizes - 1).tolist()
+        hits = [(first, -(first + more), k, spdx) for first, (_, (k, _, more, spdx)) in zip(firsts, found, strict=True)]
         out, most = [], -1
-        for first, last, k, s in sorted(hits):
+        for first, last, k, spdx in sorted(hits):
             end = spans[-last][1]
-            if -last > most and not (s.startswith("spdx ") and _LONGER.match(text, end)):
+            if -last > most and not (spdx and _LONGER.match(text, end)):
                 out.append((k, spans[first][0], end, first, -last))
                 most = -last
         return out
@@ -167,11 +238,12 @@ class Recogniser:
                 begins.append(at)
             at = m.end()
         begins.append(at)
-        ids = [(k, bisect_right(begins, a) - 1, bisect_right(begins, b - 1) - 1) for k, a, b, _, _ in found]
+        first, last = (np.searchsorted(begins, [x[c] - c + 1 for x in found], "right").tolist() for c in (1, 2))
+        ids = [(x[0], a - 1, b - 1) for x, a, b in zip(found, first, last, strict=True)]
         near = [b[3] - a[4] <= self.gap for a, b in zip(found, found[1:], strict=False)]
         out, at = [], 0
         while at < len(ids):
-            for _, name, want in self.rules:
+            for name, want in self.rules.get(ids[at][0], ()):
                 if tuple(x for x, _, _ in ids[at : at + len(want)]) == want and all(near[at : at + len(want) - 1]):
                     out.append((name, ids[at][1], ids[at + len(want) - 1][2] - ids[at][1] + 1, list(want)))
                     at += len(want)

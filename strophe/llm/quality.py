@@ -241,12 +241,13 @@ def fit_quality(spark: SparkSession, documents: DataFrame, labels: DataFrame, sa
     """A model from documents (doc_id, text) with labels (doc_id, quality), at most `sample` of them and `lines` lines of each, which bounds what reaches the driver.
 
     Used are rows whose crc32 of doc_id as text, modulo 4, is not 2. Null labels don't count; several
-    labels of a document are averaged. Without labels every text scores 0.5 or near it.
+    labels of a document are averaged, and of several rows of a doc_id the one whose text has the least hash is used. Without labels every text scores 0.5 or near it.
     """
     documents = frames.pick(documents, "doc_id", "text")
     known = frames.pick(labels, "doc_id", "quality").where("quality is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     some = known.join(documents.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.join(F.broadcast(some), "doc_id").select("label", "text").mapInArrow(_features(lines), "label int, features binary, sizes binary").collect()
+    one = documents.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = one.select("label", "t.text").mapInArrow(_features(lines), "label int, features binary, sizes binary").collect()
     rows.sort(key=lambda r: (r[1], r[0]))
     width = 3 * BASE + 2
     features = np.frombuffer(b"".join(r[1] for r in rows), "<f4").reshape(-1, width).astype(float)

@@ -29,15 +29,17 @@ _FAR = np.int64(1) << np.int64(40)
 KEY = ("k1", "k2")
 
 
-def recompress(h: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarray, ...]:
-    """(name, start, end, low, high) of the symbols after so many rounds over the words h.
+def recompress(h: np.ndarray, first: np.ndarray, rounds: int) -> list[tuple[np.ndarray, ...]]:
+    """(name, start, end, low, high) of the symbols over the words h before all rounds and after each.
 
     first marks the first word of each text. low:high is the symbol's context in words; it passes the
     text's ends (by _FAR) where the parse depended on the text ending there.
     """
+    levels = []
     name, s = h, np.arange(len(h), dtype=np.int64)
     e, lo, hi = s + 1, s.copy(), s + 1
     for r in range(rounds):
+        levels.append((name, s, e, lo, hi))
         # runs of equal symbols
         head = np.ones(len(name), bool)
         head[1:] = (name[1:] != name[:-1]) | first[1:]
@@ -73,33 +75,50 @@ def recompress(h: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarra
         name2[i] = W.mix(W.mix(name[i], 2 * r + 2) + name[i + 1])
         stay = ~second
         name, s, e, lo, hi, first = name2[stay], s[stay], e2[stay], lo2[stay], hi2[stay], first[stay]
-    return name, s, e, lo, hi
+    return [*levels, (name, s, e, lo, hi)]
 
 
 def window_symbols(h: np.ndarray, offsets: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, last window, symbol name) of the runs of windows; positions count from the text's start."""
+    """(text, first window, last window, symbol name) of the runs of windows; positions count from the text's start.
+
+    A window has the highest symbol whose context lies within it: of the last round that has any, the longest, then by name. Before all
+    rounds the words are symbols, so every window has one.
+    """
     counts = np.diff(offsets)
     first = np.zeros(len(h) + 1, bool)
     first[offsets[:-1]] = True
-    name, s, e, lo, hi = recompress(h, first[:-1], rounds)
+    levels = recompress(h, first[:-1], rounds)
+    text = np.repeat(np.arange(len(counts)), counts)
+    best, base = np.full(len(h), -1, np.int64), np.cumsum([0, *(len(x[0]) for x in levels)])
+    name, s, e, lo, hi = levels[-1]
     ok = np.flatnonzero(hi - lo <= window)
     ok = ok[np.lexsort((name[ok], (e - s)[ok]))]
-    text = np.repeat(np.arange(len(counts)), counts)
     a = np.maximum(hi[ok] - window, offsets[text[s[ok]]])
     b = np.minimum(lo[ok], offsets[text[s[ok]] + 1] - window)
     n = np.maximum(b - a + 1, 0)
-    best = np.full(len(h), -1, np.int64)
     shift = np.r_[0, np.cumsum(n)[:-1]]
-    best[np.arange(n.sum()) - np.repeat(shift - a, n)] = np.repeat(ok, n)
+    best[np.arange(n.sum()) - np.repeat(shift - a, n)] = np.repeat(ok + base[-2], n)
     inside = np.arange(len(h)) + window <= np.repeat(offsets[1:], counts)
+    for k in range(len(levels) - 2, -1, -1):
+        left = np.flatnonzero(inside & (best < 0))
+        if not len(left):
+            break
+        name, s, e, lo, hi = levels[k]
+        x = np.searchsorted(s, left)
+        n = np.searchsorted(s, left + window) - x
+        at = np.repeat(x, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        of = np.repeat(left, n)
+        ok = np.flatnonzero((lo[at] >= of) & (hi[at] <= of + window))
+        ok = ok[np.lexsort((name[at[ok]], (e - s)[at[ok]], of[ok]))]
+        best[of[ok]] = at[ok] + base[k]  # a window's last one stays
+    name = np.concatenate([x[0] for x in levels])
     p = np.flatnonzero(inside)
     new = np.ones(len(p), bool)
     if len(p):
-        new[1:] = (best[p][1:] != best[p][:-1]) | (text[p][1:] != text[p][:-1]) | (best[p][1:] < 0)
+        new[1:] = (best[p][1:] != best[p][:-1]) | (text[p][1:] != text[p][:-1])
     at = np.flatnonzero(new)
     p0, p1 = p[at], p[np.r_[at[1:], len(p)] - 1] if len(p) else p
-    chosen = best[p0]
-    return text[p0], p0, p1, np.where(chosen >= 0, name[chosen], np.uint64(0))
+    return text[p0], p0, p1, name[best[p0]]
 
 
 def _spans(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,7 +143,6 @@ def _runs(window: int, rounds: int):
                 h = w.hashes()
                 text, p0, p1, name = window_symbols(h, w.offsets, window, rounds)
                 body = _spans(h, p0, p1 + window)
-                name = np.where(name == 0, body, name)
                 order = np.lexsort((body, name, text))
                 text, p0, p1, name, body = (x[order] for x in (text, p0, p1, name, body))
                 new = np.ones(len(text), bool)
