@@ -150,9 +150,10 @@ def max_time(spark, d):
     return sequence.max_time(_segments(bind.notes(spark, d)))
 
 
-@query(f"WITH {NOTES} SELECT track, instr, count(*) AS n, min(pos) AS first FROM notes GROUP BY track, instr")
+@query(f"WITH p AS (WITH {_PAD.format(src=MARKED, of='marked', end=10000, density=20)}) SELECT track, CASE WHEN kind = 'rest' THEN 129 ELSE instr END AS instr, count(*) AS n, min(pos) AS first FROM p GROUP BY ALL")
 def instrument_counts(spark, d):
-    return sequence.instruments(bind.notes(spark, d))
+    """Of events, controls and rests together."""
+    return sequence.instruments(sequence.pad(_marked(bind.notes(spark, d)), 10000, 20))
 
 
 @query(f"WITH {NOTES} SELECT track, min(time) / 100.0 AS first_onset, max(time + dur) / 100.0 AS last_end FROM notes GROUP BY track")

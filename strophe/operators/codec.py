@@ -57,11 +57,13 @@ def with_channels(rows: DataFrame) -> DataFrame:
     """Messages (track, pos, time, on, instr, pitch) with channel and delta within their instrument's part.
 
     All parts are numbered in order of their first onsets, passing over 9; drums take a number too, but play on 9.
-    Offs before the first onset of their instrument are passed over.
+    Offs before the first onset of their instrument are passed over. A file has 16 channels: a part that would need a seventeenth is an error.
     """
     first = rows.where("on").groupBy("track", "instr").agg(F.min("pos").alias("first"))
     r = F.row_number().over(Window.partitionBy("track").orderBy("first")) - 1
-    channel = F.when(F.col("instr") == V.DRUMS, 9).otherwise(F.when(r >= 9, r + 1).otherwise(r))
+    pitched = F.when(r >= 9, r + 1).otherwise(r)
+    many = F.raise_error(F.concat(F.lit("more than 16 channels in track "), F.col("track").cast("string"))).cast("int")
+    channel = F.when(F.col("instr") == V.DRUMS, 9).when(pitched > 15, many).otherwise(pitched)
     own = Window.partitionBy("track", "instr").orderBy("pos")
     known = rows.join(first.withColumn("channel", channel), ["track", "instr"]).where(F.col("on") | (F.col("pos") > F.col("first")))
     delta = F.col("time") - F.coalesce(F.lag("time").over(own), F.lit(0))

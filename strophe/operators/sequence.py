@@ -137,9 +137,9 @@ def sparsity(df: DataFrame) -> DataFrame:
 
 
 def instruments(df: DataFrame, count_rest: bool = True) -> DataFrame:
-    """(track, instr, n, first): notes of each instrument and the pos it first has; rests count as 129 unless told not to."""
-    rows = df.where("kind in ('event', 'rest')" if count_rest else "kind = 'event'")
-    return rows.groupBy("track", F.when(F.col("kind") == "rest", 129).otherwise(F.col("instr")).cast("long").alias("instr")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    """(track, instr, n, first): notes of each instrument, controls among them, and the pos it first has; rests count as 129 unless told not to."""
+    rows = df.where("kind in ('event', 'control', 'rest')" if count_rest else "kind in ('event', 'control')")
+    return rows.groupBy("track", F.when(F.col("kind") == "rest", V.MAX_INSTR).otherwise(F.col("instr")).cast("long").alias("instr")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
 def note_end(df: DataFrame) -> DataFrame:

@@ -75,15 +75,15 @@ def compound_summary(notes: DataFrame, status: DataFrame) -> DataFrame:
     good = lambda c: F.when(F.col("status") == 0, F.col(c))
     return a.join(status.select("track", "status"), "track").agg(
         F.count("*").alias("tracks"), F.sum("tokens").alias("tokens"), F.count_if(F.col("status") == 0).alias("kept"), F.sum(good("tokens")).alias("kept_tokens"),
-        F.round(100.0 * F.count_if(F.col("status") == 0) / F.count("*"), 6).alias("kept_share"), F.round(100.0 * F.sum(good("tokens")) / F.sum("tokens"), 6).alias("kept_token_share"),
+        F.round(F.try_divide(100.0 * F.count_if(F.col("status") == 0), F.count("*")), 6).alias("kept_share"), F.round(F.try_divide(100.0 * F.sum(good("tokens")), F.sum("tokens")), 6).alias("kept_token_share"),
         F.round(F.sum(good("seconds")) / 3600, 6).alias("hours"), F.round(F.avg(good("seconds")), 6).alias("mean_seconds"), F.round(F.stddev_pop(good("seconds")), 6).alias("std_seconds"),
         F.round(F.avg(good("tokens")), 6).alias("mean_tokens"), F.round(F.stddev_pop(good("tokens")), 6).alias("std_tokens"),
     )
 
 
 def discard_rate(files: DataFrame, bad: Column) -> DataFrame:
-    """(processed, discarded, rate) with rate in percent of all files."""
-    return files.agg(F.count_if(~bad).alias("processed"), F.count_if(bad).alias("discarded"), F.round(100.0 * F.count_if(bad) / F.count("*"), 2).alias("rate"))
+    """(processed, discarded, rate) with rate in percent of all files, null of none."""
+    return files.agg(F.count_if(~bad).alias("processed"), F.count_if(bad).alias("discarded"), F.round(F.try_divide(100.0 * F.count_if(bad), F.count("*")), 2).alias("rate"))
 
 
 #: Size of the public corpus that others are compared with.
@@ -92,7 +92,7 @@ CORPUS = {"files": 178165, "events": 663555310, "tokens": 1990665930, "hours": 8
 
 def compare_corpus(totals: DataFrame) -> DataFrame:
     """(metric, reference, value, ratio) of one row of totals (files, events, tokens, hours); rates have no ratio."""
-    rate = lambda a, b: (a + "_per_" + b, CORPUS[a] / CORPUS[b], F.col(a) / F.col(b), F.lit(None).cast("double"))
+    rate = lambda a, b: (a + "_per_" + b, CORPUS[a] / CORPUS[b], F.try_divide(F.col(a), F.col(b)), F.lit(None).cast("double"))
     sizes = [(k, float(v), F.col(k).cast("double"), F.col(k) / float(v)) for k, v in CORPUS.items()]
     rows = [*sizes, rate("events", "hours"), rate("tokens", "hours"), rate("events", "files")]
     return totals.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.lit(r), 6).alias("reference"), F.round(v, 6).alias("value"), F.round(q, 6).alias("ratio")) for m, r, v, q in rows])))
@@ -174,7 +174,7 @@ def sequence_stats(lines: DataFrame) -> DataFrame:
 def filter_report(files: DataFrame, kept: Column, tracks: str = "num_tracks") -> DataFrame:
     """(files, kept, keep_rate, low, high, mean): the share kept, and the track counts of what is kept."""
     n = F.when(kept, F.col(tracks))
-    return files.agg(F.count("*").alias("files"), F.count_if(kept).alias("kept"), F.round(100.0 * F.count_if(kept) / F.count("*"), 6).alias("keep_rate"), F.min(n).alias("low"), F.max(n).alias("high"), F.round(F.avg(n), 6).alias("mean"))
+    return files.agg(F.count("*").alias("files"), F.count_if(kept).alias("kept"), F.round(F.try_divide(100.0 * F.count_if(kept), F.count("*")), 6).alias("keep_rate"), F.min(n).alias("low"), F.max(n).alias("high"), F.round(F.avg(n), 6).alias("mean"))
 
 
 def split_counts(files: DataFrame, split: Column) -> DataFrame:

@@ -232,7 +232,7 @@ def beat_ticks(bpm: float) -> tuple[int, int]:
 def encode(schedule: list[tuple[int, bool, int, int, int]], ticks_per_beat: int = 50, tempo: int = 500000, beats: int | None = None, names: dict[int, tuple[str, str]] | None = None) -> bytes:
     """A file from (time, on, instrument, pitch, channel) rows in order: one track for each instrument in order of first use.
 
-    beats: a time signature of so many quarters; names: (track name, instrument name) by instrument.
+    beats: a time signature of so many quarters; names: (track name, instrument name) by instrument. Channels are 0 to 15; others raise ValueError.
     """
     meta = lambda kind, body: b"\x00\xff" + bytes([kind]) + put_quantity(len(body)) + body
     parts: dict[int, list] = {}
@@ -241,6 +241,8 @@ def encode(schedule: list[tuple[int, bool, int, int, int]], ticks_per_beat: int
     bodies = [meta(0x51, tempo.to_bytes(3, "big")) + (meta(0x58, bytes([beats, 2, 24, 8])) if beats else b"") + meta(0x2F, b"")]
     for instr, rows in parts.items():
         channel, last = rows[0][3], 0
+        if not all(0 <= c <= 15 for *_, c in rows):
+            raise ValueError(f"instrument {instr} is on a channel that files don't have")
         body = b"".join(meta(3 + i, text.encode("latin-1", "replace")) for i, text in enumerate((names or {}).get(instr, ())))
         body += b"" if channel == 9 else b"\x00" + bytes([192 | channel, instr])
         for time, on, pitch, c in rows:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strophe.catalogue_more import steady
 from strophe.functions import vocab as V
-from strophe.operators import clips, codec, corpus, generation, sampling, stats, training
+from strophe.operators import clips, codec, corpus, generation, sampling, sequence, stats, training
 from strophe.plans import scratch
 from strophe.plans.scan import scan
 from strophe.sources import midi, text
@@ -387,3 +387,29 @@ def test_corpus_comparison(spark):
     one = spark.createDataFrame([(178165.0, 663555310.0 * 2, 1990665930.0, 8943.0)], "files double, events double, tokens double, hours double")
     got = {r.metric: r.ratio for r in stats.compare_corpus(one).collect()}
     assert got["files"] == 1.0 and got["events"] == 2.0 and got["events_per_hours"] is None
+
+
+def test_statistics_of_nothing_are_null(spark):
+    none = frame(spark, {1: song(1)}).limit(0)
+    assert tuple(stats.discard_rate(none, F.col("time") > 0).first()) == (0, 0, None)
+    files = spark.createDataFrame([], "num_tracks int")
+    assert stats.filter_report(files, F.col("num_tracks") > 0).first().keep_rate is None
+    assert stats.compound_summary(none, training.gate(none)).first().kept_share is None
+    totals = spark.createDataFrame([(0, 5, 15, 0.0)], "files long, events long, tokens long, hours double")
+    assert {r.metric: r.value for r in stats.compare_corpus(totals).collect()}["events_per_hours"] is None
+
+
+def test_controls_and_rests_count_as_instruments(spark):
+    rows = spark.createDataFrame([(1, 0, "event", 0, 5, 0, 60), (1, 1, "control", 5, 5, 33, 60), (1, 2, "rest", 100, 0, None, None), (1, 3, "sep", None, None, None, None)], NOTES)
+    assert {r.instr: (r.n, r["first"]) for r in sequence.instruments(rows).collect()} == {0: (1, 0), 33: (1, 1), 129: (1, 2)}
+    assert {r.instr for r in sequence.instruments(rows, count_rest=False).collect()} == {0, 33}
+
+
+def test_a_seventeenth_channel_is_an_error(spark):
+    notes = lambda n: frame(spark, {1: [(10 * i, 5, i, 60) for i in range(n)] + [(500, 5, 128, 40)]})
+    held = codec.midi_schedule(notes(15)).where("instr <> 128").agg(F.max("channel").alias("m"), F.count_distinct("channel").alias("n")).first()
+    assert tuple(held) == (15, 15)
+    with pytest.raises(Exception, match="more than 16 channels in track 1"):
+        codec.midi_schedule(notes(16)).collect()
+    with pytest.raises(ValueError, match="channel"):
+        midi.encode([(0, True, 5, 60, 16)])
