@@ -32,9 +32,11 @@ from strophe.llm.urls import host_of
 
 #: Weight of contents against presentations, score below which a branch goes, pages from which a tree is trusted, importance of a node no tree is trusted on.
 GAMMA, THRESHOLD, TRUSTED, UNKNOWN = 0.75, 0.5, 8, 0.7
-#: What an element's tag and classes tell, and the weight of that against its importance. APART: plain, but beside the article of a page that has one.
+#: What an element's tag and classes tell, and the weight of that against its importance. APART: plain, but beside the article of a page that has one, and without a sentence.
 PLAIN, APART, WEAK, MARKED, OUT = 0, 1, 2, 3, 4
 WEIGHT = (0.0, 0.3, 0.2, 0.4, 1.0)
+#: Entries of a host's map that may travel with each of its pages, and pages of a host with a longer one that a task takes.
+TRAVELS, PAGES = 512, 20_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -52,7 +54,7 @@ NOISE = frozenset("ad ads adv advert adverts advertisement advertising adbox ban
 #: Of them, words for what readers write, which differs on every page.
 READERS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 #: Parts of a name that say that the element is not what the rest of the name says.
-NEGATING = frozenset("no not non has with without free open closed off category tag format".split())
+NEGATING = frozenset("no not non has with without free open closed off category tag format work works".split())
 CONTENT = frozenset("article main".split())
 #: Within an article these are its prose and the parts of its lists and tables, and stay however often they are repeated.
 PROSE = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th thead tbody tfoot caption figcaption".split())
@@ -186,7 +188,8 @@ def judge(nodes: list[Node], host: str) -> list[Node]:
     Forms, menus and the like that hold an article tell nothing. Nor do elements with a noise word that hold one;
     of the others those stay as they are that together have a minor share of the article's or, without one, the page's
     text: where they have half of it or more, the largest and those that share a name with it are opened,
-    and what is marked within them is judged instead. A marked article is one unless the page has others
+    and what is marked within them is judged instead. What readers write counts for nothing there, however long it is,
+    unless no other block of that text holds a sentence. A marked article is one unless the page has others
     that are not marked.
     """
     for x in nodes[1:]:
@@ -218,10 +221,11 @@ def judge(nodes: list[Node], host: str) -> list[Node]:
         if id(x) in real and not x.gone and not x.parent.inside:
             found.append(x)
         x.path = _path(x.parent.path, x.key)
+    talks = _talking(nodes) if found else set()
     for x in nodes[1:]:
         if x.inside and x.prior == MARKED and x.tag in PROSE:
             x.prior = WEAK
-        elif x.prior == PLAIN and found and not x.inside and not x.holds and x.tag not in PROSE:
+        elif x.prior == PLAIN and found and not x.inside and not x.holds and x.tag not in PROSE and id(x) not in talks:
             x.prior = APART
     for x in reversed(nodes):
         if not x.gone:
@@ -240,6 +244,7 @@ def judge(nodes: list[Node], host: str) -> list[Node]:
 
 def _open_large(scope: Node, real: set[int]) -> None:
     """Tell nothing of the marked elements in scope that have too much of its text for what they tell."""
+    readers: list[Node] = []
 
     def outermost(node: Node) -> list[Node]:
         out, todo = [], [node]
@@ -248,25 +253,56 @@ def _open_large(scope: Node, real: set[int]) -> None:
                 if isinstance(c, Node) and id(c) not in real:
                     if c.prior >= WEAK:
                         if c.names and c.tag not in AROUND and c.tag not in SILENT and c.tag != "header":
-                            out.append(c)
+                            (readers if c.prior == OUT else out).append(c)
                     elif not c.gone:
                         todo.append(c)
         return out
 
-    front = outermost(scope)
+    def open_(front: list[Node], total: int) -> None:
+        while front and 2 * sum(x.size for x in front) >= total - sum(x.size for x in readers if x not in front):
+            big = max(front, key=lambda x: x.size)
+            if not big.size:
+                break
+            rest: list[Node] = []
+            for x in front:
+                if x is big or big.names & x.names:
+                    x.prior = PLAIN
+                    rest += outermost(x)
+                else:
+                    rest.append(x)
+            front = rest
+
     total = scope.size - sum(x.size for x in _around(scope, real))
-    while front and 2 * sum(x.size for x in front) >= total:
-        big = max(front, key=lambda x: x.size)
-        if not big.size:
-            break
-        rest: list[Node] = []
-        for x in front:
-            if x is big or big.names & x.names:
-                x.prior = PLAIN
-                rest += outermost(x)
-            else:
-                rest.append(x)
-        front = rest
+    open_(outermost(scope), total)
+    if readers and not _sentence(scope):
+        front, readers[:] = list(readers), []
+        open_(front, total)
+
+
+def _sentence(scope: Node) -> bool:
+    """Whether an unmarked block of scope, no heading or link, has five words or more in a row."""
+    todo = [scope]
+    while todo:
+        x = todo.pop()
+        if any(isinstance(c, str) and len(c) > 8 and len(c.split()) >= 5 for c in x.children):
+            return True
+        todo += [c for c in x.children if isinstance(c, Node) and _speaks(c)]
+    return False
+
+
+def _speaks(x: Node) -> bool:
+    return not x.gone and x.prior < WEAK and x.tag not in ("a", "h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def _talking(nodes: list[Node]) -> set[int]:
+    """The elements, by id, for which _sentence() holds."""
+    out: set[int] = set()
+    for x in reversed(nodes):
+        if id(x) in out or any(isinstance(c, str) and len(c) > 8 and len(c.split()) >= 5 for c in x.children):
+            out.add(id(x))
+            if x.parent is not None and _speaks(x):
+                out.add(id(x.parent))
+    return out
 
 
 def _around(scope: Node, real: set[int]) -> list[Node]:
@@ -399,19 +435,24 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _take(threshold: float):
-    """page_id, url and text of rows (page_id, url, html, host, known, said)."""
+    """page_id, url and text of rows (page_id, url, html, host, known, said); a row of rank 0 has the lists of the rows behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead: tuple[dict, frozenset] = {}, frozenset()
         for b in batches:
-            texts = []
+            ranks, texts = b.column(6).to_pylist(), []
             for at in range(0, b.num_rows, 256):
-                for page, host, known, said in zip(*(b.column(k).slice(at, 256).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                    branches = frozenset((x["path"] & _ALL, x["value"] & _ALL) for x in said or ())
+                for rank, page, host, known, said in zip(ranks[at : at + 256], *(b.column(k).slice(at, 256).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                    own = {x["path"] & _ALL: x["importance"] for x in known or ()}, frozenset((x["path"] & _ALL, x["value"] & _ALL) for x in said or ())
+                    if rank == 0:
+                        ahead = own
+                        continue
                     nodes = parse(page or "")
                     articles = judge(nodes, host)
-                    texts.append(extract(nodes, articles, {x["path"] & _ALL: x["importance"] for x in known or ()}, branches, threshold))
+                    texts.append(extract(nodes, articles, *(ahead if rank == 1 else own), threshold))
                     W.release(len(page or ""))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            held = pa.array([r != 0 for r in ranks])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(held), b.column(1).filter(held), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return run
 
@@ -453,7 +494,7 @@ def main_text(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOL
     low, it says what at least `trusted` of these pages, and most that have it
     (of all hosts: most hosts), say there, and it is no prose, list item or table part.
     Null and empty pages have an empty text. Pages without host share a tree. Pages may be of any length and
-    nested to any depth; a page is held whole by one task. Repeated rows each give a row; other columns are not read.
+    nested to any depth; a page is held whole by one task, and beside it one host's map, which has an entry for each path that tells something. Repeated rows each give a row; other columns are not read.
     """
     sums = _sums(spark, pages)
     tree = style_tree(sums)
@@ -472,5 +513,15 @@ def main_text(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOL
     said = said.groupBy("host").agg(F.collect_set(F.struct("path", "value")).alias("said"))
     known = Workspace(spark, "pages").save(known.join(said, "host", "left"))
     pages = frames.pick(pages, "page_id", "url", "html")
-    rows = pages.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "host", "known", "said")
+    rows = pages.withColumn("host", host_of(F.col("url")))
+    # a long map doesn't travel with each page: its host's pages are sorted behind it, a host of many pages in several tasks
+    long = known.where(F.size("known") + F.coalesce(F.size("said"), F.lit(0)) > TRAVELS)
+    held = rows.select("host").join(long.select("host"), "host", "left_semi").groupBy("host").agg(F.ceil(F.count("*") / PAGES).cast("int").alias("salts"))
+    held = Workspace(spark, "hosts").save(held)
+    none = [F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("known", "said")]
+    behind = rows.join(held, "host").select("page_id", "url", "html", "host", *none, F.lit(1).alias("rank"), F.pmod(F.xxhash64("page_id", "url", "html"), "salts").cast("int").alias("salt"))
+    maps = long.join(held, "host").select(*[F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in ("page_id", "url", "html")], "host", "known", "said", F.lit(0).alias("rank"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    sorted_ = maps.unionByName(behind).repartition("host", "salt").sortWithinPartitions("host", "salt", "rank").drop("salt")
+    short = rows.join(held.select("host"), "host", "left_anti").join(known, "host", "left").select("page_id", "url", "html", "host", "known", "said", F.lit(2).alias("rank"))
+    rows = short if held.isEmpty() else short.unionByName(sorted_)
     return rows.mapInArrow(_take(threshold), T.StructType([pages.schema["page_id"], *T.StructType.fromDDL("url string, text string")]))

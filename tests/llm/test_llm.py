@@ -568,6 +568,46 @@ def test_pages_class_words_of_posts_and_comments():
     assert alone(page) == "A longer story here."
 
 
+@pytest.mark.parametrize("inside", [True, False])
+@pytest.mark.parametrize("times", [1, 2, 10])
+def test_pages_comments_go_however_long_they_are(spark, inside, times):
+    word = lambda i, k: "".join(chr(97 + (i * 7 + k * k + j) % 26) for j in range(3 + (i + k) % 5))
+    story = lambda i: " ".join(word(i, k) for k in range(40))
+    talk = lambda i: "".join(f'<li class="comment"><p>{" ".join(word(i + 50 + t, k) for k in range(40))}</p></li>' for t in range(times))
+    box = lambda i: f'<div class="post-comments" id="comments"><h3>Comments</h3><ol class="commentlist">{talk(i)}</ol></div>'
+    main = '<article><h1>{2}</h1><p>{0}</p>{1}</article>' if inside else '<div class="story"><h1>{2}</h1><p>{0}</p></div>{1}'
+    rows = [(i, "http://talk.com/" if i < 20 else f"http://one{i}.com/", f"<body>{main.format(story(i), box(i), word(i, 3))}</body>") for i in range(24)]
+    assert texts_of(spark, rows) == {i: f"{word(i, 3)} {story(i)}" for i in range(24)}
+
+
+def test_pages_of_comments_alone_are_kept():
+    assert alone('<body><h1>A thread</h1><div class="discussion"><p>What do you all think of this?</p><p>I like it very much indeed.</p></div></body>') == "A thread What do you all think of this? I like it very much indeed."
+
+
+def test_pages_keep_plain_blocks_beside_and_within_articles():
+    page = '<body><div class="lead">A lead of some words.</div><article><p>Story.</p><div class="related-work">Others did this before.</div></article><div class="post-body">And it goes on here.</div></body>'
+    assert alone(page) == "A lead of some words. Story. Others did this before. And it goes on here."
+
+
+def test_pages_tree_decides_without_class_words(spark):
+    page = '<body><div class="a1"><p>Welcome to this house of many words</p></div><div class="b1"><p>Tale {0} of a day</p></div><div class="c1"><p>Made by hand in the same old town</p></div></body>'
+    rows = [(i, "http://plain.com/", page.format("".join(chr(97 + (i * k) % 26) for k in range(1, 9)))) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with_tree = {r.page_id: r.text for r in pages.main_text(spark, df).collect()}
+    without = {r.page_id: r.text for r in pages.main_text(spark, df, trusted=10**9).collect()}
+    assert all(re.fullmatch(r"Tale [a-z]+ of a day", t) for t in with_tree.values()) and all(t.startswith("Welcome") and t.endswith("town") for t in without.values())
+
+
+def test_pages_long_maps_travel_once(spark, monkeypatch):
+    page = lambda i, h: f'<body><div class="share">{h} {chr(97 + i)}</div><div class="top">menu {h}</div>' + "".join(f'<div class="k{chr(97 + k)}">same</div>' for k in range(12)) + f'<p>Story {h} {chr(97 + i)}</p></body>'
+    rows = [(100 * h + i, f"http://h{h}.com/", page(i, h)) for h in range(3) for i in range(20)] + [(900, None, "<p>x</p>"), (901, "http://h1.com/", None)]
+    want = texts_of(spark, rows)
+    monkeypatch.setattr(pages, "TRAVELS", 3)
+    for n in (20_000, 4):  # maps of these hosts are long; then a host in several tasks
+        monkeypatch.setattr(pages, "PAGES", n)
+        assert texts_of(spark, rows) == want and len(want) == len(rows)
+
+
 def test_pages_importance_decides(spark):
     """The tree's importance overrules what a class tells, both ways, and without it the result differs."""
     page = '<body><div class="share">{}</div><div class="c">{}</div><p>Story of {}</p></body>'
@@ -756,3 +796,46 @@ def test_empty_tables(spark, docs):
     assert not quality.score_quality(none, model).count() and quality.score_quality(docs, model).where("score between 0 and 1").count() == docs.count()
     sites = spark.createDataFrame([], "page_id long, url string, html string")
     assert not urls.judge_urls(spark, sites, queries.RULES).count() and not pages.main_text(spark, sites).count()
+
+
+def test_every_window_has_a_symbol_of_its_words():
+    """Equal windows have one symbol, wherever they stand; texts of any kind leave none without."""
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(1, 50, 400).astype(np.uint64), np.full(300, 9, np.uint64), np.tile(rng.integers(1, 9, 50).astype(np.uint64), 8)]
+    texts += [np.concatenate([rng.integers(1, 50, 60).astype(np.uint64), texts[0][100:200], rng.integers(1, 50, 30).astype(np.uint64)])]
+    h, offsets = np.concatenate(texts), np.r_[0, np.cumsum([len(t) for t in texts])]
+    h = substring.W.mix(h)
+    text, p0, p1, name = substring.window_symbols(h, offsets, 35, 4)
+    by = collections.defaultdict(set)
+    for a, b, n in zip(p0.tolist(), p1.tolist(), name.tolist(), strict=True):
+        for p in range(a, b + 1):
+            by[tuple(h[p : p + 35].tolist())].add(n)
+    assert all(len(x) == 1 for x in by.values()) and (p1 - p0 + 1).sum() == sum(max(0, len(t) - 34) for t in texts)
+
+
+def test_long_texts_of_known_sentences_take_linear_time():
+    import time
+
+    know = licenses.Recogniser()
+    took = []
+    for n in (4_000, 16_000, 64_000):
+        text = "all rights reserved yes\n" * n
+        began = time.process_time()
+        assert len(know.scan(text)) == n
+        took.append(time.process_time() - began)
+    assert took[2] < 10 * took[1] + 0.5 and took[1] < 10 * took[0] + 0.5
+    names = licenses.Recogniser(rules=licenses.all_rules())
+    assert sum(map(len, licenses.all_sentences().values())) >= 200
+    for text, name in (("Released under the WTFPL.", "WTFPL"), ("SPDX-License-Identifier: EUPL-1.2", "EUPL-1.2"), ("This font software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+                       ("licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License", "CC-BY-NC-SA-3.0")):
+        assert [x[0] for x in names.scan(text)] == [name]
+
+
+def test_quality_is_fitted_on_one_row_of_an_id(spark):
+    rows = [(i, f"line {i}\n" * 3 + "w " * (i % 5), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 1 + [(3, "another text of it")] * 50 + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    model = quality.fit_quality(spark, docs, labels)
+    once = quality.fit_quality(spark, docs.dropDuplicates(["doc_id"]), labels)
+    scores = [[r.score for r in quality.score_quality(docs.where("doc_id <> 3"), m).orderBy("doc_id").collect()] for m in (model, once)]
+    assert np.allclose(*scores, atol=0.2)
