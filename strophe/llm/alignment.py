@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,7 @@ class PartLinks:
             raise ValueError("vocabularies of more than 2**21 - 1 ids")
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
+        self.shown: dict[int, bytes] = {}
         probe = "a  b c \t é é ﬁ"
         self.cuts = self.a.cuts and not self.b.is_unknown(self.space) and not any("▁" in p.lstrip("▁") for p in pieces) and "".join(self.b.encode_as_pieces(probe)) == "▁" + probe.replace(" ", "▁").replace("\t", "<0x09>")
         self.clear()
@@ -72,33 +74,57 @@ class PartLinks:
         self.links = encoders.Grown(np.int64)  # B id << _BITS | A id
 
     def learn(self, parts: list[str]) -> None:
-        a_ids = [np.asarray(x, np.int64) for x in self.a.parts_ids(parts)]
-        b_ids = [np.array(x if p else [self.space], np.int64) for p, x in zip(parts, self.b.encode(parts, num_threads=1), strict=True)]
+        parts, a_flat, n_a = self.a.parts_flat(parts)
+        b_ids = self.b.encode(parts, num_threads=1)
+        for k in [k for k, p in enumerate(parts) if not p]:
+            b_ids[k] = [self.space]
+        n_b = np.fromiter(map(len, b_ids), np.int64, len(parts))
+        b_flat = np.fromiter(chain.from_iterable(b_ids), np.int64, n_b.sum())
+        whole = [(" " + p).encode() for p in parts]
+        sizes = np.fromiter(map(len, whole), np.int64, len(parts))
         same = np.ones(len(parts), bool)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        for k, (p, x, y) in enumerate(zip(parts, a_ids, b_ids, strict=True)):
-            whole = (" " + p).encode()
-            same[k] = whole == b"".join([a_bytes[i] for i in x.tolist()]) and whole == b"".join([b_bytes[i] for i in y.tolist()])
-        a_flat, b_flat = (np.concatenate([x for x, s in zip(t, same, strict=True) if s] or [np.zeros(0, np.int64)]) for t in (a_ids, b_ids))
-        n_a, n_b = (np.array([len(x) if s else 0 for x, s in zip(t, same, strict=True)], np.int64) for t in (a_ids, b_ids))
+        for ids, n, table, lengths in ((a_flat, n_a, self.a_bytes, self.a_sizes), (b_flat, n_b, self.b_bytes, self.b_sizes)):
+            made = [table[i] for i in ids.tolist()]
+            ends = np.cumsum(n)
+            if np.array_equal(np.diff(np.r_[0, np.cumsum(lengths[ids])][np.r_[0, ends]]), sizes) and b"".join(made) == b"".join(whole):
+                continue
+            same &= [b"".join(made[y - x : y]) == w for x, y, w in zip(n.tolist(), ends.tolist(), whole, strict=True)]
+        if not same.all():
+            a_flat, b_flat = a_flat[np.repeat(same, n_a)], b_flat[np.repeat(same, n_b)]
+            n_a, n_b = n_a * same, n_b * same
         # the parts' bytes in a row: both sides have the same ends of parts
         a_ends, b_ends = np.cumsum(self.a_sizes[a_flat]), np.cumsum(self.b_sizes[b_flat])
-        both = np.intersect1d(a_ends, b_ends)
+        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
         a_last, b_last = np.searchsorted(a_ends, both), np.searchsorted(b_ends, both)
-        n_groups = np.searchsorted(a_last, np.cumsum(n_a)) - np.searchsorted(a_last, np.cumsum(n_a) - n_a)
-        a_text, b_text = list(map(str, a_flat.tolist())), list(map(str, b_flat.tolist()))
-        text, i, j = [], 0, 0
-        for x, y in zip((a_last + 1).tolist(), (b_last + 1).tolist(), strict=True):
-            text.append(",".join(a_text[i:x]) + "|" + ",".join(b_text[j:y]))
-            i, j = x, y
-        ends = np.cumsum(n_groups)
+        n_groups = np.diff(np.searchsorted(a_last, np.r_[0, np.cumsum(n_a)]))
+        text, cuts = self._text(a_flat, b_flat, a_last, b_last, np.cumsum(n_groups))
         self.memory.update(zip(parts, range(self.n_a.size, self.n_a.size + len(parts)), strict=True))
-        self.groups += [";".join(text[x:y]).encode() for x, y in zip((ends - n_groups).tolist(), ends.tolist(), strict=True)]
+        self.groups += [text[x:y] for x, y in zip((cuts[:-1] + (n_groups > 0)).tolist(), cuts[1:].tolist(), strict=True)]
+        ends = np.cumsum(n_groups)
         for table, more in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.differs, ~same), (self.starts, self.links.size + ends - n_groups)):
             table.add(more)
         self.links.add(b_flat[b_last] << _BITS | a_flat[a_last])
         self.chars += sum(map(len, parts))
 
+    def _text(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All groups as text, each with a ; before it, and where the text of each part ends, which has groups up to ends."""
+        n_a, n_b = np.diff(np.r_[0, a_last + 1]), np.diff(np.r_[0, b_last + 1])
+        group_a, group_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        at_a = np.arange(len(a)) + (np.cumsum(n_b) - n_b)[group_a]
+        at_b = np.arange(len(b)) + np.cumsum(n_a)[group_b]
+        code = np.empty(len(a) + len(b), np.int64)  # the id, and what stands before it
+        code[at_a], code[at_b] = a * 3 + 2, b * 3 + 2
+        code[at_a[np.r_[0, a_last[:-1] + 1]] if len(a_last) else []] -= 2
+        code[at_b[np.r_[0, b_last[:-1] + 1]] if len(b_last) else []] -= 1
+        codes = code.tolist()
+        table = self.shown
+        for c in set(codes).difference(table):
+            table[c] = b";|,"[c % 3 : c % 3 + 1] + str(c // 3).encode()
+        pieces = [table[c] for c in codes]
+        upto = np.r_[0, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]
+        tokens = np.r_[0, np.cumsum(n_a + n_b)]
+        return b"".join(pieces), upto[tokens[np.r_[0, ends]]]
+
     def texts(self, texts: list[str], digest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
         """(tokens of A, of B, groups, the groups as text or its digest, links) of each text; links of all texts in a row."""
         if len(self.memory) > encoders.REMEMBERED or self.chars > encoders.REMEMBERED_CHARS:

@@ -70,31 +70,34 @@ class PartIds:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def parts_ids(self, parts: list[str]) -> list:
-        """Ids of each part with a space before it."""
-        out: list = [None] * len(parts)
-        simple = [k for k, p in enumerate(parts) if p and len(p) < 64 and not _SPACE.search(p)]
+    def parts_flat(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(the parts in another order, the ids of each with a space before it in a row, how many each has)."""
+        simple = [p for p in parts if p and len(p) < 64 and not _SPACE.search(p)]
+        rest = [p for p in parts if not p or len(p) >= 64 or _SPACE.search(p)]
+        ids, counts = [], []
         for at in range(0, len(simple), TOGETHER):
             some = simple[at : at + TOGETHER]
-            ids = np.array(self.encode([" " + " ".join([parts[k] for k in some])])[0], np.uint32)
-            first = np.flatnonzero(self.opens[ids])
-            if len(first) == len(some) and first[0] == 0:  # each part opens with the one space it has
-                for k, x in zip(some, np.split(ids, first[1:]), strict=True):
-                    out[k] = x
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(rest, self.encode([" " + parts[k] for k in rest]), strict=True):
-            out[k] = x
-        return out
+            x = np.array(self.encode([" " + " ".join(some)])[0], np.int64)
+            first = np.flatnonzero(self.opens[x])
+            if len(first) != len(some) or first[0]:  # each part opens with the one space it has
+                raise ValueError("a token of this vocabulary holds a space behind something else")
+            ids.append(x)
+            counts.append(np.diff(np.r_[first, len(x)]))
+        for x in self.encode([" " + p for p in rest]):
+            ids.append(np.array(x, np.int64))
+            counts.append(np.array([len(x)]))
+        none = [np.zeros(0, np.int64)]
+        return simple + rest, np.concatenate(ids or none), np.concatenate(counts or none)
 
     def learn(self, keys: list) -> None:
         """keys: parts behind a space as strings, texts' first parts as one-tuples."""
         heads = [k for k in keys if isinstance(k, tuple)]
-        parts = [k for k in keys if not isinstance(k, tuple)]
-        ids = self.parts_ids(parts) + self.encode([k[0] for k in heads])
-        counts = np.array([len(x) for x in ids], np.int64)
+        parts, flat, counts = self.parts_flat([k for k in keys if not isinstance(k, tuple)])
+        ids = self.encode([k[0] for k in heads])
+        counts = np.r_[counts, np.array([len(x) for x in ids], np.int64)]
         at = self.ids.size
-        self.ids.add(np.concatenate([np.asarray(x, np.uint32) for x in ids]) if ids else np.zeros(0, np.uint32))
-        self.memory.update(zip(parts + heads, range(self.starts.size, self.starts.size + len(ids)), strict=True))
+        self.ids.add(np.concatenate([flat.astype(np.uint32), *(np.asarray(x, np.uint32) for x in ids)]))
+        self.memory.update(zip(parts + heads, range(self.starts.size, self.starts.size + len(counts)), strict=True))
         self.starts.add(at + np.cumsum(counts) - counts)
         self.counts.add(counts)
         self.chars += sum(map(len, parts)) + sum(len(k[0]) for k in heads)
