@@ -273,7 +273,17 @@ def extract_instruments(spark, d):
     return _marked(bind.notes(spark, d))
 
 
-@query()
+_WAIT = f"w AS (SELECT *, CAST(floor(-ln(1 - {U.format(chr(39) + '0' + chr(39) + ', ' + chr(39) + 'span' + chr(39) + ', track, pos')}) * 2000) AS BIGINT) AS wait FROM notes)"
+
+
+#: An event that leaves a span, the one that begins the next at or past the time drawn there, and the one that leaves that.
+@query(f"""WITH RECURSIVE {NOTES}, {_WAIT}, turns(track, n, pos, time, begins) AS (
+  SELECT track, 0, pos, time + wait, false FROM w WHERE pos = 0
+  UNION ALL SELECT track, n + 1, f.pos, CASE WHEN begins THEN f.time + f.wait ELSE f.time + 500 END, NOT begins
+    FROM (SELECT t.track, t.n, t.begins, min(struct_pack(pos := w.pos, time := w.time, wait := w.wait)) AS f FROM turns t JOIN w ON w.track = t.track AND w.pos >= t.pos AND w.time >= t.time GROUP BY ALL)),
+s AS (SELECT track, pos AS a, begins, lead(pos) OVER (PARTITION BY track ORDER BY n) AS b FROM turns),
+h AS (SELECT track, a, coalesce(b, 1000000000) AS b FROM s WHERE begins)
+SELECT n.track, n.pos, CASE WHEN h.track IS NULL THEN n.kind ELSE 'control' END AS kind, n.time, n.dur, n.instr, n.pitch FROM notes n LEFT JOIN h ON h.track = n.track AND n.pos >= h.a AND n.pos < h.b""")
 def extract_spans(spark, d):
     return training.extract_spans(bind.notes(spark, d), 2000)
 

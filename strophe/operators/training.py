@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strophe.functions import vocab as V
 from strophe.operators import interleave
 from strophe.operators import sequence as S
+from strophe.operators.spans import extract_spans as extract_spans
 from strophe.plans.scan import scan
 from strophe.plans.scratch import stored
 
@@ -30,32 +31,6 @@ def extract_random(df: DataFrame, rate: int | Column, seed: str = "0") -> DataFr
     return df.withColumn("kind", F.when(hit & (F.col("kind") == "event"), "control").otherwise(F.col("kind")))
 
 
-def extract_spans(df: DataFrame, mean_wait: int, seed: str = "0") -> DataFrame:
-    """Events in spans of DELTA ticks become controls; waits between spans are exponential with this mean in ticks.
-
-    A fold over the track's ordered events, a track's events being one array. It keeps only the places where
-    a span begins or ends, so its work is linear in the events.
-    """
-    rows = df.where("kind = 'event'").withColumn("wait", F.floor(-F.ln(1 - V.uniform(seed, "span", F.col("track"), F.col("pos"))) * mean_wait).cast("long"))
-    packed = rows.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("pos", "time", "wait"))).alias("e"))
-    turns = F.array().cast("array<struct<pos:bigint,hit:boolean>>")
-    start = F.struct(F.lit(True).alias("on"), F.lit(0).cast("long").alias("next"), F.lit(0).cast("long").alias("end"), turns.alias("out"))
-
-    def step(s, e):
-        leave = s["on"] & (e["time"] >= s["end"])
-        nxt = F.when(leave, e["time"] + e["wait"]).otherwise(s["next"])
-        enter = (leave | ~s["on"]) & (e["time"] >= nxt)
-        now = (s["on"] & ~leave) | enter
-        turn = (now != s["on"]) | (F.size(s["out"]) == 0)
-        out = F.when(turn, F.concat(s["out"], F.array(F.struct(e["pos"].alias("pos"), now.alias("hit"))))).otherwise(s["out"])
-        return F.struct(now.alias("on"), nxt.alias("next"), F.when(enter, e["time"] + V.DELTA).otherwise(s["end"]).alias("end"), out.alias("out"))
-
-    marks = packed.select("track", F.inline(F.aggregate("e", start, step, lambda s: s["out"])))
-    so_far = Window.partitionBy("track").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = F.last("hit", True).over(so_far)
-    return S.to_controls(df.join(marks, ["track", "pos"], "left").withColumn("hit", hit), F.coalesce("hit", F.lit(False))).select(*V.NOTE_COLUMNS)
-
-
 def augment(tracks: DataFrame, factor: int) -> DataFrame:
     """(track, ..., k, mode) of each copy: k mod 10 is 0 none, 1 span, 2 to 5 random, 6 to 9 instruments."""
     mode = F.element_at(F.array(*[F.lit(x) for x in ["none", "span", *["random"] * 4, *["instrument"] * 4]]), (F.col("k") % 10 + 1).cast("int"))

@@ -10,7 +10,7 @@ from strophe import catalogue
 
 SF = "/root/testdata/sf0.001"
 #: Folds and whole pipelines without SQL; test_sequence.py, test_tokenize.py and test_tasks.py test them, all but the report (its counters) against sequential versions.
-TESTED_ELSEWHERE = {"extract_spans", "greedy_select", "calibrate", "tokenize", "tokenization_report"}
+TESTED_ELSEWHERE = {"greedy_select", "calibrate", "tokenize", "tokenization_report"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
 

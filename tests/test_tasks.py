@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strophe.catalogue_more import steady
 from strophe.functions import vocab as V
-from strophe.operators import clips, codec, corpus, generation, sampling, sequence, stats, training
+from strophe.operators import clips, codec, corpus, generation, sampling, sequence, spans, stats, training
 from strophe.plans import scratch
 from strophe.plans.scan import scan
 from strophe.sources import midi, text
@@ -413,3 +413,32 @@ def test_a_seventeenth_channel_is_an_error(spark):
         codec.midi_schedule(notes(16)).collect()
     with pytest.raises(ValueError, match="channel"):
         midi.encode([(0, True, 5, 60, 16)])
+
+
+def test_spans_of_composed_chunks_are_the_sequential_ones(spark, monkeypatch):
+    def sequential(times, waits, delta):
+        on, nxt, end, out = True, 0, 0, []
+        for t, w in zip(times, waits, strict=True):
+            if on and t >= end:
+                on, nxt = False, t + w
+            if not on and t >= nxt:
+                on, end = True, t + delta
+            out.append(on)
+        return out
+
+    rng = random.Random(8)
+    for _ in range(400):
+        n = rng.randint(0, 60)
+        times = np.array(sorted(rng.randrange(rng.choice([5, 60, 900])) for _ in range(n)), np.int64)
+        waits = np.array([rng.choice([0, 1, 3, 40, 200]) for _ in range(n)], np.int64)
+        want, state, got = sequential(times.tolist(), waits.tolist(), 20), spans.START, []
+        cuts = [0, *sorted(rng.randint(0, n) for _ in range(4)), n]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            got += spans.marked(state, times[a:b], waits[a:b], 20).tolist()
+            side = spans.chunk_map(times[a:b], waits[a:b], 20)[state[0]]
+            state = spans._through(state, [x for x, _ in side], [s for _, s in side])
+        assert got == want
+    songs = {k: song(70 + k, 300, 5) for k in range(3)}
+    whole = sorted(map(tuple, training.extract_spans(frame(spark, songs), 200).collect()))
+    monkeypatch.setattr(spans, "CHUNK", 16)
+    assert sorted(map(tuple, training.extract_spans(frame(spark, songs), 200).collect())) == whole and {r[2] for r in whole} == {"event", "control"}
