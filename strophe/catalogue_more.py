@@ -299,6 +299,18 @@ def piano_roll(spark, d):
     return clips.piano_roll(bind.notes(spark, d).withColumn("dur", F.floor(F.col("dur") / 25)))
 
 
+_TRY = U.format("'0', '{}', track, attempt")
+
+
+@query(f"""WITH {NOTES}, e AS (SELECT track, max(time) AS fin FROM notes GROUP BY track HAVING max(time) >= 2000), a AS (SELECT track, fin, unnest(range(16)) AS attempt FROM e),
+d AS (SELECT track, attempt, {_TRY.format('attempt')} AS draw, CAST(floor((fin - 2000) * {_TRY.format('start')}) AS BIGINT) AS start FROM a),
+c AS (SELECT d.track, attempt, draw, start, count(DISTINCT instr) AS parts, count(*) FILTER (WHERE time - start <= 500) AS n FROM d JOIN notes ON notes.track = d.track AND time BETWEEN start AND start + 2000 GROUP BY ALL)
+SELECT * FROM c WHERE parts <= 15 AND n >= 25 ORDER BY draw, track, attempt LIMIT 40""")
+def clips_until(spark, d):
+    """The first 40 accepted windows of up to 16 in each track."""
+    return clips.sample_until(bind.notes(spark, d), 40, 2000, 500, min_events=25)
+
+
 # generation
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import vocab as V
 from strophe.operators import sequence as S
+from strophe.plans.scratch import stored
 
 
 def random_windows(notes: DataFrame, length: int, seed: str = "0", draw: str = "clip") -> DataFrame:
@@ -23,6 +24,41 @@ def clip_candidates(windows: DataFrame, prompt: int, max_instruments: int = 15,
     return a.where((F.col("parts") <= max_instruments) & (F.col("n") >= min_events))
 
 
+def windows_at(notes: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """The rows of windows (track, ..., start) of `length` ticks, moved to 0, beside what places says of them."""
+    rows = notes.join(places, "track").where(F.col("time").between(F.col("start"), F.col("start") + length))
+    return rows.withColumn("dur", F.least("dur", F.col("start") + length - F.col("time"))).withColumn("time", F.col("time") - F.col("start"))
+
+
+def sample_until(notes: DataFrame, n: int, length: int, prompt: int, seed: str = "0", tries: int = 16, max_instruments: int = 15, min_events: int = 10) -> DataFrame:
+    """(track, attempt, draw, start, parts, n): the first n windows in order of draw that clip_candidates() would accept, or all that there are.
+
+    Each track as long as `length` is tried `tries` times, at places of their own; so a track may come more than once. Attempts stand in the order
+    of a hash, draw. Rounds go through it: each takes as many attempts as the share accepted so far says that the rest needs, and half as many more. A round
+    joins its attempts with the notes and counts, both by track.
+    """
+    notes = stored(notes.where("kind = 'event'"))
+    ends = stored(S.max_time(notes).where(F.col("max_time") >= length))
+    total = ends.count() * tries
+    draw = V.uniform(seed, "attempt", F.col("track"), F.col("attempt"))
+    start = F.floor((F.col("max_time") - length) * V.uniform(seed, "start", F.col("track"), F.col("attempt"))).cast("long")
+    all_ = ends.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("attempt", F.col("attempt").cast("long")).withColumn("draw", draw)
+    found, rounds, low, high = 0, [], 0.0, min(1.0, 2 * n / total) if total else 1.0
+    while total and n:
+        part = all_.where((F.col("draw") >= low) & (F.col("draw") < high)).select("track", "attempt", "draw", start.alias("start"))
+        rows = windows_at(notes, part, length)
+        counted = rows.groupBy("track", "attempt", "draw", "start").agg(F.count_distinct("instr").alias("parts"), F.count_if(F.col("time") <= prompt).alias("n"))
+        rounds.append(stored(counted.where((F.col("parts") <= max_instruments) & (F.col("n") >= min_events))))
+        found += rounds[-1].count()
+        if found >= n or high >= 1:
+            break
+        low, high = high, min(1.0, high + 1.5 * (n - found) * high / max(found, 1))
+    out = ends.select("track", F.lit(0).cast("long").alias("attempt"), F.lit(0.0).alias("draw"), *[F.lit(0).cast("long").alias(c) for c in ("start", "parts", "n")]).limit(0)
+    for r in rounds:
+        out = out.unionByName(r)
+    return out.orderBy("draw", "track", "attempt").limit(n)
+
+
 def melody_candidates(windows: DataFrame, melody: DataFrame, prompt: int, length: int, parts: tuple[int, int] = (4, 10), min_notes: int = 20) -> DataFrame:
     """(track, melody) of windows with 4 to 10 parts besides drums whose melody has enough notes, starts in the prompt and lasts."""
     m = windows.join(melody.select("track", F.col("instr").alias("melody")), "track")

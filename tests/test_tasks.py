@@ -442,3 +442,20 @@ def test_spans_of_composed_chunks_are_the_sequential_ones(spark, monkeypatch):
     whole = sorted(map(tuple, training.extract_spans(frame(spark, songs), 200).collect()))
     monkeypatch.setattr(spans, "CHUNK", 16)
     assert sorted(map(tuple, training.extract_spans(frame(spark, songs), 200).collect())) == whole and {r[2] for r in whole} == {"event", "control"}
+
+
+def test_clips_are_drawn_until_there_are_enough(spark, monkeypatch):
+    songs = {k: song(200 + k, 150, 6) for k in range(12)} | {50: [(5, 5, 0, 60)], 51: song(3, 40, 1, 1500)}
+    rows = frame(spark, songs)
+    every = clips.sample_until(rows, 10**6, 1000, 300, min_events=12).collect()
+    assert len({r.track for r in every}) > 3 and len({(r.track, r.attempt) for r in every}) == len(every) < 14 * 16
+    rounds = []
+    monkeypatch.setattr(clips, "stored", lambda df: rounds.append(1) or scratch.stored(df))
+    for n in (0, 1, 7, len(every), len(every) + 5):
+        rounds.clear()
+        got = clips.sample_until(rows, n, 1000, 300, min_events=12).collect()
+        assert got == every[:n] and len(rounds) <= 2 + 8
+    for r in every:
+        inside = [e for e in songs[r.track] if r.start <= e[0] <= r.start + 1000]
+        assert (r.parts, r.n) == (len({e[2] for e in inside}), sum(e[0] - r.start <= 300 for e in inside)) and r.n >= 12
+    assert clips.sample_until(rows.limit(0), 5, 1000, 300).count() == 0
