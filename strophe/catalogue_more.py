@@ -13,6 +13,7 @@ from strophe.plans import bind
 from strophe.plans.bind import FILES, NOTES
 from strophe.plans.scratch import folder as scratch
 from strophe.plans.scratch import stored
+from strophe.sources import files as tree
 from strophe.sources import midi, text
 
 
@@ -26,12 +27,12 @@ def token_lines(spark, d):
     return text.read_token_lines(spark, path, 2)
 
 
-@query(f"WITH {NOTES} SELECT track, pos, time, dur, pitch, instr, (pitch * 7) % 128 AS velocity FROM notes")
+@query(f"WITH {NOTES} SELECT md5(CAST(track AS VARCHAR)) AS md5, pos, time, dur, pitch, instr, (pitch * 7) % 128 AS velocity FROM notes")
 def compound_files(spark, d):
     path = scratch(spark)
     text.write_compound(bind.notes(spark, d).withColumn("velocity", F.col("pitch") * 7 % 128), path)
-    rows = text.read_compound(spark, f"{path}/*/*.txt")
-    return rows.withColumn("track", F.regexp_extract("path", "track=([0-9]+)", 1).cast("long")).select("track", "pos", "time", "dur", "pitch", "instr", "velocity")
+    rows = text.read_compound(spark, f"{path}/[0-9a-f]/*.compound.txt")
+    return rows.withColumn("md5", F.regexp_extract("path", "/([0-9a-f]+)[.]compound", 1)).select("md5", "pos", "time", "dur", "pitch", "instr", "velocity")
 
 
 @query("SELECT md5(CAST(o_orderkey AS VARCHAR)) AS md5, 'train' AS split, 0::BIGINT AS num_tracks, o_orderpriority AS title, '' AS artist, CAST(o_totalprice AS DOUBLE) AS duration, '' AS time_signature, 0.0::DOUBLE AS tempo FROM orders")
@@ -299,6 +300,51 @@ def piano_roll(spark, d):
     return clips.piano_roll(bind.notes(spark, d).withColumn("dur", F.floor(F.col("dur") / 25)))
 
 
+_TRACKS = "SELECT md5(CAST(l_suppkey AS VARCHAR)) AS md5 FROM lineitem GROUP BY l_suppkey"
+
+
+@query(f"""WITH t AS ({_TRACKS}), w AS (SELECT md5, true AS held FROM t UNION ALL SELECT md5('none' || i), false FROM range(4) r(i))
+SELECT md5, CASE WHEN held THEN 'written' ELSE 'missing' END AS first, CASE WHEN held THEN 'exists' ELSE 'missing' END AS again, held AS listed FROM w""")
+def copied_files(spark, d):
+    """Wanted files are copied, then once more; four have no local file."""
+    local = text.local_files(spark, _files(spark, d), ("train", "valid", "test"), ())
+    wanted = local.select("md5").unionByName(spark.range(4).select(F.md5(F.concat(F.lit("none"), F.col("id").cast("string"))).alias("md5")))
+    root = scratch(spark)
+    first, again = (tree.copy_wanted(wanted, local, root).withColumnRenamed("status", c) for c in ("first", "again"))
+    listed = tree.list_tree(spark, root).select(F.regexp_extract("name", "^[0-9a-f]/([0-9a-f]{32})[.]mid$", 1).alias("md5"), F.lit(True).alias("listed"))
+    return first.join(again, "md5").join(listed, "md5", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+@query(f"SELECT md5, {_SPLIT} || '/' || substr(md5, 1, 1) || '/' || md5 || '.mid' AS name FROM ({_TRACKS})")
+def restructured_files(spark, d):
+    """Files of one folder are moved into folders of their split and hex digit."""
+    flat, root = scratch(spark), scratch(spark)
+    made = midi.write_files(codec.midi_schedule(bind.notes(spark, d))).select(F.concat(F.md5(F.col("track").cast("string")), F.lit(".mid")).alias("name"), "content")
+    tree.write_tree(made, flat)
+    tree.restructure(text.local_files(spark, flat, (), ()), root, "move")
+    return tree.list_tree(spark, root).select(F.regexp_extract("name", "([^/]+)[.]mid$", 1).alias("md5"), "name")
+
+
+@query(f"""WITH r AS (SELECT md5, substr(md5, 1, 1) AS hex FROM ({_TRACKS})), k AS (SELECT *, row_number() OVER (PARTITION BY hex ORDER BY md5('42:' || md5 || '.mid'), md5) AS k, count(*) OVER (PARTITION BY hex) AS n FROM r)
+SELECT {_SPLIT} || '/' || hex || '/' || md5 || '.mid' AS name, 'written' AS status FROM k WHERE k <= greatest(1, floor(n * 0.3))""")
+def mirrored_files(spark, d):
+    """A share of each hex digit's files is copied to the same place below another root."""
+    source, root = _files(spark, d), scratch(spark)
+    done = tree.mirror_sample(tree.list_tree(spark, source, "*.mid"), source, root, 0.3)
+    return done.join(tree.list_tree(spark, root).select("name"), "name")
+
+
+@query(f"WITH {NOTES} SELECT md5(CAST(track AS VARCHAR)) AS md5, count(*) AS note_ons, max(time) AS last_on FROM notes WHERE dur % 3 <> 0 GROUP BY track")
+def interarrival_files(spark, d):
+    """Inter-arrival tokens to files in hex folders by a committed sink, and read back."""
+    schedule = codec.with_channels(codec.interarrival_schedule(codec.interarrival(_messages(bind.notes(spark, d)))))
+    md5 = F.md5(F.col("track").cast("string"))
+    root = scratch(spark)
+    tree.write_tree(midi.write_files(schedule).select(F.concat_ws("/", corpus.hex_shard(md5), F.concat(md5, F.lit(".mid"))).alias("name"), "content"), root)
+    rows = midi.decode(midi.read_files(spark, root))
+    return rows.where("type = 'note' and on").groupBy("path").agg(F.count("*").alias("note_ons"), F.max("time").alias("last_on")).select(_md5(), "note_ons", "last_on")
+
+
 _TRY = U.format("'0', '{}', track, attempt")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strophe.operators.corpus import hex_shard
+from strophe.sources.files import write_tree
 
 
 def read_token_lines(spark: SparkSession, path: str, min_tokens: int = 0, max_length: int | None = None) -> DataFrame:
@@ -28,10 +29,16 @@ def read_compound(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_compound(notes: DataFrame, path: str) -> None:
-    """A line of 5-tuples for each track (track, pos, time, dur, pitch, instr, velocity), in folders by the track's name."""
+    """A file of 5-tuples for each track (track, pos, time, dur, pitch, instr, velocity): <hex digit>/<md5 of the track>.compound.txt, all or none.
+
+    A track's row count is bounded by the gate that corpora pass, so a track is one line.
+    """
     cell = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("time", "dur", "pitch", "instr", "velocity")])
     lines = notes.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("pos", cell.alias("t")))).alias("x"))
-    lines.select("track", F.array_join(F.transform("x", lambda x: x["t"]), " ").alias("value")).write.mode("overwrite").partitionBy("track").text(path)
+    md5 = F.md5(F.col("track").cast("string"))
+    name = F.concat_ws("/", hex_shard(md5), F.concat(md5, F.lit(".compound.txt")))
+    content = F.encode(F.array_join(F.transform("x", lambda x: x["t"]), " "), "UTF-8")
+    write_tree(lines.select(name.alias("name"), content.alias("content")), path)
 
 
 def compound_of_files(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
