@@ -621,6 +621,12 @@ def history(spark, d):
     return sampling.history(bind.notes(spark, d))
 
 
+@query(f"WITH {NOTES} SELECT track, pos, min(time % 700) OVER (PARTITION BY track ORDER BY pos ROWS BETWEEN 338 PRECEDING AND CURRENT ROW) AS base FROM notes")
+def context_bases(spark, d):
+    """Times that go up and down, so that the least one is anywhere."""
+    return sampling.contexts(bind.notes(spark, d).withColumn("time", F.col("time") % 700)).select("track", "pos", "base")
+
+
 _PROMPT = f"""WITH {MARKED}, up AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY time, pos) AS p FROM marked WHERE kind = 'event' AND time BETWEEN 0 AND 3000),
 trk AS (SELECT DISTINCT track FROM marked), gap AS (SELECT track, p, time, coalesce(lag(time) OVER (PARTITION BY track ORDER BY p), 0) AS prev FROM up
   UNION ALL SELECT t.track, 1000000, 3000, coalesce(max(u.time), 0) FROM trk t LEFT JOIN up u ON u.track = t.track GROUP BY t.track),

@@ -46,6 +46,20 @@ def history(df: DataFrame, triples: int = 339) -> DataFrame:
     return last.withColumn("time", F.col("time") - F.min("time").over(Window.partitionBy("track")))
 
 
+def contexts(df: DataFrame, triples: int = 339) -> DataFrame:
+    """df with base: the least time of the last `triples` rows of the track up to each row, which a context that ends there is relative to.
+
+    Rows are cut into blocks of that many. A context is the end of one block and the start of the next (or one whole block), so its least time is
+    that of two running minima, one from each side: the work doesn't grow with `triples`.
+    """
+    track = Window.partitionBy("track").orderBy("pos")
+    rows = df.withColumn("__i", F.row_number().over(track) - 1).withColumn("__b", F.floor(F.col("__i") / triples))
+    ahead = Window.partitionBy("track", "__b").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy("track", "__b").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__a", F.min("time").over(ahead)).withColumn("__z", F.min("time").over(behind))
+    return rows.withColumn("base", F.least("__a", F.lag("__z", triples - 1).over(track))).drop("__i", "__b", "__a", "__z")
+
+
 def prompt_assembly(inputs: DataFrame, start: int, controls: DataFrame, delta: int = V.DELTA, least: int = V.DELTA // V.RESOLUTION) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(prompt, waiting, flags) of tracks sorted by time.
 

@@ -25,6 +25,8 @@ from strophe.plans.scratch import stored
 #: Renames that a commit has under way at a time.
 RENAMES = 32
 HOW = ("copy", "move", "link")
+#: Bytes that a task holds of a file.
+BUFFER = 8 << 20
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -195,3 +197,35 @@ def mirror_sample(files: DataFrame, source: str, root: str, fraction: float, see
     some = stratified_sample(files.select("name", hex_shard(key).alias("hex"), key.alias("key")), "hex", "key", fraction, seed)
     rows = some.select(*[F.concat_ws("/", F.lit(r.rstrip("/")), "name").alias(c) for r, c in ((source, "source"), (root, "target"))])
     return file_actions(rows).select(F.substring("target", len(root.rstrip("/")) + 2, 10_000).alias("name"), "status")
+
+
+def concatenate(parts: DataFrame) -> DataFrame:
+    """(target, bytes, md5) of files made of others, end to end: rows (source, target), in the order of source. Done once, before this returns.
+
+    Each target is written by one task, which streams the bytes of its parts through a buffer, and appears when it is whole, in place of one that is there.
+    """
+    wanted = parts.groupBy("target").agg(F.array_sort(F.collect_list("source")).alias("sources")).repartition("target")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for b in batches:
+            sizes, digests = [], []
+            for target, sources in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                system, to = place(target)
+                system.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                part, size, digest = f"{to.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}", 0, hashlib.md5()
+                with system.open_output_stream(part) as out:
+                    for source in sources:
+                        old, at = place(source)
+                        with old.open_input_stream(at) as f:
+                            while block := f.read(BUFFER):
+                                out.write(block)
+                                digest.update(block)
+                                size += len(block)
+                system.move(part, to)
+                sizes.append(size)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["target", "bytes", "md5"])
+
+    return stored(wanted.mapInArrow(run, "target string, bytes long, md5 string"))

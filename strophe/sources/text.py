@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strophe.operators.corpus import hex_shard
-from strophe.sources.files import write_tree
+from strophe.sources.files import concatenate, write_tree
 
 
 def read_token_lines(spark: SparkSession, path: str, min_tokens: int = 0, max_length: int | None = None) -> DataFrame:
@@ -72,12 +72,19 @@ def index_files(index: DataFrame, files: DataFrame, column: str = "original") ->
     return index.join(files, index[column] == files["name"])
 
 
-def write_splits(rows: DataFrame, path: str) -> None:
-    """Rows (md5, value) as text files in one folder for each split, those of a split in order of their hex shards."""
+def write_splits(rows: DataFrame, path: str) -> DataFrame:
+    """(split, bytes, md5) of the files <split>.txt below path, made of rows (md5, value): a line each, in the order of md5, so one hex shard after the other.
+
+    The lines are sorted and written by many tasks, as parts; a split's parts are then put together as bytes.
+    """
     from strophe.operators.corpus import hash_split
 
-    lines = rows.select(hash_split(F.col("md5")).alias("split"), hex_shard(F.col("md5")).alias("hex"), "md5", "value")
-    lines.repartitionByRange("split", "hex").sortWithinPartitions("split", "hex", "md5").select("split", "value").write.mode("overwrite").partitionBy("split").text(path)
+    spark, parts = rows.sparkSession, f"{path.rstrip('/')}/_parts"
+    lines = rows.select(hash_split(F.col("md5")).alias("split"), F.lower("md5").alias("md5"), "value")
+    lines.repartitionByRange("split", "md5").sortWithinPartitions("split", "md5").select("split", "value").write.mode("overwrite").partitionBy("split").text(parts)
+    made = spark.read.format("binaryFile").load(f"{parts}/*/*.txt").select("path", F.regexp_extract("path", "split=([^/]+)/", 1).alias("split"))
+    done = concatenate(made.select(F.col("path").alias("source"), F.concat(F.lit(f"{path.rstrip('/')}/"), "split", F.lit(".txt")).alias("target")))
+    return done.select(F.regexp_extract("target", "([^/]+)[.]txt$", 1).alias("split"), "bytes", "md5")
 
 
 def read_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
