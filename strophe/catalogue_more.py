@@ -89,6 +89,9 @@ def hex_shards(spark, d):
 # files
 
 
+_TRACKS = "SELECT md5(CAST(l_suppkey AS VARCHAR)) AS md5 FROM lineitem GROUP BY l_suppkey"
+
+
 def _files(spark: SparkSession, d: str, broken: bool = False) -> str:
     """Every track as a file in a folder of its split and hex digit."""
     root = scratch(spark)
@@ -163,6 +166,83 @@ def metadata_csv(spark, d):
     return text.read_metadata(spark, path)
 
 
+@query("SELECT md5(CAST(o_orderkey AS VARCHAR)) AS md5, o_orderpriority AS title, CAST(o_custkey AS BIGINT) AS num_tracks FROM orders")
+def record_lists(spark, d):
+    """Files that hold one list of records each, as JSON over several lines."""
+    rows = bind.read(spark, d, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("md5"), F.col("o_orderpriority").alias("title"), F.col("o_custkey").alias("num_tracks"))
+    path = scratch(spark)
+    lists = rows.groupBy(corpus.hex_shard(F.col("md5")).alias("hex")).agg(F.to_json(F.collect_list(F.struct("md5", "title", "num_tracks")), {"pretty": "true"}).alias("content"))
+    tree.write_tree(lists.select(F.concat("hex", F.lit(".json")).alias("name"), F.encode("content", "UTF-8").alias("content")), path)
+    return text.read_records(spark, path).select("md5", "title", "num_tracks")
+
+
+@query(f"""WITH t AS ({_TRACKS}), c AS (SELECT md5, s, k FROM t, (VALUES (0, 'train'), (1, 'valid'), (2, 'test')) a(s, sn), (VALUES (0, 'plain'), (1, 'drums')) b(k, kn)
+  WHERE substr(md5, 1 + s * 2 + k, 1) < '8') SELECT md5, min_by(s * 2 + k, s * 2 + k) AS first FROM c GROUP BY md5""")
+def local_categories(spark, d):
+    """A file lies in some of six folders; the first of these in the order of splits, then categories, counts, hidden ones do not."""
+    splits, kinds = ("train", "valid", "test"), ("plain", "drums")
+    md5 = bind.read(spark, d, "lineitem").select(F.md5(F.col("l_suppkey").cast("string")).alias("md5")).distinct()
+    places = F.array(*[F.when(F.substring("md5", 1 + i * 2 + k, 1) < "8", F.lit(f"{s}/{c}/")) for i, s in enumerate(splits) for k, c in enumerate(kinds)])
+    named = md5.select(F.explode(F.filter(places, lambda x: x.isNotNull())).alias("folder"), "md5")
+    named = named.select(F.concat("folder", "md5", F.lit(".mid")).alias("name")).unionByName(named.select(F.concat(F.lit("__MACOSX/train/plain/"), "md5", F.lit(".mid")).alias("name")).distinct())
+    root = scratch(spark)
+    tree.write_tree(named.withColumn("content", F.encode(F.lit("x"), "UTF-8")), root)
+    rank = sum((F.when(F.col("path").contains(f"/{n}/"), w * i).otherwise(0) for names, w in ((splits, 2), (kinds, 1)) for i, n in enumerate(names)), F.lit(0))
+    return text.local_files(spark, root, splits, kinds).select("md5", rank.cast("long").alias("first"))
+
+
+@query(f"WITH {NOTES}, l AS (SELECT track, list(11000 + 128 * instr + pitch ORDER BY pos) AS t, count(*) AS n FROM notes WHERE pos < (track * 7) % 40 GROUP BY track) SELECT track, t[1:24] AS tokens FROM l WHERE n > 10")
+def token_dataset(spark, d):
+    """Lines of more than 10 tokens, cut at 24; each begins with what tells it apart."""
+    rows = bind.notes(spark, d).where(F.col("pos") < (F.col("track") * 7) % 40).groupBy("track").agg(F.array_sort(F.collect_list(F.struct("pos", (V.NOTE_OFFSET + 128 * F.col("instr") + F.col("pitch")).alias("t")))).alias("x"))
+    path = scratch(spark)
+    text.write_token_lines(rows.select(F.concat(F.array("track"), F.transform("x", lambda x: x["t"])).alias("tokens")), path)
+    lines = text.read_token_lines(spark, path, 11, 25)
+    return lines.select(F.col("tokens")[0].cast("long").alias("track"), F.slice("tokens", 2, 24).cast("array<long>").alias("tokens"))
+
+
+@query(f"WITH {NOTES}, u AS (SELECT DISTINCT track, instr FROM notes) SELECT md5(CAST(track AS VARCHAR)) AS md5, instr, 'part ' || instr AS name FROM u")
+def source_track_names(spark, d):
+    """Files whose tracks have names, and the names of the instruments in them."""
+    schedule = codec.midi_schedule(bind.notes(spark, d))
+    names = schedule.select("track", "instr").distinct().select("track", "instr", F.concat(F.lit("part "), F.col("instr").cast("string")).alias("name"))
+    files = midi.write_files(schedule, names).select(F.md5(F.col("track").cast("string")).alias("path"), "content")
+    return midi.source_names(midi.decode(files)).select(F.col("path").alias("md5"), F.col("instr").cast("long").alias("instr"), "name")
+
+
+@query("""SELECT o_orderkey AS k, [CAST(o_custkey AS DOUBLE), 12.5, -1.0] AS scores, [o_orderpriority, 'it is'] AS groups, 0 AS bad FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, [], [], 0 FROM orders WHERE o_orderkey % 3 = 0""")
+def literal_lists(spark, d):
+    """Lists written as Python literals; a third can't be read."""
+    bad = F.col("o_orderkey") % 3 == 0
+    number = F.when(bad, F.lit("[1, None, 3]")).otherwise(F.concat(F.lit("["), F.col("o_custkey").cast("string"), F.lit(", 12.5, -1]")))
+    words = F.when(bad, F.lit("['a', None")).otherwise(F.concat(F.lit("['"), "o_orderpriority", F.lit("', 'it is']")))
+    rows = bind.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), number.alias("n"), words.alias("w"))
+    kept = lambda c: F.when(F.exists(c, lambda x: x.isNull()), F.array().cast(f"array<{'double' if c == 'scores' else 'string'}>")).otherwise(F.col(c))
+    rows = rows.select("k", corpus.parse_number_list(F.col("n")).alias("scores"), corpus.parse_string_list(F.col("w")).alias("groups"))
+    return rows.select("k", kept("scores").alias("scores"), kept("groups").alias("groups"), F.lit(0).alias("bad"))
+
+
+@query(f"WITH {NOTES}, m AS (SELECT track, time, instr, pitch, 1 AS is_on, pos FROM notes) SELECT md5(CAST(track AS VARCHAR)) AS md5, count(*) AS ons, CAST(sum(1000 + 128 * instr + pitch) AS BIGINT) AS total FROM m GROUP BY track")
+def midi_to_interarrival(spark, d):
+    """Files to inter-arrival tokens: the note-ons among them, as numbers and sum."""
+    tokens = codec.midi_interarrival(midi.decode(midi.read_files(spark, _files(spark, d))))
+    ons = tokens.where((F.col("token") >= V.MIDI_ON) & (F.col("token") < V.MIDI_OFF))
+    rows = ons.groupBy(F.col("track").alias("path")).agg(F.count("*").alias("ons"), F.sum("token").alias("total"))
+    return rows.select(_md5(), "ons", "total")
+
+
+_TRACK_SAMPLE = "SELECT md5, {} AS draw FROM (SELECT *, row_number() OVER (ORDER BY md5('{}:' || md5), md5) AS k, count(*) OVER () AS n FROM t) WHERE k <= greatest(1, floor(n * 0.001))"
+
+
+@query(f"WITH t AS ({_TRACKS}) {_TRACK_SAMPLE.format(1, 42)} UNION ALL {_TRACK_SAMPLE.format(2, 43)}")
+def parsing_samples(spark, d):
+    """One file in a thousand, one at least, and a second sample by the next seed."""
+    files = bind.read(spark, d, "lineitem").select(F.md5(F.col("l_suppkey").cast("string")).alias("md5")).distinct()
+    one, two = (corpus.exact_sample(files, "md5", 0.001, seed=42 + k, min_one=True).select("md5", F.lit(k + 1).alias("draw")) for k in (0, 1))
+    return one.unionByName(two)
+
+
 @query(f"WITH {NOTES} SELECT DISTINCT track, CAST((track % 32) * 2.5 AS DOUBLE) AS seconds, CAST(track % 7 + 1 AS INT) AS fraction FROM notes")
 def bar_seconds(spark, d):
     rows = bind.notes(spark, d).select("track").distinct()
@@ -295,9 +375,6 @@ def piano_roll(spark, d):
     return clips.piano_roll(bind.notes(spark, d).withColumn("dur", F.floor(F.col("dur") / 25)))
 
 
-_TRACKS = "SELECT md5(CAST(l_suppkey AS VARCHAR)) AS md5 FROM lineitem GROUP BY l_suppkey"
-
-
 @query(f"""WITH t AS ({_TRACKS}), w AS (SELECT md5, true AS held FROM t UNION ALL SELECT md5('none' || i), false FROM range(4) r(i))
 SELECT md5, CASE WHEN held THEN 'written' ELSE 'missing' END AS first, CASE WHEN held THEN 'exists' ELSE 'missing' END AS again, held AS listed FROM w""")
 def copied_files(spark, d):

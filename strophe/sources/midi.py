@@ -252,15 +252,24 @@ def encode(schedule: list[tuple[int, bool, int, int, int]], ticks_per_beat: int
     return b"MThd" + struct.pack(">IHHH", 6, 1, len(bodies), ticks_per_beat) + b"".join(b"MTrk" + struct.pack(">I", len(b)) + b for b in bodies)
 
 
-def write_files(schedule: DataFrame) -> DataFrame:
-    """(track, content) of the MIDI files of schedule rows (track, pos, time, on, instr, pitch, channel)."""
+def write_files(schedule: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(track, content) of the MIDI files of schedule rows (track, pos, time, on, instr, pitch, channel); names: (track, instr, name) of their tracks."""
     packed = schedule.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("pos", "time", "on", "instr", "pitch", "channel"))).alias("m"))
+    if names is None:
+        packed = packed.withColumn("names", F.lit(None).cast("array<struct<instr: long, name: string>>"))
+    else:
+        listed = names.groupBy("track").agg(F.collect_list(F.struct(F.col("instr").cast("long").alias("instr"), "name")).alias("names"))
+        packed = packed.join(listed, "track", "left")
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for f in frames:
-            yield pd.DataFrame({"track": f.track, "content": [encode([(m["time"], m["on"], m["instr"], m["pitch"], m["channel"]) for m in ms]) for ms in f.m]})
+            made = []
+            for ms, given in zip(f.m, f.names, strict=True):
+                called = {x["instr"]: (x["name"],) for x in given} if given is not None else None
+                made.append(encode([(m["time"], m["on"], m["instr"], m["pitch"], m["channel"]) for m in ms], names=called))
+            yield pd.DataFrame({"track": f.track, "content": made})
 
     return packed.mapInPandas(run, "track long, content binary")
 
