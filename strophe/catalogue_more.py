@@ -232,6 +232,32 @@ def midi_to_interarrival(spark, d):
     return rows.select(_md5(), "ons", "total")
 
 
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS line, CAST(c_custkey AS VARCHAR) || ' ' || c_name AS value FROM customer QUALIFY (row_number() OVER (ORDER BY c_custkey) - 1) % 10 = 0")
+def every_tenth_line(spark, d):
+    """Lines of several files are numbered as they stand there."""
+    path = scratch(spark)
+    rows = bind.read(spark, d, "customer").select("c_custkey", F.concat_ws(" ", "c_custkey", "c_name").alias("value"))
+    rows.repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey").select("value").write.text(path)
+    return text.every_line(spark, path)
+
+
+@query(f"WITH {NOTES}, f AS (SELECT track, count(*) AS n, max(time + dur) AS t FROM notes GROUP BY track) SELECT count(*) AS files, 3::BIGINT AS errors, CAST(sum(n) AS BIGINT) AS notes, CAST(3 * sum(n) AS BIGINT) AS tokens, round(sum(t) / 360000.0, 6) AS hours FROM f")
+def scan_report(spark, d):
+    """The totals of a scan as a JSON report, read back."""
+    files, path = midi.read_files(spark, _files(spark, d, True)), scratch(spark)
+    text.write_json(midi.scan_totals(midi.raw_counts(files), midi.durations(midi.decode(files), midi.divisions(files))), path)
+    return spark.read.schema("files long, errors long, notes long, tokens long, hours double").json(path).withColumn("hours", F.round("hours", 6))
+
+
+@query(f"WITH {NOTES}, p AS (SELECT track, instr, row_number() OVER (PARTITION BY track ORDER BY min(pos)) AS part, count(*) AS n FROM notes GROUP BY track, instr) SELECT md5(CAST(track AS VARCHAR)) AS md5, part, CASE WHEN part % 2 = 1 THEN 'voice ' || part ELSE NULL END AS name, n AS note_ons FROM p")
+def renamed_tracks(spark, d):
+    """Every other track of the files gets a name; the notes stay."""
+    files = midi.read_files(spark, _files(spark, d))
+    parts = midi.part_summary(midi.decode(files)).where("note_ons > 0 and part % 2 = 1").select("path", "part", F.concat(F.lit("voice "), F.col("part").cast("string")).alias("name"))
+    rows = midi.part_summary(midi.decode(midi.rename_tracks(files, parts))).where("note_ons > 0")
+    return rows.select(_md5(), F.col("part").cast("long").alias("part"), "name", "note_ons")
+
+
 _TRACK_SAMPLE = "SELECT md5, {} AS draw FROM (SELECT *, row_number() OVER (ORDER BY md5('{}:' || md5), md5) AS k, count(*) OVER () AS n FROM t) WHERE k <= greatest(1, floor(n * 0.001))"
 
 

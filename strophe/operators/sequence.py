@@ -172,8 +172,11 @@ def quantize(df: DataFrame, bpm: float, fraction: int) -> DataFrame:
 
 
 def encode_events(df: DataFrame) -> DataFrame:
-    """(track, pos, tokens) with durations clamped."""
-    return df.select("track", "pos", V.encode(F.col("kind"), F.col("time"), V.clamp_dur(F.col("dur")), F.col("instr"), F.col("pitch")).alias("tokens"))
+    """(track, pos, tokens) with durations clamped. Notes outside the vocabulary - a negative time, a pitch of 128 or more, an instrument of 129 or more - are errors."""
+    out = (F.col("pitch") < 0) | (F.col("pitch") >= V.MAX_PITCH) | (F.col("instr") < 0) | (F.col("instr") >= V.MAX_INSTR) | (F.col("time") < 0)
+    says = F.concat(F.lit("no such note in track "), F.col("track").cast("string"), F.lit(": time, instrument, pitch "), F.concat_ws(", ", *[F.col(c).cast("string") for c in ("time", "instr", "pitch")]))
+    time = F.when(out & F.col("kind").isin("event", "control"), F.raise_error(says).cast("long")).otherwise(F.col("time"))
+    return df.select("track", "pos", V.encode(F.col("kind"), time, V.clamp_dur(F.col("dur")), F.col("instr"), F.col("pitch")).alias("tokens"))
 
 
 def decode_events(df: DataFrame) -> DataFrame:

@@ -314,6 +314,42 @@ def retimed(data: bytes, bpm: float, beats: int) -> bytes:
     return b"MThd" + struct.pack(">IHHH", 6, int.from_bytes(data[8:10], "big"), len(out), ticks) + b"".join(b"MTrk" + struct.pack(">I", len(b)) + b for b in out)
 
 
+def renamed(data: bytes, names: dict[int, str]) -> bytes:
+    """The file with new names of the tracks that names lists by their number, first in the track, in place of those they have."""
+    _, bodies = tracks(data)
+    out = []
+    for k, body in enumerate(bodies):
+        if k in names:
+            kept = [(t, e) for t, e in raw_events(body) if e[:2] != b"\xff\x03"]
+            text = names[k].encode("latin-1", "replace")
+            made, last = b"", 0
+            for t, e in [(0, b"\xff\x03" + put_quantity(len(text)) + text), *kept]:
+                made += put_quantity(t - last) + e
+                last = t
+            body = made
+        out.append(body)
+    return b"MThd" + struct.pack(">IHH", 6, int.from_bytes(data[8:10], "big"), len(out)) + data[12:14] + b"".join(b"MTrk" + struct.pack(">I", len(b)) + b for b in out)
+
+
+def rename_tracks(files: DataFrame, names: DataFrame) -> DataFrame:
+    """(path, content) of files whose tracks are called as names (path, part, name) says; null content for what is no MIDI file. Other files stay."""
+    listed = names.groupBy("path").agg(F.collect_list(F.struct(F.col("part").cast("int").alias("part"), "name")).alias("names"))
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for f in frames:
+            made = []
+            for c, given in zip(f.content, f.names, strict=True):
+                try:
+                    made.append(renamed(bytes(c), {x["part"]: x["name"] for x in given}) if given is not None else bytes(c))
+                except (ValueError, IndexError, struct.error, TypeError):
+                    made.append(None)
+            yield pd.DataFrame({"path": f.path, "content": made})
+
+    return files.select("path", "content").join(listed, "path", "left").mapInPandas(run, "path string, content binary")
+
+
 def rewrite_timing(files: DataFrame, bpm: float, beats: int) -> DataFrame:
     """(path, content) of files with their tempo and signature rewritten; null content for what is no MIDI file."""
 

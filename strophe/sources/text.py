@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strophe.operators.corpus import hex_shard
+from strophe.plans.scan import scan
 from strophe.sources.files import concatenate, write_tree
 
 
@@ -20,6 +21,17 @@ def write_token_lines(rows: DataFrame, path: str) -> None:
     rows.select(F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("value")).write.mode("overwrite").text(path)
 
 
+def every_line(spark: SparkSession, path: str, every: int = 10) -> DataFrame:
+    """(line, value): each `every`-th line of the text files under path, the first one included; lines count from 0, file after file by name.
+
+    Lines are numbered by running sums that many tasks share.
+    """
+    place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    rows = spark.read.text(path).select("value", place.alias("place"), F.lit(0).alias("all"))
+    numbered = scan(rows, "all", "place", sums={"line": F.lit(1)})
+    return numbered.where(F.col("line") % every == 0).select(F.col("line").cast("long").alias("line"), "value")
+
+
 def read_compound(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, time, dur, pitch, instr, velocity) of whole files of 5-tuples."""
     values = F.transform(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+"), lambda x: x.try_cast("long"))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from strophe.operators import codec, corpus, sequence, training
@@ -88,3 +89,10 @@ def test_samples(spark):
     assert corpus.exact_sample(df, "md5", 0.1).count() == 10 and corpus.exact_sample(df, "md5", 0.001, min_one=True).count() == 1
     lists = spark.createDataFrame([("['a', 'b']", "[1, 12]"), ("oops", None)], "s string, n string")
     assert [(r.s, r.n) for r in lists.select(corpus.parse_string_list(F.col("s")).alias("s"), corpus.parse_number_list(F.col("n")).alias("n")).collect()] == [(["a", "b"], [1.0, 12.0]), ([], [])]
+
+
+def test_notes_outside_the_vocabulary_are_errors(spark):
+    for bad in ((-1, 0, 60), (0, 129, 60), (0, 0, 128), (0, -1, 60)):
+        df = spark.createDataFrame([(1, 0, "event", bad[0], 5, bad[1], bad[2])], "track long, pos long, kind string, time long, dur long, instr long, pitch long")
+        with pytest.raises(Exception, match="no such note in track 1"):
+            sequence.encode_events(df).collect()
