@@ -14,7 +14,7 @@ from strophe.plans.bind import FILES, NOTES
 from strophe.plans.scratch import folder as scratch
 from strophe.plans.scratch import stored
 from strophe.sources import files as tree
-from strophe.sources import midi, text
+from strophe.sources import listing, midi, text
 
 
 # sinks read back
@@ -258,6 +258,13 @@ def renamed_tracks(spark, d):
     return rows.select(_md5(), F.col("part").cast("long").alias("part"), "name", "note_ons")
 
 
+@query(f"WITH {NOTES}, c AS (SELECT md5(CAST(track AS VARCHAR)) AS md5, count(*) AS note_events, count(DISTINCT instr) + 1 AS tracks FROM notes GROUP BY track) SELECT md5, {_SPLIT} AS split, note_events, tracks FROM c WHERE {_SPLIT} IN ('train', 'test') AND substr(md5, 1, 1) IN ('0', '3', '5', '8', 'b', 'f')")
+def files_of_folders(spark, d):
+    """Counts of the files in some folders; only these are listed and opened."""
+    rows = listing.read_tree(spark, _files(spark, d), "counts").where("split in ('train', 'test') and hex in ('0', '3', '5', '8', 'b', 'f')")
+    return rows.select("md5", "split", "note_events", "tracks")
+
+
 _TRACK_SAMPLE = "SELECT md5, {} AS draw FROM (SELECT *, row_number() OVER (ORDER BY md5('{}:' || md5), md5) AS k, count(*) OVER () AS n FROM t) WHERE k <= greatest(1, floor(n * 0.001))"
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strophe.sources import files as tree
+from strophe.sources import listing, midi
 
 
 def names(root):
@@ -65,3 +66,37 @@ def test_errors_have_their_reason(spark, tmp_path):
     (tmp_path / "file").write_text("no folder")
     df = spark.createDataFrame([(f"{tmp_path}/a", f"{tmp_path}/file/under")], "source string, target string")
     assert tree.file_actions(df).first().status.startswith("error: ")
+
+
+def test_only_the_files_asked_for_are_opened(spark, tmp_path):
+    data = midi.encode([(0, True, 5, 60, 0), (10, False, 5, 60, 0)])
+    held = {}
+    for k, (split, digits) in enumerate((("train", "012"), ("valid", "e"), ("test", "f"))):
+        for d in digits:
+            for i in range(4):
+                folder = tmp_path / "m" / split / d
+                folder.mkdir(parents=True, exist_ok=True)
+                md5 = d + f"{k}{i}" * 15 + "0"
+                (folder / f"{md5}.mid").write_bytes(data if i else b"junk")
+                held[split, d, md5] = len(data) if i else 4
+    (tmp_path / "m/train/0/._x.mid").write_bytes(b"x")
+    (tmp_path / "m/train/0/y.txt").write_bytes(b"x")
+    root, log = str(tmp_path / "m"), tmp_path / "log"
+
+    def run(where, read="content"):
+        log.write_text("")
+        rows = listing.read_tree(spark, root, read, 200, str(log)).where(where).collect()
+        return rows, len(log.read_text().split())
+
+    rows, opened = run("true")
+    assert {(r.split, r.hex, r.md5): r.bytes for r in rows} == held and opened == len(held) == 20
+    assert all(bytes(r.content) in (data, b"junk") and r.path.endswith(f"{r.split}/{r.hex}/{r.md5}.mid") for r in rows)
+    some = sorted(held)[7][2]
+    for where, n in (("split = 'test'", 4), ("split in ('test', 'valid') and hex = 'e'", 4), (f"md5 = '{some}'", 1), ("split = 'none'", 0), ("split = 'test' and bytes > 10", 3), ("hex = '1' or split = 'test'", 8)):
+        rows, opened = run(where)
+        assert len(rows) == n, where
+        assert opened == {3: 4, 8: 20}.get(n, n), where  # what isn't about the place is looked at later
+    rows, opened = run("split = 'train'", "counts")
+    assert opened == 12 and sorted({(r.note_events, r.tracks) for r in rows}, key=str) == [(1, 2), (None, None)]
+    assert run("hex = 'f'", "none")[1] == 0 and listing.read_tree(spark, root, "none", 200).rdd.getNumPartitions() > 3
+    assert listing.read_tree(spark, str(tmp_path / "empty")).count() == 0
