@@ -8,7 +8,6 @@ matched place, and only beyond its end are words compared. Words are compared by
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Iterator, Sequence
 
