@@ -111,7 +111,7 @@ def _md5():
 @query(f"WITH {NOTES} SELECT md5(CAST(track AS VARCHAR)) AS md5, time, instr, pitch FROM notes")
 def midi_files(spark, d):
     """Notes to files and back: onsets are exact."""
-    notes = codec.midi_notes(midi.decode(midi.read_files(spark, _files(spark, d))))
+    notes = codec.midi_notes(midi.decode(midi.read_files(spark, _files(spark, d))), bind.parts(spark, d))
     return notes.withColumnRenamed("track", "path").select(_md5(), "time", "instr", "pitch")
 
 
@@ -226,7 +226,7 @@ def literal_lists(spark, d):
 @query(f"WITH {NOTES}, m AS (SELECT track, time, instr, pitch, 1 AS is_on, pos FROM notes) SELECT md5(CAST(track AS VARCHAR)) AS md5, count(*) AS ons, CAST(sum(1000 + 128 * instr + pitch) AS BIGINT) AS total FROM m GROUP BY track")
 def midi_to_interarrival(spark, d):
     """Files to inter-arrival tokens: the note-ons among them, as numbers and sum."""
-    tokens = codec.midi_interarrival(midi.decode(midi.read_files(spark, _files(spark, d))))
+    tokens = codec.midi_interarrival(midi.decode(midi.read_files(spark, _files(spark, d))), bind.parts(spark, d))
     ons = tokens.where((F.col("token") >= V.MIDI_ON) & (F.col("token") < V.MIDI_OFF))
     rows = ons.groupBy(F.col("track").alias("path")).agg(F.count("*").alias("ons"), F.sum("token").alias("total"))
     return rows.select(_md5(), "ons", "total")
@@ -294,7 +294,7 @@ def midi_events(spark, d):
     """Notes to event triples to a schedule to files and back to triples."""
     tokens = sequence.encode_events(bind.notes(spark, d))
     files = midi.write_files(codec.events_to_schedule(tokens)).select(F.col("track").cast("string").alias("path"), "content")
-    back = codec.files_to_events(midi.decode(files))
+    back = codec.files_to_events(midi.decode(files), bind.parts(spark, d))
     return back.select(F.col("track").cast("long").alias("track"), F.get("tokens", F.lit(0)).cast("long").alias("time"), F.get("tokens", F.lit(2)).cast("long").alias("note"))
 
 

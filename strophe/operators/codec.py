@@ -27,9 +27,8 @@ def pair_notes(messages: DataFrame) -> DataFrame:
     s = messages.withColumn("s", F.sum(F.when(F.col("on"), 1).otherwise(-1)).over(far))
     s = s.withColumn("low", F.least(F.lit(0), F.coalesce(F.min("s").over(before), F.lit(0))))
     s = s.where(F.col("on") | (F.col("s") >= F.col("low"))).withColumn("k", F.row_number().over(Window.partitionBy(*key, "on").orderBy("pos")))
-    ons = s.where("on").select(*key, "k", "pos", "time")
-    offs = s.where("not on").select(*key, "k", F.col("time").alias("until"))
-    notes = ons.join(offs, [*key, "k"], "left").withColumn("dur", F.coalesce(F.col("until") - F.col("time"), F.lit(-1)).cast("long"))
+    until = F.lead("time").over(Window.partitionBy(*key, "k").orderBy(F.col("on").desc()))
+    notes = s.withColumn("dur", F.coalesce(until - F.col("time"), F.lit(-1)).cast("long")).where("on")
     order = F.row_number().over(Window.partitionBy("track").orderBy("pos")) - 1
     return notes.select("track", order.cast("long").alias("pos"), F.lit("event").alias("kind"), F.col("time").cast("long").alias("time"), "dur", F.col("instr").cast("long").alias("instr"), F.col("pitch").cast("long").alias("pitch"))
 
@@ -59,15 +58,15 @@ def with_channels(rows: DataFrame) -> DataFrame:
     All parts are numbered in order of their first onsets, passing over 9; drums take a number too, but play on 9.
     Offs before the first onset of their instrument are passed over. A file has 16 channels: a part that would need a seventeenth is an error.
     """
-    first = rows.where("on").groupBy("track", "instr").agg(F.min("pos").alias("first"))
-    r = F.row_number().over(Window.partitionBy("track").orderBy("first")) - 1
+    own = Window.partitionBy("track", "instr").orderBy("pos")
+    first = F.min(F.when(F.col("on"), F.col("pos"))).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    delta = F.col("time") - F.when(F.col("pos") > F.col("first"), F.lag("time").over(own)).otherwise(0)
+    known = rows.withColumn("first", first).withColumn("delta", delta).where(F.col("on") | (F.col("pos") > F.col("first")))
+    r = F.dense_rank().over(Window.partitionBy("track").orderBy("first", "instr")) - 1
     pitched = F.when(r >= 9, r + 1).otherwise(r)
     many = F.raise_error(F.concat(F.lit("more than 16 channels in track "), F.col("track").cast("string"))).cast("int")
     channel = F.when(F.col("instr") == V.DRUMS, 9).when(pitched > 15, many).otherwise(pitched)
-    own = Window.partitionBy("track", "instr").orderBy("pos")
-    known = rows.join(first.withColumn("channel", channel), ["track", "instr"]).where(F.col("on") | (F.col("pos") > F.col("first")))
-    delta = F.col("time") - F.coalesce(F.lag("time").over(own), F.lit(0))
-    return known.select("track", "pos", "time", "on", "instr", "pitch", F.col("channel").cast("long").alias("channel"), delta.cast("long").alias("delta"))
+    return known.select("track", "pos", "time", "on", "instr", "pitch", channel.cast("long").alias("channel"), F.col("delta").cast("long").alias("delta"))
 
 
 def midi_schedule(notes: DataFrame) -> DataFrame:
@@ -88,15 +87,23 @@ def delta_truncations(messages: DataFrame) -> DataFrame:
     return messages.withColumn("delta", delta).groupBy("track").agg(F.count_if(F.col("delta") > V.MAX_DELTA).alias("truncated"))
 
 
-def midi_notes(messages: DataFrame) -> DataFrame:
-    """Notes of decoded message rows (path, pos, time, type, ...): programs followed, ons and offs paired; track is the path."""
-    rows = current_program(messages.withColumnRenamed("path", "track"))
-    return pair_notes(rows.where("type = 'note'"))
+def _by_file(messages: DataFrame, parts: int | None) -> DataFrame:
+    """Notes and programs of decoded message rows, dealt by file: all windows that follow do with this one exchange. track is the path."""
+    rows = messages.withColumnRenamed("path", "track").where("type in ('note', 'program')")
+    return rows.repartition("track") if parts is None else rows.repartition(parts, "track")
+
+
+def midi_notes(messages: DataFrame, parts: int | None = None) -> DataFrame:
+    """Notes of decoded message rows (path, pos, time, type, ...): programs followed, ons and offs paired; track is the path.
+
+    parts: over how many tasks the files are dealt; the session's number if it is not given.
+    """
+    return pair_notes(current_program(_by_file(messages, parts)).where("type = 'note'"))
 
 
-def midi_interarrival(messages: DataFrame) -> DataFrame:
+def midi_interarrival(messages: DataFrame, parts: int | None = None) -> DataFrame:
     """Inter-arrival tokens of decoded message rows; each delta is rounded by itself from the seconds between note messages."""
-    rows = current_program(messages.withColumnRenamed("path", "track")).where("type = 'note'")
+    rows = current_program(_by_file(messages, parts)).where("type = 'note'")
     own = Window.partitionBy("track").orderBy("pos")
     delta = F.rint((F.col("seconds") - F.coalesce(F.lag("seconds").over(own), F.lit(0.0))) * V.RESOLUTION).cast("long")
     step = rows.withColumn("delta", delta)
@@ -116,9 +123,9 @@ def interarrival_schedule(tokens: DataFrame) -> DataFrame:
     return rows.select("track", (F.row_number().over(own) - 1).cast("long").alias("pos"), F.col("time").cast("long").alias("time"), "on", "instr", "pitch")
 
 
-def files_to_events(messages: DataFrame) -> DataFrame:
+def files_to_events(messages: DataFrame, parts: int | None = None) -> DataFrame:
     """(track, pos, tokens) of decoded message rows: notes with their durations clamped, as event triples; track is the path."""
-    return S.encode_events(midi_notes(messages))
+    return S.encode_events(midi_notes(messages, parts))
 
 
 def events_to_schedule(tokens: DataFrame) -> DataFrame:

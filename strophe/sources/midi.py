@@ -6,9 +6,12 @@ import struct
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Message rows in a batch of decoded files.
+BATCH_ROWS = 1 << 15
 MESSAGE_SCHEMA = "path string, pos long, tick long, seconds double, time long, type string, channel int, program int, pitch long, velocity int, on boolean, part int, text string"
 
 
@@ -103,25 +106,33 @@ def messages(data: bytes) -> list[tuple]:
     return out
 
 
-def decode(files: DataFrame, resolution: int = 100) -> DataFrame:
-    """Message rows of files (path, content); unreadable files give one row of type 'bad'. Times are ticks, half to even."""
+def decoded(batches: Iterator[pa.RecordBatch], resolution: int) -> Iterator[pa.RecordBatch]:
+    """Batches of message rows of batches of files (path, content), of BATCH_ROWS and one file's more at most."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in MESSAGE_SCHEMA.split(", ")])
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names=schema.names)
 
-        names = [c.split()[0] for c in MESSAGE_SCHEMA.split(", ")]
-        for f in frames:
-            rows: list[tuple] = []
-            for path, content in zip(f.path, f.content, strict=True):
-                try:
-                    found = messages(bytes(content))
-                except (ValueError, IndexError, struct.error, TypeError):
-                    rows.append((path, 0, None, None, None, "bad", *[None] * 7))
-                    continue
+    rows: list[tuple] = []
+    for b in batches:
+        for path, content in zip(b.column(0), b.column(1), strict=True):
+            path = path.as_py()
+            try:
+                found = messages(content.as_py())
                 rows += [(path, i, t, s, round(s * resolution), *rest) for i, (t, s, *rest) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
+            except (ValueError, IndexError, struct.error, TypeError):
+                rows.append((path, 0, None, None, None, "bad", *[None] * 7))
+            if len(rows) >= BATCH_ROWS:
+                yield batch(rows)
+                rows = []
+    if rows:
+        yield batch(rows)
 
-    return files.select("path", "content").mapInPandas(run, MESSAGE_SCHEMA)
+
+def decode(files: DataFrame, resolution: int = 100) -> DataFrame:
+    """Message rows of files (path, content); unreadable files give one row of type 'bad'. Times are ticks, half to even."""
+    return files.select("path", "content").mapInArrow(lambda batches: decoded(batches, resolution), MESSAGE_SCHEMA)
 
 
 def count_raw(data: bytes) -> tuple[int, int] | None:
@@ -254,24 +265,24 @@ def encode(schedule: list[tuple[int, bool, int, int, int]], ticks_per_beat: int
 
 def write_files(schedule: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(track, content) of the MIDI files of schedule rows (track, pos, time, on, instr, pitch, channel); names: (track, instr, name) of their tracks."""
-    packed = schedule.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("pos", "time", "on", "instr", "pitch", "channel"))).alias("m"))
-    if names is None:
-        packed = packed.withColumn("names", F.lit(None).cast("array<struct<instr: long, name: string>>"))
-    else:
-        listed = names.groupBy("track").agg(F.collect_list(F.struct(F.col("instr").cast("long").alias("instr"), "name")).alias("names"))
-        packed = packed.join(listed, "track", "left")
+    rows = schedule.select("track", "pos", "time", "on", "instr", "pitch", "channel").groupBy("track")
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+    def made(track: pa.Scalar, table: pa.Table, called: dict[int, tuple[str]] | None) -> pa.Table:
+        columns = table.sort_by("pos").select(["time", "on", "instr", "pitch", "channel"]).to_pydict()
+        content = encode(list(zip(*columns.values(), strict=True)), names=called)
+        return pa.table({"track": pa.array([track.as_py()], pa.int64()), "content": pa.array([content], pa.binary())})
 
-        for f in frames:
-            made = []
-            for ms, given in zip(f.m, f.names, strict=True):
-                called = {x["instr"]: (x["name"],) for x in given} if given is not None else None
-                made.append(encode([(m["time"], m["on"], m["instr"], m["pitch"], m["channel"]) for m in ms], names=called))
-            yield pd.DataFrame({"track": f.track, "content": made})
+    if names is None:
+        return rows.applyInArrow(lambda key, table: made(key[0], table, None), "track long, content binary")
+    listed = names.select("track", F.col("instr").cast("long").alias("instr"), "name").groupBy("track")
+
+    def both(key: tuple[pa.Scalar, ...], table: pa.Table, given: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"track": pa.array([], pa.int64()), "content": pa.array([], pa.binary())})
+        called = {i: (n,) for i, n in zip(given["instr"].to_pylist(), given["name"].to_pylist(), strict=True)}
+        return made(key[0], table, called)
 
-    return packed.mapInPandas(run, "track long, content binary")
+    return rows.cogroup(listed).applyInArrow(both, "track long, content binary")
 
 
 def raw_events(body: bytes) -> Iterator[tuple[int, bytes]]:

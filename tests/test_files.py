@@ -2,9 +2,12 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strophe.operators import codec
+from strophe.plans import bind
 from strophe.sources import files as tree
 from strophe.sources import listing, midi
 
@@ -100,3 +103,33 @@ def test_only_the_files_asked_for_are_opened(spark, tmp_path):
     assert opened == 12 and sorted({(r.note_events, r.tracks) for r in rows}, key=str) == [(1, 2), (None, None)]
     assert run("hex = 'f'", "none")[1] == 0 and listing.read_tree(spark, root, "none", 200).rdd.getNumPartitions() > 3
     assert listing.read_tree(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_tracks_are_dealt_once_from_notes_to_files_and_back(spark):
+    rows = spark.createDataFrame([(t, p, "event", 10 * p, 5, 8 * (p % 3), 60 + p % 5) for t in range(3) for p in range(20)], "track long, pos long, kind string, time long, dur long, instr long, pitch long")
+    rows = rows.repartition(7, "track")
+    files = midi.write_files(codec.midi_schedule(rows))
+    assert exchanges(files) == 1
+    notes = codec.midi_notes(midi.decode(files.select(F.col("track").cast("string").alias("path"), "content")), 5)
+    assert exchanges(notes) == 2 and notes.count() == 60 and notes.rdd.getNumPartitions() <= 5
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_decoded_files_come_in_small_batches(spark, monkeypatch):
+    content = midi.encode([(t, on, 0, 60, 0) for t in range(20) for on in (True, False)])
+    given = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(6)] + ["none"], "content": [content] * 6 + [b"x"]})
+    monkeypatch.setattr(midi, "BATCH_ROWS", 10)
+    assert [b.num_rows for b in midi.decoded(iter([given]), 100)] == [42] * 6 + [1]
+    rows = midi.decode(spark.createDataFrame(given.to_pylist(), "path string, content binary"))
+    assert rows.groupBy("path").count().count() == 7 and rows.where("type = 'bad'").count() == 1
+
+
+def test_a_tasks_share_of_notes_does_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(bind, "TASK_ROWS", 500)
+    d = "/root/testdata/sf0.001"
+    notes = bind.notes(spark, d)
+    assert bind.parts(spark, d) == -(-bind.read(spark, d, "lineitem").count() // 500) > 4
+    assert notes.rdd.getNumPartitions() == bind.parts(spark, d) and exchanges(notes) == 1
