@@ -8,7 +8,7 @@ as they stream by in order, gives the state that enters each chunk; and the chun
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strophe.functions import vocab as V
+from strophe.llm.store import small_batches
 from strophe.plans.scratch import stored
 
 #: Places of a track that a chunk takes.
 CHUNK = 4096
+#: Chunks that a task looks at together.
+TOGETHER = 64
 #: A state: in a span or not, and the time that ends this.
 State = tuple[bool, int]
 START: State = (True, 0)
@@ -56,8 +59,8 @@ def chunk_map(times: np.ndarray, waits: np.ndarray, delta: int) -> tuple[list, l
     return sides[0], sides[1]
 
 
-def _through(state: State, bounds: list[int], out: list[State]) -> State:
-    at = int(np.searchsorted(bounds, state[1])) if bounds else 0
+def _through(state: State, bounds: Sequence[int], out: list[State]) -> State:
+    at = int(np.searchsorted(bounds, state[1])) if len(bounds) else 0
     return out[at] if at < len(bounds) else state
 
 
@@ -86,15 +89,35 @@ def _events(rows: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield time[a:b][at].astype(np.int64), wait[a:b][at].astype(np.int64), at
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of them stays as small however many chunks a batch has."""
+    for b in batches:
+        for i in range(0, b.num_rows, TOGETHER):
+            yield b.slice(i, TOGETHER)
+
+
+def _packed(side: list[tuple[int, State]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array([u for u, _ in side], np.int64), np.array([s[0] for _, s in side], bool), np.array([s[1] for _, s in side], np.int64)
+
+
+def _lists(sides: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.ListArray:
+    cuts = pa.array(np.cumsum([0, *(len(x[0]) for x in sides)]).astype(np.int32))
+    return pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*sides, strict=True)], names=["upto", "on", "time"]))
+
+
+def _sides(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(upto, on, time) of each list."""
+    cuts, flat = lists.offsets.to_numpy(), lists.flatten()
+    columns = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("upto", "on", "time")]
+    for a, b in zip((cuts[:-1] - cuts[0]).tolist(), (cuts[1:] - cuts[0]).tolist(), strict=True):
+        yield tuple(c[a:b] for c in columns)
+
+
 def _maps(delta: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("upto", pa.int64()), ("on", pa.bool_()), ("time", pa.int64())]))
-        for b in batches:
-            sides: tuple[list, list] = [], []
-            for times, waits, _ in _events(b.column("rows")):
-                for out, side in zip(sides, chunk_map(times, waits, delta), strict=True):
-                    out.append([{"upto": upto, "on": on, "time": time} for upto, (on, time) in side])
-            yield pa.RecordBatch.from_arrays([b.column("track"), b.column("chunk"), *(pa.array(x, kind) for x in sides)], names=["track", "chunk", "off", "on"])
+        for b in few(batches):
+            off, on = zip(*(map(_packed, chunk_map(times, waits, delta)) for times, waits, _ in _events(b.column("rows"))), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("track"), b.column("chunk"), _lists(off), _lists(on)], names=["track", "chunk", "off", "on"])
 
     return run
 
@@ -104,18 +127,18 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     track, state = None, START
     for b in batches:
         states = []
-        for key, off, on in zip(*(b.column(c).to_pylist() for c in ("track", "off", "on")), strict=True):
+        for key, off, on in zip(b.column("track").to_pylist(), _sides(b.column("off")), _sides(b.column("on")), strict=True):
             if key != track:
                 track, state = key, START
             states.append(state)
-            side = on if state[0] else off
-            state = _through(state, [x["upto"] for x in side], [(x["on"], x["time"]) for x in side])
+            upto, *ends = on if state[0] else off
+            state = _through(state, upto, list(zip(*(x.tolist() for x in ends), strict=True)))
         yield pa.RecordBatch.from_arrays([b.column("track"), b.column("chunk"), pa.array([s[0] for s in states], pa.bool_()), pa.array([s[1] for s in states], pa.int64())], names=["track", "chunk", "on", "until"])
 
 
 def _mark(delta: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             rows, hits = b.column("rows"), []
             sizes = np.diff(rows.offsets.to_numpy()).tolist()
             for n, on, until, (times, waits, at) in zip(sizes, b.column("on").to_pylist(), b.column("until").to_pylist(), _events(rows), strict=True):
@@ -134,6 +157,7 @@ def extract_spans(df: DataFrame, mean_wait: int, seed: str = "0", delta: int = V
 
     Tracks are sorted by time. The machine begins within a span that ends at time 0, so the first event draws a wait. Other rows stay.
     """
+    small_batches(df.sparkSession)
     rows = df.withColumn("wait", F.floor(-F.ln(1 - V.uniform(seed, "span", F.col("track"), F.col("pos"))) * mean_wait).cast("long"))
     cell = F.struct("pos", "kind", "time", "dur", "instr", "pitch", "wait")
     chunks = stored(rows.groupBy("track", F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(cell)).alias("rows")))
