@@ -465,6 +465,10 @@ def clips_until(spark, d):
 # generation
 
 
+#: Logits by the distance from the wanted token, for any of them.
+_AWAY = -50.0 * np.abs(np.arange(-V.VOCAB, V.VOCAB))
+
+
 def _steady(tokens: list[int], instr: int = 40) -> np.ndarray:
     """The next event comes 40 ticks after the last, 20 ticks long, always the same note or, where that may not be, the nearest."""
     slot = (len(tokens) - 1) % 3
@@ -473,7 +477,7 @@ def _steady(tokens: list[int], instr: int = 40) -> np.ndarray:
         want = max(times, default=0) + 40
     else:
         want = V.DUR_OFFSET + 20 if slot == 1 else V.NOTE_OFFSET + 128 * instr + 60
-    return -50.0 * np.abs(np.arange(V.VOCAB) - want)
+    return _AWAY[V.VOCAB - want :][: V.VOCAB]
 
 
 #: Models for tests.

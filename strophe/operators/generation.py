@@ -25,6 +25,8 @@ Triple = tuple[int, int, int]
 Loop = Generator[list[int], np.ndarray, list[Triple]]
 #: Triples that the model sees besides those it is drawing; instruments of a track; tracks that go on together.
 HISTORY, CAP, OPEN = 339, 15, 64
+#: Tokens whose logit is less than the best one's by more than this have a probability of 0 in double precision; they aren't sorted.
+NOTHING = 746.0
 
 
 def each(model: Callable[[list[int]], np.ndarray]) -> Model:
@@ -94,6 +96,7 @@ def allowed(slot: int, now: int, seen: set[int]) -> np.ndarray:
 def draw(logits: np.ndarray, ok: np.ndarray, top_p: float, rng: np.random.Generator) -> int:
     """A token by its probability among those allowed and in the nucleus."""
     at = np.flatnonzero(ok)
+    at = at[logits[at] >= logits[at].max() - NOTHING]
     order = at[np.argsort(-logits[at], kind="stable")]
     p = np.exp(logits[order] - logits[order[0]])
     p /= p.sum()

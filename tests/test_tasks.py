@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -459,3 +460,31 @@ def test_clips_are_drawn_until_there_are_enough(spark, monkeypatch):
         inside = [e for e in songs[r.track] if r.start <= e[0] <= r.start + 1000]
         assert (r.parts, r.n) == (len({e[2] for e in inside}), sum(e[0] - r.start <= 300 for e in inside)) and r.n >= 12
     assert clips.sample_until(rows.limit(0), 5, 1000, 300).count() == 0
+
+
+def test_maps_are_made_in_slices_of_chunks():
+    cell = pa.struct([("kind", pa.string()), ("time", pa.int64()), ("wait", pa.int64())])
+    chunks = [[{"kind": "event", "time": 10 * (20 * c + i), "wait": (7 * i) % 90} for i in range(20)] for c in range(150)]
+    given = pa.RecordBatch.from_arrays([pa.array([1] * 150), pa.array(range(150)), pa.array(chunks, pa.list_(cell))], names=["track", "chunk", "rows"])
+    made = list(spans._maps(20)(iter([given])))
+    assert [b.num_rows for b in made] == [64, 64, 22]
+    state, states = spans.START, []
+    for c in chunks:
+        states.append(state)
+        side = spans.chunk_map(np.array([x["time"] for x in c]), np.array([x["wait"] for x in c]), 20)[state[0]]
+        state = spans._through(state, [u for u, _ in side], [x for _, x in side])
+    got = [s for b in spans._entries(iter(made)) for s in zip(b.column("on").to_pylist(), b.column("until").to_pylist(), strict=True)]
+    assert got == states
+
+
+def test_tokens_without_probability_are_not_sorted(monkeypatch):
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(generation.np, "argsort", lambda a, **k: (sizes.append(len(a)), sort(a, **k))[1])
+    ok = generation.allowed(0, 0, set())
+    for seed in range(20):
+        logits = steady([[0]])[0] if seed % 2 else np.random.default_rng(seed).normal(size=V.VOCAB) * 400
+        at = np.flatnonzero(ok)
+        order = at[sort(-logits[at], kind="stable")]
+        p = np.exp(logits[order] - logits[order[0]])
+        assert generation.draw(logits, ok, 1.0, np.random.default_rng(seed)) == np.random.default_rng(seed).choice(order, p=p / p.sum())
+    assert max(sizes) < len(at) and sizes[1] < 50
