@@ -323,6 +323,23 @@ def test_greedy_selection_and_calibration(spark):
     assert by_row == sorted((m for m, g, _ in files if set(g) - set("PGD") and not set(g) & set()), reverse=True)
 
 
+def test_folds_over_files_hold_a_batch_of_them(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "BATCH_FILES", 50)
+    counts = spark.range(0, 3000, 1, 6).select(F.md5(F.col("id").cast("string")).alias("md5"), F.concat(F.lit("G"), F.col("id") % 5).alias("grp"), F.lit(1).cast("long").alias("n"))
+    notes = counts.select("md5", F.lit(7).cast("long").alias("total_notes"))
+    caps = spark.createDataFrame([(f"G{k}", 100) for k in range(5)], "grp string, target long")
+    read = corpus._in_order(corpus._phases(counts, notes, ("P", "G", "D")), caps, "md5")
+    sizes, seen = [], []
+    for _ in range(2):  # as often as it likes
+        batches = [list(b) for b in read()]
+        sizes.append([len(b) for b in batches])
+        seen.append([x for b in batches for x in b])
+    assert seen[0] == seen[1] and max(sizes[0]) <= 50 and len(sizes[0]) >= 60
+    assert seen[0][0] == (-1, {f"G{k}": 100 for k in range(5)}, "") and [x[2] for x in seen[0][1:]] == sorted(r.md5 for r in counts.collect())
+    row = corpus.calibrate(spark, counts, notes, caps, ("P", "G", "D"), spark.createDataFrame([(7 * 1500,)], "goal long")).first()
+    assert abs(row.total - 10500) / 10500 < 0.005 and row.files * 7 == row.total
+
+
 def test_exact_samples_of_any_size(spark):
     df = spark.range(5000).select(F.sha1(F.col("id").cast("string")).alias("md5"), (F.col("id") % 3).alias("s")).repartition(5)
     order = [r.md5 for r in df.orderBy(corpus.hash_order(F.col("md5")), "md5").collect()]
