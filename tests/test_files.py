@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strophe.functions import vocab as V
-from strophe.operators import codec, training
+from strophe.operators import codec, interleave, training
 from strophe.plans import bind, scratch
 from strophe.sources import files as tree
 from strophe.sources import listing, midi
@@ -163,3 +163,11 @@ def test_tracks_stay_dealt_on_their_way_to_inter_arrival_rows(spark, monkeypatch
     got = [(r.shard, t) for r in rows.orderBy("shard", "chunk").collect() for t in r.tokens]
     want = [(s, t) for s in (0, 1) for k in range(s, 7, 2) for t in [V.MIDI_SEPARATOR, *[(8 * p + k) % 900 + 1 for p in range(500)]]]
     assert got == [x for s in (0, 1) for x in [y for y in want if y[0] == s][: len([y for y in want if y[0] == s]) // 10 * 10]]
+
+
+def test_draws_are_not_shuffled(spark):
+    events = spark.createDataFrame([(t, p, 10 * p, 5, 0, 60) for t in range(2) for p in range(5)], "track long, pos long, time long, dur long, instr long, pitch long")
+    heads = spark.createDataFrame([(t, 0, 40, [1, 2], [0]) for t in range(2)], "track long, shard int, end_time long, copies array<long>, parts array<long>")
+    rows = interleave.interleaved(events, heads, {1: "span", 2: "random"}, "0", 2000)
+    above = rows._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
+    assert above.count("md5(") >= 2 and rows.select("track").distinct().count() == 4
