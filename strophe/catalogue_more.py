@@ -254,7 +254,7 @@ def renamed_tracks(spark, d):
     """Every other track of the files gets a name; the notes stay."""
     files = midi.read_files(spark, _files(spark, d))
     parts = midi.part_summary(midi.decode(files)).where("note_ons > 0 and part % 2 = 1").select("path", "part", F.concat(F.lit("voice "), F.col("part").cast("string")).alias("name"))
-    rows = midi.part_summary(midi.decode(midi.rename_tracks(files, parts))).where("note_ons > 0")
+    rows = midi.part_summary(midi.decode(midi.rename_tracks(files, parts, bind.parts(spark, d)))).where("note_ons > 0")
     return rows.select(_md5(), F.col("part").cast("long").alias("part"), "name", "note_ons")
 
 

@@ -342,8 +342,13 @@ def renamed(data: bytes, names: dict[int, str]) -> bytes:
     return b"MThd" + struct.pack(">IHH", 6, int.from_bytes(data[8:10], "big"), len(out)) + data[12:14] + b"".join(b"MTrk" + struct.pack(">I", len(b)) + b for b in out)
 
 
-def rename_tracks(files: DataFrame, names: DataFrame) -> DataFrame:
-    """(path, content) of files whose tracks are called as names (path, part, name) says; null content for what is no MIDI file. Other files stay."""
+def rename_tracks(files: DataFrame, names: DataFrame, parts: int | None = None) -> DataFrame:
+    """(path, content) of files whose tracks are called as names (path, part, name) says; null content for what is no MIDI file. Other files stay.
+
+    parts: over how many tasks the files are dealt; the session's number if it is not given.
+    """
+    # both sides are dealt: a join takes the number of the one that needs no exchange, which is that of the grouped names
+    files, names = (rows if parts is None else rows.repartition(parts, "path") for rows in (files.select("path", "content"), names))
     listed = names.groupBy("path").agg(F.collect_list(F.struct(F.col("part").cast("int").alias("part"), "name")).alias("names"))
 
     def run(frames: Iterator) -> Iterator:
@@ -358,7 +363,7 @@ def rename_tracks(files: DataFrame, names: DataFrame) -> DataFrame:
                     made.append(None)
             yield pd.DataFrame({"path": f.path, "content": made})
 
-    return files.select("path", "content").join(listed, "path", "left").mapInPandas(run, "path string, content binary")
+    return files.join(listed, "path", "left").mapInPandas(run, "path string, content binary")
 
 
 def rewrite_timing(files: DataFrame, bpm: float, beats: int) -> DataFrame:

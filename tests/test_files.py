@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strophe import catalogue_more
 from strophe.functions import vocab as V
 from strophe.operators import codec, interleave, training
 from strophe.plans import bind, scratch
@@ -128,6 +129,22 @@ def test_decoded_files_come_in_small_batches(spark, monkeypatch):
     assert rows.groupBy("path").count().count() == 7 and rows.where("type = 'bad'").count() == 1
 
 
+def test_files_to_rename_are_dealt_by_number(spark, monkeypatch):
+    plans = []
+    real = midi.rename_tracks
+    monkeypatch.setattr(bind, "TASK_ROWS", 500)
+    monkeypatch.setattr(midi, "rename_tracks", lambda *given: plans.append(real(*given)) or plans[-1])
+    d = "/root/testdata/sf0.001"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # many names, as those of a large tree
+    try:
+        rows = catalogue_more.renamed_tracks(spark, d)
+        assert plans[0].rdd.getNumPartitions() == bind.parts(spark, d) > 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows.agg(F.sum("note_ons")).first()[0] == bind.read(spark, d, "lineitem").count()
+
+
 def test_a_tasks_share_of_notes_does_not_grow(spark, monkeypatch):
     monkeypatch.setattr(bind, "TASK_ROWS", 500)
     d = "/root/testdata/sf0.001"
